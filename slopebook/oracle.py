@@ -71,3 +71,141 @@ where e.total_quantity - coalesce((
     where ri.equipment_item_id = e.id and r.rental_date = a.date and r.status in ('pending', 'confirmed')
   ), 0) > 0
 """, "fx_reservations", "fx_items", "fx_equipment")
+
+# --- requests ---------------------------------------------------------------
+
+_REQ = """
+, per as (
+  select reservation_id, count(*) as n,
+         cast(count(*) filter (where not is_child) as int) as n_adults,
+         cast(count(*) filter (where is_child) as int) as n_children,
+         bool_or(board_type not in ('ski', 'snowboard', 'none')) as bad_type
+  from fx_members group by 1)
+, req as (
+  select r.id as request_id, r.shop_id, r.created_at as requested_at, r.rental_date as "start",
+         r.return_date as "end", r.customer_name as "name", r.customer_phone as phone,
+         r.customer_email as email,
+         cast(p.n_adults + case when r.id % 13 = 0 then 1 else 0 end as int) as adults,
+         p.n_children as children, p.n, p.bad_type, r.eve_pickup, r.notes
+  from fx_reservations r left join per p on p.reservation_id = r.id)
+, e5 as (
+  select request_id, case
+    when "start" is null or "end" is null or "end" < "start" then 'INVALID_DATES'
+    when "start" < date '2024-12-10' then 'DATE_IN_PAST'
+    when datediff('day', "start", "end") > 30 then 'PERIOD_TOO_LONG'
+    when "name" is null or length(trim("name")) = 0 or phone is null or length(trim(phone)) < 10
+      then 'INVALID_CONTACT'
+    when n is null or n = 0 or n > 20 then 'INVALID_MEMBERS'
+    when coalesce(adults, 0) + coalesce(children, 0) <> n then 'MEMBER_COUNT_MISMATCH'
+    when exists (select 1 from fx_closed_dates c where c.closed_date between "start" and "end")
+      then 'SHOP_CLOSED_ON_DATE'
+    when eve_pickup and "start" - 1 < date '2024-12-10' then 'EVE_IN_PAST'
+    when eve_pickup and exists (select 1 from fx_closed_dates c where c.closed_date = "start" - 1)
+      then 'EVE_CLOSED'
+    when bad_type then 'INVALID_BOARD_TYPE'
+  end as code from req)
+"""
+
+_REQ_FX = ("fx_reservations", "fx_members", "fx_closed_dates")
+
+ORACLE["e5_validate_v2"] = W(_REQ + "select request_id, code from e5", *_REQ_FX)
+
+ORACLE["e6_capacity_check"] = W(_REQ + _OCC_ALL + """
+, valid as (select req.* from req join e5 using (request_id) where e5.code is null)
+, need as (
+  select reservation_id as request_id, board_type as category, cast(count(*) as int) as need
+  from fx_members where board_type is distinct from 'none' group by 1, 2)
+, cells0 as (
+  select v.request_id, v.shop_id, n.category, n.need,
+         unnest(generate_series(cast(case when v.eve_pickup then v."start" - 1 else v."start" end as timestamp),
+                                cast(v."end" as timestamp), interval 1 day)) as ts
+  from valid v join need n on n.request_id = v.request_id)
+, stock as (
+  select shop_id, category, sum(total_quantity) as total from fx_equipment
+  where is_active and category in ('ski', 'snowboard') group by 1, 2)
+, fails as (
+  select c.request_id, c.category, cast(c.ts as date) as day
+  from cells0 c
+  left join stock s on s.shop_id = c.shop_id and s.category = c.category
+  left join occ o on o.shop_id = c.shop_id and o.category = c.category and o.day = cast(c.ts as date)
+  where coalesce(o.used, 0) + c.need > coalesce(s.total, 0))
+, first_fail as (
+  select * from fails
+  qualify row_number() over (partition by request_id order by category nulls last, day) = 1)
+select v.request_id,
+  case when f.day is not null then
+    'OUT_OF_STOCK:' || coalesce(f.category, '<NULL>') || ':' || strftime(f.day, '%Y-%m-%d') end as code,
+  f.category, f.day
+from valid v left join first_fail f on f.request_id = v.request_id
+""", *_REQ_FX, "fx_equipment")
+
+_V1 = """
+, n_items as (select reservation_id, count(*) as n from fx_items group by 1)
+, rq as (
+  select r.id as request_id, r.rental_date, case
+    when r.rental_date is null or r.party_size is null or r.party_size <= 0 or p.n is null or p.n = 0
+      then 'INVALID_INPUT'
+    when r.rental_date < date '2024-12-10' then 'DATE_IN_PAST'
+    when r.rental_date in (select closed_date from fx_closed_dates) then 'SHOP_CLOSED_ON_DATE'
+  end as req_code
+  from fx_reservations r left join n_items p on p.reservation_id = r.id)
+, lines as (
+  select reservation_id as request_id, equipment_item_id, cast(equipment_item_id as varchar) as eid_text,
+         quantity as qty,
+         cast(row_number() over (partition by reservation_id order by equipment_item_id, quantity) as int)
+           as item_pos
+  from fx_items)
+, booked as (
+  select i.equipment_item_id, r.rental_date, sum(i.quantity) as booked
+  from fx_items i join fx_reservations r on r.id = i.reservation_id
+  where r.status in ('pending', 'confirmed') group by 1, 2)
+"""
+
+
+def _v1_oracle(qty_expr: str) -> str:
+    return W(_V1 + f"""
+, lines2 as (select *, {qty_expr} as qty_check from lines)
+, li as (
+  select l.request_id, l.eid_text, l.item_pos, case
+    when l.qty is null or l.qty <= 0 then 'INVALID_QUANTITY'
+    when e.id is null then 'EQUIPMENT_NOT_FOUND'
+    when not e.is_active then 'EQUIPMENT_INACTIVE'
+    when coalesce(b.booked, 0) + l.qty_check > e.total_quantity then 'OUT_OF_STOCK:' || l.eid_text
+  end as code
+  from lines2 l join rq on rq.request_id = l.request_id and rq.req_code is null
+  left join fx_equipment e on e.id = l.equipment_item_id
+  left join booked b on b.equipment_item_id = l.equipment_item_id and b.rental_date = rq.rental_date)
+, first_fail as (
+  select * from li where code is not null
+  qualify row_number() over (partition by request_id order by eid_text, item_pos) = 1)
+select rq.request_id, coalesce(rq.req_code, f.code) as code,
+       case when rq.req_code is null then f.item_pos end as item_pos
+from rq left join first_fail f on f.request_id = rq.request_id
+""", "fx_reservations", "fx_items", "fx_closed_dates", "fx_equipment")
+
+
+ORACLE["e4_validate_v1"] = _v1_oracle("qty")
+ORACLE["e4_validate_v1_summed"] = _v1_oracle("sum(qty) over (partition by request_id, eid_text)")
+
+ORACLE["e8_code_collisions"] = W("""
+, codes as (select id, 'YR-' || upper(substr(sha256(cast(id as varchar)), 1, 6)) as reservation_code
+            from fx_reservations)
+select reservation_code, count(*) as n, min(id) as first_id from codes group by 1 having count(*) > 1
+""", "fx_reservations")
+
+ORACLE["a8_reservation_rows"] = W(_REQ + """
+select request_id as id, shop_id, 'YR-' || upper(substr(sha256(cast(request_id as varchar)), 1, 6))
+         as reservation_code,
+  "start" as rental_date, "end" as return_date, trim("name") as customer_name, trim(phone) as customer_phone,
+  nullif(trim(coalesce(email, '')), '') as customer_email, cast(n as int) as party_size,
+  coalesce(adults, 0) as adults, coalesce(children, 0) as children, notes, 'pending' as status,
+  coalesce(eve_pickup, false) as eve_pickup, requested_at as created_at
+from req
+""", *_REQ_FX)
+
+ORACLE["a8_member_rows"] = W("""
+select reservation_id, member_no, height_cm, shoe_cm, board_type, coalesce(is_child, false) as is_child,
+  age, gender, stance, nullif(trim(coalesce(nickname, '')), '') as nickname, set_type,
+  array_to_string(addons, ',') as addons
+from fx_members
+""", "fx_members")

@@ -59,3 +59,66 @@ def q_e1(spark, d):
     t = _base(spark, d)
     dates = t["reservations"].select("shop_id", F.col("rental_date").alias("date"))
     return occupancy.availability_by_size(t["equipment"], t["reservations"], t["items"], dates)
+
+
+# --- requests: validation, capacity, admission (E4-E8, A8) -----------------
+
+from slopebook.operators import admission, requests as rq  # noqa: E402
+
+# New requests arrive from 1995 on; bookings made before that are the state.
+CUTOFF = dt.datetime(1995, 1, 1)
+
+
+@register("e5_validate_v2")
+def q_e5(spark, d):
+    return rq.validate_requests_v2(fx.fx_requests_v2(spark, d), fx.fx_closed_dates(spark, d), fx.AS_OF)
+
+
+def _valid_v2(spark, d):
+    req = fx.fx_requests_v2(spark, d)
+    codes = rq.validate_requests_v2(req, fx.fx_closed_dates(spark, d), fx.AS_OF)
+    return req.join(codes.where(F.col("code").isNull()).select("request_id"), "request_id", "left_semi")
+
+
+@register("e6_capacity_check")
+def q_e6(spark, d):
+    t = _base(spark, d)
+    return rq.capacity_check(_valid_v2(spark, d), t["equipment"], t["reservations"], t["members"])
+
+
+@register("e4_validate_v1")
+def q_e4(spark, d):
+    t = _base(spark, d)
+    return rq.validate_requests_v1(fx.fx_requests_v1(spark, d), t["closed_dates"], t["equipment"],
+                                   t["reservations"], t["items"], fx.AS_OF)
+
+
+@register("e4_validate_v1_summed")
+def q_e4s(spark, d):
+    t = _base(spark, d)
+    return rq.validate_requests_v1(fx.fx_requests_v1(spark, d), t["closed_dates"], t["equipment"],
+                                   t["reservations"], t["items"], fx.AS_OF, faithful=False)
+
+
+@register("e7_admit")
+def q_e7(spark, d):
+    t = _base(spark, d)
+    req = fx.fx_requests_v2(spark, d).where(F.col("requested_at") >= F.lit(CUTOFF))
+    state = t["reservations"].where(F.col("created_at") < F.lit(CUTOFF))
+    return admission.admit(req, t["equipment"], state, t["members"], t["closed_dates"], fx.AS_OF)
+
+
+@register("e8_code_collisions")
+def q_e8(spark, d):
+    return rq.code_collisions(rq.reservation_rows(fx.fx_requests_v2(spark, d)))
+
+
+@register("a8_reservation_rows")
+def q_a8r(spark, d):
+    return rq.reservation_rows(fx.fx_requests_v2(spark, d))
+
+
+@register("a8_member_rows")
+def q_a8m(spark, d):
+    m = rq.member_rows(fx.fx_requests_v2(spark, d))
+    return m.withColumn("addons", F.concat_ws(",", "addons"))

@@ -169,10 +169,11 @@ def fx_requests_v1(spark: SparkSession, d: str) -> DataFrame:
     """v1 requests: one rental day, items as (equipment id, quantity) text pairs."""
     r = fx_reservations(spark, d)
     it = fx_items(spark, d)
-    per = it.groupBy("reservation_id").agg(F.collect_list(F.struct(
-        F.col("equipment_item_id").cast("string").alias("equipment_item_id"),
-        F.col("quantity").cast("string").alias("quantity"),
-    )).alias("items"))
+    per = it.groupBy("reservation_id").agg(F.sort_array(F.collect_list(
+        F.struct("equipment_item_id", "quantity"))).alias("items"))
+    per = per.withColumn("items", F.transform("items", lambda x: F.struct(
+        x["equipment_item_id"].cast("string").alias("equipment_item_id"),
+        x["quantity"].cast("string").alias("quantity"))))
     j = r.join(per, r.id == per.reservation_id, "left")
     return j.select(
         F.col("id").alias("request_id"), "shop_id", F.col("created_at").alias("requested_at"),
