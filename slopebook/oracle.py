@@ -209,3 +209,186 @@ select reservation_id, member_no, height_cm, shoe_cm, board_type, coalesce(is_ch
   array_to_string(addons, ',') as addons
 from fx_members
 """, "fx_members")
+
+# --- lookup, cancel, status, pricing, notifications --------------------------
+
+ORACLE["b6_lookup_keys"] = W("""
+select lookup_id, upper(trim(code)) as code, trim(phone) as phone,
+       regexp_replace(phone, '[^0-9]', '', 'g') as phone_digits
+from fx_lookups
+""", "fx_lookups")
+
+ORACLE["e9_lookup_v1"] = W("""
+, m as (
+  select l.lookup_id, r.* from fx_lookups l
+  join fx_reservations r on r.reservation_code = upper(trim(l.code)) and r.customer_phone = trim(l.phone))
+, it as (
+  select ri.reservation_id,
+         list_sort(list(coalesce(cast(e.category as varchar), 'null') || ':' || coalesce(e.size_label, 'null')
+                        || ':' || cast(ri.quantity as varchar))) as lines
+  from fx_items ri left join fx_equipment e on e.id = ri.equipment_item_id
+  group by 1)
+select m.lookup_id, m.id as reservation_id, m.reservation_code, m.rental_date, m.customer_name, m.party_size,
+       m.status, coalesce(array_to_string(it.lines, ';'), '') as items,
+       cast(coalesce(len(it.lines), 0) as int) as n_items
+from m left join it on it.reservation_id = m.id
+""", "fx_lookups", "fx_reservations", "fx_items", "fx_equipment")
+
+_MEMBER_TEXT = """concat_ws(':', coalesce(cast(member_no as varchar), 'null'), coalesce(cast(height_cm as varchar), 'null'),
+  coalesce(cast(shoe_cm as varchar), 'null'), coalesce(board_type, 'null'), coalesce(cast(is_child as varchar), 'null'),
+  coalesce(cast(age as varchar), 'null'), coalesce(gender, 'null'), coalesce(stance, 'null'),
+  coalesce(nickname, 'null'), coalesce(set_type, 'null'), array_to_string(coalesce(addons, []), '+'))"""
+
+ORACLE["e10_lookup_v2"] = W(f"""
+, ms as (
+  select reservation_id, string_agg({_MEMBER_TEXT}, '|' order by member_no) as members, count(*) as n
+  from fx_members group by 1)
+select l.lookup_id, r.reservation_code, r.status, r.rental_date, coalesce(r.return_date, r.rental_date) as return_date,
+  case when r.id is not null then coalesce(r.eve_pickup, false) end as eve_pickup, r.customer_name, r.adults, r.children,
+  case when r.id is not null then coalesce(ms.members, '') end as members,
+  case when r.id is not null then cast(coalesce(ms.n, 0) as int) end as n_members
+from fx_lookups l
+left join fx_reservations r on r.reservation_code = upper(trim(l.code)) and r.customer_phone = trim(l.phone)
+left join ms on ms.reservation_id = r.id
+""", "fx_lookups", "fx_reservations", "fx_members")
+
+_CANCEL = """
+, m as (
+  select c.request_id, c.requested_at, r.id as reservation_id, r.status as old_status
+  from fx_cancel_requests c
+  left join fx_reservations r on r.reservation_code = upper(trim(c.code)) and r.customer_phone = trim(c.phone))
+, ranked as (
+  select *, row_number() over (partition by reservation_id order by requested_at, request_id) as rn from m)
+"""
+
+ORACLE["e11_cancel_results"] = W(_CANCEL + """
+select request_id, case when reservation_id is null then 'NOT_FOUND'
+  when old_status <> 'cancelled' and rn = 1 then 'OK' else 'ALREADY_CANCELLED' end as result
+from ranked
+""", "fx_cancel_requests", "fx_reservations")
+
+ORACLE["e11_cancel_reservations"] = W(_CANCEL + """
+, won as (select reservation_id, requested_at from ranked
+          where reservation_id is not null and old_status <> 'cancelled' and rn = 1)
+select r.id, case when w.reservation_id is not null then 'cancelled' else r.status end as status,
+  coalesce(w.requested_at, r.cancelled_at) as cancelled_at, coalesce(w.requested_at, r.updated_at) as updated_at
+from fx_reservations r left join won w on w.reservation_id = r.id
+""", "fx_cancel_requests", "fx_reservations")
+
+ORACLE["e12_status_changes"] = W("""
+, ev as (select * from fx_status_events where action in ('confirm', 'cancel'))
+, c as (select reservation_id, ts, event_id from ev where action = 'cancel'
+        qualify row_number() over (partition by reservation_id order by ts, event_id) = 1)
+, k as (select reservation_id, ts, event_id from ev where action = 'confirm'
+        qualify row_number() over (partition by reservation_id order by ts, event_id) = 1)
+, j as (
+  select r.*, c.ts as c_ts, c.event_id as c_id, k.ts as k_ts, k.event_id as k_id,
+    (r.status <> 'cancelled' and c.ts is not null) as cancel_now,
+    (r.status = 'pending' and k.ts is not null
+       and (c.ts is null or k.ts < c.ts or (k.ts = c.ts and k.event_id < c.event_id))) as confirm_now
+  from fx_reservations r left join c on c.reservation_id = r.id left join k on k.reservation_id = r.id)
+select id, case when cancel_now then 'cancelled' when confirm_now then 'confirmed' else status end as status,
+  case when cancel_now then c_ts else cancelled_at end as cancelled_at,
+  case when cancel_now then c_ts when confirm_now then k_ts else updated_at end as updated_at
+from j
+""", "fx_status_events", "fx_reservations")
+
+_PRICE = """
+, pm as (
+  select m.reservation_id, m.member_no, m.set_type, m.is_child, m.addons,
+    datediff('day', r.rental_date, coalesce(r.return_date, r.rental_date)) + 1 as days,
+    coalesce(list_sum(list_transform(m.addons, lambda k: case k when 'wear_top' then 2000 when 'wear_btm' then 2000
+      when 'helmet' then 1000 when 'goggle' then 1000 when 'sled' then 500 when 'snowshoe' then 2000
+      when 'harness' then 1500 else 0 end)), 0) as addon_sum
+  from fx_members m join fx_reservations r on r.id = m.reservation_id)
+, pp as (
+  select reservation_id, member_no, cast(case
+    when days is null or days < 1 then null
+    when set_type = 'none' then case when len(addons) = 0 then null else addon_sum * days end
+    when set_type in ('full', 'gliding') then
+      (case when days <= 4 then
+         case set_type when 'full' then (case when is_child then [4000, 7000, 9500, 12000]
+                                              else [6500, 12000, 17000, 22000] end)[days]
+                       else (case when is_child then [2500, 4000, 5000, 6000]
+                                  else [3500, 6000, 8000, 10000] end)[days] end
+       else
+         case set_type when 'full' then (case when is_child then 12000 + (days - 4) * 3000
+                                              else 22000 + (days - 4) * 5500 end)
+                       else (case when is_child then 6000 + (days - 4) * 2000
+                                  else 10000 + (days - 4) * 2500 end) end
+       end) + addon_sum * days
+  end as bigint) as price
+  from pm)
+"""
+
+ORACLE["e13_price_members"] = W(_PRICE + "select reservation_id, member_no, price from pp",
+                                "fx_members", "fx_reservations")
+
+ORACLE["e13_price_reservations"] = W(_PRICE + """
+select reservation_id, case when bool_and(price is not null) then sum(price) end as total,
+       bool_and(price is not null) as all_priced
+from pp group by 1
+""", "fx_members", "fx_reservations")
+
+_LINES = """
+, lines as (
+  select reservation_id, string_agg(
+    concat(coalesce(cast(member_no as varchar), ''), '. ', case when is_child then '子供' else '大人' end,
+      case when nickname is not null then '（' || nickname || '）' else '' end,
+      ' ／ 身長', coalesce(cast(height_cm as varchar), ''), 'cm・靴', coalesce(cast(shoe_cm as varchar), ''), 'cm ／ ',
+      case board_type when 'ski' then 'スキー' when 'snowboard' then 'スノーボード' else '板レンタルなし' end,
+      case when set_type = 'gliding' then '・滑走セット' when set_type = 'full' then '・フルセット'
+           when set_type = 'none' then '・セットなし' else '' end,
+      case when addons is not null and len(addons) > 0 then '・追加(' || array_to_string(addons, '・') || ')'
+           else '' end),
+    '<br>' order by member_no) as html
+  from fx_members group by 1)
+"""
+
+ORACLE["e14_member_lines"] = W(_LINES + "select reservation_id, html from lines", "fx_members")
+
+ORACLE["e15_notification_outbox"] = W(_LINES + """
+, ch as (
+  select event_id, reservation_id,
+    case when action = 'created' then 'insert' else 'update' end as op,
+    case action when 'created' then 'pending' when 'confirm' then 'confirmed' else 'cancelled' end as new_status
+  from fx_status_events)
+, ch2 as (select *, lag(new_status) over (partition by reservation_id order by ts, event_id) as old_status
+          from ch join fx_status_events using (event_id, reservation_id))
+, shops as (
+  select distinct shop_id, 'Shop ' || cast(shop_id as varchar) as shop_name,
+    '000-0000-' || lpad(cast(shop_id as varchar), 4, '0') as shop_phone, '8:00〜17:00' as shop_hours,
+    case when shop_id % 5 = 0 then null else 'shop' || cast(shop_id as varchar) || '@example.com' end as shop_email
+  from fx_reservations)
+, j as (
+  select ch2.event_id, ch2.op, ch2.old_status, ch2.new_status, r.*, s.shop_name, s.shop_phone, s.shop_hours,
+    s.shop_email, coalesce(l.html, '') as mem,
+    strftime(r.rental_date, '%Y/%m/%d') || case when r.return_date is not null and r.return_date <> r.rental_date
+      then ' 〜 ' || strftime(r.return_date, '%Y/%m/%d') else '（日帰り）' end as period,
+    case when r.eve_pickup then '<br>前日受け取り: 希望する（前日午後2時〜）' else '' end as eve,
+    coalesce(cast(coalesce(r.adults, r.party_size) as varchar), '') as adults_t,
+    case when coalesce(r.children, 0) > 0 then ' / 子供' || cast(r.children as varchar) || '名' else '' end as kids
+  from ch2 join fx_reservations r on r.id = ch2.reservation_id
+  left join shops s on s.shop_id = r.shop_id left join lines l on l.reservation_id = r.id)
+select event_id, id as reservation_id, customer_email as recipient, 'customer_created' as kind,
+  '【' || coalesce(shop_name, '') || '】ご予約を受け付けました (' || reservation_code || ')' as subject,
+  concat('ご予約ありがとうございます。<br><br>予約番号: <b>', reservation_code, '</b><br>ご利用期間: ', period, eve,
+    '<br>お名前: ', coalesce(customer_name, ''), ' 様<br>人数: 大人', adults_t, '名', kids,
+    '<br><br>【ご利用者】<br>', mem, '<br><br>お支払いは当日ご来店時に現金でお願いします。<br>営業時間 ',
+    coalesce(shop_hours, ''), '／お電話 ', coalesce(shop_phone, '')) as html
+from j where op = 'insert' and customer_email is not null
+union all
+select event_id, id, shop_email, 'shop_created',
+  '【新規予約】' || period || ' ' || coalesce(customer_name, '') || '様',
+  concat('新規予約が入りました。<br><br>予約番号: ', reservation_code, '<br>ご利用期間: ', period, eve,
+    '<br>お名前: ', coalesce(customer_name, ''), ' 様<br>電話: ', coalesce(customer_phone, ''),
+    '<br>メール: ', coalesce(customer_email, '（未入力）'), '<br>人数: 大人', adults_t, '名', kids,
+    '<br>ご要望: ', coalesce(notes, '（なし）'), '<br><br>【ご利用者】<br>', mem)
+from j where op = 'insert' and shop_email is not null
+union all
+select event_id, id, customer_email, 'customer_cancelled',
+  '【' || coalesce(shop_name, '') || '】ご予約をキャンセルしました (' || reservation_code || ')',
+  '予約番号 ' || reservation_code || ' のご予約をキャンセルしました。またのご利用をお待ちしております。'
+from j where op = 'update' and new_status = 'cancelled' and old_status is distinct from 'cancelled'
+  and customer_email is not null
+""", "fx_members", "fx_status_events", "fx_reservations")

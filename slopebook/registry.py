@@ -122,3 +122,78 @@ def q_a8r(spark, d):
 def q_a8m(spark, d):
     m = rq.member_rows(fx.fx_requests_v2(spark, d))
     return m.withColumn("addons", F.concat_ws(",", "addons"))
+
+
+# --- lookup, cancel, status, pricing, notifications (E9-E15, B6) -----------
+
+from slopebook.operators import lifecycle, notify, pricing  # noqa: E402
+
+
+@register("b6_lookup_keys")
+def q_b6(spark, d):
+    lk = fx.fx_lookups(spark, d)
+    return lk.select("lookup_id", lifecycle.lookup_code(F.col("code")).alias("code"),
+                     lifecycle.lookup_phone(F.col("phone")).alias("phone"),
+                     lifecycle.phone_digits(F.col("phone")).alias("phone_digits"))
+
+
+@register("e9_lookup_v1")
+def q_e9(spark, d):
+    t = _base(spark, d)
+    return lifecycle.lookup_v1(fx.fx_lookups(spark, d), t["reservations"], t["items"], t["equipment"])
+
+
+@register("e10_lookup_v2")
+def q_e10(spark, d):
+    t = _base(spark, d)
+    return lifecycle.lookup_v2(fx.fx_lookups(spark, d), t["reservations"], t["members"])
+
+
+@register("e11_cancel_results")
+def q_e11r(spark, d):
+    t = _base(spark, d)
+    return lifecycle.cancel(fx.fx_cancel_requests(spark, d), t["reservations"])[0]
+
+
+@register("e11_cancel_reservations")
+def q_e11u(spark, d):
+    t = _base(spark, d)
+    upd = lifecycle.cancel(fx.fx_cancel_requests(spark, d), t["reservations"])[1]
+    return upd.select("id", "status", "cancelled_at", "updated_at")
+
+
+def _staff_changes(spark, d):
+    return fx.fx_status_events(spark, d).where(F.col("action").isin("confirm", "cancel"))
+
+
+@register("e12_status_changes")
+def q_e12(spark, d):
+    t = _base(spark, d)
+    upd = lifecycle.apply_status_changes(t["reservations"], _staff_changes(spark, d))
+    return upd.select("id", "status", "cancelled_at", "updated_at")
+
+
+@register("e13_price_members")
+def q_e13m(spark, d):
+    t = _base(spark, d)
+    return pricing.price_members(t["reservations"], t["members"])
+
+
+@register("e13_price_reservations")
+def q_e13r(spark, d):
+    t = _base(spark, d)
+    return pricing.price_reservations(t["reservations"], t["members"])
+
+
+@register("e14_member_lines")
+def q_e14(spark, d):
+    t = _base(spark, d)
+    return notify.member_lines(t["members"])
+
+
+@register("e15_notification_outbox")
+def q_e15(spark, d):
+    t = _base(spark, d)
+    changes = lifecycle.change_events(fx.fx_status_events(spark, d))
+    return notify.notification_outbox(changes, t["reservations"], t["members"],
+                                      notify.shops_from(t["reservations"]))

@@ -211,6 +211,20 @@ def fx_status_events(spark: SparkSession, d: str) -> DataFrame:
                     F.col("ts"), kind.alias("action")))
 
 
+def fx_cancel_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Customer cancellations: every ``error`` event asks to cancel reservation user_id,
+    typing the code in lower case; every 10th types a wrong phone."""
+    e = _read(spark, d, "events").where(F.col("event_type") == "error")
+    o = _read(spark, d, "orders").select("o_orderkey", "o_custkey")
+    j = e.join(o, e.user_id == o.o_orderkey, "left")
+    wrong = F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    return j.select(
+        F.col("event_id").cast("long").alias("request_id"), F.col("ts").alias("requested_at"),
+        F.concat(F.lit("yr-"), F.lpad(F.col("user_id").cast("string"), 6, "0"), F.lit(" ")).alias("code"),
+        F.concat(F.lit("090"), F.lpad((F.col("o_custkey") + wrong).cast("string"), 8, "0")).alias("phone"),
+    )
+
+
 def fx_equipment_feed(spark: SparkSession, d: str) -> DataFrame:
     """New equipment rows typed by staff: sizes repeat (``p_size``), some invalid."""
     p = _read(spark, d, "part")
@@ -241,9 +255,12 @@ def fx_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def load_all(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {
-        "equipment": schemas.conform(fx_equipment(spark, d), schemas.EQUIPMENT_ITEMS),
-        "reservations": schemas.conform(fx_reservations(spark, d), schemas.RESERVATIONS),
-        "members": schemas.conform(fx_members(spark, d), schemas.RESERVATION_MEMBERS),
+        "equipment": schemas.conform(fx_equipment(spark, d), schemas.EQUIPMENT_ITEMS,
+                                     schemas.DEFAULTS["equipment_items"]),
+        "reservations": schemas.conform(fx_reservations(spark, d), schemas.RESERVATIONS,
+                                        schemas.DEFAULTS["reservations"]),
+        "members": schemas.conform(fx_members(spark, d), schemas.RESERVATION_MEMBERS,
+                                   schemas.DEFAULTS["reservation_members"]),
         "items": fx_items(spark, d),
         "closed_dates": fx_closed_dates(spark, d),
     }
@@ -317,6 +334,13 @@ from orders""",
 select cast(event_id as bigint) as event_id, cast(user_id as int) as reservation_id, ts,
   case event_type when 'signup' then 'created' when 'purchase' then 'confirm' else 'cancel' end as action
 from events where event_type in ('signup', 'purchase', 'error')""",
+    "fx_cancel_requests": """
+select cast(e.event_id as bigint) as request_id, e.ts as requested_at,
+  concat('yr-', lpad(cast(e.user_id as varchar), 6, '0'), ' ') as code,
+  concat('090', lpad(cast(o.o_custkey + case when e.event_id % 10 = 0 then 1 else 0 end as varchar), 8, '0'))
+    as phone
+from events e left join orders o on o.o_orderkey = e.user_id
+where e.event_type = 'error'""",
     "fx_equipment_feed": """
 select cast(p_partkey as bigint) as feed_no,
   case p_size % 3 when 0 then 'ski' when 1 then 'snowboard' else 'boots' end as category,

@@ -95,16 +95,23 @@ TABLES = {
 
 # Defaults of columns added by later schema versions (fixed values of the
 # reference's ``add column if not exists ... default``).
-DEFAULTS: dict[str, dict[str, Column]] = {
-    "equipment_items": {"is_active": F.lit(True)},
-    "reservations": {"eve_pickup": F.lit(False), "status": F.lit("pending")},
-    "reservation_members": {"addons": F.array().cast(T.ArrayType(S)), "is_child": F.lit(False)},
-    "business_settings": {"open_time": F.lit("08:30"), "close_time": F.lit("18:00"),
-                          "max_advance_days": F.lit(90)},
+DEFAULTS: dict[str, dict[str, object]] = {
+    "equipment_items": {"is_active": True},
+    "reservations": {"eve_pickup": False, "status": "pending"},
+    "reservation_members": {"addons": [], "is_child": False},
+    "business_settings": {"open_time": "08:30", "close_time": "18:00", "max_advance_days": 90},
 }
 
 
-def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, Column] | None = None) -> DataFrame:
+def _default_col(value: object, dtype: T.DataType) -> Column:
+    if isinstance(value, Column):
+        return value
+    if isinstance(value, list):
+        return F.array(*[F.lit(v) for v in value]).cast(dtype)
+    return F.lit(value).cast(dtype)
+
+
+def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:
     """A2: project ``df`` onto ``schema``: cast present columns, add missing ones.
 
     Missing columns get their default, else NULL.  Present-but-NULL values of a
@@ -116,12 +123,13 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, Column] | N
     cols = []
     for field in schema.fields:
         src = have.get(field.name.lower())
+        default = _default_col(defaults[field.name], field.dataType) if field.name in defaults else None
         if src is None:
-            expr = defaults.get(field.name, F.lit(None))
+            expr = default if default is not None else F.lit(None)
         else:
             expr = F.col(src)
-            if field.name in defaults:
-                expr = F.coalesce(expr.try_cast(field.dataType), defaults[field.name])
+            if default is not None:
+                expr = F.coalesce(expr.try_cast(field.dataType), default)
         cols.append(expr.try_cast(field.dataType).alias(field.name))
     return df.select(*cols)
 
