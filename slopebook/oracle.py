@@ -392,3 +392,313 @@ select event_id, id, customer_email, 'customer_cancelled',
 from j where op = 'update' and new_status = 'cancelled' and old_status is distinct from 'cancelled'
   and customer_email is not null
 """, "fx_members", "fx_status_events", "fx_reservations")
+
+# --- table maintenance ------------------------------------------------------
+
+ORACLE["a2_conform_legacy_reservations"] = W("""
+select id, shop_id, reservation_code, rental_date, cast(null as date) as return_date, false as eve_pickup,
+  customer_name, customer_phone, customer_email, party_size, cast(null as int) as adults,
+  cast(null as int) as children, status, notes, created_at, updated_at, cancelled_at
+from fx_reservations
+""", "fx_reservations")
+
+ORACLE["a3_constraint_audit"] = W(_REQ + """
+, res as (
+  select request_id as id, 'YR-' || upper(substr(sha256(cast(request_id as varchar)), 1, 6)) as reservation_code,
+    "start" as rental_date, trim("name") as customer_name, trim(phone) as customer_phone,
+    cast(n as int) as party_size, 'pending' as status, coalesce(eve_pickup, false) as eve_pickup
+  from req)
+, mem as (select reservation_id, member_no, height_cm, shoe_cm, board_type from fx_members)
+select 'equipment_items' as table_name, 'pk_id' as constraint_name, cast(id as varchar) as key
+  from fx_equipment group by id having count(*) > 1
+union all select 'equipment_items', 'unique_category_size',
+  concat_ws('|', cast(shop_id as varchar), category, size_label)
+  from fx_equipment group by shop_id, category, size_label having count(*) > 1
+union all select 'equipment_items', 'check_category', cast(id as varchar) from fx_equipment
+  where not coalesce(category in ('ski', 'snowboard', 'boots'), false)
+union all select 'equipment_items', 'check_total_quantity', cast(id as varchar) from fx_equipment
+  where total_quantity < 0
+union all select 'equipment_items', 'not_null', cast(id as varchar) from fx_equipment
+  where size_label is null or total_quantity is null or is_active is null
+union all select 'reservations', 'pk_id', cast(id as varchar) from res group by id having count(*) > 1
+union all select 'reservations', 'unique_reservation_code', reservation_code from res
+  group by reservation_code having count(*) > 1
+union all select 'reservations', 'check_party_size', cast(id as varchar) from res where party_size <= 0
+union all select 'reservations', 'check_status', cast(id as varchar) from res
+  where not coalesce(status in ('pending', 'confirmed', 'cancelled'), false)
+union all select 'reservations', 'not_null', cast(id as varchar) from res
+  where reservation_code is null or rental_date is null or customer_name is null or customer_phone is null
+     or party_size is null or eve_pickup is null
+union all select 'reservation_items', 'check_quantity', cast(reservation_id as varchar) from fx_items
+  where quantity <= 0
+union all select 'reservation_items', 'fk_reservation', cast(reservation_id as varchar) from fx_items i
+  where not exists (select 1 from res where res.id = i.reservation_id)
+union all select 'reservation_items', 'fk_equipment', cast(equipment_item_id as varchar) from fx_items i
+  where not exists (select 1 from fx_equipment e where e.id = i.equipment_item_id)
+union all select 'reservation_members', 'check_height', cast(reservation_id as varchar) || '|' || cast(member_no as varchar)
+  from mem where not (height_cm between 80 and 220)
+union all select 'reservation_members', 'check_shoe', cast(reservation_id as varchar) || '|' || cast(member_no as varchar)
+  from mem where not (shoe_cm between 14 and 33)
+union all select 'reservation_members', 'check_board_type',
+  cast(reservation_id as varchar) || '|' || cast(member_no as varchar)
+  from mem where not coalesce(board_type in ('ski', 'snowboard', 'none'), false)
+union all select 'reservation_members', 'fk_reservation', cast(reservation_id as varchar) from mem m
+  where not exists (select 1 from res where res.id = m.reservation_id)
+union all select 'closed_dates', 'pk_closed_date', cast(closed_date as varchar) from fx_closed_dates
+  group by closed_date having count(*) > 1
+""", *_REQ_FX, "fx_equipment", "fx_items")
+
+ORACLE["a4_insert_ignore"] = W("""
+, feed as (select feed_no, category, trim(size_label) as size_label, total_quantity from fx_equipment_feed
+           where trim(size_label) <> '' and total_quantity >= 0)
+, firsts as (select * from feed qualify row_number() over (partition by category, size_label order by feed_no) = 1)
+select category, size_label, total_quantity, 'existing' as source from fx_equipment
+union all
+select category, size_label, total_quantity, 'inserted' from firsts f
+where not exists (select 1 from fx_equipment e where e.category = f.category and e.size_label = f.size_label)
+""", "fx_equipment", "fx_equipment_feed")
+
+ORACLE["a5_insert_report"] = W("""
+, f as (
+  select feed_no, category, trim(size_label) as size_label, total_quantity,
+    case when trim(size_label) = '' then 'INVALID_SIZE'
+         when total_quantity is null or total_quantity < 0 then 'INVALID_QUANTITY' end as inv
+  from fx_equipment_feed)
+, firsts as (select category, size_label, min(feed_no) as fst from f where inv is null group by 1, 2)
+select f.feed_no, f.category, f.size_label, case when inv is not null then inv
+  when exists (select 1 from fx_equipment e where e.category = f.category and e.size_label = f.size_label)
+    or f.feed_no <> fi.fst then 'DUPLICATE' else 'ACCEPTED' end as status
+from f left join firsts fi on fi.category = f.category and fi.size_label = f.size_label
+""", "fx_equipment", "fx_equipment_feed")
+
+ORACLE["a6_upsert_pages"] = W("""
+select page_key, html, id as version_id from fx_pages
+qualify row_number() over (partition by page_key order by case when id >= 100 then 1 else 0 end desc, id desc) = 1
+""", "fx_pages")
+
+# Sequential fold (the stepper's own rule), independent of the Spark plan's closed form.
+ORACLE["a9_equipment_changes"] = W("""
+, per as (
+  select equipment_item_id, list(delta order by change_no) as ds,
+         sum(case when toggle then 1 else 0 end) as flips
+  from fx_equipment_changes group by 1)
+select e.id,
+  cast(case when p.ds is null then e.total_quantity
+    else list_reduce(list_prepend(e.total_quantity, p.ds),
+                     lambda acc, d: case when d < 0 then greatest(acc - 1, 0) else acc + d end) end as int)
+    as total_quantity,
+  case when coalesce(p.flips, 0) % 2 = 1 then not e.is_active else e.is_active end as is_active
+from fx_equipment e left join per p on p.equipment_item_id = e.id
+""", "fx_equipment", "fx_equipment_changes")
+
+ORACLE["a10_guarded_delete"] = W("""
+, del as (select id from fx_equipment where not is_active
+          union all select id + 1000000 from fx_equipment where id % 50 = 0)
+select d.id, case when e.id is null then 'NOT_FOUND'
+  when exists (select 1 from fx_items i where i.equipment_item_id = d.id) then 'REFUSED' else 'DELETED' end
+  as result
+from del d left join fx_equipment e on e.id = d.id
+""", "fx_equipment", "fx_items")
+
+ORACLE["a11_cascade_delete"] = W("""
+select reservation_id, member_no from fx_members m
+where not exists (select 1 from fx_reservations r where r.id = m.reservation_id and r.status = 'cancelled')
+""", "fx_members", "fx_reservations")
+
+ORACLE["a12_delete_closed_days"] = W("""
+select closed_date from fx_closed_dates where closed_date >= date '2024-12-10'
+""", "fx_closed_dates")
+
+ORACLE["a13_stamp_updated_at"] = W("""
+select id, case when id in (select reservation_id from fx_status_events) then timestamp '2025-01-01 00:00:00'
+  else updated_at end as updated_at
+from fx_reservations
+""", "fx_reservations", "fx_status_events")
+
+# --- lists and texts --------------------------------------------------------
+
+ORACLE["b1_inventory_list"] = W("""
+select id, shop_id, category, size_label, total_quantity, is_active from fx_equipment
+""", "fx_equipment")
+
+ORACLE["b2_visible_anon_equipment"] = W("""
+select id, category, size_label, total_quantity from fx_equipment where is_active = true
+""", "fx_equipment")
+
+ORACLE["b3_upcoming_closed"] = W("""
+select closed_date from fx_closed_dates where closed_date >= date '2024-12-10'
+""", "fx_closed_dates")
+
+ORACLE["b5_day_list"] = W("""
+select id, reservation_code, rental_date, customer_name, party_size, status from fx_reservations
+where rental_date = date '2025-01-15'
+""", "fx_reservations")
+
+
+def _esc(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace(coalesce(cast({x} as varchar), ''), '&', '&amp;'), "
+            f"'<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')")
+
+
+def _staff_sql(where: str) -> str:
+    set_l = ("case set_type when 'gliding' then '滑走セット' when 'full' then 'フルセット(ウェア付)' "
+             "when 'none' then 'セットなし(単品のみ)' end")
+    addon_l = ("case k when 'wear_top' then 'ウェア（上）' when 'wear_btm' then 'ウェア（下）' "
+               "when 'helmet' then 'ヘルメット' when 'goggle' then 'ゴーグル' when 'sled' then 'ソリ' "
+               "when 'snowshoe' then 'スノーシュー' when 'harness' then 'キッズ用ハーネス' end")
+    stance_l = ("case stance when 'regular' then 'レギュラー(左足前)' when 'goofy' then 'グーフィー(右足前)' "
+                "when 'unknown' then 'スタンス未定' end")
+    board_l = ("case board_type when 'ski' then 'スキー' when 'snowboard' then 'スノーボード' "
+               "when 'none' then '板レンタルなし' else board_type end")
+    return W(_PRICE + f"""
+, r as (select * from fx_reservations where {where})
+, ml as (
+  select m.reservation_id, m.member_no, p.price,
+    '・<b>' || case when m.is_child then '子供' else '大人' end
+      || case when coalesce(m.nickname, '') <> '' then '・' || {_esc('m.nickname')} else '' end
+      || '</b>｜身長 ' || coalesce(cast(m.height_cm as varchar), 'null')
+      || 'cm｜靴 ' || coalesce(regexp_replace(cast(m.shoe_cm as varchar), '\\.0$', ''), 'null') || 'cm｜'
+      || {_esc(board_l)}
+      || coalesce('｜' || nullif(array_to_string(list_filter([
+           case when coalesce(m.set_type, '') <> '' then {_esc(f'coalesce({set_l}, set_type)')} end,
+           case when len(m.addons) > 0 then '追加:' || array_to_string(list_transform(m.addons,
+             lambda k: {_esc(f'coalesce({addon_l}, k)')}), '・') end,
+           case when coalesce(m.gender, '') <> '' then
+             {_esc("coalesce(case gender when 'male' then '男性' when 'female' then '女性' end, gender)")} end,
+           case when m.age is not null then cast(m.age as varchar) || '歳' end,
+           case when m.board_type = 'snowboard' and coalesce(m.stance, '') <> '' then
+             {_esc(f'coalesce({stance_l}, stance)')} end
+         ], lambda x: x is not null), '｜'), ''), '')
+      || case when p.price is not null then '｜<b>¥' || format('{{:,}}', p.price) || '</b>' else '' end as line
+  from fx_members m join r on r.id = m.reservation_id
+  join pp p on p.reservation_id = m.reservation_id and p.member_no = m.member_no)
+, ma as (
+  select reservation_id, count(*) as n, bool_and(price is not null) as all_set, sum(price) as total,
+    string_agg(line, chr(10) order by member_no) as lines
+  from ml group by 1)
+, ia as (
+  select i.reservation_id, string_agg(
+    coalesce(case e.category when 'ski' then 'スキー' when 'snowboard' then 'スノーボード' when 'boots' then 'ブーツ'
+             else e.category end, '?') || ' ' || coalesce(e.size_label, '') || ' ×' || cast(i.quantity as varchar),
+    '、' order by i.equipment_item_id, i.quantity) as items
+  from fx_items i join r on r.id = i.reservation_id left join fx_equipment e on e.id = i.equipment_item_id
+  group by 1)
+select r.id, r.reservation_code, r.rental_date, r.return_date, r.status,
+  {_esc('r.customer_name')} || ' 様' as name_text,
+  case when r.rental_date = coalesce(r.return_date, r.rental_date)
+    then strftime(r.rental_date, '%Y-%m-%d') || '（日帰り）'
+    else strftime(r.rental_date, '%Y-%m-%d') || ' 〜 ' || strftime(r.return_date, '%Y-%m-%d') || '（'
+      || cast(datediff('day', r.rental_date, r.return_date) + 1 as varchar) || '日間）' end as period_text,
+  case when r.adults is not null then '大人' || cast(r.adults as varchar) || '名'
+      || case when coalesce(r.children, 0) <> 0 then ' / 子供' || cast(r.children as varchar) || '名' else '' end
+    else coalesce(cast(r.party_size as varchar), 'null') || '名' end as party_text,
+  case r.status when 'pending' then '受付中' when 'confirmed' then '確定' when 'cancelled' then 'キャンセル' end
+    as status_label,
+  r.eve_pickup as eve_badge, cast(coalesce(ma.n, 0) as int) as n_members,
+  case when coalesce(ma.n, 0) > 0 then 'ご利用者（' || cast(ma.n as varchar) || '名）' || ma.lines
+      || chr(10) || '合計（目安・現金）：' || case when ma.all_set then '¥' || format('{{:,}}', ma.total) else '—' end
+    else '用具: ' || coalesce(nullif(ia.items, ''), '—') end as detail,
+  case when coalesce(r.notes, '') <> '' then 'ご要望: ' || {_esc('r.notes')} end as notes_text,
+  r.status = 'pending' as can_confirm, r.status <> 'cancelled' as can_cancel
+from r left join ma on ma.reservation_id = r.id left join ia on ia.reservation_id = r.id
+""", "fx_members", "fx_reservations", "fx_items", "fx_equipment")
+
+
+ORACLE["b4_staff_list"] = _staff_sql(
+    "((rental_date <= date '2025-01-15' and return_date >= date '2025-01-15') "
+    "or (eve_pickup and rental_date = date '2025-01-16')) and status in ('pending', 'confirmed')")
+ORACLE["b4_staff_list_all"] = _staff_sql("true")
+
+ORACLE["e17_reject_messages"] = W(_REQ + """
+select request_id, code, case
+  when contains(code, 'OUT_OF_STOCK') then 'ご希望の期間・用具は満数になりました。日程を変えるか、お電話でご相談ください。'
+  when contains(code, 'EVE_CLOSED') then '前日は休業日のため、前日受け取りはご利用いただけません。当日受け取りでご予約いただくか、お電話でご相談ください。'
+  when contains(code, 'EVE_IN_PAST') then '前日受け取りができない日程です（前日がすでに過去の日付になっています）。開始日を1日後にずらしてください。'
+  when contains(code, 'SHOP_CLOSED_ON_DATE') then '期間内に休業日が含まれています。別の日をお選びください。'
+  when contains(code, 'DATE_IN_PAST') then '過去の日付は予約できません。'
+  when contains(code, 'INVALID_DATES') then '利用日の指定が正しくありません。開始日と返却日をご確認ください。'
+  when contains(code, 'PERIOD_TOO_LONG') then 'レンタル期間が長すぎます。30日以内でお選びください。'
+  when contains(code, 'INVALID_CONTACT') then 'お名前と、当日つながる電話番号（10桁以上）をご入力ください。'
+  when contains(code, 'MEMBER_COUNT_MISMATCH') then '人数と、入力された利用者の数が一致していません。'
+  when contains(code, 'INVALID_MEMBERS') or contains(code, 'INVALID_BOARD_TYPE') then '利用者の情報をご確認ください。'
+  when contains(code, 'INVALID_QUANTITY') then '数量の指定が正しくありません。'
+  when contains(code, 'INVALID_INPUT') then '入力内容を確認してください。'
+  when contains(code, 'EQUIPMENT_NOT_FOUND') or contains(code, 'EQUIPMENT_INACTIVE') then '選択した用具は現在ご利用いただけません。'
+  when contains(code, 'ALREADY_CANCELLED') then 'この予約はすでにキャンセル済みです。'
+  when contains(code, 'NOT_FOUND') then '予約が見つかりませんでした。予約番号と電話番号をご確認ください。'
+  else '通信エラーが発生しました。時間をおいて再度お試しください。' end as message
+from e5 where code is not null
+""", *_REQ_FX)
+
+# --- pages ------------------------------------------------------------------
+
+ORACLE["e18_publish_pages"] = W("""
+select page_key, id as version_id, created_at as updated_at, html, css from fx_pages
+qualify row_number() over (partition by page_key order by id desc) = 1
+""", "fx_pages")
+
+ORACLE["e19_latest_versions"] = W("""
+select page_key, id, created_at,
+  cast(row_number() over (partition by page_key order by created_at desc, id desc) as int) as rank
+from fx_pages qualify rank <= 20
+""", "fx_pages")
+
+ORACLE["e20_restore_version"] = W("""
+, ch as (
+  select page_key, id as version_id, created_at as updated_at from fx_pages
+  union all
+  select page_key, id + 1000000, created_at + interval 1 day from fx_pages where id % 7 = 0)
+select page_key, version_id, updated_at from ch
+qualify row_number() over (partition by page_key order by version_id desc) = 1
+""", "fx_pages")
+
+ORACLE["b7_page_by_key"] = W("""
+, cur as (select page_key, id as version_id from fx_pages
+          qualify row_number() over (partition by page_key order by id desc) = 1)
+, k as (select distinct 'page-' || cast(page_id % 50 as varchar) as page_key from pages)
+select k.page_key, cur.version_id from k left join cur on cur.page_key = k.page_key
+""", "fx_pages")
+
+
+def _b8() -> str:
+    from slopebook.operators.pages import ABSOLUTE, FIXED_WIDTH
+    return W(f"""
+select id, case when coalesce(html, '') = '' then 'unusable'
+  when regexp_matches(coalesce(html, ''), '{FIXED_WIDTH}') or regexp_matches(coalesce(css, ''), '{FIXED_WIDTH}')
+    or regexp_matches(coalesce(html, ''), '{ABSOLUTE}') then 'fixed_wide' else 'fluid' end as layout
+from fx_pages
+""", "fx_pages")
+
+
+ORACLE["b8_layout_class"] = _b8()
+
+
+def _e24() -> str:
+    import re as _re
+
+    from slopebook.operators.pages import default_rewrite_rules
+    from slopebook.registry import REWRITE_RULES
+    steps, prev = [], "s0"
+    for i, (_n, cond, pat, rep) in enumerate(default_rewrite_rules(**REWRITE_RULES), start=1):
+        q = lambda x: x.replace("'", "''")
+        duck_rep = _re.sub(r"\$(\d)", r"\\\1", rep)
+        fire = f"(regexp_matches(html, '{q(cond)}') and regexp_matches(html, '{q(pat)}'))"
+        steps.append(f", s{i} as (select id, case when {fire} then regexp_replace(html, '{q(pat)}', "
+                     f"'{q(duck_rep)}', 'g') else html end as html, "
+                     f"n + case when {fire} then 1 else 0 end as n from {prev})")
+        prev = f"s{i}"
+    body = ", s0 as (select id, html, 0 as n from fx_pages)\n" + "\n".join(steps)
+    return W(body + f"\nselect id, html, cast(n as int) as n_rules_hit from {prev}", "fx_pages")
+
+
+ORACLE["e24_rewrite_html"] = _e24()
+
+ORACLE["e25_first_style"] = W("""
+select id, coalesce(regexp_extract(html, '(?is)<style\\b[^>]*>(.*?)</style>', 1), '') as style from fx_pages
+""", "fx_pages")
+
+ORACLE["e27_version_nav"] = W("""
+select page_key, id, lag(id) over (partition by page_key order by id) as prev_id,
+  lead(id) over (partition by page_key order by id) as next_id
+from fx_pages
+""", "fx_pages")

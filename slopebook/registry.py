@@ -197,3 +197,207 @@ def q_e15(spark, d):
     changes = lifecycle.change_events(fx.fx_status_events(spark, d))
     return notify.notification_outbox(changes, t["reservations"], t["members"],
                                       notify.shops_from(t["reservations"]))
+
+
+# --- table maintenance (A1-A13) ---------------------------------------------
+
+from slopebook.operators import lists, maintenance as mt, pages  # noqa: E402
+from slopebook.sources import schemas  # noqa: E402
+
+STAMP_AT = dt.datetime(2025, 1, 1)
+STAFF_DAY = dt.date(2025, 1, 15)
+
+
+@register("a2_conform_legacy_reservations")
+def q_a2(spark, d):
+    legacy = fx.fx_reservations(spark, d).select(
+        "id", "shop_id", "reservation_code", "rental_date", "customer_name", "customer_phone",
+        "customer_email", "party_size", "status", "notes", "created_at", "updated_at", "cancelled_at")
+    return schemas.conform(legacy, schemas.RESERVATIONS, schemas.DEFAULTS["reservations"])
+
+
+@register("a3_constraint_audit")
+def q_a3(spark, d):
+    t = _base(spark, d)
+    # Audit the rows a batch of v2 requests would write next to the base tables.
+    req = fx.fx_requests_v2(spark, d)
+    res = rq.reservation_rows(req)
+    return mt.audit(t["equipment"], res, t["items"], rq.member_rows(req), t["closed_dates"])
+
+
+def _valid_feed(spark, d):
+    f = fx.fx_equipment_feed(spark, d).withColumn("size_label", F.trim("size_label"))
+    return f.where((F.col("size_label") != "") & (F.col("total_quantity") >= 0))
+
+
+@register("a4_insert_ignore")
+def q_a4(spark, d):
+    t = _base(spark, d)
+    target = t["equipment"].select("category", "size_label", "total_quantity")
+    return mt.insert_ignore(target, _valid_feed(spark, d), ["category", "size_label"], "feed_no")
+
+
+@register("a5_insert_report")
+def q_a5(spark, d):
+    t = _base(spark, d)
+    return mt.equipment_feed_report(t["equipment"], fx.fx_equipment_feed(spark, d))
+
+
+@register("a6_upsert_pages")
+def q_a6(spark, d):
+    pv = fx.fx_pages(spark, d)
+    target = pv.where(F.col("id") < 100).select("page_key", "html", F.col("id").alias("version_id"))
+    changes = pv.where(F.col("id") >= 100).select("page_key", "html", F.col("id").alias("version_id"))
+    return mt.upsert(target, changes, "page_key", "version_id")
+
+
+@register("a9_equipment_changes")
+def q_a9(spark, d):
+    t = _base(spark, d)
+    out = mt.apply_equipment_changes(t["equipment"], fx.fx_equipment_changes(spark, d))
+    return out.select("id", "total_quantity", "is_active")
+
+
+def _delete_ids(spark, d):
+    e = fx.fx_equipment(spark, d)
+    return (e.where(~F.col("is_active")).select("id")
+            .unionByName(e.where(F.col("id") % 50 == 0).select((F.col("id") + 1000000).alias("id"))))
+
+
+@register("a10_guarded_delete")
+def q_a10(spark, d):
+    t = _base(spark, d)
+    return mt.guarded_delete(t["equipment"], t["items"], _delete_ids(spark, d))
+
+
+@register("a11_cascade_delete")
+def q_a11(spark, d):
+    t = _base(spark, d)
+    gone = t["reservations"].where(F.col("status") == "cancelled").select("id")
+    return mt.cascade_delete(t["reservations"], t["members"], gone).select("reservation_id", "member_no")
+
+
+@register("a12_delete_closed_days")
+def q_a12(spark, d):
+    c = fx.fx_closed_dates(spark, d)
+    return mt.delete_by_key(c, c.where(F.col("closed_date") < F.lit(fx.AS_OF)), "closed_date")
+
+
+@register("a13_stamp_updated_at")
+def q_a13(spark, d):
+    t = _base(spark, d)
+    changed = fx.fx_status_events(spark, d).select(F.col("reservation_id").alias("id"))
+    return mt.stamp_updated_at(t["reservations"], changed, "id", STAMP_AT).select("id", "updated_at")
+
+
+# --- lists and texts (B1-B5, E16, E17) ----------------------------------------
+
+@register("b1_inventory_list")
+def q_b1(spark, d):
+    return lists.inventory_list(_base(spark, d)["equipment"]).select(
+        "id", "shop_id", "category", "size_label", "total_quantity", "is_active")
+
+
+@register("b2_visible_anon_equipment")
+def q_b2(spark, d):
+    return lists.visible(_base(spark, d)["equipment"], "equipment_items", "anon").select(
+        "id", "category", "size_label", "total_quantity")
+
+
+@register("b3_upcoming_closed")
+def q_b3(spark, d):
+    return lists.upcoming_closed(fx.fx_closed_dates(spark, d), fx.AS_OF)
+
+
+@register("b4_staff_list")
+def q_b4(spark, d):
+    t = _base(spark, d)
+    return lists.staff_list(t["reservations"], t["members"], t["items"], t["equipment"], STAFF_DAY, "active")
+
+
+@register("b4_staff_list_all")
+def q_b4a(spark, d):
+    t = _base(spark, d)
+    return lists.staff_list(t["reservations"], t["members"], t["items"], t["equipment"], None, "all")
+
+
+@register("b5_day_list")
+def q_b5(spark, d):
+    r = lists.day_list(_base(spark, d)["reservations"], STAFF_DAY)
+    return r.select("id", "reservation_code", "rental_date", "customer_name", "party_size", "status")
+
+
+@register("e17_reject_messages")
+def q_e17(spark, d):
+    codes = rq.validate_requests_v2(fx.fx_requests_v2(spark, d), fx.fx_closed_dates(spark, d), fx.AS_OF)
+    return codes.where(F.col("code").isNotNull()).select(
+        "request_id", "code", lists.reject_message(F.col("code")).alias("message"))
+
+
+# --- pages (B7, B8, E18-E20, E24, E25, E27) -----------------------------------
+
+def _empty_pages(spark):
+    return spark.createDataFrame([], "page_key string, html string, css string, project_data string, "
+                                     "updated_at timestamp, updated_by string, version_id bigint")
+
+
+@register("e18_publish_pages")
+def q_e18(spark, d):
+    pv = fx.fx_pages(spark, d)
+    cur, _ = pages.publish(_empty_pages(spark), pv.limit(0), pv)
+    return cur.select("page_key", "version_id", "updated_at", "html", "css")
+
+
+@register("e19_latest_versions")
+def q_e19(spark, d):
+    return pages.latest_versions(fx.fx_pages(spark, d), 20)
+
+
+@register("e20_restore_version")
+def q_e20(spark, d):
+    pv = fx.fx_pages(spark, d)
+    cur, _ = pages.publish(_empty_pages(spark), pv.limit(0), pv)
+    reqs = pv.where(F.col("id") % 7 == 0).select(
+        (F.col("id") + 1000000).alias("request_id"), F.col("id").alias("version_id"),
+        (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("requested_at"), F.lit("staff").alias("requested_by"))
+    restored, _ = pages.restore(cur, pv, reqs)
+    return restored.select("page_key", "version_id", "updated_at")
+
+
+@register("b7_page_by_key")
+def q_b7(spark, d):
+    pv = fx.fx_pages(spark, d)
+    cur, _ = pages.publish(_empty_pages(spark), pv.limit(0), pv)
+    keys = spark.read.parquet(f"{d}/pages.parquet").select(
+        F.concat(F.lit("page-"), (F.col("page_id") % 50).cast("string")).alias("page_key")).distinct()
+    return pages.page_by_key(cur, keys).select("page_key", "version_id")
+
+
+@register("b8_layout_class")
+def q_b8(spark, d):
+    pv = fx.fx_pages(spark, d)
+    return pv.select("id", pages.layout_class(F.col("html"), F.col("css")).alias("layout"))
+
+
+REWRITE_RULES = dict(phone="000-0000-0000", old_handle="old_shop", new_handle="@new_shop")
+
+
+@register("e24_rewrite_html")
+def q_e24(spark, d):
+    pv = fx.fx_pages(spark, d).select("id", "html")
+    return pages.rewrite_html(pv, pages.default_rewrite_rules(**REWRITE_RULES))
+
+
+@register("e25_first_style")
+def q_e25s(spark, d):
+    return fx.fx_pages(spark, d).select("id", pages.first_style(F.col("html")).alias("style"))
+
+
+@register("e25_root_html")
+def q_e25r(spark, d):
+    return pages.extract_root_html(fx.fx_pages(spark, d).select("id", "html")).select("id", "root_html")
+
+
+@register("e27_version_nav")
+def q_e27(spark, d):
+    return pages.version_nav(fx.fx_pages(spark, d))

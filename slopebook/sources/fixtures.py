@@ -239,6 +239,17 @@ def fx_equipment_feed(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def fx_equipment_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Staff stepper clicks and toggles per equipment item, in change_no order."""
+    li = _read(spark, d, "lineitem")
+    return li.select(
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("long").alias("change_no"),
+        F.col("l_partkey").cast("int").alias("equipment_item_id"),
+        F.when(F.col("l_linenumber") % 3 == 0, -1).otherwise(1).cast("int").alias("delta"),
+        ((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1)).alias("toggle"),
+    )
+
+
 def fx_pages(spark: SparkSession, d: str) -> DataFrame:
     """Published page versions: page_key = page_id % 40, version order = page_id."""
     p = _read(spark, d, "pages")
@@ -347,6 +358,11 @@ select cast(p_partkey as bigint) as feed_no,
   case when p_partkey % 29 = 0 then '  ' else concat(cast(p_size as varchar), 'cm') end as size_label,
   cast(p_partkey % 7 - 1 as int) as total_quantity
 from part""",
+    "fx_equipment_changes": """
+select cast(l_orderkey * 100 + l_linenumber as bigint) as change_no, cast(l_partkey as int) as equipment_item_id,
+  cast(case when l_linenumber % 3 = 0 then -1 else 1 end as int) as delta,
+  (l_returnflag = 'A' and l_linenumber = 1) as toggle
+from lineitem""",
     "fx_pages": """
 select cast(page_id as bigint) as id, concat('page-', cast(page_id % 40 as varchar)) as page_key, html,
   coalesce(regexp_extract(html, '(?s)<style[^>]*>(.*?)</style>', 1), '') as css, '{}' as project_data,
