@@ -702,3 +702,17 @@ select page_key, id, lag(id) over (partition by page_key order by id) as prev_id
   lead(id) over (partition by page_key order by id) as next_id
 from fx_pages
 """, "fx_pages")
+
+# --- translation ----------------------------------------------------------------
+# The documents table has no Japanese text, so only the "not Japanese -> no
+# translation" path is reachable here; a Japanese row would surface as a
+# mismatch ('UNCHECKED') instead of passing silently.  The Japanese paths are
+# covered by hand-written cases in tests/test_translate.py.
+ORACLE["e21_translate_documents"] = """
+select doc_id,
+  case when regexp_matches(text, '[\\x{3041}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{4E00}-\\x{9FFF}]') then 'UNCHECKED' end
+    as translated,
+  case when regexp_matches(text, '[\\x{3041}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{4E00}-\\x{9FFF}]') then 'UNCHECKED'
+    else text end as display
+from documents
+"""

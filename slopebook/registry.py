@@ -401,3 +401,27 @@ def q_e25r(spark, d):
 @register("e27_version_nav")
 def q_e27(spark, d):
     return pages.version_nav(fx.fx_pages(spark, d))
+
+
+# --- translation (E21-E23) ----------------------------------------------------
+
+from slopebook.operators import translate as tr  # noqa: E402
+from slopebook.sources.dictionary import sample_dictionary  # noqa: E402
+
+
+@register("e21_translate_documents")
+def q_e21(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return tr.translate(docs, "text", "en", sample_dictionary(spark)).select("doc_id", "translated", "display")
+
+
+@register("e22_translate_pages")
+def q_e22(spark, d):
+    pv = fx.fx_pages(spark, d).select("id", "html")
+    out, _nodes = tr.translate_pages(pv, "en", sample_dictionary(spark))
+    return out.select("id", "html")
+
+
+@register("e23_language_blocks")
+def q_e23(spark, d):
+    return tr.select_language_blocks(fx.fx_pages(spark, d).select("id", "html"), "en")
