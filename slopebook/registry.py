@@ -71,12 +71,12 @@ CUTOFF = dt.datetime(1995, 1, 1)
 
 @register("e5_validate_v2")
 def q_e5(spark, d):
-    return rq.validate_requests_v2(fx.fx_requests_v2(spark, d), fx.fx_closed_dates(spark, d), fx.AS_OF)
+    return rq.validate_requests_v2(fx.table(spark, d, "fx_requests_v2"), fx.table(spark, d, "fx_closed_dates"), fx.AS_OF)
 
 
 def _valid_v2(spark, d):
-    req = fx.fx_requests_v2(spark, d)
-    codes = rq.validate_requests_v2(req, fx.fx_closed_dates(spark, d), fx.AS_OF)
+    req = fx.table(spark, d, "fx_requests_v2")
+    codes = rq.validate_requests_v2(req, fx.table(spark, d, "fx_closed_dates"), fx.AS_OF)
     return req.join(codes.where(F.col("code").isNull()).select("request_id"), "request_id", "left_semi")
 
 
@@ -89,38 +89,38 @@ def q_e6(spark, d):
 @register("e4_validate_v1")
 def q_e4(spark, d):
     t = _base(spark, d)
-    return rq.validate_requests_v1(fx.fx_requests_v1(spark, d), t["closed_dates"], t["equipment"],
+    return rq.validate_requests_v1(fx.table(spark, d, "fx_requests_v1"), t["closed_dates"], t["equipment"],
                                    t["reservations"], t["items"], fx.AS_OF)
 
 
 @register("e4_validate_v1_summed")
 def q_e4s(spark, d):
     t = _base(spark, d)
-    return rq.validate_requests_v1(fx.fx_requests_v1(spark, d), t["closed_dates"], t["equipment"],
+    return rq.validate_requests_v1(fx.table(spark, d, "fx_requests_v1"), t["closed_dates"], t["equipment"],
                                    t["reservations"], t["items"], fx.AS_OF, faithful=False)
 
 
 @register("e7_admit")
 def q_e7(spark, d):
     t = _base(spark, d)
-    req = fx.fx_requests_v2(spark, d).where(F.col("requested_at") >= F.lit(CUTOFF))
+    req = fx.table(spark, d, "fx_requests_v2").where(F.col("requested_at") >= F.lit(CUTOFF))
     state = t["reservations"].where(F.col("created_at") < F.lit(CUTOFF))
     return admission.admit(req, t["equipment"], state, t["members"], t["closed_dates"], fx.AS_OF)
 
 
 @register("e8_code_collisions")
 def q_e8(spark, d):
-    return rq.code_collisions(rq.reservation_rows(fx.fx_requests_v2(spark, d)))
+    return rq.code_collisions(rq.reservation_rows(fx.table(spark, d, "fx_requests_v2")))
 
 
 @register("a8_reservation_rows")
 def q_a8r(spark, d):
-    return rq.reservation_rows(fx.fx_requests_v2(spark, d))
+    return rq.reservation_rows(fx.table(spark, d, "fx_requests_v2"))
 
 
 @register("a8_member_rows")
 def q_a8m(spark, d):
-    m = rq.member_rows(fx.fx_requests_v2(spark, d))
+    m = rq.member_rows(fx.table(spark, d, "fx_requests_v2"))
     return m.withColumn("addons", F.concat_ws(",", "addons"))
 
 
@@ -131,7 +131,7 @@ from slopebook.operators import lifecycle, notify, pricing  # noqa: E402
 
 @register("b6_lookup_keys")
 def q_b6(spark, d):
-    lk = fx.fx_lookups(spark, d)
+    lk = fx.table(spark, d, "fx_lookups")
     return lk.select("lookup_id", lifecycle.lookup_code(F.col("code")).alias("code"),
                      lifecycle.lookup_phone(F.col("phone")).alias("phone"),
                      lifecycle.phone_digits(F.col("phone")).alias("phone_digits"))
@@ -140,30 +140,30 @@ def q_b6(spark, d):
 @register("e9_lookup_v1")
 def q_e9(spark, d):
     t = _base(spark, d)
-    return lifecycle.lookup_v1(fx.fx_lookups(spark, d), t["reservations"], t["items"], t["equipment"])
+    return lifecycle.lookup_v1(fx.table(spark, d, "fx_lookups"), t["reservations"], t["items"], t["equipment"])
 
 
 @register("e10_lookup_v2")
 def q_e10(spark, d):
     t = _base(spark, d)
-    return lifecycle.lookup_v2(fx.fx_lookups(spark, d), t["reservations"], t["members"])
+    return lifecycle.lookup_v2(fx.table(spark, d, "fx_lookups"), t["reservations"], t["members"])
 
 
 @register("e11_cancel_results")
 def q_e11r(spark, d):
     t = _base(spark, d)
-    return lifecycle.cancel(fx.fx_cancel_requests(spark, d), t["reservations"])[0]
+    return lifecycle.cancel(fx.table(spark, d, "fx_cancel_requests"), t["reservations"])[0]
 
 
 @register("e11_cancel_reservations")
 def q_e11u(spark, d):
     t = _base(spark, d)
-    upd = lifecycle.cancel(fx.fx_cancel_requests(spark, d), t["reservations"])[1]
+    upd = lifecycle.cancel(fx.table(spark, d, "fx_cancel_requests"), t["reservations"])[1]
     return upd.select("id", "status", "cancelled_at", "updated_at")
 
 
 def _staff_changes(spark, d):
-    return fx.fx_status_events(spark, d).where(F.col("action").isin("confirm", "cancel"))
+    return fx.table(spark, d, "fx_status_events").where(F.col("action").isin("confirm", "cancel"))
 
 
 @register("e12_status_changes")
@@ -194,7 +194,7 @@ def q_e14(spark, d):
 @register("e15_notification_outbox")
 def q_e15(spark, d):
     t = _base(spark, d)
-    changes = lifecycle.change_events(fx.fx_status_events(spark, d))
+    changes = lifecycle.change_events(fx.table(spark, d, "fx_status_events"))
     return notify.notification_outbox(changes, t["reservations"], t["members"],
                                       notify.shops_from(t["reservations"]))
 
@@ -210,7 +210,7 @@ STAFF_DAY = dt.date(2025, 1, 15)
 
 @register("a2_conform_legacy_reservations")
 def q_a2(spark, d):
-    legacy = fx.fx_reservations(spark, d).select(
+    legacy = fx.table(spark, d, "fx_reservations").select(
         "id", "shop_id", "reservation_code", "rental_date", "customer_name", "customer_phone",
         "customer_email", "party_size", "status", "notes", "created_at", "updated_at", "cancelled_at")
     return schemas.conform(legacy, schemas.RESERVATIONS, schemas.DEFAULTS["reservations"])
@@ -220,13 +220,13 @@ def q_a2(spark, d):
 def q_a3(spark, d):
     t = _base(spark, d)
     # Audit the rows a batch of v2 requests would write next to the base tables.
-    req = fx.fx_requests_v2(spark, d)
+    req = fx.table(spark, d, "fx_requests_v2")
     res = rq.reservation_rows(req)
     return mt.audit(t["equipment"], res, t["items"], rq.member_rows(req), t["closed_dates"])
 
 
 def _valid_feed(spark, d):
-    f = fx.fx_equipment_feed(spark, d).withColumn("size_label", F.trim("size_label"))
+    f = fx.table(spark, d, "fx_equipment_feed").withColumn("size_label", F.trim("size_label"))
     return f.where((F.col("size_label") != "") & (F.col("total_quantity") >= 0))
 
 
@@ -240,12 +240,12 @@ def q_a4(spark, d):
 @register("a5_insert_report")
 def q_a5(spark, d):
     t = _base(spark, d)
-    return mt.equipment_feed_report(t["equipment"], fx.fx_equipment_feed(spark, d))
+    return mt.equipment_feed_report(t["equipment"], fx.table(spark, d, "fx_equipment_feed"))
 
 
 @register("a6_upsert_pages")
 def q_a6(spark, d):
-    pv = fx.fx_pages(spark, d)
+    pv = fx.table(spark, d, "fx_pages")
     target = pv.where(F.col("id") < 100).select("page_key", "html", F.col("id").alias("version_id"))
     changes = pv.where(F.col("id") >= 100).select("page_key", "html", F.col("id").alias("version_id"))
     return mt.upsert(target, changes, "page_key", "version_id")
@@ -254,12 +254,12 @@ def q_a6(spark, d):
 @register("a9_equipment_changes")
 def q_a9(spark, d):
     t = _base(spark, d)
-    out = mt.apply_equipment_changes(t["equipment"], fx.fx_equipment_changes(spark, d))
+    out = mt.apply_equipment_changes(t["equipment"], fx.table(spark, d, "fx_equipment_changes"))
     return out.select("id", "total_quantity", "is_active")
 
 
 def _delete_ids(spark, d):
-    e = fx.fx_equipment(spark, d)
+    e = fx.table(spark, d, "fx_equipment")
     return (e.where(~F.col("is_active")).select("id")
             .unionByName(e.where(F.col("id") % 50 == 0).select((F.col("id") + 1000000).alias("id"))))
 
@@ -279,14 +279,14 @@ def q_a11(spark, d):
 
 @register("a12_delete_closed_days")
 def q_a12(spark, d):
-    c = fx.fx_closed_dates(spark, d)
+    c = fx.table(spark, d, "fx_closed_dates")
     return mt.delete_by_key(c, c.where(F.col("closed_date") < F.lit(fx.AS_OF)), "closed_date")
 
 
 @register("a13_stamp_updated_at")
 def q_a13(spark, d):
     t = _base(spark, d)
-    changed = fx.fx_status_events(spark, d).select(F.col("reservation_id").alias("id"))
+    changed = fx.table(spark, d, "fx_status_events").select(F.col("reservation_id").alias("id"))
     return mt.stamp_updated_at(t["reservations"], changed, "id", STAMP_AT).select("id", "updated_at")
 
 
@@ -306,7 +306,7 @@ def q_b2(spark, d):
 
 @register("b3_upcoming_closed")
 def q_b3(spark, d):
-    return lists.upcoming_closed(fx.fx_closed_dates(spark, d), fx.AS_OF)
+    return lists.upcoming_closed(fx.table(spark, d, "fx_closed_dates"), fx.AS_OF)
 
 
 @register("b4_staff_list")
@@ -329,7 +329,7 @@ def q_b5(spark, d):
 
 @register("e17_reject_messages")
 def q_e17(spark, d):
-    codes = rq.validate_requests_v2(fx.fx_requests_v2(spark, d), fx.fx_closed_dates(spark, d), fx.AS_OF)
+    codes = rq.validate_requests_v2(fx.table(spark, d, "fx_requests_v2"), fx.table(spark, d, "fx_closed_dates"), fx.AS_OF)
     return codes.where(F.col("code").isNotNull()).select(
         "request_id", "code", lists.reject_message(F.col("code")).alias("message"))
 
@@ -343,19 +343,19 @@ def _empty_pages(spark):
 
 @register("e18_publish_pages")
 def q_e18(spark, d):
-    pv = fx.fx_pages(spark, d)
+    pv = fx.table(spark, d, "fx_pages")
     cur, _ = pages.publish(_empty_pages(spark), pv.limit(0), pv)
     return cur.select("page_key", "version_id", "updated_at", "html", "css")
 
 
 @register("e19_latest_versions")
 def q_e19(spark, d):
-    return pages.latest_versions(fx.fx_pages(spark, d), 20)
+    return pages.latest_versions(fx.table(spark, d, "fx_pages"), 20)
 
 
 @register("e20_restore_version")
 def q_e20(spark, d):
-    pv = fx.fx_pages(spark, d)
+    pv = fx.table(spark, d, "fx_pages")
     cur, _ = pages.publish(_empty_pages(spark), pv.limit(0), pv)
     reqs = pv.where(F.col("id") % 7 == 0).select(
         (F.col("id") + 1000000).alias("request_id"), F.col("id").alias("version_id"),
@@ -366,7 +366,7 @@ def q_e20(spark, d):
 
 @register("b7_page_by_key")
 def q_b7(spark, d):
-    pv = fx.fx_pages(spark, d)
+    pv = fx.table(spark, d, "fx_pages")
     cur, _ = pages.publish(_empty_pages(spark), pv.limit(0), pv)
     keys = spark.read.parquet(f"{d}/pages.parquet").select(
         F.concat(F.lit("page-"), (F.col("page_id") % 50).cast("string")).alias("page_key")).distinct()
@@ -375,7 +375,7 @@ def q_b7(spark, d):
 
 @register("b8_layout_class")
 def q_b8(spark, d):
-    pv = fx.fx_pages(spark, d)
+    pv = fx.table(spark, d, "fx_pages")
     return pv.select("id", pages.layout_class(F.col("html"), F.col("css")).alias("layout"))
 
 
@@ -384,23 +384,23 @@ REWRITE_RULES = dict(phone="000-0000-0000", old_handle="old_shop", new_handle="@
 
 @register("e24_rewrite_html")
 def q_e24(spark, d):
-    pv = fx.fx_pages(spark, d).select("id", "html")
+    pv = fx.table(spark, d, "fx_pages").select("id", "html")
     return pages.rewrite_html(pv, pages.default_rewrite_rules(**REWRITE_RULES))
 
 
 @register("e25_first_style")
 def q_e25s(spark, d):
-    return fx.fx_pages(spark, d).select("id", pages.first_style(F.col("html")).alias("style"))
+    return fx.table(spark, d, "fx_pages").select("id", pages.first_style(F.col("html")).alias("style"))
 
 
 @register("e25_root_html")
 def q_e25r(spark, d):
-    return pages.extract_root_html(fx.fx_pages(spark, d).select("id", "html")).select("id", "root_html")
+    return pages.extract_root_html(fx.table(spark, d, "fx_pages").select("id", "html")).select("id", "root_html")
 
 
 @register("e27_version_nav")
 def q_e27(spark, d):
-    return pages.version_nav(fx.fx_pages(spark, d))
+    return pages.version_nav(fx.table(spark, d, "fx_pages"))
 
 
 # --- translation (E21-E23) ----------------------------------------------------
@@ -417,11 +417,11 @@ def q_e21(spark, d):
 
 @register("e22_translate_pages")
 def q_e22(spark, d):
-    pv = fx.fx_pages(spark, d).select("id", "html")
+    pv = fx.table(spark, d, "fx_pages").select("id", "html")
     out, _nodes = tr.translate_pages(pv, "en", sample_dictionary(spark))
     return out.select("id", "html")
 
 
 @register("e23_language_blocks")
 def q_e23(spark, d):
-    return tr.select_language_blocks(fx.fx_pages(spark, d).select("id", "html"), "en")
+    return tr.select_language_blocks(fx.table(spark, d, "fx_pages").select("id", "html"), "en")

@@ -266,17 +266,67 @@ def fx_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def load_all(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {
-        "equipment": schemas.conform(fx_equipment(spark, d), schemas.EQUIPMENT_ITEMS,
+        "equipment": schemas.conform(table(spark, d, "fx_equipment"), schemas.EQUIPMENT_ITEMS,
                                      schemas.DEFAULTS["equipment_items"]),
-        "reservations": schemas.conform(fx_reservations(spark, d), schemas.RESERVATIONS,
+        "reservations": schemas.conform(table(spark, d, "fx_reservations"), schemas.RESERVATIONS,
                                         schemas.DEFAULTS["reservations"]),
-        "members": schemas.conform(fx_members(spark, d), schemas.RESERVATION_MEMBERS,
+        "members": schemas.conform(table(spark, d, "fx_members"), schemas.RESERVATION_MEMBERS,
                                    schemas.DEFAULTS["reservation_members"]),
-        "items": fx_items(spark, d),
-        "closed_dates": fx_closed_dates(spark, d),
+        "items": table(spark, d, "fx_items"),
+        "closed_dates": table(spark, d, "fx_closed_dates"),
     }
 
 
+# ---------------------------------------------------------------------------
+# Materialisation: each derived table is written once per input dataset as
+# parquet under the session's shared checkpoint folder and read back, so
+# queries scan stored booking tables (as a deployment would) and lineage is
+# cut.  The folder name carries a fingerprint of the source files.
+# ---------------------------------------------------------------------------
+
+_SOURCES = {
+    "fx_equipment": ["part"], "fx_reservations": ["orders"], "fx_members": ["lineitem"],
+    "fx_items": ["lineitem"], "fx_closed_dates": ["orders"], "fx_requests_v2": ["orders", "lineitem"],
+    "fx_requests_v1": ["orders", "lineitem"], "fx_lookups": ["orders"], "fx_status_events": ["events"],
+    "fx_cancel_requests": ["events", "orders"], "fx_equipment_feed": ["part"],
+    "fx_equipment_changes": ["lineitem"], "fx_pages": ["pages"],
+}
+# Bump when a derivation changes, so stale copies are not reused.
+_VERSION = "3"
+
+
+def _fingerprint(d: str, name: str) -> str:
+    import hashlib
+    import os
+    h = hashlib.sha256(f"{_VERSION}|{os.path.abspath(d) if '://' not in d else d}|{name}".encode())
+    for src in _SOURCES[name]:
+        path = f"{d}/{src}.parquet"
+        try:
+            st = os.stat(path)
+            h.update(f"|{src}:{st.st_size}:{int(st.st_mtime)}".encode())
+        except OSError:
+            h.update(f"|{src}".encode())
+    return h.hexdigest()[:16]
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The derived table ``name`` for dataset ``d``, materialised once."""
+    import os
+
+    from slopebook.plans.session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root}/fixtures/{name}-{_fingerprint(d, name)}"
+    local = path.replace("file:", "", 1) if path.startswith("file:") else path
+    if "://" in local or not os.path.exists(f"{local}/_SUCCESS"):
+        if "://" in local:
+            try:
+                return spark.read.parquet(path)
+            except Exception:  # noqa: BLE001 - not written yet
+                pass
+        globals()[name](spark, d).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 # ---------------------------------------------------------------------------
 # The same derivations as DuckDB SQL (oracle side).  DAYS(x) = days since
 # 1995-01-01.  Each entry is a CTE body; ``with_fixtures`` prefixes the ones a
