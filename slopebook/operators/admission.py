@@ -10,9 +10,10 @@ so a plain aggregate is wrong.  Exact plan:
    candidates are checked against stock but never use it (their transaction
    rolls back).
 3. A cell is *safe* when current use plus the need of **all** consumers
-   touching it fits the stock: it can never reject anyone.  A request whose
-   cells are all safe is decided by set logic (accepted, or rejected for
-   its member rows).
+   touching it, plus the largest need of a non-consumer touching it, fits
+   the stock: it can never reject anyone.  A request whose cells are all
+   safe is decided by set logic (accepted, or rejected for its member
+   rows).
 4. Requests touching an unsafe cell keep only their unsafe cells (safe ones
    cannot fail) and go, per shop, through an ordered greedy pass.  Accepted
    requests of step 3 never touch unsafe cells, so the unsafe cells start
@@ -126,12 +127,15 @@ def admit(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, me
 
     cells = rq.cells_with_state(rq.request_cells(cand), equipment, reservations, members)
     cells = cells.join(cand.select("request_id", "consumer"), "request_id")
-    demand = (cells.where(F.col("consumer"))
-              .groupBy("shop_id", "category", "day").agg(F.sum("need").alias("demand")))
+    # Per cell: the need of all consumers, and the largest need of a
+    # non-consumer (it is stock-checked on top of whatever was accepted
+    # before it, but never adds to the count).
+    demand = (cells.groupBy("shop_id", "category", "day")
+              .agg(F.sum(F.when(F.col("consumer"), F.col("need")).otherwise(0)).alias("demand"),
+                   F.max(F.when(~F.col("consumer"), F.col("need")).otherwise(0)).alias("probe")))
     cells = cells.join(demand, ["shop_id", "category", "day"], "left")
     safe = (F.col("category").isNotNull()
-            & (F.col("used") + F.coalesce("demand", F.lit(0)) <= F.col("total"))
-            & (F.col("used") + F.col("need") <= F.col("total")))
+            & (F.col("used") + F.col("demand") + F.col("probe") <= F.col("total")))
     cells = cells.withColumn("safe", safe)
     # Cache-free reuse: both branches below read the same cell plan; AQE
     # reuses its shuffle stages.

@@ -126,29 +126,36 @@ def translate(df: DataFrame, text_col: str, lang: str, dictionary: DataFrame) ->
     if lang not in LANG_COL:
         return df.withColumn("translated", F.lit(None).cast("string")).withColumn("display", F.col(text_col))
     raw = F.col(text_col)
+    # Everything after the Japanese test runs only for rows that pass it;
+    # most text (and all of the test corpus) stops after two regex scans.
+    jp = F.col("_jp")
     base = (df.withColumn("_k", normalise(raw))
-            .withColumn("_pre", F.regexp_extract("_k", PRE, 1))
-            .withColumn("_rest", F.expr("substring(_k, length(_pre) + 1)"))
-            .withColumn("_suf", F.regexp_extract("_rest", SUF, 1))
-            .withColumn("_core", F.expr("substring(_rest, 1, length(_rest) - length(_suf))")))
+            .withColumn("_jp", F.col("_k").rlike(JP))
+            .withColumn("_pre", F.when(jp, F.regexp_extract("_k", PRE, 1)))
+            .withColumn("_rest", F.when(jp, F.expr("substring(_k, length(_pre) + 1)")))
+            .withColumn("_suf", F.when(jp, F.regexp_extract("_rest", SUF, 1)))
+            .withColumn("_core", F.when(jp, F.expr("substring(_rest, 1, length(_rest) - length(_suf))"))))
     dcol = LANG_COL[lang]
     d = dictionary.select(F.col("ja").alias("_dk"), F.nullif(F.col(dcol), F.lit("")).alias("_dv"))
-    j = (base.join(d.withColumnRenamed("_dk", "_k").withColumnRenamed("_dv", "_d_k"), "_k", "left")
+    # Only Japanese rows probe the dictionary (a NULL key never matches).
+    base = base.withColumn("_k_probe", F.when(jp, F.col("_k")))
+    j = (base.join(d.withColumnRenamed("_dk", "_k_probe").withColumnRenamed("_dv", "_d_k"), "_k_probe", "left")
          .join(d.withColumnRenamed("_dk", "_core").withColumnRenamed("_dv", "_d_core"), "_core", "left"))
     kk, cc, pp, ss = F.col("_k"), F.col("_core"), F.col("_pre"), F.col("_suf")
     # Each stage is its own projection: the terms chain is referenced three
     # times, and inlining it would overflow the 64 KB generated-method limit.
-    j = (j.withColumn("_rule_k", _rules(kk, lang))
-         .withColumn("_rule_core", _rules(cc, lang))
-         .withColumn("_terms", _terms(cc, lang)))
+    short = (utf16_length(cc) <= MAX_TERM_LEN) & ~cc.rlike(SENT)
+    j = (j.withColumn("_rule_k", F.when(jp, _rules(kk, lang)))
+         .withColumn("_rule_core", F.when(jp, _rules(cc, lang)))
+         .withColumn("_short", F.when(jp, short).otherwise(F.lit(False)))
+         .withColumn("_terms", F.when(F.col("_short"), _terms(cc, lang))))
     terms_out = F.col("_terms")
     rest_chars = F.regexp_replace(terms_out, TERM_STRIP, "")
     dirty = rest_chars.rlike(JP) if lang == "en" else rest_chars.rlike(KANA)
-    j = j.withColumn("_terms_ok", (utf16_length(cc) <= MAX_TERM_LEN) & ~cc.rlike(SENT)
-                     & (terms_out != cc) & ~dirty)
+    j = j.withColumn("_terms_ok", F.col("_short") & (terms_out != cc) & ~dirty)
     stripped = (pp != "") | (ss != "")
     inner_ok = stripped & (cc != "") & cc.rlike(JP)
-    tr = (F.when((kk == "") | ~kk.rlike(JP), F.lit(None))
+    tr = (F.when((kk == "") | ~jp, F.lit(None))
           .when(F.col("_d_k").isNotNull(), F.col("_d_k"))
           .when(F.col("_rule_k").isNotNull(), F.col("_rule_k"))
           .when(inner_ok & F.col("_d_core").isNotNull(), F.concat(pp, F.col("_d_core"), ss))
@@ -159,8 +166,8 @@ def translate(df: DataFrame, text_col: str, lang: str, dictionary: DataFrame) ->
     out = j.withColumn("translated", tr)
     return (out.withColumn("display", F.when(F.col("translated").isNotNull(),
                                              F.concat(lead, F.col("translated"), trail)).otherwise(raw))
-            .drop("_k", "_pre", "_rest", "_suf", "_core", "_d_k", "_d_core", "_rule_k", "_rule_core",
-                  "_terms", "_terms_ok"))
+            .drop("_k", "_jp", "_k_probe", "_pre", "_rest", "_suf", "_core", "_d_k", "_d_core", "_rule_k",
+                  "_rule_core", "_short", "_terms", "_terms_ok"))
 
 
 # ---------------------------------------------------------------------------
