@@ -163,3 +163,40 @@ def change_events(events: DataFrame) -> DataFrame:
                       F.when(F.col("action") == "created", "insert").otherwise("update").alias("op"),
                       new.alias("new_status"))
     return e.withColumn("old_status", F.lag("new_status").over(w))
+
+
+def status_transitions(events: DataFrame, reservations: DataFrame) -> DataFrame:
+    """Batch counterpart of the J2 stream: one row per event with old/new status.
+
+    The first confirm applies only to a pending reservation and only before
+    the first cancel; the first cancel applies unless the reservation was
+    cancelled already; every other event changes nothing.  So the status
+    before an event follows from two per-reservation minima (partial
+    aggregates) - no per-key fold.
+    """
+    key = F.struct("ts", "event_id")
+    base = reservations.select(F.col("id").alias("reservation_id"), F.col("status").alias("base"))
+    agg = (events.groupBy("reservation_id")
+           .agg(F.min(F.when(F.col("action") == "cancel", key)).alias("c"),
+                F.min(F.when(F.col("action") == "confirm", key)).alias("k")))
+    e = events.join(base, "reservation_id", "left").join(agg, "reservation_id", "left")
+    confirm_at = F.when((F.col("base") == "pending") & F.col("k").isNotNull()
+                        & (F.col("c").isNull() | (F.col("k") < F.col("c"))), F.col("k"))
+    cancel_at = F.when(F.col("base").isNotNull() & (F.col("base") != "cancelled"), F.col("c"))
+    e = e.withColumn("_me", key).withColumn("_confirm_at", confirm_at).withColumn("_cancel_at", cancel_at)
+    before = (F.when(F.col("_cancel_at").isNotNull() & (F.col("_me") > F.col("_cancel_at")), F.lit("cancelled"))
+              .when(F.col("_confirm_at").isNotNull() & (F.col("_me") > F.col("_confirm_at")), F.lit("confirmed"))
+              .otherwise(F.col("base")))
+    is_confirm = (F.col("action") == "confirm") & (F.col("_me") == F.col("_confirm_at"))
+    is_cancel = (F.col("action") == "cancel") & (F.col("_me") == F.col("_cancel_at"))
+    applied = F.coalesce(is_confirm, F.lit(False)) | F.coalesce(is_cancel, F.lit(False))
+    new = (F.when(F.coalesce(is_confirm, F.lit(False)), F.lit("confirmed"))
+           .when(F.coalesce(is_cancel, F.lit(False)), F.lit("cancelled")).otherwise(F.col("old_status")))
+    result = (F.when(F.col("action") == "confirm", F.when(F.col("applied"), "OK").otherwise("NOT_PENDING"))
+              .when(F.col("action") == "cancel",
+                    F.when(F.col("old_status").isNull(), "NOT_FOUND").when(F.col("applied"), "OK")
+                    .otherwise("ALREADY_CANCELLED"))
+              .otherwise("NO_CHANGE"))
+    return (e.withColumn("old_status", before).withColumn("applied", applied)
+            .withColumn("new_status", new).withColumn("result", result)
+            .select("event_id", "reservation_id", "ts", "action", "old_status", "new_status", "applied", "result"))

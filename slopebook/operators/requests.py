@@ -77,11 +77,12 @@ def validate_requests_v2(requests: DataFrame, closed_dates: DataFrame, as_of: dt
     return r.select("request_id", code.alias("code"))
 
 
-def member_rows_ok(requests: DataFrame) -> DataFrame:
-    """Per request: would every member row pass the insert (casts, NOT NULL, CHECKs)?
+def members_ok() -> Column:
+    """Would every member row of the request insert (casts, NOT NULL, CHECKs)?
 
     height 80-220 (int text), shoe 14-33 after rounding to numeric(4,1),
     board type in the list, is_child boolean text, age integer text or ''.
+    A row-level expression over the ``members`` array.
     """
     def ok(m):
         h = pg.pg_int(m["height_cm"])
@@ -92,7 +93,12 @@ def member_rows_ok(requests: DataFrame) -> DataFrame:
                 & m["board_type"].isNotNull() & m["board_type"].isin(*BOARD_TYPES)
                 & pg.pg_bool_valid(m["is_child"])
                 & pg.pg_int_valid(age_txt))
-    return requests.select("request_id", F.coalesce(F.forall("members", ok), F.lit(False)).alias("members_ok"))
+    return F.coalesce(F.forall("members", ok), F.lit(False))
+
+
+def member_rows_ok(requests: DataFrame) -> DataFrame:
+    """Per request: ``members_ok`` (see :func:`members_ok`)."""
+    return requests.select("request_id", members_ok().alias("members_ok"))
 
 
 def board_needs(requests: DataFrame) -> DataFrame:
