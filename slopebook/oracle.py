@@ -347,14 +347,16 @@ _LINES = """
 
 ORACLE["e14_member_lines"] = W(_LINES + "select reservation_id, html from lines", "fx_members")
 
-ORACLE["e15_notification_outbox"] = W(_LINES + """
+_LAG_CHANGES = """
 , ch as (
   select event_id, reservation_id,
     case when action = 'created' then 'insert' else 'update' end as op,
     case action when 'created' then 'pending' when 'confirm' then 'confirmed' else 'cancelled' end as new_status
   from fx_status_events)
 , ch2 as (select *, lag(new_status) over (partition by reservation_id order by ts, event_id) as old_status
-          from ch join fx_status_events using (event_id, reservation_id))
+          from ch join fx_status_events using (event_id, reservation_id))"""
+
+_OUTBOX_TAIL = """
 , shops as (
   select distinct shop_id, 'Shop ' || cast(shop_id as varchar) as shop_name,
     '000-0000-' || lpad(cast(shop_id as varchar), 4, '0') as shop_phone, '8:00〜17:00' as shop_hours,
@@ -391,7 +393,15 @@ select event_id, id, customer_email, 'customer_cancelled',
   '予約番号 ' || reservation_code || ' のご予約をキャンセルしました。またのご利用をお待ちしております。'
 from j where op = 'update' and new_status = 'cancelled' and old_status is distinct from 'cancelled'
   and customer_email is not null
-""", "fx_members", "fx_status_events", "fx_reservations")
+"""
+
+
+def _outbox_sql(changes: str, *extra: str) -> str:
+    return W(_LINES + changes + _OUTBOX_TAIL, "fx_members", "fx_status_events", "fx_reservations", *extra)
+
+
+ORACLE["e15_notification_outbox"] = _outbox_sql(_LAG_CHANGES)
+
 
 # --- table maintenance ------------------------------------------------------
 
@@ -716,3 +726,54 @@ select doc_id,
     else text end as display
 from documents
 """
+
+# --- status transitions and streams -----------------------------------------------
+
+_TRANSITIONS = """
+, c1 as (select reservation_id, ts as c_ts, event_id as c_id from fx_status_events where action = 'cancel'
+         qualify row_number() over (partition by reservation_id order by ts, event_id) = 1)
+, k1 as (select reservation_id, ts as k_ts, event_id as k_id from fx_status_events where action = 'confirm'
+         qualify row_number() over (partition by reservation_id order by ts, event_id) = 1)
+, t1 as (
+  select e.*, r.status as base, c1.c_ts, c1.c_id, k1.k_ts, k1.k_id
+  from fx_status_events e left join fx_reservations r on r.id = e.reservation_id
+  left join c1 on c1.reservation_id = e.reservation_id left join k1 on k1.reservation_id = e.reservation_id)
+, t2 as (
+  select *,
+    coalesce(base = 'pending' and k_ts is not null
+             and (c_ts is null or k_ts < c_ts or (k_ts = c_ts and k_id < c_id)), false) as confirm_ok,
+    coalesce(base <> 'cancelled' and c_ts is not null, false) as cancel_ok
+  from t1)
+, t3 as (
+  select *,
+    case when cancel_ok and (ts > c_ts or (ts = c_ts and event_id > c_id)) then 'cancelled'
+         when confirm_ok and (ts > k_ts or (ts = k_ts and event_id > k_id)) then 'confirmed' else base end
+      as old_status,
+    (action = 'confirm' and confirm_ok and ts = k_ts and event_id = k_id)
+      or (action = 'cancel' and cancel_ok and ts = c_ts and event_id = c_id) as applied
+  from t2)
+, tr as (
+  select event_id, reservation_id, ts, action, old_status,
+    case when applied and action = 'confirm' then 'confirmed' when applied and action = 'cancel' then 'cancelled'
+         else old_status end as new_status,
+    applied,
+    case when action = 'confirm' then case when applied then 'OK' else 'NOT_PENDING' end
+         when action = 'cancel' then case when old_status is null then 'NOT_FOUND' when applied then 'OK'
+                                          else 'ALREADY_CANCELLED' end
+         else 'NO_CHANGE' end as result
+  from t3)
+"""
+
+ORACLE["e12_status_transitions"] = W(_TRANSITIONS + """
+select event_id, reservation_id, ts, action, old_status, new_status, applied, result from tr
+""", "fx_status_events", "fx_reservations")
+
+# The stream must equal the batch transitions.
+ORACLE["j2_status_stream"] = ORACLE["e12_status_transitions"]
+
+ORACLE["j1_outbox_stream"] = _outbox_sql(_TRANSITIONS + """
+, ch2 as (
+  select event_id, reservation_id, 'insert' as op, cast(null as varchar) as old_status, new_status
+  from tr where action = 'created'
+  union all
+  select event_id, reservation_id, 'update', old_status, new_status from tr where applied)""")

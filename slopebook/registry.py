@@ -425,3 +425,45 @@ def q_e22(spark, d):
 @register("e23_language_blocks")
 def q_e23(spark, d):
     return tr.select_language_blocks(fx.table(spark, d, "fx_pages").select("id", "html"), "en")
+
+
+# --- status transitions and streaming jobs (J1-J3) ------------------------------
+
+from slopebook.sources import schemas as _schemas  # noqa: E402
+from slopebook.streaming import admission as s_adm, files as s_files, outbox as s_out, status as s_st  # noqa: E402
+
+
+@register("e12_status_transitions")
+def q_e12t(spark, d):
+    t = _base(spark, d)
+    return lifecycle.status_transitions(fx.table(spark, d, "fx_status_events"), t["reservations"])
+
+
+@register("j2_status_stream")
+def q_j2(spark, d):
+    t = _base(spark, d)
+    root = s_files.scratch(spark, "j2")
+    s_files.write_in_time_order(fx.table(spark, d, "fx_status_events"), f"{root}/in", "ts")
+    return s_st.run_status_stream(spark, f"{root}/in", t["reservations"], f"{root}/out", f"{root}/ckpt")
+
+
+@register("j1_outbox_stream")
+def q_j1(spark, d):
+    t = _base(spark, d)
+    root = s_files.scratch(spark, "j1")
+    s_files.write_in_time_order(fx.table(spark, d, "fx_status_events"), f"{root}/in", "ts")
+    return s_out.run_outbox_stream(spark, f"{root}/in", t["reservations"], t["members"],
+                                   notify.shops_from(t["reservations"]), f"{root}/outbox", f"{root}/ckpt")
+
+
+@register("j3_admission_stream")
+def q_j3(spark, d):
+    t = _base(spark, d)
+    root = s_files.scratch(spark, "j3")
+    req = fx.table(spark, d, "fx_requests_v2").where(F.col("requested_at") >= F.lit(CUTOFF))
+    s_files.write_in_time_order(req, f"{root}/in", "requested_at")
+    state = t["reservations"].where(F.col("created_at") < F.lit(CUTOFF))
+    schema = fx.table(spark, d, "fx_requests_v2").schema
+    out = s_adm.run_admission_stream(spark, f"{root}/in", schema, t["equipment"], state, t["members"],
+                                     t["closed_dates"], fx.AS_OF, WIDE_LO, WIDE_HI, f"{root}/out", f"{root}/ckpt")
+    return out.select("request_id", "shop_id", "accepted", "code", "reservation_code")

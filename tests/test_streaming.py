@@ -24,11 +24,8 @@ def _scratch():
 
 
 def _write_in_time_order(df, path, order_col, n_files=4):
-    """Input files that arrive in time order: file k holds the k-th quantile of ``order_col``."""
-    ranked = df.withColumn("_b", F.ntile(n_files).over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(order_col)))
-    for b in range(1, n_files + 1):
-        ranked.where(F.col("_b") == b).drop("_b").coalesce(1).write.mode("append").parquet(path)
+    from slopebook.streaming.files import write_in_time_order
+    write_in_time_order(df, path, order_col, n_files)
 
 
 def test_status_stream_equals_batch_fold(spark):
@@ -78,7 +75,7 @@ def test_admission_stream_equals_model(spark):
     want = TA.model(*data)
     req, eq, res, mem, cl = TA._frames(spark, *data)
     d = _scratch()
-    _write_in_time_order(req, f"{d}/in", F.struct("requested_at", "request_id"))
+    _write_in_time_order(req, f"{d}/in", "requested_at")
     got_df = sadm.run_admission_stream(spark, f"{d}/in", schemas.REQUESTS_V2, eq, res, mem, cl, TA.AS_OF,
                                        dt.date(2024, 12, 1), dt.date(2025, 3, 1), f"{d}/out", f"{d}/ckpt")
     got = {r.request_id: (r.accepted, r.code) for r in got_df.collect()}
