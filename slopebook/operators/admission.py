@@ -37,9 +37,11 @@ from pyspark.sql import types as T
 
 from slopebook.functions import pgcompat as pg
 from slopebook.operators import requests as rq
+from slopebook.plans.session import ensure_checkpoint_dir
 
 ADMIT_SCHEMA = T.StructType([
     T.StructField("request_id", T.IntegerType()),
+    T.StructField("shop_id", T.IntegerType()),
     T.StructField("accepted", T.BooleanType()),
     T.StructField("code", T.StringType()),
 ])
@@ -62,6 +64,7 @@ def _greedy(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cur_cells: list[tuple] = []
     cur_fail: str | None = None
     last_key = None
+    shop = 0
 
     def finish():
         nonlocal cur, cur_cells, cur_fail
@@ -79,6 +82,8 @@ def _greedy(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, cur_cells, cur_fail = None, [], None
 
     for pdf in rows:
+        if len(pdf):
+            shop = int(pdf["shop_id"].iloc[0])
         rid_a = pdf["request_id"].to_numpy()
         ts_a = pdf["requested_at"].to_numpy()
         cons_a = pdf["consumer"].to_numpy()
@@ -108,6 +113,7 @@ def _greedy(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 cur_cells.append((cell, need))
     finish()
     yield pd.DataFrame({"request_id": pd.Series(out_ids, dtype="int32"),
+                        "shop_id": pd.Series([shop] * len(out_ids), dtype="int32"),
                         "accepted": pd.Series(out_acc, dtype="bool"),
                         "code": pd.Series(out_code, dtype="object")})
 
@@ -119,32 +125,30 @@ def admit(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, me
     Returns request_id, shop_id, accepted, code, reservation_code (E8, only
     for accepted requests).
     """
-    codes = rq.validate_requests_v2(requests, closed_dates, as_of)
-    ok = rq.member_rows_ok(requests)
-    req = (requests.join(codes, "request_id").join(ok, "request_id")
-           .withColumn("consumer", F.col("members_ok")))
+    req = (rq.with_v2_code(requests, closed_dates, as_of)
+           .select("request_id", "shop_id", "requested_at", "start", "end", "eve_pickup", "members", "code",
+                   rq.members_ok().alias("consumer")))
     cand = req.where(F.col("code").isNull())
 
     cells = rq.cells_with_state(rq.request_cells(cand), equipment, reservations, members)
-    cells = cells.join(cand.select("request_id", "consumer"), "request_id")
     # Per cell: the need of all consumers, and the largest need of a
     # non-consumer (it is stock-checked on top of whatever was accepted
     # before it, but never adds to the count).
-    demand = (cells.groupBy("shop_id", "category", "day")
-              .agg(F.sum(F.when(F.col("consumer"), F.col("need")).otherwise(0)).alias("demand"),
-                   F.max(F.when(~F.col("consumer"), F.col("need")).otherwise(0)).alias("probe")))
-    cells = cells.join(demand, ["shop_id", "category", "day"], "left")
+    w_demand = (cells.groupBy("shop_id", "category", "day")
+                .agg(F.sum(F.when(F.col("consumer"), F.col("need")).otherwise(0)).alias("demand"),
+                     F.max(F.when(~F.col("consumer"), F.col("need")).otherwise(0)).alias("probe")))
+    cells = cells.join(w_demand, ["shop_id", "category", "day"], "left")
     safe = (F.col("category").isNotNull()
             & (F.col("used") + F.col("demand") + F.col("probe") <= F.col("total")))
-    cells = cells.withColumn("safe", safe)
-    # Cache-free reuse: both branches below read the same cell plan; AQE
-    # reuses its shuffle stages.
-    contended_ids = cells.where(~F.col("safe")).select("request_id").distinct()
+    # Three branches read the cell table: cut its lineage once (reliable
+    # checkpoint in the shared checkpoint folder; survives executor loss).
+    ensure_checkpoint_dir(cells.sparkSession)
+    cells = cells.withColumn("safe", safe).checkpoint(eager=True)
 
+    contended_ids = cells.where(~F.col("safe")).select("request_id").distinct()
     decided = (cand.join(contended_ids, "request_id", "left_anti")
-               .select("request_id", F.col("consumer").alias("accepted"),
+               .select("request_id", "shop_id", F.col("consumer").alias("accepted"),
                        F.when(~F.col("consumer"), F.lit(MEMBER_ROWS_REJECTED)).alias("code")))
-
     contended = (cells.where(~F.col("safe"))
                  .select("shop_id", "requested_at", "request_id", "consumer",
                          F.col("category").isNull().alias("cat_null"), "category", "day",
@@ -153,11 +157,8 @@ def admit(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, me
               .sortWithinPartitions("shop_id", "requested_at", "request_id", "cat_null", "category", "day")
               .groupBy("shop_id")
               .applyInPandas(_greedy, ADMIT_SCHEMA))
-
     failed = req.where(F.col("code").isNotNull()).select(
-        "request_id", F.lit(False).alias("accepted"), "code")
+        "request_id", "shop_id", F.lit(False).alias("accepted"), "code")
     result = failed.unionByName(decided).unionByName(greedy)
-    return (result.join(requests.select("request_id", "shop_id"), "request_id")
-            .select("request_id", "shop_id", "accepted", "code",
-                    F.when(F.col("accepted"), pg.reservation_code(F.col("request_id")))
-                    .alias("reservation_code")))
+    return result.withColumn("reservation_code",
+                             F.when(F.col("accepted"), pg.reservation_code(F.col("request_id"))))

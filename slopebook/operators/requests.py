@@ -47,13 +47,14 @@ def closed_flags(requests: DataFrame, closed_dates: DataFrame) -> DataFrame:
         F.max(F.col("day") < F.col("start")).alias("closed_on_eve"))
 
 
-def validate_requests_v2(requests: DataFrame, closed_dates: DataFrame, as_of: dt.date | Column) -> DataFrame:
-    """E5: first failing code of create_reservation_v2 before the stock loop.
+def with_v2_code(requests: DataFrame, closed_dates: DataFrame, as_of: dt.date | Column) -> DataFrame:
+    """E5 as a column: ``requests`` plus ``code`` (first failing check before the
+    stock loop; NULL = passes).
 
     Order: INVALID_DATES, DATE_IN_PAST, PERIOD_TOO_LONG, INVALID_CONTACT,
     INVALID_MEMBERS, MEMBER_COUNT_MISMATCH, SHOP_CLOSED_ON_DATE, EVE_IN_PAST,
-    EVE_CLOSED, INVALID_BOARD_TYPE.  NULL code = passes.  A NULL board type is
-    not INVALID_BOARD_TYPE (``NULL NOT IN (...)`` is not true).
+    EVE_CLOSED, INVALID_BOARD_TYPE.  A NULL board type is not
+    INVALID_BOARD_TYPE (``NULL NOT IN (...)`` is not true).
     """
     today = _lit_date(as_of)
     flags = closed_flags(requests, closed_dates)
@@ -74,7 +75,12 @@ def validate_requests_v2(requests: DataFrame, closed_dates: DataFrame, as_of: dt
             .when(eve & (F.date_sub("start", 1) < today), "EVE_IN_PAST")
             .when(eve & F.coalesce("closed_on_eve", F.lit(False)), "EVE_CLOSED")
             .when(bad_type, "INVALID_BOARD_TYPE"))
-    return r.select("request_id", code.alias("code"))
+    return r.withColumn("code", code).drop("closed_in_period", "closed_on_eve")
+
+
+def validate_requests_v2(requests: DataFrame, closed_dates: DataFrame, as_of: dt.date | Column) -> DataFrame:
+    """E5: request_id, code (see :func:`with_v2_code`)."""
+    return with_v2_code(requests, closed_dates, as_of).select("request_id", "code")
 
 
 def members_ok() -> Column:
@@ -114,12 +120,21 @@ def request_cells(requests: DataFrame) -> DataFrame:
 
     Expects requests that passed E5 (range valid and at most 31 days).
     """
-    base = requests.select("request_id", "shop_id", "requested_at",
-                           occ.occupied_from(F.col("eve_pickup"), F.col("start")).alias("from"),
-                           F.col("end"))
-    return (base.join(board_needs(requests), "request_id")
-            .select("request_id", "shop_id", "requested_at", "category", "need",
-                    F.explode(F.sequence("from", "end")).alias("day")))
+    extra = [c for c in ("consumer",) if c in requests.columns]
+    # Need per (request, type) without a shuffle: a request's members sit in
+    # one row, so count them with array functions instead of explode +
+    # group by request_id.
+    types = F.array_distinct(F.transform(F.filter("members", lambda m: m["board_type"].isNull()
+                                                  | (m["board_type"] != "none")), lambda m: m["board_type"]))
+    per = requests.select("request_id", "shop_id", "requested_at", *extra,
+                          occ.occupied_from(F.col("eve_pickup"), F.col("start")).alias("from"), F.col("end"),
+                          F.explode(F.transform(types, lambda t: F.struct(
+                              t.alias("category"),
+                              F.size(F.filter("members", lambda m: m["board_type"].eqNullSafe(t))).alias("need"))))
+                          .alias("cn"))
+    return per.select("request_id", "shop_id", "requested_at", *extra, F.col("cn.category").alias("category"),
+                      F.col("cn.need").cast("int").alias("need"),
+                      F.explode(F.sequence("from", "end")).alias("day"))
 
 
 def cells_with_state(cells: DataFrame, equipment: DataFrame, reservations: DataFrame,
