@@ -93,9 +93,11 @@ def notification_outbox(changes: DataFrame, reservations: DataFrame, members: Da
     r = reservations.select(F.col("id").alias("reservation_id"), "shop_id", "reservation_code", "rental_date",
                             "return_date", "eve_pickup", "customer_name", "customer_phone", "customer_email",
                             "party_size", "adults", "children", "notes")
+    # Member lines only for reservations that get mail (semi-join first).
+    mem = members.join(ev.select("reservation_id").distinct(), "reservation_id", "left_semi")
     j = (ev.join(r, "reservation_id")
          .join(shops, "shop_id", "left")
-         .join(member_lines(members).withColumnRenamed("html", "members_html"), "reservation_id", "left"))
+         .join(member_lines(mem).withColumnRenamed("html", "members_html"), "reservation_id", "left"))
     period = period_text(F.col("rental_date"), F.col("return_date"))
     eve = F.when(F.col("eve_pickup"), F.lit(EVE_MAIL)).otherwise(F.lit(""))
     mem = F.coalesce("members_html", F.lit(""))

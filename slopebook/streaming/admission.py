@@ -33,6 +33,7 @@ from slopebook.functions import pgcompat as pg
 from slopebook.operators import occupancy as occ
 from slopebook.operators import requests as rq
 from slopebook.operators.admission import MEMBER_ROWS_REJECTED
+from slopebook.plans.session import ensure_checkpoint_dir
 
 DECISION_SCHEMA = T.StructType([
     T.StructField("request_id", T.IntegerType()), T.StructField("shop_id", T.IntegerType()),
@@ -86,6 +87,11 @@ def prepare(requests: DataFrame, equipment: DataFrame, reservations: DataFrame,
              .agg(F.sum(F.when(F.col("category") == "ski", F.col("total")).otherwise(0)).alias("total_ski"),
                   F.sum(F.when(F.col("category") == "snowboard", F.col("total")).otherwise(0))
                   .alias("total_snowboard")))
+    if rows.isStreaming:
+        # Static sides are read by every micro-batch: compute them once and
+        # cut their lineage (small: shops x days).
+        ensure_checkpoint_dir(rows.sparkSession)
+        closed, used, stock = (x.checkpoint(eager=True) for x in (closed, used, stock))
     return (rows.join(closed, "day", "left").join(used, ["shop_id", "day"], "left").join(stock, "shop_id", "left")
             .select("shop_id", "requested_at", "request_id", "start", "end", "eve", "pre_code", "eve_in_past",
                     "bad_type", "members_ok", "need_ski", "need_snowboard", "need_null", "day",
@@ -100,60 +106,69 @@ def _decider(as_of: dt.date):
     prune_before = (as_of - dt.timedelta(days=1)).isoformat()
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        shop = int(key[0])
         used_extra, decided = ({}, {})
         if state.exists:
             used_extra = json.loads(state.get[0])
             decided = json.loads(state.get[1])
         pdf = pd.concat(list(batches), ignore_index=True)  # one shop, one micro-batch
+        if len(pdf) == 0:
+            yield pd.DataFrame([], columns=[f.name for f in DECISION_SCHEMA.fields])
+            return
+        shop = int(pdf["shop_id"].iloc[0])
+        pdf = pdf.sort_values(["requested_at", "request_id", "day"], kind="stable", na_position="first")
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        day_iso = [None if pd.isna(x) else pd.Timestamp(x).date().isoformat() for x in cols["day"]]
+        start_iso = [None if pd.isna(x) else pd.Timestamp(x).date().isoformat() for x in cols["start"]]
+        end_iso = [None if pd.isna(x) else pd.Timestamp(x).date().isoformat() for x in cols["end"]]
         out = []
-        for rid, g in sorted(pdf.groupby("request_id"), key=lambda kv: (kv[1]["requested_at"].iloc[0], kv[0])):
-            rid = int(rid)
+        i, n = 0, len(pdf)
+        while i < n:
+            j = i
+            rid = int(cols["request_id"][i])
+            while j < n and int(cols["request_id"][j]) == rid:
+                j += 1
+            rows = range(i, j)
+            i = j
             if str(rid) in decided:
-                acc, code = decided[str(rid)][0], decided[str(rid)][1]
-                out.append((rid, shop, acc, code))
+                out.append((rid, shop, decided[str(rid)][0], decided[str(rid)][1]))
                 continue
-            f = g.iloc[0]
-            start = pd.Timestamp(f["start"]).date() if pd.notna(f["start"]) else None
-            days = g[g["day"].notna()].copy()
-            days["d"] = [pd.Timestamp(x).date() for x in days["day"]]
-            in_period = days[days["d"] >= start] if start is not None else days.iloc[0:0]
-            code = f["pre_code"] if isinstance(f["pre_code"], str) else None
-            if code is None and in_period["is_closed"].any():
+            f = rows[0]
+            start = start_iso[f]
+            eve = bool(cols["eve"][f])
+            days = [r for r in rows if day_iso[r] is not None]
+            in_period = [r for r in days if start is not None and day_iso[r] >= start]
+            code = cols["pre_code"][f] if isinstance(cols["pre_code"][f], str) else None
+            if code is None and any(bool(cols["is_closed"][r]) for r in in_period):
                 code = "SHOP_CLOSED_ON_DATE"
-            if code is None and bool(f["eve"]) and bool(f["eve_in_past"]):
+            if code is None and eve and bool(cols["eve_in_past"][f]):
                 code = "EVE_IN_PAST"
-            if code is None and bool(f["eve"]) and days[days["d"] < start]["is_closed"].any():
+            if code is None and eve and any(bool(cols["is_closed"][r]) for r in days if day_iso[r] < start):
                 code = "EVE_CLOSED"
-            if code is None and bool(f["bad_type"]):
+            if code is None and bool(cols["bad_type"][f]):
                 code = "INVALID_BOARD_TYPE"
-            occupied = days if bool(f["eve"]) else in_period
-            occupied = occupied.sort_values("d")
+            occupied = days if eve else in_period
             if code is None:
                 for cat in CATS:
-                    need = int(f["need_" + (cat or "null")])
+                    need = int(cols["need_" + (cat or "null")][f])
                     if need == 0:
                         continue
-                    for _, row in occupied.iterrows():
-                        cell = f"{cat}|{row['d'].isoformat()}"
-                        base = int(row["used_" + cat]) if cat else 0
-                        total = int(row["total_" + cat]) if cat else 0
-                        if base + used_extra.get(cell, 0) + need > total:
-                            code = f"OUT_OF_STOCK:{cat if cat else '<NULL>'}:{row['d'].isoformat()}"
+                    for r in occupied:
+                        base = int(cols["used_" + cat][r]) if cat else 0
+                        total = int(cols["total_" + cat][r]) if cat else 0
+                        if base + used_extra.get(f"{cat}|{day_iso[r]}", 0) + need > total:
+                            code = f"OUT_OF_STOCK:{cat if cat else '<NULL>'}:{day_iso[r]}"
                             break
                     if code:
                         break
-            if code is None and not bool(f["members_ok"]):
+            if code is None and not bool(cols["members_ok"][f]):
                 code = MEMBER_ROWS_REJECTED
             if code is None:
                 for cat in ("ski", "snowboard"):
-                    need = int(f["need_" + cat])
-                    if need:
-                        for d in occupied["d"]:
-                            cell = f"{cat}|{d.isoformat()}"
-                            used_extra[cell] = used_extra.get(cell, 0) + need
-            end = pd.Timestamp(f["end"]).date().isoformat() if pd.notna(f["end"]) else None
-            decided[str(rid)] = [code is None, code, end]
+                    need = int(cols["need_" + cat][f])
+                    for r in occupied if need else ():
+                        cell = f"{cat}|{day_iso[r]}"
+                        used_extra[cell] = used_extra.get(cell, 0) + need
+            decided[str(rid)] = [code is None, code, end_iso[f]]
             out.append((rid, shop, code is None, code))
         used_extra = {k: v for k, v in used_extra.items() if k.split("|")[1] >= prune_before}
         decided = {k: v for k, v in decided.items() if v[2] is None or v[2] >= prune_before}

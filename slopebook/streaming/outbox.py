@@ -2,10 +2,11 @@
 
 Each micro-batch of transitions becomes change rows (inserts for 'created'
 events, updates for applied status changes) and goes through the batch
-operator E15 inside ``foreachBatch``.  Rows already in the outbox (same
-event_id and kind) are dropped with a left-anti join before the append, so
-a replayed micro-batch after a failure writes nothing twice.  There is no
-watermark: a late event still produces its mail.
+operator E15 inside ``foreachBatch``.  Each micro-batch writes its rows to
+its own ``batch_id=<epoch>`` folder with overwrite: a micro-batch replayed
+after a failure has the same id and the same input, so it replaces its own
+output and nothing is sent twice - without re-reading the whole outbox.
+There is no watermark: a late event still produces its mail.
 """
 
 from __future__ import annotations
@@ -28,15 +29,14 @@ def changes_from_transitions(tr: DataFrame) -> DataFrame:
     return ins.unionByName(upd)
 
 
-def write_outbox_batch(spark: SparkSession, batch: DataFrame, outbox_dir: str, reservations: DataFrame,
+def write_outbox_batch(batch: DataFrame, epoch: int, outbox_dir: str, reservations: DataFrame,
                        members: DataFrame, shops: DataFrame) -> None:
-    rows = notify.notification_outbox(changes_from_transitions(batch), reservations, members, shops)
+    batch.persist()          # read twice below (inserts and updates)
     try:
-        done = spark.read.parquet(outbox_dir).select("event_id", "kind")
-        rows = rows.join(done, ["event_id", "kind"], "left_anti")
-    except Exception:  # noqa: BLE001 - first batch: no outbox yet
-        pass
-    rows.select(*OUTBOX_COLUMNS).write.mode("append").parquet(outbox_dir)
+        rows = notify.notification_outbox(changes_from_transitions(batch), reservations, members, shops)
+        rows.select(*OUTBOX_COLUMNS).write.mode("overwrite").parquet(f"{outbox_dir}/batch_id={epoch}")
+    finally:
+        batch.unpersist()
 
 
 def run_outbox_stream(spark: SparkSession, events_dir: str, reservations: DataFrame, members: DataFrame,
@@ -46,11 +46,11 @@ def run_outbox_stream(spark: SparkSession, events_dir: str, reservations: DataFr
               .parquet(events_dir))
     transitions = st.status_transitions(stream, reservations)
     q = (transitions.writeStream
-         .foreachBatch(lambda df, _epoch: write_outbox_batch(spark, df, outbox_dir, reservations, members, shops))
+         .foreachBatch(lambda df, epoch: write_outbox_batch(df, epoch, outbox_dir, reservations, members, shops))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     try:
-        return spark.read.parquet(outbox_dir)
+        return spark.read.parquet(outbox_dir).select(*OUTBOX_COLUMNS)
     except Exception:  # noqa: BLE001 - nothing was sent
         return spark.createDataFrame([], "event_id long, reservation_id int, recipient string, kind string, "
                                          "subject string, html string")
