@@ -45,11 +45,7 @@ def daily_occupancy(reservations: DataFrame, members: DataFrame,
     """
     lo_c = lo if isinstance(lo, Column) else F.lit(lo)
     hi_c = hi if isinstance(hi, Column) else F.lit(hi)
-    r = (reservations.where(F.col("status").isin(*ACTIVE))
-         .select(F.col("id").alias("reservation_id"), "shop_id",
-                 occupied_from(F.col("eve_pickup"), F.col("rental_date")).alias("s"),
-                 F.coalesce(F.col("return_date"), F.col("rental_date")).alias("e"))
-         .where((F.col("s") <= hi_c) & (F.col("e") >= lo_c)))
+    r = _active_spans(reservations).where((F.col("s") <= hi_c) & (F.col("e") >= lo_c))
     j = r.join(member_counts(members), "reservation_id")
     days = j.select("shop_id", "category", "n",
                     F.explode(F.sequence(F.greatest(F.col("s"), lo_c), F.least(F.col("e"), hi_c)))
@@ -57,6 +53,14 @@ def daily_occupancy(reservations: DataFrame, members: DataFrame,
     return days.groupBy("shop_id", "category", "day").agg(F.sum("n").cast("int").alias("used"))
 
 
+def _active_spans(reservations: DataFrame) -> DataFrame:
+    """Active reservations with their occupied span [s, e]."""
+    return (reservations.where(F.col("status").isin(*ACTIVE))
+            .select(F.col("id").alias("reservation_id"), "shop_id",
+                    occupied_from(F.col("eve_pickup"), F.col("rental_date")).alias("s"),
+                    F.coalesce(F.col("return_date"), F.col("rental_date")).alias("e")))
+
+
 def category_stock(equipment: DataFrame) -> DataFrame:
     """Active stock per (shop, category) for ski and snowboard."""
     return (equipment.where(F.col("is_active") & F.col("category").isin(*BOARD_CATEGORIES))
@@ -80,7 +84,16 @@ def availability_by_category(equipment: DataFrame, reservations: DataFrame, memb
         F.lit(None).cast("int").alias("remaining"), F.lit("INVALID_DATES").alias("error"))
     ok = w.where(~bad)
     stock = category_stock(equipment)
-    win_days = ok.select("window_id", "shop_id", F.explode(F.sequence("from", "end")).alias("day"))
+    # Days outside the shop's booking horizon have no use and cannot raise
+    # the peak, so a window (unbounded in length) is clipped to it before
+    # the day expansion.  The horizon is one row per shop.
+    horizon = (_active_spans(reservations).groupBy("shop_id")
+               .agg(F.min("s").alias("h_lo"), F.max("e").alias("h_hi")))
+    lo, hi = F.greatest("from", "h_lo"), F.least("end", "h_hi")
+    win_days = (ok.join(horizon, "shop_id")
+                .select("window_id", "shop_id",
+                        F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<date>")))
+                        .alias("day")))
     occ = _occupancy_for_days(reservations, members, win_days)
     peak = (win_days.join(occ, ["shop_id", "day"])
             .groupBy("window_id", "category").agg(F.max("used").alias("peak")))
@@ -101,11 +114,7 @@ def _occupancy_for_days(reservations: DataFrame, members: DataFrame, win_days: D
     asked = win_days.select("shop_id", "day").distinct()
     # Per-shop bounds (one row per shop) clip every reservation's expansion.
     bounds = asked.groupBy("shop_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    r = (reservations.where(F.col("status").isin(*ACTIVE))
-         .select(F.col("id").alias("reservation_id"), "shop_id",
-                 occupied_from(F.col("eve_pickup"), F.col("rental_date")).alias("s"),
-                 F.coalesce(F.col("return_date"), F.col("rental_date")).alias("e"))
-         .join(bounds, "shop_id")
+    r = (_active_spans(reservations).join(bounds, "shop_id")
          .where((F.col("s") <= F.col("hi")) & (F.col("e") >= F.col("lo"))))
     j = r.join(member_counts(members), "reservation_id")
     days = j.select("shop_id", "category", "n",

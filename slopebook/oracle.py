@@ -777,3 +777,11 @@ ORACLE["j1_outbox_stream"] = _outbox_sql(_TRANSITIONS + """
   from tr where action = 'created'
   union all
   select event_id, reservation_id, 'update', old_status, new_status from tr where applied)""")
+
+ORACLE["a1_scan_equipment"] = W("""
+select id, shop_id, category, size_label, total_quantity, is_active, cast(null as varchar) as notes,
+  cast(null as timestamp) as created_at, cast(null as timestamp) as updated_at
+from fx_equipment
+""", "fx_equipment")
+
+ORACLE["a7_append_versions"] = W("select id, page_key, created_at from fx_pages", "fx_pages")

@@ -467,3 +467,18 @@ def q_j3(spark, d):
     out = s_adm.run_admission_stream(spark, f"{root}/in", schema, t["equipment"], state, t["members"],
                                      t["closed_dates"], fx.AS_OF, WIDE_LO, WIDE_HI, f"{root}/out", f"{root}/ckpt")
     return out.select("request_id", "shop_id", "accepted", "code", "reservation_code")
+
+
+# --- typed scan and version append (A1, A7) --------------------------------------
+
+@register("a1_scan_equipment")
+def q_a1(spark, d):
+    return schemas.conform(fx.table(spark, d, "fx_equipment"), schemas.EQUIPMENT_ITEMS,
+                           schemas.DEFAULTS["equipment_items"])
+
+
+@register("a7_append_versions")
+def q_a7(spark, d):
+    pv = fx.table(spark, d, "fx_pages")
+    cols = ["id", "page_key", "created_at"]
+    return mt.append(pv.where(F.col("id") < 100).select(*cols), pv.where(F.col("id") >= 100).select(*cols))

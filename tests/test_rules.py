@@ -226,3 +226,21 @@ def test_reject_message_order(spark):
     assert got[1].startswith("予約が見つかりませんでした")
     assert got[2].startswith("ご希望の期間・用具は満数")
     assert got[3] == lists.REJECT_DEFAULT
+
+
+def test_very_long_window_is_clipped_not_exploded(spark, base):
+    eq, res, mem = base
+    win = spark.createDataFrame([(9, 1, D(1900, 1, 1), D(2100, 1, 1), False)],
+                                "window_id int, shop_id int, start date, end date, eve boolean")
+    got = {r.category: r.remaining for r in occupancy.availability_by_category(eq, res, mem, win).collect()}
+    assert got == {"ski": 1}
+
+
+def test_sku_rows(spark):
+    from slopebook.operators import catalog
+    goods = spark.createDataFrame([("cap", 2, "Cap", 2800, ["knit", "baseball"]),
+                                   ("badge", 1, "Badge", 400, ["A", "B", "C", "D"])],
+                                  "category string, position int, name string, price int, variants array<string>")
+    rows = [(r.category, r.variant_no, r.name) for r in catalog.sku_rows(goods).collect()]
+    assert rows[:2] == [("badge", 1, "Badge A"), ("badge", 2, "Badge B")] and rows[-1] == ("cap", 2, "Cap baseball")
+    assert len(rows) == 6
