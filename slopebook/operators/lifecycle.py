@@ -67,7 +67,7 @@ def lookup_v1(lookups: DataFrame, reservations: DataFrame, items: DataFrame, equ
                     F.coalesce(F.size("lines"), F.lit(0)).alias("n_items")))
 
 
-def member_text(m: Column) -> Column:
+def member_text(m) -> Column:
     """One member of the v2 answer as ``no:height:shoe:board:child:age:gender:stance:nick:set:addons``."""
     return F.concat_ws(":", *[_null_text(m[f]) for f in (
         "member_no", "height_cm", "shoe_cm", "board_type", "is_child", "age", "gender", "stance",
@@ -82,12 +82,14 @@ def lookup_v2(lookups: DataFrame, reservations: DataFrame, members: DataFrame) -
     """
     m = _matched(lookups, reservations, "left")
     ids = m.where(F.col("reservation_id").isNotNull()).select("reservation_id").distinct()
+    # Member text is built on the member row (code generated), then collected.
+    mrow = {c: F.col(c) for c in members.columns}
     ms = (members.join(ids, "reservation_id", "left_semi")
+          .select("reservation_id", "member_no", member_text(mrow).alias("t"))
           .groupBy("reservation_id")
-          .agg(F.array_sort(F.collect_list(F.struct("member_no", F.struct(*members.columns).alias("m"))))
-               .alias("ms")))
+          .agg(F.array_sort(F.collect_list(F.struct("member_no", "t"))).alias("ms")))
     found = F.col("reservation_id").isNotNull()
-    texts = F.transform("ms", lambda x: member_text(x["m"]))
+    texts = F.col("ms.t")
     return (m.join(ms, "reservation_id", "left")
             .select("lookup_id",
                     F.when(found, F.col("k_code")).alias("reservation_code"), "status", "rental_date",

@@ -144,8 +144,12 @@ def pg_text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("null"))
 
 
-def staff_member_line(m: Column, days: Column) -> Column:
-    """One member row of the staff card (text inside the row's div)."""
+def staff_member_line(m, days: Column) -> Column:
+    """One member row of the staff card (text inside the row's div).
+
+    ``m`` maps member field names to columns (plain member-row columns, so the
+    expression is code-generated).
+    """
     esc = pg.html_escape
     who = F.concat(F.when(m["is_child"], "子供").otherwise("大人"),
                    F.when(F.coalesce(m["nickname"], F.lit("")) != "",
@@ -179,11 +183,21 @@ def staff_list(reservations: DataFrame, members: DataFrame, items: DataFrame, eq
     (semi-join first), then embedded with one left join each.
     """
     r = staff_filter(reservations, day, status)
-    ids = r.select(F.col("id").alias("reservation_id"))
-    ms = (members.join(ids, "reservation_id", "left_semi").groupBy("reservation_id")
-          .agg(F.array_sort(F.collect_list(F.struct("member_no", F.struct(*members.columns).alias("m"))))
-               .alias("ms")))
-    it = (items.join(ids, "reservation_id", "left_semi")
+    rd = r.select(F.col("id").alias("reservation_id"),
+                  pricing.rental_days(F.col("rental_date"), F.col("return_date")).alias("days"))
+    # Each member's line and price are plain columns of the member row (code
+    # generated); only finished strings are collected per reservation.
+    mj = members.join(rd, "reservation_id")
+    mc = {c: F.col(c) for c in members.columns}
+    price = pricing.member_price(F.col("set_type"), F.col("is_child"), F.col("addons"), F.col("days"))
+    ms = (mj.select("reservation_id", "member_no", staff_member_line(mc, F.col("days")).alias("line"),
+                    price.alias("price"))
+          .groupBy("reservation_id")
+          .agg(F.array_sort(F.collect_list(F.struct("member_no", "line"))).alias("ls"),
+               F.count(F.lit(1)).alias("n_members"),
+               F.bool_and(F.col("price").isNotNull()).alias("all_set"),
+               F.sum("price").alias("total")))
+    it = (items.join(rd.select("reservation_id"), "reservation_id", "left_semi")
           .join(equipment.select(F.col("id").alias("equipment_item_id"), "category", "size_label"),
                 "equipment_item_id", "left")
           .groupBy("reservation_id")
@@ -194,19 +208,13 @@ def staff_list(reservations: DataFrame, members: DataFrame, items: DataFrame, eq
                        F.col("quantity").cast("string")).alias("t")))).alias("its")))
     j = (r.join(ms, r.id == ms.reservation_id, "left").drop("reservation_id")
          .join(it, r.id == it.reservation_id, "left").drop("reservation_id"))
-    days = pricing.rental_days(F.col("rental_date"), F.col("return_date"))
-    prices = F.transform(F.coalesce("ms", F.array()),
-                         lambda x: pricing.member_price(x["m"]["set_type"], x["m"]["is_child"],
-                                                        x["m"]["addons"], days))
-    n_members = F.coalesce(F.size("ms"), F.lit(0))
-    all_set = F.forall(prices, lambda p: p.isNotNull())
-    total = F.aggregate(prices, F.lit(0).cast("long"), lambda a, p: a + F.coalesce(p, F.lit(0).cast("long")))
+    n_members = F.coalesce(F.col("n_members"), F.lit(0)).cast("int")
     detail = F.when(n_members > 0, F.concat(
         F.lit("ご利用者（"), n_members.cast("string"), F.lit("名）"),
-        F.array_join(F.transform("ms", lambda x: staff_member_line(x["m"], days)), "\n"),
-        F.lit("\n合計（目安・現金）："), F.when(all_set, pg.yen(total)).otherwise(F.lit("—")))
+        F.array_join(F.col("ls.line"), "\n"),
+        F.lit("\n合計（目安・現金）："), F.when(F.col("all_set"), pg.yen(F.col("total"))).otherwise(F.lit("—")))
     ).otherwise(F.concat(F.lit("用具: "), F.coalesce(
-        F.nullif(F.array_join(F.transform("its", lambda x: x["t"]), "、"), F.lit("")), F.lit("—"))))
+        F.nullif(F.array_join(F.col("its.t"), "、"), F.lit("")), F.lit("—"))))
     return (j.orderBy(F.col("rental_date").desc(), F.col("created_at").desc())
             .select("id", "reservation_code", "rental_date", "return_date", "status",
                     F.concat(pg.html_escape(F.col("customer_name")), F.lit(" 様")).alias("name_text"),

@@ -129,8 +129,10 @@ def translate(df: DataFrame, text_col: str, lang: str, dictionary: DataFrame) ->
     # Everything after the Japanese test runs only for rows that pass it;
     # most text (and all of the test corpus) stops after two regex scans.
     jp = F.col("_jp")
-    base = (df.withColumn("_k", normalise(raw))
-            .withColumn("_jp", F.col("_k").rlike(JP))
+    # The Japanese test does not depend on whitespace, so it runs on the raw
+    # text and normalisation runs only for rows that pass it.
+    base = (df.withColumn("_jp", raw.rlike(JP))
+            .withColumn("_k", F.when(F.col("_jp"), normalise(raw)))
             .withColumn("_pre", F.when(jp, F.regexp_extract("_k", PRE, 1)))
             .withColumn("_rest", F.when(jp, F.expr("substring(_k, length(_pre) + 1)")))
             .withColumn("_suf", F.when(jp, F.regexp_extract("_rest", SUF, 1)))
@@ -155,7 +157,7 @@ def translate(df: DataFrame, text_col: str, lang: str, dictionary: DataFrame) ->
     j = j.withColumn("_terms_ok", F.col("_short") & (terms_out != cc) & ~dirty)
     stripped = (pp != "") | (ss != "")
     inner_ok = stripped & (cc != "") & cc.rlike(JP)
-    tr = (F.when((kk == "") | ~jp, F.lit(None))
+    tr = (F.when(~jp | (kk == ""), F.lit(None))
           .when(F.col("_d_k").isNotNull(), F.col("_d_k"))
           .when(F.col("_rule_k").isNotNull(), F.col("_rule_k"))
           .when(inner_ok & F.col("_d_core").isNotNull(), F.concat(pp, F.col("_d_core"), ss))
