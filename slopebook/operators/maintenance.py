@@ -20,9 +20,12 @@ CATEGORIES = ("ski", "snowboard", "boots")
 STATUSES = ("pending", "confirmed", "cancelled")
 
 
-def _violations(df: DataFrame, table: str, name: str, bad: Column, key: Column) -> DataFrame:
-    return df.where(bad).select(F.lit(table).alias("table_name"), F.lit(name).alias("constraint_name"),
-                                key.cast("string").alias("key"))
+def _row_checks(df: DataFrame, table: str, key: Column, checks: list[tuple[str, Column]]) -> DataFrame:
+    """All row-level checks of one table in one pass: an array of the violated
+    constraint names per row, exploded."""
+    names = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks]), lambda x: x.isNotNull())
+    return (df.select(key.cast("string").alias("key"), F.explode(names).alias("constraint_name"))
+            .select(F.lit(table).alias("table_name"), "constraint_name", "key"))
 
 
 def _dupes(df: DataFrame, table: str, name: str, cols: list[str]) -> DataFrame:
@@ -44,35 +47,37 @@ def audit(equipment: DataFrame, reservations: DataFrame, items: DataFrame, membe
     """A3: one row per (table, constraint, key) violated.
 
     Declared keys, NOT NULL, CHECK and foreign keys of the schema scripts;
-    uniqueness of (category, size_label) is per shop.
+    uniqueness of (category, size_label) is per shop.  Row-level checks of a
+    table are one pass; keys are aggregates; foreign keys are anti-joins.
     """
     e, r, i, m = equipment, reservations, items, members
+    member_key = F.concat_ws("|", F.col("reservation_id").cast("string"), F.col("member_no").cast("string"))
     parts = [
         _dupes(e, "equipment_items", "pk_id", ["id"]),
         _dupes(e, "equipment_items", "unique_category_size", ["shop_id", "category", "size_label"]),
-        _violations(e, "equipment_items", "check_category", ~F.coalesce(F.col("category").isin(*CATEGORIES),
-                                                                        F.lit(False)), F.col("id")),
-        _violations(e, "equipment_items", "check_total_quantity", F.col("total_quantity") < 0, F.col("id")),
-        _violations(e, "equipment_items", "not_null", F.col("size_label").isNull() | F.col("total_quantity").isNull()
-                    | F.col("is_active").isNull(), F.col("id")),
+        _row_checks(e, "equipment_items", F.col("id"), [
+            ("check_category", ~F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False))),
+            ("check_total_quantity", F.col("total_quantity") < 0),
+            ("not_null", F.col("size_label").isNull() | F.col("total_quantity").isNull()
+             | F.col("is_active").isNull()),
+        ]),
         _dupes(r, "reservations", "pk_id", ["id"]),
         _dupes(r, "reservations", "unique_reservation_code", ["reservation_code"]),
-        _violations(r, "reservations", "check_party_size", F.col("party_size") <= 0, F.col("id")),
-        _violations(r, "reservations", "check_status", ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)),
-                    F.col("id")),
-        _violations(r, "reservations", "not_null", F.col("reservation_code").isNull() | F.col("rental_date").isNull()
-                    | F.col("customer_name").isNull() | F.col("customer_phone").isNull()
-                    | F.col("party_size").isNull() | F.col("eve_pickup").isNull(), F.col("id")),
-        _violations(i, "reservation_items", "check_quantity", F.col("quantity") <= 0, F.col("reservation_id")),
+        _row_checks(r, "reservations", F.col("id"), [
+            ("check_party_size", F.col("party_size") <= 0),
+            ("check_status", ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))),
+            ("not_null", F.col("reservation_code").isNull() | F.col("rental_date").isNull()
+             | F.col("customer_name").isNull() | F.col("customer_phone").isNull()
+             | F.col("party_size").isNull() | F.col("eve_pickup").isNull()),
+        ]),
+        _row_checks(i, "reservation_items", F.col("reservation_id"), [("check_quantity", F.col("quantity") <= 0)]),
         _orphans(i, r, "reservation_id", "id", "reservation_items", "fk_reservation"),
         _orphans(i, e, "equipment_item_id", "id", "reservation_items", "fk_equipment"),
-        _violations(m, "reservation_members", "check_height", ~F.col("height_cm").between(80, 220),
-                    F.concat_ws("|", F.col("reservation_id").cast("string"), F.col("member_no").cast("string"))),
-        _violations(m, "reservation_members", "check_shoe", ~F.col("shoe_cm").between(14, 33),
-                    F.concat_ws("|", F.col("reservation_id").cast("string"), F.col("member_no").cast("string"))),
-        _violations(m, "reservation_members", "check_board_type",
-                    ~F.coalesce(F.col("board_type").isin("ski", "snowboard", "none"), F.lit(False)),
-                    F.concat_ws("|", F.col("reservation_id").cast("string"), F.col("member_no").cast("string"))),
+        _row_checks(m, "reservation_members", member_key, [
+            ("check_height", ~F.col("height_cm").between(80, 220)),
+            ("check_shoe", ~F.col("shoe_cm").between(14, 33)),
+            ("check_board_type", ~F.coalesce(F.col("board_type").isin("ski", "snowboard", "none"), F.lit(False))),
+        ]),
         _orphans(m, r, "reservation_id", "id", "reservation_members", "fk_reservation"),
         _dupes(closed_dates, "closed_dates", "pk_closed_date", ["closed_date"]),
     ]

@@ -291,6 +291,8 @@ _SOURCES = {
     "fx_cancel_requests": ["events", "orders"], "fx_equipment_feed": ["part"],
     "fx_equipment_changes": ["lineitem"], "fx_pages": ["pages"],
 }
+DERIVED = tuple(_SOURCES)
+
 # Bump when a derivation changes, so stale copies are not reused.
 _VERSION = "3"
 
