@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slopebook.functions import pgcompat as pg
+from slopebook.operators import occupancy as occ
 from slopebook.operators import requests as rq
-from slopebook.plans.session import ensure_checkpoint_dir
+from slopebook.plans.session import materialize
 
 ADMIT_SCHEMA = T.StructType([
     T.StructField("request_id", T.IntegerType()),
@@ -125,12 +126,19 @@ def admit(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, me
     Returns request_id, shop_id, accepted, code, reservation_code (E8, only
     for accepted requests).
     """
-    req = (rq.with_v2_code(requests, closed_dates, as_of)
-           .select("request_id", "shop_id", "requested_at", "start", "end", "eve_pickup", "members", "code",
-                   rq.members_ok().alias("consumer")))
+    # Request-level facts, computed once (the member checks are array
+    # lambdas): code, consumer flag, needs per type.  The members array is
+    # not needed after this, so the slim table is written once and read by
+    # every branch.
+    req = materialize(
+        rq.with_v2_code(requests, closed_dates, as_of)
+        .select("request_id", "shop_id", "requested_at", "code", "end",
+                occ.occupied_from(F.col("eve_pickup"), F.col("start")).alias("from"),
+                rq.members_ok().alias("consumer"), rq.type_needs().alias("needs")),
+        "admission-requests")
     cand = req.where(F.col("code").isNull())
 
-    cells = rq.cells_with_state(rq.request_cells(cand), equipment, reservations, members)
+    cells = rq.cells_with_state(rq.cells_from_needs(cand, ("consumer",)), equipment, reservations, members)
     # Per cell: the need of all consumers, and the largest need of a
     # non-consumer (it is stock-checked on top of whatever was accepted
     # before it, but never adds to the count).
@@ -140,10 +148,9 @@ def admit(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, me
     cells = cells.join(w_demand, ["shop_id", "category", "day"], "left")
     safe = (F.col("category").isNotNull()
             & (F.col("used") + F.col("demand") + F.col("probe") <= F.col("total")))
-    # Three branches read the cell table: cut its lineage once (reliable
-    # checkpoint in the shared checkpoint folder; survives executor loss).
-    ensure_checkpoint_dir(cells.sparkSession)
-    cells = cells.withColumn("safe", safe).checkpoint(eager=True)
+    # Three branches read the cell table: cut its lineage once, as a parquet
+    # table in the shared checkpoint folder (survives executor loss).
+    cells = materialize(cells.withColumn("safe", safe), "admission-cells")
 
     contended_ids = cells.where(~F.col("safe")).select("request_id").distinct()
     decided = (cand.join(contended_ids, "request_id", "left_anti")

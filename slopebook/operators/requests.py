@@ -115,26 +115,35 @@ def board_needs(requests: DataFrame) -> DataFrame:
             .groupBy("request_id", "category").agg(F.count(F.lit(1)).cast("int").alias("need")))
 
 
+def type_needs() -> Column:
+    """D8 as a column: array of (category, need) for the request's board types
+    ('none' rents nothing; a NULL type is kept).  Array functions over the
+    request's own members: no explode, no shuffle."""
+    types = F.array_distinct(F.transform(F.filter("members", lambda m: m["board_type"].isNull()
+                                                  | (m["board_type"] != "none")), lambda m: m["board_type"]))
+    return F.transform(types, lambda t: F.struct(
+        t.alias("category"),
+        F.size(F.filter("members", lambda m: m["board_type"].eqNullSafe(t))).cast("int").alias("need")))
+
+
+def cells_from_needs(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(request, category, day) rows from ``from``/``end``/``needs`` columns."""
+    per = df.select("request_id", "shop_id", "requested_at", *keep, "from", "end",
+                    F.explode("needs").alias("cn"))
+    return per.select("request_id", "shop_id", "requested_at", *keep, F.col("cn.category").alias("category"),
+                      F.col("cn.need").alias("need"), F.explode(F.sequence("from", "end")).alias("day"))
+
+
 def request_cells(requests: DataFrame) -> DataFrame:
     """(request, category, day) cells a request would occupy, with its need.
 
     Expects requests that passed E5 (range valid and at most 31 days).
     """
-    extra = [c for c in ("consumer",) if c in requests.columns]
-    # Need per (request, type) without a shuffle: a request's members sit in
-    # one row, so count them with array functions instead of explode +
-    # group by request_id.
-    types = F.array_distinct(F.transform(F.filter("members", lambda m: m["board_type"].isNull()
-                                                  | (m["board_type"] != "none")), lambda m: m["board_type"]))
-    per = requests.select("request_id", "shop_id", "requested_at", *extra,
-                          occ.occupied_from(F.col("eve_pickup"), F.col("start")).alias("from"), F.col("end"),
-                          F.explode(F.transform(types, lambda t: F.struct(
-                              t.alias("category"),
-                              F.size(F.filter("members", lambda m: m["board_type"].eqNullSafe(t))).alias("need"))))
-                          .alias("cn"))
-    return per.select("request_id", "shop_id", "requested_at", *extra, F.col("cn.category").alias("category"),
-                      F.col("cn.need").cast("int").alias("need"),
-                      F.explode(F.sequence("from", "end")).alias("day"))
+    extra = tuple(c for c in ("consumer",) if c in requests.columns)
+    slim = requests.select("request_id", "shop_id", "requested_at", *extra,
+                           occ.occupied_from(F.col("eve_pickup"), F.col("start")).alias("from"), "end",
+                           type_needs().alias("needs"))
+    return cells_from_needs(slim, extra)
 
 
 def cells_with_state(cells: DataFrame, equipment: DataFrame, reservations: DataFrame,

@@ -51,3 +51,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as parquet in the shared checkpoint folder.
+
+    Columnar and compressed, so cheaper than ``Dataset.checkpoint()`` (which
+    serialises rows); like it, the result survives executor loss.  Each call
+    writes a fresh folder.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/materialized/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -33,7 +33,7 @@ from slopebook.functions import pgcompat as pg
 from slopebook.operators import occupancy as occ
 from slopebook.operators import requests as rq
 from slopebook.operators.admission import MEMBER_ROWS_REJECTED
-from slopebook.plans.session import ensure_checkpoint_dir
+from slopebook.plans.session import materialize
 
 DECISION_SCHEMA = T.StructType([
     T.StructField("request_id", T.IntegerType()), T.StructField("shop_id", T.IntegerType()),
@@ -90,8 +90,8 @@ def prepare(requests: DataFrame, equipment: DataFrame, reservations: DataFrame,
     if rows.isStreaming:
         # Static sides are read by every micro-batch: compute them once and
         # cut their lineage (small: shops x days).
-        ensure_checkpoint_dir(rows.sparkSession)
-        closed, used, stock = (x.checkpoint(eager=True) for x in (closed, used, stock))
+        closed, used, stock = (materialize(x, f"j3-static-{n}") for n, x in
+                               (("closed", closed), ("used", used), ("stock", stock)))
     return (rows.join(closed, "day", "left").join(used, ["shop_id", "day"], "left").join(stock, "shop_id", "left")
             .select("shop_id", "requested_at", "request_id", "start", "end", "eve", "pre_code", "eve_in_past",
                     "bad_type", "members_ok", "need_ski", "need_snowboard", "need_null", "day",
