@@ -66,10 +66,13 @@ def html_escape(c: Column, quotes: bool = True) -> Column:
     and (staff pages only) ``'``.  NULL becomes ''."""
     s = F.coalesce(c.cast("string"), F.lit(""))
     s = F.replace(s, F.lit("&"), F.lit("&amp;"))
+    if not quotes:
+        # Lookup page order: & " < > (no single quote).
+        s = F.replace(s, F.lit('"'), F.lit("&quot;"))
     s = F.replace(s, F.lit("<"), F.lit("&lt;"))
     s = F.replace(s, F.lit(">"), F.lit("&gt;"))
-    s = F.replace(s, F.lit('"'), F.lit("&quot;"))
     if quotes:
+        s = F.replace(s, F.lit('"'), F.lit("&quot;"))
         s = F.replace(s, F.lit("'"), F.lit("&#39;"))
     return s
 

@@ -227,3 +227,55 @@ def staff_list(reservations: DataFrame, members: DataFrame, items: DataFrame, eq
                            F.concat(F.lit("ご要望: "), pg.html_escape(F.col("notes")))).alias("notes_text"),
                     (F.col("status") == "pending").alias("can_confirm"),
                     (F.col("status") != "cancelled").alias("can_cancel")))
+
+
+def lookup_member_row(m) -> Column:
+    """E16 (lookup page): one member row without its position prefix:
+    ``<height>cm / <shoe>cm［<board>］`` then `` / ``-joined extras (gender,
+    age when non-zero, stance for snowboarders).  Member fields are not
+    escaped on that page; shoe sizes print as JavaScript numbers."""
+    extra = F.array_compact(F.array(
+        F.when(F.coalesce(m["gender"], F.lit("")) != "", _label(m["gender"], GENDER_LABEL, m["gender"])),
+        F.when(F.coalesce(m["age"], F.lit(0)) != 0, F.concat(m["age"].cast("string"), F.lit("歳"))),
+        F.when((m["board_type"] == "snowboard") & (F.coalesce(m["stance"], F.lit("")) != ""),
+               _label(m["stance"], LOOKUP_STANCE_LABEL, m["stance"])),
+    ))
+    return F.concat(pg_text_or_empty(m["height_cm"]), F.lit("cm / "),
+                    F.coalesce(js_number(m["shoe_cm"]), F.lit("null")), F.lit("cm［"),
+                    F.coalesce(_label(m["board_type"], LOOKUP_BOARD_LABEL, m["board_type"]), F.lit("undefined")),
+                    F.lit("］"),
+                    F.when(F.size(extra) > 0, F.concat(F.lit("｜"), F.array_join(extra, " / "))).otherwise(""))
+
+
+def lookup_card(lookups: DataFrame, reservations: DataFrame, members: DataFrame) -> DataFrame:
+    """E16 (lookup page): the card shown for a found (code, phone) lookup.
+
+    Matching as in E10; member rows are numbered by their position in
+    member_no order.  Only the customer name is escaped (4 characters).
+    """
+    from slopebook.operators import lifecycle
+    m = lifecycle._matched(lookups, reservations, "inner")
+    ids = m.select("reservation_id").distinct()
+    mrow = {c: F.col(c) for c in members.columns}
+    ms = (members.join(ids, "reservation_id", "left_semi")
+          .select("reservation_id", "member_no", F.col("is_child"), lookup_member_row(mrow).alias("row"))
+          .groupBy("reservation_id")
+          .agg(F.array_sort(F.collect_list(F.struct("member_no", "is_child", "row"))).alias("ms")))
+    rows = F.transform("ms", lambda x, i: F.concat(
+        F.lit("利用者"), (i + 1).cast("string"), F.lit("（"),
+        F.when(x["is_child"], "お子様").otherwise("大人"), F.lit("）｜"), x["row"]))
+    adults = F.col("adults")
+    kids = F.coalesce(F.col("children"), F.lit(0))
+    party = F.when(adults.isNotNull(), F.concat(
+        F.lit("大人 "), adults.cast("string"), F.lit("名"),
+        F.when(kids != 0, F.concat(F.lit(" / 子供 "), kids.cast("string"), F.lit("名"))).otherwise(""))) \
+        .otherwise("")
+    return (m.join(ms, "reservation_id", "left")
+            .select("lookup_id", F.col("k_code").alias("reservation_code"),
+                    F.coalesce(_label(F.col("status"), LOOKUP_STATUS_LABEL), F.col("status")).alias("status_label"),
+                    period_text(F.col("rental_date"), F.col("return_date")).alias("period_text"),
+                    F.when(F.col("eve_pickup"), F.lit("前日受け取り: 希望する")).alias("eve_text"),
+                    F.concat(pg.html_escape(F.col("customer_name"), quotes=False), F.lit(" 様")).alias("name_text"),
+                    party.alias("party_text"),
+                    F.coalesce(F.array_join(rows, "\n"), F.lit("")).alias("members_text"),
+                    (F.col("status") != "cancelled").alias("can_cancel")))

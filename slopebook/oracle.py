@@ -785,3 +785,42 @@ from fx_equipment
 """, "fx_equipment")
 
 ORACLE["a7_append_versions"] = W("select id, page_key, created_at from fx_pages", "fx_pages")
+
+ORACLE["e16_lookup_card"] = W("""
+, mrows as (
+  select reservation_id, member_no,
+    '利用者' || cast(row_number() over (partition by reservation_id order by member_no) as varchar) || '（'
+      || case when is_child then 'お子様' else '大人' end || '）｜'
+      || coalesce(cast(height_cm as varchar), 'null') || 'cm / '
+      || coalesce(regexp_replace(cast(shoe_cm as varchar), '\\.0$', ''), 'null') || 'cm［'
+      || coalesce(case board_type when 'ski' then 'スキー' when 'snowboard' then 'スノーボード'
+                  when 'none' then '板のレンタルなし' else board_type end, 'undefined') || '］'
+      || coalesce('｜' || nullif(array_to_string(list_filter([
+           case when coalesce(gender, '') <> '' then
+             coalesce(case gender when 'male' then '男性' when 'female' then '女性' end, gender) end,
+           case when coalesce(age, 0) <> 0 then cast(age as varchar) || '歳' end,
+           case when board_type = 'snowboard' and coalesce(stance, '') <> '' then
+             coalesce(case stance when 'regular' then 'レギュラー' when 'goofy' then 'グーフィー'
+                      when 'unknown' then 'スタンス未定' end, stance) end
+         ], lambda x: x is not null), ' / '), ''), '') as row
+  from fx_members)
+, ms as (select reservation_id, string_agg(row, chr(10) order by member_no) as members_text from mrows group by 1)
+select l.lookup_id, r.reservation_code,
+  coalesce(case r.status when 'pending' then '予約受付中' when 'confirmed' then '予約確定'
+           when 'cancelled' then 'キャンセル済み' end, r.status) as status_label,
+  case when r.rental_date = coalesce(r.return_date, r.rental_date)
+    then strftime(r.rental_date, '%Y-%m-%d') || '（日帰り）'
+    else strftime(r.rental_date, '%Y-%m-%d') || ' 〜 ' || strftime(r.return_date, '%Y-%m-%d') || '（'
+      || cast(datediff('day', r.rental_date, r.return_date) + 1 as varchar) || '日間）' end as period_text,
+  case when r.eve_pickup then '前日受け取り: 希望する' end as eve_text,
+  replace(replace(replace(replace(coalesce(r.customer_name, ''), '&', '&amp;'), '"', '&quot;'), '<', '&lt;'),
+          '>', '&gt;') || ' 様' as name_text,
+  case when r.adults is not null then '大人 ' || cast(r.adults as varchar) || '名'
+    || case when coalesce(r.children, 0) <> 0 then ' / 子供 ' || cast(r.children as varchar) || '名' else '' end
+    else '' end as party_text,
+  coalesce(ms.members_text, '') as members_text,
+  r.status <> 'cancelled' as can_cancel
+from fx_lookups l
+join fx_reservations r on r.reservation_code = upper(trim(l.code)) and r.customer_phone = trim(l.phone)
+left join ms on ms.reservation_id = r.id
+""", "fx_lookups", "fx_reservations", "fx_members")

@@ -482,3 +482,9 @@ def q_a7(spark, d):
     pv = fx.table(spark, d, "fx_pages")
     cols = ["id", "page_key", "created_at"]
     return mt.append(pv.where(F.col("id") < 100).select(*cols), pv.where(F.col("id") >= 100).select(*cols))
+
+
+@register("e16_lookup_card")
+def q_e16l(spark, d):
+    t = _base(spark, d)
+    return lists.lookup_card(fx.table(spark, d, "fx_lookups"), t["reservations"], t["members"])
