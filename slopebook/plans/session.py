@@ -38,6 +38,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -65,3 +66,32 @@ def materialize(df, name: str):
     path = f"{ensure_checkpoint_dir(spark)}/materialized/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``slopebook`` importable in Python workers (pandas UDFs, grouped
+    maps, streaming state functions): zip the package once per session and
+    ``addPyFile`` it, so Spark copies it to every executor."""
+    import hashlib
+    import zipfile
+    sc = spark.sparkContext
+    if getattr(sc, "_slopebook_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    files = sorted(os.path.join(r, f) for r, _d, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+    digest = hashlib.sha256()
+    for f in files:
+        with open(f, "rb") as fh:
+            digest.update(f.encode() + fh.read())
+    root = ensure_checkpoint_dir(spark)
+    folder = root if "://" not in root else tempfile.mkdtemp(prefix="slopebook-pyfiles-")
+    os.makedirs(os.path.join(folder, "pyfiles"), exist_ok=True)
+    path = os.path.join(folder, "pyfiles", f"slopebook-{digest.hexdigest()[:16]}.zip")
+    if not os.path.exists(path):
+        tmp = path + ".part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, os.path.join("slopebook", os.path.relpath(f, pkg)))
+        os.replace(tmp, path)
+    sc.addPyFile(path)
+    sc._slopebook_shipped = True
