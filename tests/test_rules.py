@@ -244,3 +244,31 @@ def test_sku_rows(spark):
     rows = [(r.category, r.variant_no, r.name) for r in catalog.sku_rows(goods).collect()]
     assert rows[:2] == [("badge", 1, "Badge A"), ("badge", 2, "Badge B")] and rows[-1] == ("cap", 2, "Cap baseball")
     assert len(rows) == 6
+
+
+def test_asset_name_and_yen(spark):
+    from slopebook.functions import pgcompat as pg
+    df = spark.createDataFrame([("雪 photo (1).JPG", 1234567), ("a😀b.png", 0)], "n string, v long")
+    got = [(r.a, r.y) for r in df.select(pg.safe_asset_name(F.col("n")).alias("a"),
+                                         pg.yen(F.col("v")).alias("y")).collect()]
+    assert got == [("__photo__1_.JPG", "¥1,234,567"), ("a__b.png", "¥0")]
+
+
+def test_hot_shop_gives_same_occupancy_as_spread_keys(spark):
+    """A third of all reservations in one shop: same per-cell counts as a direct count."""
+    rows, mem = [], []
+    for i in range(300):
+        shop = 0 if i % 3 == 0 else i % 7 + 1
+        rows.append(res_row(i, D(2025, 1, 10 + i % 5), D(2025, 1, 12 + i % 5), shop=shop))
+        mem.append((i, 1, "ski"))
+    res = spark.createDataFrame(rows, RES_COLS)
+    m = spark.createDataFrame(mem, "reservation_id int, member_no int, board_type string")
+    got = {(r.shop_id, r.day): r.used for r in
+           occupancy.daily_occupancy(res, m, D(2025, 1, 1), D(2025, 1, 31)).collect()}
+    want = {}
+    for r in rows:
+        d = r[3]
+        while d <= r[4]:
+            want[(r[1], d)] = want.get((r[1], d), 0) + 1
+            d += dt.timedelta(days=1)
+    assert got == want
