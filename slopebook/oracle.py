@@ -325,7 +325,7 @@ ORACLE["e13_price_members"] = W(_PRICE + "select reservation_id, member_no, pric
                                 "fx_members", "fx_reservations")
 
 ORACLE["e13_price_reservations"] = W(_PRICE + """
-select reservation_id, case when bool_and(price is not null) then sum(price) end as total,
+select reservation_id, case when bool_and(price is not null) then cast(sum(price) as bigint) end as total,
        bool_and(price is not null) as all_priced
 from pp group by 1
 """, "fx_members", "fx_reservations")
