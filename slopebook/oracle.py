@@ -204,7 +204,8 @@ from req
 """, *_REQ_FX)
 
 ORACLE["a8_member_rows"] = W("""
-select reservation_id, member_no, height_cm, shoe_cm, board_type, coalesce(is_child, false) as is_child,
+select reservation_id, member_no, height_cm, cast(shoe_cm as varchar) as shoe_cm, board_type,
+  coalesce(is_child, false) as is_child,
   age, gender, stance, nullif(trim(coalesce(nickname, '')), '') as nickname, set_type,
   array_to_string(addons, ',') as addons
 from fx_members

@@ -121,7 +121,8 @@ def q_a8r(spark, d):
 @register("a8_member_rows")
 def q_a8m(spark, d):
     m = rq.member_rows(fx.table(spark, d, "fx_requests_v2"))
-    return m.withColumn("addons", F.concat_ws(",", "addons"))
+    # Compared columns are scalars: addons as text, the numeric(4,1) as text.
+    return m.withColumn("addons", F.concat_ws(",", "addons")).withColumn("shoe_cm", F.col("shoe_cm").cast("string"))
 
 
 # --- lookup, cancel, status, pricing, notifications (E9-E15, B6) -----------
