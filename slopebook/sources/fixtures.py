@@ -312,117 +312,29 @@ def _fingerprint(d: str, name: str) -> str:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """The derived table ``name`` for dataset ``d``, materialised once."""
+    """The derived table ``name`` for dataset ``d``, materialised once.
+
+    Written to a unique folder and renamed into place, so two jobs deriving
+    the same table at once cannot corrupt it (the first rename wins).
+    """
     import os
+    import uuid
 
     from slopebook.plans.session import ensure_checkpoint_dir
     root = ensure_checkpoint_dir(spark)
     path = f"{root}/fixtures/{name}-{_fingerprint(d, name)}"
-    local = path.replace("file:", "", 1) if path.startswith("file:") else path
-    if "://" in local or not os.path.exists(f"{local}/_SUCCESS"):
-        if "://" in local:
-            try:
-                return spark.read.parquet(path)
-            except Exception:  # noqa: BLE001 - not written yet
-                pass
-        globals()[name](spark, d).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-# ---------------------------------------------------------------------------
-# The same derivations as DuckDB SQL (oracle side).  DAYS(x) = days since
-# 1995-01-01.  Each entry is a CTE body; ``with_fixtures`` prefixes the ones a
-# query names.
-# ---------------------------------------------------------------------------
-
-def _days_sql(x: str) -> str:
-    return f"datediff('day', date '1995-01-01', cast({x} as date))"
-
-
-_FOLD = f"({_days_sql('o_orderdate')} % 120)"
-
-FX_SQL: dict[str, str] = {
-    "fx_equipment": """
-select cast(p_partkey as int) as id, cast(p_partkey % 25 as int) as shop_id,
-  case p_size % 3 when 0 then 'ski' when 1 then 'snowboard' else 'boots' end as category,
-  concat(cast(p_partkey as varchar), 'cm') as size_label,
-  cast(p_partkey % 3 as int) as total_quantity, p_partkey % 11 <> 0 as is_active
-from part""",
-    "fx_reservations": f"""
-select cast(o_orderkey as int) as id, cast(o_custkey % 25 as int) as shop_id,
-  concat('YR-', lpad(cast(o_orderkey as varchar), 6, '0')) as reservation_code,
-  cast(date '2024-12-01' + cast({_FOLD} as int) as date) as rental_date,
-  case when o_orderkey % 7 = 0 then null
-       else cast(date '2024-12-01' + cast({_FOLD} + o_orderkey % 6 as int) as date) end as return_date,
-  o_orderkey % 5 = 0 as eve_pickup,
-  concat('Customer ', cast(o_custkey as varchar)) as customer_name,
-  concat('090', lpad(cast(o_custkey as varchar), 8, '0')) as customer_phone,
-  case when o_custkey % 3 = 0 then null else concat('c', cast(o_custkey as varchar), '@example.com') end
-    as customer_email,
-  cast(1 + o_orderkey % 4 as int) as party_size,
-  cast(null as int) as adults, cast(null as int) as children,
-  case o_orderstatus when 'P' then 'pending' when 'O' then 'confirmed' else 'cancelled' end as status,
-  case when o_orderkey % 9 = 0 then concat('<b>', o_orderpriority, '</b> & ''x''') end as notes,
-  o_orderdate as created_at, o_orderdate as updated_at, cast(null as timestamp) as cancelled_at
-from orders""",
-    "fx_members": """
-select cast(l_orderkey as int) as reservation_id,
-  cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity,
-    l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as int) as member_no,
-  cast(80 + l_partkey % 141 as int) as height_cm,
-  cast(14 + (l_suppkey % 39) * 0.5 as decimal(4,1)) as shoe_cm,
-  case l_linenumber % 3 when 0 then 'ski' when 1 then 'snowboard' else 'none' end as board_type,
-  l_returnflag = 'R' as is_child, cast(l_quantity as int) as age,
-  case l_suppkey % 3 when 0 then 'male' when 1 then 'female' end as gender,
-  case l_partkey % 3 when 0 then 'regular' when 1 then 'goofy' else 'unknown' end as stance,
-  case when l_linenumber = 1 then concat('K<', cast(l_suppkey as varchar), '>') end as nickname,
-  case l_partkey % 4 when 0 then 'gliding' when 1 then 'full' when 2 then 'none' else null end as set_type,
-  list_filter([case when l_suppkey % 2 = 1 then 'helmet' end, case when l_suppkey % 3 = 1 then 'goggle' end,
-               case when l_suppkey % 5 = 1 then 'sled' end], lambda x: x is not null) as addons
-from lineitem""",
-    "fx_items": """
-select cast(l_orderkey as int) as reservation_id, cast(l_partkey as int) as equipment_item_id,
-  cast(1 + l_linenumber % 2 as int) as quantity
-from lineitem""",
-    "fx_closed_dates": f"""
-select distinct cast(date '2024-12-01' + cast({_FOLD} as int) as date) as closed_date
-from orders where {_FOLD} % 17 = 3""",
-    "fx_lookups": """
-select cast(o_orderkey as int) as lookup_id,
-  concat(' ', lower(concat('yr-', lpad(cast(o_orderkey as varchar), 6, '0'))), ' ') as code,
-  concat(' 090', lpad(cast(o_custkey + case when o_orderkey % 4 = 0 then 1 else 0 end as varchar), 8, '0'), '  ')
-    as phone
-from orders""",
-    "fx_status_events": """
-select cast(event_id as bigint) as event_id, cast(user_id as int) as reservation_id, ts,
-  case event_type when 'signup' then 'created' when 'purchase' then 'confirm' else 'cancel' end as action
-from events where event_type in ('signup', 'purchase', 'error')""",
-    "fx_cancel_requests": """
-select cast(e.event_id as bigint) as request_id, e.ts as requested_at,
-  concat('yr-', lpad(cast(e.user_id as varchar), 6, '0'), ' ') as code,
-  concat('090', lpad(cast(o.o_custkey + case when e.event_id % 10 = 0 then 1 else 0 end as varchar), 8, '0'))
-    as phone
-from events e left join orders o on o.o_orderkey = e.user_id
-where e.event_type = 'error'""",
-    "fx_equipment_feed": """
-select cast(p_partkey as bigint) as feed_no,
-  case p_size % 3 when 0 then 'ski' when 1 then 'snowboard' else 'boots' end as category,
-  case when p_partkey % 29 = 0 then '  ' else concat(cast(p_size as varchar), 'cm') end as size_label,
-  cast(p_partkey % 7 - 1 as int) as total_quantity
-from part""",
-    "fx_equipment_changes": """
-select cast(l_orderkey * 100 + l_linenumber as bigint) as change_no, cast(l_partkey as int) as equipment_item_id,
-  cast(case when l_linenumber % 3 = 0 then -1 else 1 end as int) as delta,
-  (l_returnflag = 'A' and l_linenumber = 1) as toggle
-from lineitem""",
-    "fx_pages": """
-select cast(page_id as bigint) as id, concat('page-', cast(page_id % 40 as varchar)) as page_key, html,
-  coalesce(regexp_extract(html, '(?s)<style[^>]*>(.*?)</style>', 1), '') as css, '{}' as project_data,
-  timestamp '2025-01-01 00:00:00' + to_seconds(page_id) as created_at, 'staff' as created_by
-from pages""",
-}
-
-
-def with_fixtures(body: str, *names: str) -> str:
-    ctes = ",\n".join(f"{n} as ({FX_SQL[n]})" for n in names)
-    return f"with {ctes}\n{body}"
+    if "://" in path and not path.startswith("file:"):
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # noqa: BLE001 - not written yet
+            globals()[name](spark, d).write.mode("overwrite").parquet(path)
+            return spark.read.parquet(path)
+    local = path.replace("file:", "", 1)
+    if not os.path.exists(f"{local}/_SUCCESS"):
+        tmp = f"{local}.tmp-{uuid.uuid4().hex[:12]}"
+        globals()[name](spark, d).write.mode("overwrite").parquet(tmp)
+        try:
+            os.rename(tmp, local)
+        except OSError:
+            pass  # another job finished first; its copy is identical
+    return spark.read.parquet(local)
