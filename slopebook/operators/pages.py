@@ -132,18 +132,14 @@ class _RootExtractor(html.parser.HTMLParser):
     def __init__(self, root_id: str):
         super().__init__(convert_charrefs=False)
         self.root_id, self.depth, self.start, self.end, self.found = root_id, 0, None, None, False
-        self._pos_src = None
+        self._line_starts = [0]
 
     def _offset(self) -> int:
         line, col = self.getpos()
         return self._line_starts[line - 1] + col
 
     def feed_text(self, text: str) -> str | None:
-        self._line_starts = [0]
-        for i, ch in enumerate(text):
-            if ch == "\n":
-                self._line_starts.append(i + 1)
-        self._text = text
+        self._line_starts = [0] + [i + 1 for i, ch in enumerate(text) if ch == "\n"]
         self.feed(text)
         self.close()
         if self.start is None:

@@ -272,3 +272,12 @@ def test_hot_shop_gives_same_occupancy_as_spread_keys(spark):
             want[(r[1], d)] = want.get((r[1], d), 0) + 1
             d += dt.timedelta(days=1)
     assert got == want
+
+
+def test_root_extraction_handles_nesting(spark):
+    from slopebook.operators import pages
+    html = ('<html><body><div id="page-root"><div class="a"><p>x</p><br><img src="y"></div>'
+            '<div>z</div></div><div>after</div></body></html>')
+    df = spark.createDataFrame([(1, html), (2, "<p>none</p>")], "id long, html string")
+    got = {r.id: r.root_html for r in pages.extract_root_html(df).collect()}
+    assert got == {1: '<div class="a"><p>x</p><br><img src="y"></div><div>z</div>', 2: None}
