@@ -95,3 +95,16 @@ def ship_package(spark: SparkSession) -> None:
         os.replace(tmp, path)
     sc.addPyFile(path)
     sc._slopebook_shipped = True
+
+
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def prefer_rocksdb_state(spark: SparkSession) -> None:
+    """Keyed streaming state (one entry per reservation or shop) can grow to
+    many millions of keys: use the RocksDB state store (off-heap, incremental
+    checkpoints) unless the cluster already chose a provider."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    current = spark.conf.get(key, None)
+    if not current or current.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, ROCKSDB_PROVIDER)

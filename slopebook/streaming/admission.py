@@ -190,6 +190,8 @@ def run_admission_stream(spark, requests_dir: str, schema: T.StructType, equipme
                          reservations: DataFrame, members: DataFrame, closed_dates: DataFrame,
                          as_of: dt.date, lo: dt.date, hi: dt.date, out_dir: str, checkpoint: str,
                          max_files_per_trigger: int = 1) -> DataFrame:
+    from slopebook.plans.session import prefer_rocksdb_state
+    prefer_rocksdb_state(spark)
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(requests_dir))
     prepared = prepare(stream, equipment, reservations, members, closed_dates, as_of, lo, hi)

@@ -42,6 +42,8 @@ def write_outbox_batch(batch: DataFrame, epoch: int, outbox_dir: str, reservatio
 def run_outbox_stream(spark: SparkSession, events_dir: str, reservations: DataFrame, members: DataFrame,
                       shops: DataFrame, outbox_dir: str, checkpoint: str,
                       max_files_per_trigger: int = 1) -> DataFrame:
+    from slopebook.plans.session import prefer_rocksdb_state
+    prefer_rocksdb_state(spark)
     stream = (spark.readStream.schema(st.EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(events_dir))
     transitions = st.status_transitions(stream, reservations)

@@ -80,6 +80,8 @@ def status_transitions(events: DataFrame, reservations: DataFrame) -> DataFrame:
 def run_status_stream(spark, events_dir: str, reservations: DataFrame, out_dir: str, checkpoint: str,
                       max_files_per_trigger: int = 1) -> DataFrame:
     """Run J2 over the files in ``events_dir`` until they are consumed; return the transitions."""
+    from slopebook.plans.session import prefer_rocksdb_state
+    prefer_rocksdb_state(spark)
     stream = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(events_dir))
     q = (status_transitions(stream, reservations).writeStream.format("parquet")
