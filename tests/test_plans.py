@@ -32,3 +32,16 @@ def test_status_filter_reaches_scan(spark):
     df = E.queries()["b5_day_list"](spark, SF)
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(rental_date), EqualTo(rental_date" in text
+
+
+def test_admission_greedy_input_keeps_request_order(spark):
+    """The grouped pandas step must read rows in our (shop, time, request) sort
+    order; a planner-inserted re-sort on shop_id alone would break it."""
+    import re
+    df = E.queries()["e7_admit"](spark, SF)
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in p
+    sorts = re.findall(r"Sort \[([^\]]*)\]", p)
+    shop_sorts = [s for s in sorts if s.startswith("shop_id")]
+    assert shop_sorts and all("requested_at" in s for s in shop_sorts), shop_sorts
