@@ -116,10 +116,11 @@ ORACLE["e6_capacity_check"] = W(_REQ + _OCC_ALL + """
   select reservation_id as request_id, board_type as category, cast(count(*) as int) as need
   from fx_members where board_type is distinct from 'none' group by 1, 2)
 , cells0 as (
-  select v.request_id, v.shop_id, n.category, n.need,
-         unnest(generate_series(cast(case when v.eve_pickup then v."start" - 1 else v."start" end as timestamp),
-                                cast(v."end" as timestamp), interval 1 day)) as ts
-  from valid v join need n on n.request_id = v.request_id)
+  select v.request_id, v.shop_id, n.category, n.need, g.ts
+  from valid v join need n on n.request_id = v.request_id,
+  lateral (select unnest(generate_series(
+             cast(case when v.eve_pickup then v."start" - 1 else v."start" end as timestamp),
+             cast(v."end" as timestamp), interval 1 day)) as ts) g)
 , stock as (
   select shop_id, category, sum(total_quantity) as total from fx_equipment
   where is_active and category in ('ski', 'snowboard') group by 1, 2)
