@@ -43,14 +43,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only when unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="slopebook-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    """The shared folder for written intermediates, the same for every call of a session.
+
+    ``spark.checkpoint.dir`` of the session; else the folder set on the
+    context; else (local tests only) a new scratch folder.
+    """
+    sc = spark.sparkContext
+    current = (spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_slopebook_shared", None)
+               or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="slopebook-ckpt-"))
+    sc._slopebook_shared = current
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 
@@ -64,8 +67,9 @@ def materialize(df, name: str):
     import uuid
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/materialized/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    # With the schema given, an empty result reads back as an empty table.
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:
