@@ -20,7 +20,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slopebook.llm import curve_packing, line_dedup, quality_rules, secret_scan
+from slopebook.llm import curve_packing, line_dedup, ngram_join, quality_rules, secret_scan
 from slopebook.llm.common import table
 from slopebook.plans.session import materialize
 
@@ -34,7 +34,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    return ngram_join.keep_representatives(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from slopebook.llm import curve_packing, line_dedup, piece_tokens, quality_rules, secret_scan, url_filter
+from slopebook.llm import (ann_forest, bwt_dedup, curve_packing, html_blocks, line_dedup, ngram_join, piece_tokens,
+                           quality_rules, secret_scan, url_filter)
 from slopebook.llm.common import table
 
 QUERIES = {}
@@ -20,6 +21,13 @@ def query(fn):
     return fn
 
 
+@query
+def op1_html_blocks(spark, sf_dir):
+    """Main text of every page, by the recurrent labeller trained on a sample of the pages."""
+    pages = table(spark, sf_dir, "pages")
+    return html_blocks.extract(pages, html_blocks.fit(pages))
+
+
 @query
 def op2_quality_rules(spark, sf_dir):
     """Statistics, base check and the learned list's verdict of every document."""
@@ -28,6 +36,12 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.judge(docs, rules)
 
 
+@query
+def op3_bwt_dedup(spark, sf_dir):
+    """Bytes of every document that repeat a 100-byte string that starts earlier, as digests."""
+    return bwt_dedup.digest(bwt_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 @query
 def op4_secret_scan(spark, sf_dir):
     """Base secrets and random-looking tokens of every document."""
@@ -71,6 +85,12 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+@query
+def op7_ann_forest(spark, sf_dir):
+    """The 5 nearest vectors found of every vector whose id is divisible by 50."""
+    return ann_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     """Every document without the lines that are boilerplate on its source, and how many were dropped."""
@@ -101,3 +121,9 @@ def op9_curve_packing(spark, sf_dir):
     """Every document's tokens packed into sequences along the Hilbert curve."""
     return curve_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                         public_tokenizers.PATTERN)
+
+
+@query
+def op10_ngram_join(spark, sf_dir):
+    """Size of every document's set of 4-word shingles and its component of links at 85 percent."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), words=4, percent=85)
