@@ -77,6 +77,7 @@ def audit(equipment: DataFrame, reservations: DataFrame, items: DataFrame, membe
             ("check_height", ~F.col("height_cm").between(80, 220)),
             ("check_shoe", ~F.col("shoe_cm").between(14, 33)),
             ("check_board_type", ~F.coalesce(F.col("board_type").isin("ski", "snowboard", "none"), F.lit(False))),
+            ("not_null", F.col("member_no").isNull() | F.col("height_cm").isNull() | F.col("shoe_cm").isNull()),
         ]),
         _orphans(m, r, "reservation_id", "id", "reservation_members", "fk_reservation"),
         _dupes(closed_dates, "closed_dates", "pk_closed_date", ["closed_date"]),
@@ -123,24 +124,30 @@ def insert_report(target: DataFrame, feed: DataFrame, keys: list[str], order: st
 
 
 def equipment_feed_report(equipment: DataFrame, feed: DataFrame) -> DataFrame:
-    """A5 for equipment: size is trimmed; blank size -> INVALID_SIZE; quantity
+    """A5 for equipment: size is trimmed; blank or NULL size -> INVALID_SIZE; quantity
     NULL or < 0 -> INVALID_QUANTITY; duplicate (category, size) -> DUPLICATE."""
     f = feed.withColumn("size_label", F.trim("size_label"))
     return insert_report(equipment, f, ["category", "size_label"], "feed_no", [
-        (F.col("size_label") == "", "INVALID_SIZE"),
+        (F.coalesce("size_label", F.lit("")) == "", "INVALID_SIZE"),
         (F.col("total_quantity").isNull() | (F.col("total_quantity") < 0), "INVALID_QUANTITY"),
     ])
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
-    """Last write per key wins (target rows order before all changes)."""
+    """Last write per key wins (target rows order before all changes).
+
+    Columns that the changes do not name keep the target's value."""
     cols = target.columns
     both = (target.select(*cols, F.lit(0).alias("_src"))
             .unionByName(changes.select(*[F.col(c) if c in changes.columns else F.lit(None).alias(c) for c in cols],
                                         F.lit(1).alias("_src"))))
     rank = F.struct("_src", order)
-    return (both.groupBy(key).agg(F.max_by(F.struct(*[c for c in cols if c != key]), rank).alias("_row"))
-            .select(key, "_row.*"))
+    kept = [c for c in cols if c not in changes.columns]
+    aggs = [F.max_by(F.struct(*[c for c in cols if c != key and c not in kept]), rank).alias("_row")]
+    if kept:
+        aggs.append(F.max_by(F.struct(*kept), F.when(F.col("_src") == 0, F.lit(0))).alias("_kept"))
+    rows = both.groupBy(key).agg(*aggs)
+    return rows.select(key, *[F.col(f"_kept.{c}" if c in kept else f"_row.{c}") for c in cols if c != key])
 
 
 def append(target: DataFrame, rows: DataFrame) -> DataFrame:

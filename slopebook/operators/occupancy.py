@@ -37,28 +37,34 @@ def member_counts(members: DataFrame) -> DataFrame:
 
 
 def daily_occupancy(reservations: DataFrame, members: DataFrame,
-                    lo: dt.date | Column, hi: dt.date | Column) -> DataFrame:
-    """Members in use per (shop_id, category, day) for days in [lo, hi].
+                    lo: dt.date | Column | None = None, hi: dt.date | Column | None = None) -> DataFrame:
+    """Members in use per (shop_id, category, day), for days in [lo, hi]
+    where bounds are given.
 
     Active reservations only; an eve pickup occupies the day before; a NULL
     return date is a one-day rental.
     """
-    lo_c = lo if isinstance(lo, Column) else F.lit(lo)
-    hi_c = hi if isinstance(hi, Column) else F.lit(hi)
-    r = _active_spans(reservations).where((F.col("s") <= hi_c) & (F.col("e") >= lo_c))
+    r, first, last = _active_spans(reservations), F.col("s"), F.col("e")
+    if lo is not None:
+        lo_c = lo if isinstance(lo, Column) else F.lit(lo)
+        r, first = r.where(F.col("e") >= lo_c), F.greatest(first, lo_c)
+    if hi is not None:
+        hi_c = hi if isinstance(hi, Column) else F.lit(hi)
+        r, last = r.where(F.col("s") <= hi_c), F.least(last, hi_c)
     j = r.join(member_counts(members), "reservation_id")
     days = j.select("shop_id", "category", "n",
-                    F.explode(F.sequence(F.greatest(F.col("s"), lo_c), F.least(F.col("e"), hi_c)))
-                    .alias("day"))
+                    F.explode(F.sequence(first, last)).alias("day"))
     return days.groupBy("shop_id", "category", "day").agg(F.sum("n").cast("int").alias("used"))
 
 
 def _active_spans(reservations: DataFrame) -> DataFrame:
-    """Active reservations with their occupied span [s, e]."""
+    """Active reservations with their occupied span [s, e]; a return before
+    the first day occupies nothing."""
     return (reservations.where(F.col("status").isin(*ACTIVE))
             .select(F.col("id").alias("reservation_id"), "shop_id",
                     occupied_from(F.col("eve_pickup"), F.col("rental_date")).alias("s"),
-                    F.coalesce(F.col("return_date"), F.col("rental_date")).alias("e")))
+                    F.coalesce(F.col("return_date"), F.col("rental_date")).alias("e"))
+            .where("s <= e"))
 
 
 def category_stock(equipment: DataFrame) -> DataFrame:

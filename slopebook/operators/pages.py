@@ -12,6 +12,7 @@ rows per map task.
 from __future__ import annotations
 
 import html.parser
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -79,8 +80,15 @@ def version_nav(versions: DataFrame) -> DataFrame:
                            F.lead("id").over(w).alias("next_id"))
 
 
-def default_rewrite_rules(phone: str, old_handle: str, new_handle: str) -> list[tuple[str, str, str, str]]:
-    """E24 rules as (name, condition, pattern, replacement), applied in order.
+#: An element with the given class, up to its end tag.
+ROW = r'(?is)<(\w+)\b[^>]*\bclass\s*=\s*["\'](?:[^"\']*\s)?%s(?:\s[^"\']*)?["\'][^>]*>.*?</\1\s*>'
+
+
+def default_rewrite_rules(phone: str, old_handle: str, new_handle: str) -> list[tuple]:
+    """E24 rules as (name, condition, pattern, replacement[, class]), applied in order.
+
+    With a class, condition and pattern are tested and applied in each element
+    of that class alone.
 
     Re-aimed from the home page's repair hook: footer links chosen by their
     text, old opening hours next to the hours label, an old social handle,
@@ -94,14 +102,14 @@ def default_rewrite_rules(phone: str, old_handle: str, new_handle: str) -> list[
         ("faq_link", r"よくある|質問", r'(<a\b[^>]*href=")#("[^>]*>[^<]*(?:よくある|質問))', "$1pages/faq.html$2"),
         ("contact_link", r"問い合わせ", r'(<a\b[^>]*href=")#("[^>]*>[^<]*問い合わせ)', f"$1{tel}$2"),
         ("privacy_link", r"プライバシー", r'(<a\b[^>]*href=")#("[^>]*>[^<]*プライバシー)', "$1pages/privacy.html$2"),
-        ("hours_open", r"営業時間", r"8([:：])30", "8$100"),
-        ("hours_close", r"営業時間", r"18([:：])00", "17$100"),
+        ("hours_open", r"営業時間", r"8([:：])30", "8$1\\00", "access-row"),
+        ("hours_close", r"営業時間", r"18([:：])00", "17$1\\00", "access-row"),
         ("old_handle", old_handle, "@?" + old_handle, new_handle),
         ("booking_link", r"reserve\.html", r'href="[^"]*reserve\.html[^"]*"', f'href="{tel}"'),
     ]
 
 
-def rewrite_html(pages: DataFrame, rules: list[tuple[str, str, str, str]], col: str = "html") -> DataFrame:
+def rewrite_html(pages: DataFrame, rules: list[tuple], col: str = "html") -> DataFrame:
     """Apply ordered (condition, pattern, replacement) rules to each page.
 
     A rule fires when its condition and its pattern match the current text;
@@ -110,10 +118,16 @@ def rewrite_html(pages: DataFrame, rules: list[tuple[str, str, str, str]], col:
     ``n_rules_hit``.
     """
     out = pages.withColumn("n_rules_hit", F.lit(0))
-    for _name, cond, pat, rep in rules:
+    for _name, cond, pat, rep, *scope in rules:
         t = F.col(col)
-        out = (out.withColumn("_fire", t.rlike(cond) & t.rlike(pat))
-               .withColumn(col, F.when(F.col("_fire"), F.regexp_replace(t, pat, rep)).otherwise(t))
+        if scope:
+            rows = F.filter(F.regexp_extract_all(t, F.lit(ROW % re.escape(scope[0])), F.lit(0)), lambda r: r.rlike(cond) & r.rlike(pat))
+            new = F.aggregate(rows, t, lambda text, r: F.replace(text, r, F.regexp_replace(r, pat, rep)))
+            out = out.withColumn("_rows", rows).withColumn("_fire", F.size("_rows") > 0).drop("_rows")
+        else:
+            new = F.regexp_replace(t, pat, rep)
+            out = out.withColumn("_fire", t.rlike(cond) & t.rlike(pat))
+        out = (out.withColumn(col, F.when(F.col("_fire"), new).otherwise(t))
                .withColumn("n_rules_hit", F.col("n_rules_hit") + F.col("_fire").cast("int"))
                .drop("_fire"))
     return out
@@ -131,7 +145,8 @@ class _RootExtractor(html.parser.HTMLParser):
 
     def __init__(self, root_id: str):
         super().__init__(convert_charrefs=False)
-        self.root_id, self.depth, self.start, self.end, self.found = root_id, 0, None, None, False
+        self.root_id, self.start, self.end, self.found = root_id, None, None, False
+        self.open: list[str] = []  # the root and the elements open inside it
         self._line_starts = [0]
 
     def _offset(self) -> int:
@@ -149,22 +164,29 @@ class _RootExtractor(html.parser.HTMLParser):
     def handle_starttag(self, tag, attrs):
         if self.found:
             if self.end is None and tag not in self.VOID:
-                self.depth += 1
+                self.open.append(tag)
             return
         if dict(attrs).get("id") == self.root_id:
             self.found = True
-            self.depth = 0 if tag in self.VOID else 1
+            self.open = [] if tag in self.VOID else [tag]
             start_tag = self.get_starttag_text() or ""
             self.start = self._offset() + len(start_tag)
             if tag in self.VOID:
                 self.end = self.start
 
     def handle_endtag(self, tag):
-        if self.found and self.end is None and tag not in self.VOID:
-            self.depth -= 1
-            if self.depth == 0:
+        # An end tag closes the elements left open inside it (li, p, td need
+        # no end tag of their own); one that matches nothing open is ignored.
+        if self.found and self.end is None and tag in self.open:
+            while self.open.pop() != tag:
+                pass
+            if not self.open:
                 self.end = self._offset()
 
+    def handle_startendtag(self, tag, attrs):
+        # The slash of a non-void element means nothing in HTML.
+        self.handle_starttag(tag, attrs)
+
 
 def extract_root_html(pages: DataFrame, root_id: str = "page-root", col: str = "html") -> DataFrame:
     """E25 (root part): inner HTML of the element with ``root_id`` (NULL if none).
@@ -176,7 +198,7 @@ def extract_root_html(pages: DataFrame, root_id: str = "page-root", col: str = "
     def inner(s: pd.Series) -> pd.Series:
         out = []
         for v in s:
-            if v is None or f'id="{root_id}"' not in v and f"id='{root_id}'" not in v and f"id={root_id}" not in v:
+            if v is None:
                 out.append(None)
                 continue
             try:

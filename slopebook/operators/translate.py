@@ -138,7 +138,10 @@ def translate(df: DataFrame, text_col: str, lang: str, dictionary: DataFrame) ->
             .withColumn("_suf", F.when(jp, F.regexp_extract("_rest", SUF, 1)))
             .withColumn("_core", F.when(jp, F.expr("substring(_rest, 1, length(_rest) - length(_suf))"))))
     dcol = LANG_COL[lang]
-    d = dictionary.select(F.col("ja").alias("_dk"), F.nullif(F.col(dcol), F.lit("")).alias("_dv"))
+    # One value per key: the last entry wins, as in an object literal.
+    d = (dictionary.select(F.col("ja").alias("_dk"), F.nullif(F.col(dcol), F.lit("")).alias("_dv"),
+                           F.monotonically_increasing_id().alias("_at"))
+         .groupBy("_dk").agg(F.max_by(F.struct("_dv"), "_at").alias("_last")).select("_dk", "_last._dv"))
     # Only Japanese rows probe the dictionary (a NULL key never matches).
     base = base.withColumn("_k_probe", F.when(jp, F.col("_k")))
     j = (base.join(d.withColumnRenamed("_dk", "_k_probe").withColumnRenamed("_dv", "_d_k"), "_k_probe", "left")
@@ -231,7 +234,8 @@ class _Scanner(html.parser.HTMLParser):
                     m = re.search(rf'(?i)\s{re.escape(name)}\s*=\s*("([^"]*)"|\'([^\']*)\'|([^\s>]+))', raw)
                     if m:
                         g = 2 if m.group(2) is not None else 3 if m.group(3) is not None else 4
-                        self.nodes.append((start + m.start(g), start + m.end(g), "attr:" + name, v))
+                        kind = "attr:" if g < 4 else "bare:"  # a bare value has no quotes of its own
+                        self.nodes.append((start + m.start(g), start + m.end(g), kind + name, v))
         if tag not in VOID:
             self.stack.append((tag, skip, a.get("data-langblock"), start))
 
@@ -271,7 +275,7 @@ NODE_SCHEMA = T.ArrayType(T.StructType([
 def _scan_nodes(s: pd.Series) -> pd.Series:
     out = []
     for v in s:
-        if v is None or not _JP_PY.search(v):
+        if v is None or not (_JP_PY.search(v) or "&" in v):  # Japanese may be all character references
             out.append([])
             continue
         sc = _Scanner(v)
@@ -295,7 +299,8 @@ def _write_back(htmls: pd.Series, edits: pd.Series) -> pd.Series:
                 continue
             pieces.append(v[pos:e["start"]])
             quote = e["kind"] != "text"
-            pieces.append(html.escape(e["text"], quote=quote))
+            text = html.escape(e["text"], quote=quote)
+            pieces.append(f'"{text}"' if e["kind"].startswith("bare:") else text)
             pos = e["end"]
         pieces.append(v[pos:])
         out.append("".join(pieces))
@@ -332,7 +337,7 @@ def translate_pages(pages: DataFrame, lang: str, dictionary: DataFrame, id_col:
 def _keep_blocks(htmls: pd.Series, langs: pd.Series) -> pd.Series:
     out = []
     for v, lang in zip(htmls, langs):
-        if v is None or "data-langblock" not in v:
+        if v is None or "data-langblock" not in v.lower():
             out.append(v)
             continue
         sc = _Scanner(v)

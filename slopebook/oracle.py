@@ -8,6 +8,7 @@ aggregation its own way, so agreement is a real cross-check.
 
 from __future__ import annotations
 
+from slopebook.sources.fixtures import SITE_PARTS, site_sql
 from slopebook.sources.fixtures import with_fixtures as W
 
 ORACLE: dict[str, str] = {}
@@ -33,7 +34,6 @@ _OCC_ALL = """
 
 ORACLE["e3_daily_occupancy"] = W(_OCC_ALL + """
 select shop_id, category, day, used from occ
-where day between date '2024-06-01' and date '2025-06-01'
 """, "fx_reservations", "fx_members")
 
 ORACLE["e2_availability_by_category"] = W(_OCC_ALL + """
@@ -691,7 +691,9 @@ def _e24() -> str:
     from slopebook.operators.pages import default_rewrite_rules
     from slopebook.registry import REWRITE_RULES
     steps, prev = [], "s0"
-    for i, (_n, cond, pat, rep) in enumerate(default_rewrite_rules(**REWRITE_RULES), start=1):
+    # Rules for elements of a class find no such element in these pages; the site pages below have them.
+    plain = [r for r in default_rewrite_rules(**REWRITE_RULES) if len(r) == 4]
+    for i, (_n, cond, pat, rep) in enumerate(plain, start=1):
         q = lambda x: x.replace("'", "''")
         duck_rep = _re.sub(r"\$(\d)", r"\\\1", rep)
         fire = f"(regexp_matches(html, '{q(cond)}') and regexp_matches(html, '{q(pat)}'))"
@@ -705,6 +707,34 @@ def _e24() -> str:
 
 ORACLE["e24_rewrite_html"] = _e24()
 
+# --- site pages: the expected page is the template with some parts replaced ----------
+
+_INNER = list(SITE_PARTS)[list(SITE_PARTS).index("root") + 1:list(SITE_PARTS).index("end_root")]
+
+
+def _site(expr: str, name: str, empty: str = "''", more: str = "") -> str:
+    return (f"select cast(o_orderkey as bigint) as id, case when o_orderkey % 17 = 0 then {empty} else {expr} end as {name}"
+            f"{more} from orders")
+
+
+ORACLE["b8_site_layout"] = _site("case when o_orderkey % 3 = 0 then 'fixed_wide' else 'fluid' end", "layout", "'unusable'")
+ORACLE["e22_site_translate"] = _site(site_sql({
+    "guest": "'Guest ' || (o_orderkey % 5 + 1) || ' (adult)'", "code": "'Booking code'", "image": "'<img alt=\"Ski\">'"}), "html")
+ORACLE["e23_site_blocks"] = _site(site_sql({"ja": "''"}), "html")
+ORACLE["e24_site_rewrite"] = _site(site_sql({
+    "hours": "'<div class=\"access-row\">営業時間 8:00〜17:00</div>'", "link": "'<a href=\"tel:00000000000\">'", "handle": "'@new_shop'",
+    "footer": "'<footer><a href=\"pages/faq.html\">よくある質問</a></footer></body></html>'"}), "html",
+    more=", case when o_orderkey % 17 = 0 then 0 else 5 end as n_rules_hit")
+ORACLE["e25_site_root"] = _site(site_sql(parts=_INNER), "root_html", "null")
+ORACLE["e25_site_style"] = _site("'.b{width:' || case when o_orderkey % 3 = 0 then '760px' else '90%' end || '}'", "style")
+ORACLE["e21_site_texts"] = """
+select id, translated, coalesce(case kind when 1 then '  Booking code ' else translated end, text) as display
+from (select *, case kind when 0 then 'Guest ' || n || ' (child)' when 1 then 'Booking code' when 2 then '★Booking code ›'
+        when 3 then 'Adult #' || n when 4 then strftime(o_orderdate, '%Y-%m-%d') || ' (day trip)' when 5 then 'Full Set・Ski' end as translated,
+      case kind when 6 then 'plain ' || n when 7 then '不明な文' || n else '' end as text
+  from (select cast(o_orderkey as bigint) as id, o_orderkey % 8 as kind, o_orderkey % 5 + 1 as n, o_orderdate from orders))
+"""
+
 ORACLE["e25_first_style"] = W("""
 select id, coalesce(regexp_extract(html, '(?is)<style\\b[^>]*>(.*?)</style>', 1), '') as style from fx_pages
 """, "fx_pages")

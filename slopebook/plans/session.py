@@ -57,6 +57,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path`` and its path object: the one that Spark itself reads through."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def materialize(df, name: str):
     """Cut lineage by writing ``df`` as parquet in the shared checkpoint folder.
 

@@ -19,9 +19,6 @@ from slopebook.sources import fixtures as fx
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
-# Whole-table day range: folded rental dates fall in [2024-08-04, 2025-04-04].
-WIDE_LO, WIDE_HI = dt.date(2024, 6, 1), dt.date(2025, 6, 1)
-
 
 def register(name: str):
     def deco(fn: Query) -> Query:
@@ -37,7 +34,7 @@ def _base(spark, d):
 @register("e3_daily_occupancy")
 def q_e3(spark, d):
     t = _base(spark, d)
-    return occupancy.daily_occupancy(t["reservations"], t["members"], WIDE_LO, WIDE_HI)
+    return occupancy.daily_occupancy(t["reservations"], t["members"])
 
 
 def windows_from_reservations(reservations: DataFrame) -> DataFrame:
@@ -65,8 +62,8 @@ def q_e1(spark, d):
 
 from slopebook.operators import admission, requests as rq  # noqa: E402
 
-# New requests arrive from 1995 on; bookings made before that are the state.
-CUTOFF = dt.datetime(1995, 1, 1)
+# New requests arrive from the middle of the tables' years on; bookings made before that are the state.
+CUTOFF = dt.datetime(1998, 1, 1)
 
 
 @register("e5_validate_v2")
@@ -428,6 +425,48 @@ def q_e23(spark, d):
     return tr.select_language_blocks(fx.table(spark, d, "fx_pages").select("id", "html"), "en")
 
 
+# --- site pages: pages that every page rule acts on -------------------------------
+
+def _site_pages(spark, d):
+    return fx.table(spark, d, "fx_site_pages")
+
+
+@register("b8_site_layout")
+def q_b8s(spark, d):
+    return _site_pages(spark, d).select("id", pages.layout_class(F.col("html"), F.lit("")).alias("layout"))
+
+
+@register("e21_site_texts")
+def q_e21s(spark, d):
+    texts = fx.table(spark, d, "fx_site_texts")
+    return tr.translate(texts, "text", "en", sample_dictionary(spark)).select("id", "translated", "display")
+
+
+@register("e22_site_translate")
+def q_e22s(spark, d):
+    return tr.translate_pages(_site_pages(spark, d), "en", sample_dictionary(spark))[0].select("id", "html")
+
+
+@register("e23_site_blocks")
+def q_e23s(spark, d):
+    return tr.select_language_blocks(_site_pages(spark, d), "en").select("id", "html")
+
+
+@register("e24_site_rewrite")
+def q_e24s(spark, d):
+    return pages.rewrite_html(_site_pages(spark, d), pages.default_rewrite_rules(**REWRITE_RULES)).select("id", "html", "n_rules_hit")
+
+
+@register("e25_site_style")
+def q_e25ss(spark, d):
+    return _site_pages(spark, d).select("id", pages.first_style(F.col("html")).alias("style"))
+
+
+@register("e25_site_root")
+def q_e25sr(spark, d):
+    return pages.extract_root_html(_site_pages(spark, d)).select("id", "root_html")
+
+
 # --- status transitions and streaming jobs (J1-J3) ------------------------------
 
 from slopebook.sources import schemas as _schemas  # noqa: E402
@@ -466,7 +505,7 @@ def q_j3(spark, d):
     state = t["reservations"].where(F.col("created_at") < F.lit(CUTOFF))
     schema = fx.table(spark, d, "fx_requests_v2").schema
     out = s_adm.run_admission_stream(spark, f"{root}/in", schema, t["equipment"], state, t["members"],
-                                     t["closed_dates"], fx.AS_OF, WIDE_LO, WIDE_HI, f"{root}/out", f"{root}/ckpt")
+                                     t["closed_dates"], fx.AS_OF, f"{root}/out", f"{root}/ckpt")
     return out.select("request_id", "shop_id", "accepted", "code", "reservation_code")
 
 

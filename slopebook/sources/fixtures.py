@@ -264,6 +264,55 @@ def fx_pages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: A published page per reservation, as parts: (text, or the name of a column that is filled in).
+#: Every rule of the page operators has something to act on, and the expected result of each is
+#: the same parts with some replaced.
+SITE_PARTS = {
+    "head": "<html><head><style>.b{width:",
+    "width": "width",
+    "body": "}</style></head><body>",
+    "root": '<div ID = "page-root">',
+    "list": "<ul><li>",
+    "guest": "guest",
+    "item": "<li>",
+    "code": "予約番号",
+    "end_list": "</ul>",
+    "hours": '<div class="access-row">営業時間 8:30〜18:00</div>',
+    "bus": '<div class="access-row">バス 18:00</div>',
+    "en": '<div data-langblock="en">Hello</div>',
+    "ja": '<div DATA-LANGBLOCK="ja">こんにちは</div>',
+    "link": '<a href="reserve.html?x=1">',
+    "handle": "@old_shop",
+    "end_link": "</a>",
+    "image": "<img alt=スキー>",
+    "script": '<script>var s="予約番号";</script>',
+    "open": "<p>x",
+    "end_root": "</div>",
+    "footer": '<footer><a href="#">よくある質問</a></footer></body></html>',
+}
+
+
+def fx_site_pages(spark: SparkSession, d: str) -> DataFrame:
+    """One page per order from ``SITE_PARTS``; every 17th is empty."""
+    k = F.col("o_orderkey")
+    filled = {"width": F.when(k % 3 == 0, "760px").otherwise("90%"),
+              "guest": F.concat(F.lit("利用者"), (k % 5 + 1).cast("string"), F.lit("（大人）"))}
+    parts = [filled.get(v, F.lit(v)) for v in SITE_PARTS.values()]
+    return _read(spark, d, "orders").select(
+        k.cast("long").alias("id"), F.when(k % 17 == 0, "").otherwise(F.concat(*parts)).alias("html"))
+
+
+def fx_site_texts(spark: SparkSession, d: str) -> DataFrame:
+    """One text per order, of the kinds that the translator tells apart."""
+    k = F.col("o_orderkey")
+    n = (k % 5 + 1).cast("string")
+    kinds = [F.concat(F.lit("利用者"), n, F.lit("（お子様）")), F.lit("  予約番号 "), F.lit("★予約番号 ›"),
+             F.concat(F.lit("大人 "), n, F.lit("人目")), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("（日帰り）")),
+             F.lit("フルセット・スキー"), F.concat(F.lit("plain "), n), F.concat(F.lit("不明な文"), n)]
+    text = F.element_at(F.array(*kinds), (k % 8 + 1).cast("int"))
+    return _read(spark, d, "orders").select(k.cast("long").alias("id"), text.alias("text"))
+
+
 def load_all(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {
         "equipment": schemas.conform(table(spark, d, "fx_equipment"), schemas.EQUIPMENT_ITEMS,
@@ -289,25 +338,25 @@ _SOURCES = {
     "fx_items": ["lineitem"], "fx_closed_dates": ["orders"], "fx_requests_v2": ["orders", "lineitem"],
     "fx_requests_v1": ["orders", "lineitem"], "fx_lookups": ["orders"], "fx_status_events": ["events"],
     "fx_cancel_requests": ["events", "orders"], "fx_equipment_feed": ["part"],
-    "fx_equipment_changes": ["lineitem"], "fx_pages": ["pages"],
+    "fx_equipment_changes": ["lineitem"], "fx_pages": ["pages"], "fx_site_pages": ["orders"],
+    "fx_site_texts": ["orders"],
 }
 DERIVED = tuple(_SOURCES)
 
 # Bump when a derivation changes, so stale copies are not reused.
-_VERSION = "3"
+_VERSION = "4"
 
 
-def _fingerprint(d: str, name: str) -> str:
+def _fingerprint(spark: SparkSession, d: str, name: str) -> str:
+    """Of a derivation and its source files (their place, sizes and times), wherever they are stored."""
     import hashlib
-    import os
-    h = hashlib.sha256(f"{_VERSION}|{os.path.abspath(d) if '://' not in d else d}|{name}".encode())
+
+    from slopebook.plans.session import file_system
+    h = hashlib.sha256(f"{_VERSION}|{name}".encode())
     for src in _SOURCES[name]:
-        path = f"{d}/{src}.parquet"
-        try:
-            st = os.stat(path)
-            h.update(f"|{src}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(f"|{src}".encode())
+        fs, p = file_system(spark, f"{d}/{src}.parquet")
+        st = fs.getFileStatus(p)
+        h.update(f"|{st.getPath()}:{fs.getContentSummary(p).getLength()}:{st.getModificationTime()}".encode())
     return h.hexdigest()[:16]
 
 
@@ -315,29 +364,19 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     """The derived table ``name`` for dataset ``d``, materialised once.
 
     Written to a unique folder and renamed into place, so two jobs deriving
-    the same table at once cannot corrupt it (the first rename wins).
+    the same table at once cannot corrupt it (the first rename wins; if no
+    rename went through, reading fails).
     """
-    import os
     import uuid
 
-    from slopebook.plans.session import ensure_checkpoint_dir
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root}/fixtures/{name}-{_fingerprint(d, name)}"
-    if "://" in path and not path.startswith("file:"):
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - not written yet
-            globals()[name](spark, d).write.mode("overwrite").parquet(path)
-            return spark.read.parquet(path)
-    local = path.replace("file:", "", 1)
-    if not os.path.exists(f"{local}/_SUCCESS"):
-        tmp = f"{local}.tmp-{uuid.uuid4().hex[:12]}"
-        globals()[name](spark, d).write.mode("overwrite").parquet(tmp)
-        try:
-            os.rename(tmp, local)
-        except OSError:
-            pass  # another job finished first; its copy is identical
-    return spark.read.parquet(local)
+    from slopebook.plans.session import ensure_checkpoint_dir, file_system
+    path = f"{ensure_checkpoint_dir(spark)}/fixtures/{name}-{_fingerprint(spark, d, name)}"
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+        globals()[name](spark, d).write.parquet(tmp)
+        fs.rename(file_system(spark, tmp)[1], p)
+    return spark.read.parquet(path)
 
 
 # ---------------------------------------------------------------------------
@@ -434,6 +473,19 @@ from pages""",
 }
 
 
+def site_sql(replaced: dict[str, str] | None = None, parts: list[str] | None = None) -> str:
+    """SQL for a site page's text, with some parts replaced by SQL expressions, or for some of its parts only."""
+    def sql(part: str, value: str) -> str:
+        if part in (replaced or {}):
+            return replaced[part]
+        if part == "width":
+            return "case when o_orderkey % 3 = 0 then '760px' else '90%' end"
+        if part == "guest":
+            return "'利用者' || (o_orderkey % 5 + 1) || '（大人）'"
+        return "'" + value.replace("'", "''") + "'"
+    return " || ".join(sql(k, v) for k, v in SITE_PARTS.items() if parts is None or k in parts)
+
+
 def with_fixtures(body: str, *names: str) -> str:
     ctes = ",\n".join(f"{n} as ({FX_SQL[n]})" for n in names)
     return f"with {ctes}\n{body}"

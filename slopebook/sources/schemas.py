@@ -1,8 +1,8 @@
 """Declared schemas of the booking tables (A1) and schema evolution (A2).
 
 The tables are plain row tables with a fixed schema that grows by adding
-nullable columns with defaults.  ``load`` reads parquet with the declared
-schema (no inference, so a missing column reads as NULL and ``conform``
+nullable columns with defaults.  ``load`` reads parquet with the files'
+merged schema (a column missing in some reads as NULL there and ``conform``
 fills its default); ``conform`` brings any DataFrame to a target schema.
 ``shop_id`` is our scale-out key: every shop-scoped table carries it.
 """
@@ -116,7 +116,8 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | N
 
     Missing columns get their default, else NULL.  Present-but-NULL values of a
     column with a default also take the default (``not null default`` columns).
-    Extra columns are dropped.  Pure projection: no shuffle, stays in codegen.
+    A value that does not fit its type is an error, as in an insert: it never
+    becomes a default or NULL.  Extra columns are dropped.  Pure projection: no shuffle, stays in codegen.
     """
     defaults = defaults or {}
     have = {c.lower(): c for c in df.columns}
@@ -129,13 +130,17 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | N
         else:
             expr = F.col(src)
             if default is not None:
-                expr = F.coalesce(expr.try_cast(field.dataType), default)
-        cols.append(expr.try_cast(field.dataType).alias(field.name))
+                expr = F.coalesce(expr.cast(field.dataType), default)
+        cols.append(expr.cast(field.dataType).alias(field.name))
     return df.select(*cols)
 
 
 def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A1: scan one base table with its declared schema (parquet, no inference)."""
+    """A1: scan one base table in its declared schema.
+
+    The files' schemas are merged: files written before a column was added
+    read it as NULL, whatever file comes first.
+    """
     schema = TABLES[name]
-    raw = spark.read.parquet(f"{directory}/{name}.parquet")
+    raw = spark.read.option("mergeSchema", "true").parquet(f"{directory}/{name}.parquet")
     return conform(raw, schema, DEFAULTS.get(name))

@@ -44,7 +44,7 @@ CATS = ("ski", "snowboard", None)      # stock-test order; NULL type last
 
 
 def prepare(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, members: DataFrame,
-            closed_dates: DataFrame, as_of: dt.date, lo: dt.date, hi: dt.date) -> DataFrame:
+            closed_dates: DataFrame, as_of: dt.date) -> DataFrame:
     """Stateless rows for the stateful step: one per (request, occupied day) (or one
     row with a NULL day when the range is invalid)."""
     today = F.lit(as_of)
@@ -79,7 +79,7 @@ def prepare(requests: DataFrame, equipment: DataFrame, reservations: DataFrame,
     rows = r.withColumn("day", F.explode_outer(F.when(span_ok, F.sequence(F.date_sub("start", 1), F.col("end")))))
 
     closed = closed_dates.select(F.col("closed_date").alias("day")).distinct().withColumn("is_closed", F.lit(True))
-    used = (occ.daily_occupancy(reservations, members, lo, hi)
+    used = (occ.daily_occupancy(reservations, members)
             .groupBy("shop_id", "day")
             .agg(F.sum(F.when(F.col("category") == "ski", F.col("used")).otherwise(0)).alias("used_ski"),
                  F.sum(F.when(F.col("category") == "snowboard", F.col("used")).otherwise(0)).alias("used_snowboard")))
@@ -188,13 +188,13 @@ def decisions(prepared: DataFrame, as_of: dt.date) -> DataFrame:
 
 def run_admission_stream(spark, requests_dir: str, schema: T.StructType, equipment: DataFrame,
                          reservations: DataFrame, members: DataFrame, closed_dates: DataFrame,
-                         as_of: dt.date, lo: dt.date, hi: dt.date, out_dir: str, checkpoint: str,
+                         as_of: dt.date, out_dir: str, checkpoint: str,
                          max_files_per_trigger: int = 1) -> DataFrame:
     from slopebook.plans.session import prefer_rocksdb_state
     prefer_rocksdb_state(spark)
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(requests_dir))
-    prepared = prepare(stream, equipment, reservations, members, closed_dates, as_of, lo, hi)
+    prepared = prepare(stream, equipment, reservations, members, closed_dates, as_of)
     q = (decisions(prepared, as_of).writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()

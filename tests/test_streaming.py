@@ -77,6 +77,6 @@ def test_admission_stream_equals_model(spark):
     d = _scratch()
     _write_in_time_order(req, f"{d}/in", "requested_at")
     got_df = sadm.run_admission_stream(spark, f"{d}/in", schemas.REQUESTS_V2, eq, res, mem, cl, TA.AS_OF,
-                                       dt.date(2024, 12, 1), dt.date(2025, 3, 1), f"{d}/out", f"{d}/ckpt")
+                                       f"{d}/out", f"{d}/ckpt")
     got = {r.request_id: (r.accepted, r.code) for r in got_df.collect()}
     assert got == want
