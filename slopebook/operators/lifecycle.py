@@ -57,7 +57,7 @@ def lookup_v1(lookups: DataFrame, reservations: DataFrame, items: DataFrame, equ
           .join(equipment.select(F.col("id").alias("equipment_item_id"), "category", "size_label"),
                 "equipment_item_id", "left")
           .groupBy("reservation_id")
-          .agg(F.array_sort(F.collect_list(F.concat_ws(
+          .agg(F.sort_array(F.collect_list(F.concat_ws(
               ":", _null_text(F.col("category")), _null_text(F.col("size_label")),
               F.col("quantity").cast("string")))).alias("lines")))
     return (m.join(it, "reservation_id", "left")
@@ -87,7 +87,7 @@ def lookup_v2(lookups: DataFrame, reservations: DataFrame, members: DataFrame) -
     ms = (members.join(ids, "reservation_id", "left_semi")
           .select("reservation_id", "member_no", member_text(mrow).alias("t"))
           .groupBy("reservation_id")
-          .agg(F.array_sort(F.collect_list(F.struct("member_no", "t"))).alias("ms")))
+          .agg(F.sort_array(F.collect_list(F.struct("member_no", "t"))).alias("ms")))
     found = F.col("reservation_id").isNotNull()
     texts = F.col("ms.t")
     return (m.join(ms, "reservation_id", "left")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopebook.functions import pgcompat as pg
@@ -89,8 +89,9 @@ def visible(df: DataFrame, table: str, role: str) -> DataFrame:
 
 
 def inventory_list(equipment: DataFrame) -> DataFrame:
-    """B1: equipment ordered by category, size_label (text order)."""
-    return equipment.orderBy("category", "size_label")
+    """B1: each shop's equipment ordered by category, size_label (text order), with its ``position``."""
+    own = Window.partitionBy("shop_id").orderBy("category", "size_label", "id")
+    return equipment.withColumn("position", F.row_number().over(own))
 
 
 def upcoming_closed(closed_dates: DataFrame, as_of: dt.date) -> DataFrame:
@@ -113,10 +114,32 @@ def staff_filter(reservations: DataFrame, day: dt.date | None, status: str = "ac
     return r
 
 
-def day_list(reservations: DataFrame, day: dt.date | None) -> DataFrame:
-    """Dashboard list, one rental day or all, every status, ascending."""
+def day_list(reservations: DataFrame, items: DataFrame, equipment: DataFrame, day: dt.date | None) -> DataFrame:
+    """Dashboard list, one rental day or all, every status, ascending, with the
+    items text of the card (C9) and the ``position`` in the shop's list."""
     r = reservations if day is None else reservations.where(F.col("rental_date") == F.lit(day))
-    return r.orderBy("rental_date", "created_at")
+    its = item_texts(r.select(F.col("id").alias("reservation_id")), items, equipment)
+    own = Window.partitionBy("shop_id").orderBy("rental_date", "created_at", "id")
+    return (r.join(its, r.id == its.reservation_id, "left").drop("reservation_id")
+            .withColumn("items_text", F.coalesce(F.nullif("items_text", F.lit("")), F.lit("—")))
+            .withColumn("position", F.row_number().over(own)))
+
+
+def item_texts(wanted: DataFrame, items: DataFrame, equipment: DataFrame) -> DataFrame:
+    """reservation_id, items_text of the wanted reservations' items (by equipment id, quantity)."""
+    text = F.concat(F.coalesce(_label(F.col("category"), CATEGORY_LABEL, F.col("category")), F.lit("?")),
+                    F.lit(" "), F.coalesce("size_label", F.lit("")), F.lit(" ×"), F.col("quantity").cast("string"))
+    return (items.join(wanted, "reservation_id", "left_semi")
+            .join(equipment.select(F.col("id").alias("equipment_item_id"), "category", "size_label"),
+                  "equipment_item_id", "left")
+            .groupBy("reservation_id")
+            .agg(F.sort_array(F.collect_list(F.struct("equipment_item_id", "quantity", text.alias("t")))).alias("its"))
+            .select("reservation_id", F.array_join(F.col("its.t"), "、").alias("items_text")))
+
+
+def list_count(reservations: DataFrame, day: dt.date | None, status: str = "active") -> DataFrame:
+    """How many reservations each shop's staff list shows."""
+    return staff_filter(reservations, day, status).groupBy("shop_id").agg(F.count(F.lit(1)).alias("n_listed"))
 
 
 def js_number(c: Column) -> Column:
@@ -193,19 +216,11 @@ def staff_list(reservations: DataFrame, members: DataFrame, items: DataFrame, eq
     ms = (mj.select("reservation_id", "member_no", staff_member_line(mc, F.col("days")).alias("line"),
                     price.alias("price"))
           .groupBy("reservation_id")
-          .agg(F.array_sort(F.collect_list(F.struct("member_no", "line"))).alias("ls"),
+          .agg(F.sort_array(F.collect_list(F.struct("member_no", "line"))).alias("ls"),
                F.count(F.lit(1)).alias("n_members"),
                F.bool_and(F.col("price").isNotNull()).alias("all_set"),
                F.sum("price").alias("total")))
-    it = (items.join(rd.select("reservation_id"), "reservation_id", "left_semi")
-          .join(equipment.select(F.col("id").alias("equipment_item_id"), "category", "size_label"),
-                "equipment_item_id", "left")
-          .groupBy("reservation_id")
-          .agg(F.array_sort(F.collect_list(F.struct(
-              "equipment_item_id", "quantity",
-              F.concat(F.coalesce(_label(F.col("category"), CATEGORY_LABEL, F.col("category")), F.lit("?")),
-                       F.lit(" "), F.coalesce("size_label", F.lit("")), F.lit(" ×"),
-                       F.col("quantity").cast("string")).alias("t")))).alias("its")))
+    it = item_texts(rd, items, equipment)
     j = (r.join(ms, r.id == ms.reservation_id, "left").drop("reservation_id")
          .join(it, r.id == it.reservation_id, "left").drop("reservation_id"))
     n_members = F.coalesce(F.col("n_members"), F.lit(0)).cast("int")
@@ -214,9 +229,10 @@ def staff_list(reservations: DataFrame, members: DataFrame, items: DataFrame, eq
         F.array_join(F.col("ls.line"), "\n"),
         F.lit("\n合計（目安・現金）："), F.when(F.col("all_set"), pg.yen(F.col("total"))).otherwise(F.lit("—")))
     ).otherwise(F.concat(F.lit("用具: "), F.coalesce(
-        F.nullif(F.array_join(F.col("its.t"), "、"), F.lit("")), F.lit("—"))))
-    return (j.orderBy(F.col("rental_date").desc(), F.col("created_at").desc())
-            .select("id", "reservation_code", "rental_date", "return_date", "status",
+        F.nullif("items_text", F.lit("")), F.lit("—"))))
+    own = Window.partitionBy("shop_id").orderBy(F.col("rental_date").desc(), F.col("created_at").desc(), "id")
+    return (j.withColumn("position", F.row_number().over(own))
+            .select("id", "shop_id", "position", "reservation_code", "rental_date", "return_date", "status",
                     F.concat(pg.html_escape(F.col("customer_name")), F.lit(" 様")).alias("name_text"),
                     period_text(F.col("rental_date"), F.col("return_date")).alias("period_text"),
                     party_text(F.col("adults"), F.col("children"), F.col("party_size")).alias("party_text"),
@@ -260,7 +276,7 @@ def lookup_card(lookups: DataFrame, reservations: DataFrame, members: DataFrame)
     ms = (members.join(ids, "reservation_id", "left_semi")
           .select("reservation_id", "member_no", F.col("is_child"), lookup_member_row(mrow).alias("row"))
           .groupBy("reservation_id")
-          .agg(F.array_sort(F.collect_list(F.struct("member_no", "is_child", "row"))).alias("ms")))
+          .agg(F.sort_array(F.collect_list(F.struct("member_no", "is_child", "row"))).alias("ms")))
     rows = F.transform("ms", lambda x, i: F.concat(
         F.lit("利用者"), (i + 1).cast("string"), F.lit("（"),
         F.when(x["is_child"], "お子様").otherwise("大人"), F.lit("）｜"), x["row"]))

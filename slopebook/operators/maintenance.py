@@ -133,6 +133,12 @@ def equipment_feed_report(equipment: DataFrame, feed: DataFrame) -> DataFrame:
     ])
 
 
+def closed_day_report(closed_dates: DataFrame, feed: DataFrame) -> DataFrame:
+    """A5 for closed days (feed_no, closed_date): no date -> INVALID_DATE; a day that
+    is closed already, or earlier in the feed -> DUPLICATE."""
+    return insert_report(closed_dates, feed, ["closed_date"], "feed_no", [(F.col("closed_date").isNull(), "INVALID_DATE")])
+
+
 def upsert(target: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
     """Last write per key wins (target rows order before all changes).
 

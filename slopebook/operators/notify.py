@@ -58,7 +58,7 @@ def member_lines(members: DataFrame) -> DataFrame:
     """
     cols = {c: F.col(c) for c in members.columns}
     return (members.groupBy("reservation_id")
-            .agg(F.array_sort(F.collect_list(F.struct("member_no", member_line(cols).alias("line"))))
+            .agg(F.sort_array(F.collect_list(F.struct("member_no", member_line(cols).alias("line"))))
                  .alias("ls"))
             .select("reservation_id", F.array_join(F.transform("ls", lambda x: x["line"]), "<br>").alias("html")))
 

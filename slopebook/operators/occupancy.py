@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACTIVE = ("pending", "confirmed")
@@ -90,17 +90,16 @@ def availability_by_category(equipment: DataFrame, reservations: DataFrame, memb
         F.lit(None).cast("int").alias("remaining"), F.lit("INVALID_DATES").alias("error"))
     ok = w.where(~bad)
     stock = category_stock(equipment)
-    # Days outside the shop's booking horizon have no use and cannot raise
-    # the peak, so a window (unbounded in length) is clipped to it before
-    # the day expansion.  The horizon is one row per shop.
-    horizon = (_active_spans(reservations).groupBy("shop_id")
-               .agg(F.min("s").alias("h_lo"), F.max("e").alias("h_hi")))
+    # One pass over the bookings: use per (shop, category, day), which also
+    # bounds the days that can raise a peak.  A window (unbounded in length)
+    # is clipped to its shop's days in use before the day expansion.
+    occ = daily_occupancy(reservations, members)
+    horizon = occ.groupBy("shop_id").agg(F.min("day").alias("h_lo"), F.max("day").alias("h_hi"))
     lo, hi = F.greatest("from", "h_lo"), F.least("end", "h_hi")
     win_days = (ok.join(horizon, "shop_id")
                 .select("window_id", "shop_id",
                         F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<date>")))
                         .alias("day")))
-    occ = _occupancy_for_days(reservations, members, win_days)
     peak = (win_days.join(occ, ["shop_id", "day"])
             .groupBy("window_id", "category").agg(F.max("used").alias("peak")))
     res = (ok.select("window_id", "shop_id").join(stock, "shop_id")
@@ -111,28 +110,11 @@ def availability_by_category(equipment: DataFrame, reservations: DataFrame, memb
     return res.unionByName(invalid)
 
 
-def _occupancy_for_days(reservations: DataFrame, members: DataFrame, win_days: DataFrame) -> DataFrame:
-    """E3 restricted to the (shop, day) cells some window asks about.
-
-    The occupied days of each reservation are semi-joined with the asked
-    cells before aggregation, so the aggregate only holds asked cells.
-    """
-    asked = win_days.select("shop_id", "day").distinct()
-    # Per-shop bounds (one row per shop) clip every reservation's expansion.
-    bounds = asked.groupBy("shop_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    r = (_active_spans(reservations).join(bounds, "shop_id")
-         .where((F.col("s") <= F.col("hi")) & (F.col("e") >= F.col("lo"))))
-    j = r.join(member_counts(members), "reservation_id")
-    days = j.select("shop_id", "category", "n",
-                    F.explode(F.sequence(F.greatest("s", "lo"), F.least("e", "hi"))).alias("day"))
-    return (days.join(asked, ["shop_id", "day"], "left_semi")
-            .groupBy("shop_id", "category", "day").agg(F.sum("n").cast("int").alias("used")))
-
-
-def booked_items(reservations: DataFrame, items: DataFrame) -> DataFrame:
-    """Quantity booked per (equipment item, rental day) by active reservations."""
-    r = reservations.where(F.col("status").isin(*ACTIVE)).select(
-        F.col("id").alias("reservation_id"), F.col("rental_date").alias("date"))
+def booked_items(reservations: DataFrame, items: DataFrame, dates: DataFrame) -> DataFrame:
+    """Quantity booked per (equipment item, rental day) by active reservations, on the given ``date``s."""
+    r = (reservations.where(F.col("status").isin(*ACTIVE))
+         .select(F.col("id").alias("reservation_id"), F.col("rental_date").alias("date"))
+         .join(dates.select("date").distinct(), "date", "left_semi"))
     return (items.join(r, "reservation_id")
             .groupBy("equipment_item_id", "date")
             .agg(F.sum("quantity").cast("int").alias("booked")))
@@ -140,12 +122,13 @@ def booked_items(reservations: DataFrame, items: DataFrame) -> DataFrame:
 
 def availability_by_size(equipment: DataFrame, reservations: DataFrame, items: DataFrame,
                          dates: DataFrame) -> DataFrame:
-    """For each asked (shop_id, date), active sizes of that shop with stock left > 0.
+    """For each asked (shop_id, date), active sizes of that shop with stock left > 0,
+    with their ``position`` by category, size_label.
 
-    One day only, reservation items only (members never count here).  The
-    date filter is applied to the booked sum before the outer join.
+    One day only, reservation items only (members never count here).  Only
+    bookings of asked dates are summed.
     """
-    booked = booked_items(reservations, items)
+    booked = booked_items(reservations, items, dates.select("date"))
     eq = equipment.where(F.col("is_active")).select(
         F.col("id").alias("equipment_item_id"), "shop_id", "category", "size_label", "total_quantity")
     asked = dates.select("shop_id", "date").distinct()
@@ -154,4 +137,6 @@ def availability_by_size(equipment: DataFrame, reservations: DataFrame, items: D
             .select("date", "shop_id", "equipment_item_id", "category", "size_label",
                     (F.col("total_quantity") - F.coalesce(F.col("booked"), F.lit(0))).cast("int")
                     .alias("remaining"))
-            .where(F.col("remaining") > 0))
+            .where(F.col("remaining") > 0)
+            .withColumn("position", F.row_number().over(
+                Window.partitionBy("shop_id", "date").orderBy("category", "size_label", "equipment_item_id"))))

@@ -65,6 +65,11 @@ def page_by_key(pages: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(pages, "page_key", "left")
 
 
+def version_by_id(versions: DataFrame, ids: DataFrame) -> DataFrame:
+    """The version of each asked id, or a row of NULLs."""
+    return ids.select("id").join(versions, "id", "left")
+
+
 def layout_class(html: Column, css: Column) -> Column:
     """B8: 'unusable' for empty html, 'fixed_wide' for a 7dd px width or
     absolute positioning, else 'fluid'."""

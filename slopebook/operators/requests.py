@@ -107,14 +107,6 @@ def member_rows_ok(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", members_ok().alias("members_ok"))
 
 
-def board_needs(requests: DataFrame) -> DataFrame:
-    """Members per board type inside each request ('none' rents nothing)."""
-    m = requests.select("request_id", F.explode("members").alias("m"))
-    return (m.select("request_id", F.col("m.board_type").alias("category"))
-            .where(F.col("category").isNull() | (F.col("category") != "none"))
-            .groupBy("request_id", "category").agg(F.count(F.lit(1)).cast("int").alias("need")))
-
-
 def type_needs() -> Column:
     """D8 as a column: array of (category, need) for the request's board types
     ('none' rents nothing; a NULL type is kept).  Array functions over the
@@ -150,7 +142,7 @@ def cells_with_state(cells: DataFrame, equipment: DataFrame, reservations: DataF
                      members: DataFrame) -> DataFrame:
     """Attach stock (0 when the shop has no active row of the type) and current use."""
     stock = occ.category_stock(equipment)
-    used = occ._occupancy_for_days(reservations, members, cells.select("shop_id", "day"))
+    used = occ.daily_occupancy(reservations, members)  # one pass over the bookings, one row per cell in use
     return (cells.join(stock, ["shop_id", "category"], "left")
             .join(used, ["shop_id", "category", "day"], "left")
             .withColumn("total", F.coalesce("total", F.lit(0)))
@@ -220,7 +212,7 @@ def validate_requests_v1(requests: DataFrame, closed_dates: DataFrame, equipment
         lines = lines.withColumn("qty_check", F.col("qty"))
     eq = equipment.select(F.col("id").cast("string").alias("eid_text"),
                           F.col("id").alias("equipment_item_id"), "total_quantity", "is_active")
-    booked = occ.booked_items(reservations, items).select(
+    booked = occ.booked_items(reservations, items, r.select(F.col("rental_date").alias("date"))).select(
         "equipment_item_id", F.col("date").alias("rental_date"), "booked")
     li = (lines.join(eq, "eid_text", "left")
           .join(booked, ["equipment_item_id", "rental_date"], "left"))
@@ -277,6 +269,14 @@ def member_rows(requests: DataFrame) -> DataFrame:
     )
 
 
+def item_rows(requests: DataFrame) -> DataFrame:
+    """A8 (v1 children): one reservation item row per line of the request, in array order."""
+    m = requests.select(F.col("request_id").alias("reservation_id"), F.posexplode("items").alias("pos", "it"))
+    return m.select("reservation_id", (F.col("pos") + 1).cast("int").alias("item_pos"),
+                    pg.pg_int(F.col("it.equipment_item_id")).alias("equipment_item_id"),
+                    pg.pg_int(F.col("it.quantity")).alias("quantity"))
+
+
 def code_collisions(reservations: DataFrame) -> DataFrame:
     """E8 audit: reservation codes used by more than one reservation."""
     return (reservations.groupBy("reservation_code")

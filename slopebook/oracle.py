@@ -61,6 +61,7 @@ where w."start" is null or w."end" is null or w."end" < w."start"
 ORACLE["e1_availability_by_size"] = W("""
 , asked as (select distinct shop_id, rental_date as date from fx_reservations)
 select a.date, a.shop_id, e.id as equipment_item_id, e.category, e.size_label,
+  cast(row_number() over (partition by a.shop_id, a.date order by e.category, e.size_label, e.id) as int) as position,
   cast(e.total_quantity - coalesce((
     select sum(ri.quantity) from fx_items ri join fx_reservations r on r.id = ri.reservation_id
     where ri.equipment_item_id = e.id and r.rental_date = a.date and r.status in ('pending', 'confirmed')
@@ -204,6 +205,12 @@ select request_id as id, shop_id, 'YR-' || upper(substr(sha256(cast(request_id a
 from req
 """, *_REQ_FX)
 
+ORACLE["a8_item_rows"] = W("""
+select i.reservation_id, cast(row_number() over (partition by i.reservation_id order by i.equipment_item_id, i.quantity) as int) as item_pos,
+  i.equipment_item_id, i.quantity
+from fx_items i join fx_reservations r on r.id = i.reservation_id
+""", "fx_items", "fx_reservations")
+
 ORACLE["a8_member_rows"] = W("""
 select reservation_id, member_no, height_cm, cast(shoe_cm as varchar) as shoe_cm, board_type,
   coalesce(is_child, false) as is_child,
@@ -530,7 +537,8 @@ from fx_reservations
 # --- lists and texts --------------------------------------------------------
 
 ORACLE["b1_inventory_list"] = W("""
-select id, shop_id, category, size_label, total_quantity, is_active from fx_equipment
+select id, shop_id, cast(row_number() over (partition by shop_id order by category, size_label, id) as int) as position,
+  category, size_label, total_quantity, is_active from fx_equipment
 """, "fx_equipment")
 
 ORACLE["b2_visible_anon_equipment"] = W("""
@@ -542,10 +550,42 @@ select closed_date from fx_closed_dates where closed_date >= date '2024-12-10'
 """, "fx_closed_dates")
 
 ORACLE["b5_day_list"] = W("""
-select id, reservation_code, rental_date, customer_name, party_size, status from fx_reservations
-where rental_date = date '2025-01-15'
+select r.id, r.shop_id, cast(row_number() over (partition by r.shop_id order by r.rental_date, r.created_at, r.id) as int) as position,
+  r.reservation_code, r.rental_date, r.customer_name, r.customer_phone, r.party_size, r.status, coalesce(nullif((
+    select string_agg(coalesce(case e.category when 'ski' then 'スキー' when 'snowboard' then 'スノーボード'
+        when 'boots' then 'ブーツ' else e.category end, '?') || ' ' || coalesce(e.size_label, '') || ' ×' || cast(i.quantity as varchar),
+      '、' order by i.equipment_item_id, i.quantity)
+    from fx_items i left join fx_equipment e on e.id = i.equipment_item_id where i.reservation_id = r.id), ''), '—') as items_text
+from fx_reservations r where r.rental_date = date '2025-01-15'
+""", "fx_reservations", "fx_items", "fx_equipment")
+
+ORACLE["d11_list_count"] = W("""
+select shop_id, count(*) as n_listed from fx_reservations
+where ((rental_date <= date '2025-01-15' and return_date >= date '2025-01-15')
+  or (eve_pickup and rental_date = date '2025-01-16')) and status in ('pending', 'confirmed') group by shop_id
 """, "fx_reservations")
 
+ORACLE["a11_cascade_parents_and_items"] = W("""
+select 'reservations' as table_name, id, cast(null as int) as equipment_item_id from fx_reservations
+where status is null or status <> 'cancelled'
+union all
+select 'reservation_items', i.reservation_id, i.equipment_item_id from fx_items i
+where not exists (select 1 from fx_reservations r where r.id = i.reservation_id and r.status = 'cancelled')
+""", "fx_reservations", "fx_items")
+
+ORACLE["a5_closed_day_report"] = W("""
+, feed as (select cast(o_orderkey as bigint) as feed_no,
+    case when o_orderkey % 13 <> 0 then cast(o_orderdate as date) end as closed_date from orders)
+select feed_no, closed_date, case when closed_date is null then 'INVALID_DATE'
+  when closed_date in (select closed_date from fx_closed_dates)
+    or row_number() over (partition by closed_date order by feed_no) > 1 then 'DUPLICATE' else 'ACCEPTED' end as status
+from feed
+""", "fx_closed_dates")
+
+ORACLE["b7_version_by_id"] = W("""
+select a.id, p.page_key, p.created_at from (select cast(page_id * 2 as bigint) as id from pages) a left join fx_pages p on p.id = a.id
+""", "fx_pages")
+
 
 def _esc(x: str) -> str:
     return (f"replace(replace(replace(replace(replace(coalesce(cast({x} as varchar), ''), '&', '&amp;'), "
@@ -595,7 +635,8 @@ def _staff_sql(where: str) -> str:
     '、' order by i.equipment_item_id, i.quantity) as items
   from fx_items i join r on r.id = i.reservation_id left join fx_equipment e on e.id = i.equipment_item_id
   group by 1)
-select r.id, r.reservation_code, r.rental_date, r.return_date, r.status,
+select r.id, r.shop_id, cast(row_number() over (partition by r.shop_id order by r.rental_date desc, r.created_at desc, r.id) as int)
+    as position, r.reservation_code, r.rental_date, r.return_date, r.status,
   {_esc('r.customer_name')} || ' 様' as name_text,
   case when r.rental_date = coalesce(r.return_date, r.rental_date)
     then strftime(r.rental_date, '%Y-%m-%d') || '（日帰り）'

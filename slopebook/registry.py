@@ -73,8 +73,7 @@ def q_e5(spark, d):
 
 def _valid_v2(spark, d):
     req = fx.table(spark, d, "fx_requests_v2")
-    codes = rq.validate_requests_v2(req, fx.table(spark, d, "fx_closed_dates"), fx.AS_OF)
-    return req.join(codes.where(F.col("code").isNull()).select("request_id"), "request_id", "left_semi")
+    return rq.with_v2_code(req, fx.table(spark, d, "fx_closed_dates"), fx.AS_OF).where(F.col("code").isNull()).drop("code")
 
 
 @register("e6_capacity_check")
@@ -275,6 +274,29 @@ def q_a11(spark, d):
     return mt.cascade_delete(t["reservations"], t["members"], gone).select("reservation_id", "member_no")
 
 
+@register("a11_cascade_parents_and_items")
+def q_a11p(spark, d):
+    t = _base(spark, d)
+    gone = t["reservations"].where(F.col("status") == "cancelled").select("id")
+    left = mt.delete_by_key(t["reservations"], gone, "id").select("id")
+    items = mt.cascade_delete(t["reservations"], t["items"], gone)
+    return (left.select(F.lit("reservations").alias("table_name"), "id", F.lit(None).cast("int").alias("equipment_item_id"))
+            .unionByName(items.select(F.lit("reservation_items").alias("table_name"), F.col("reservation_id").alias("id"), "equipment_item_id")))
+
+
+@register("a5_closed_day_report")
+def q_a5c(spark, d):
+    feed = spark.read.parquet(f"{d}/orders.parquet").select(
+        F.col("o_orderkey").cast("long").alias("feed_no"),
+        F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderdate").cast("date")).alias("closed_date"))
+    return mt.closed_day_report(fx.table(spark, d, "fx_closed_dates"), feed)
+
+
+@register("a8_item_rows")
+def q_a8i(spark, d):
+    return rq.item_rows(fx.table(spark, d, "fx_requests_v1"))
+
+
 @register("a12_delete_closed_days")
 def q_a12(spark, d):
     c = fx.table(spark, d, "fx_closed_dates")
@@ -293,7 +315,7 @@ def q_a13(spark, d):
 @register("b1_inventory_list")
 def q_b1(spark, d):
     return lists.inventory_list(_base(spark, d)["equipment"]).select(
-        "id", "shop_id", "category", "size_label", "total_quantity", "is_active")
+        "id", "shop_id", "position", "category", "size_label", "total_quantity", "is_active")
 
 
 @register("b2_visible_anon_equipment")
@@ -321,8 +343,15 @@ def q_b4a(spark, d):
 
 @register("b5_day_list")
 def q_b5(spark, d):
-    r = lists.day_list(_base(spark, d)["reservations"], STAFF_DAY)
-    return r.select("id", "reservation_code", "rental_date", "customer_name", "party_size", "status")
+    t = _base(spark, d)
+    r = lists.day_list(t["reservations"], t["items"], t["equipment"], STAFF_DAY)
+    return r.select("id", "shop_id", "position", "reservation_code", "rental_date", "customer_name", "customer_phone",
+                    "party_size", "status", "items_text")
+
+
+@register("d11_list_count")
+def q_d11(spark, d):
+    return lists.list_count(_base(spark, d)["reservations"], STAFF_DAY)
 
 
 @register("e17_reject_messages")
@@ -371,6 +400,12 @@ def q_b7(spark, d):
     return pages.page_by_key(cur, keys).select("page_key", "version_id")
 
 
+@register("b7_version_by_id")
+def q_b7v(spark, d):
+    ids = spark.read.parquet(f"{d}/pages.parquet").select((F.col("page_id") * 2).cast("long").alias("id"))
+    return pages.version_by_id(fx.table(spark, d, "fx_pages"), ids).select("id", "page_key", "created_at")
+
+
 @register("b8_layout_class")
 def q_b8(spark, d):
     pv = fx.table(spark, d, "fx_pages")

@@ -18,8 +18,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def write_in_time_order(df: DataFrame, path: str, ts_col: str, n_files: int = 4) -> None:
     """Write ``df`` as ``n_files`` appends, slice k holding the k-th time range.
 
-    Slice bounds come from ``approxQuantile`` with zero relative error
-    (n-1 numbers to the driver).  Each slice is written as exactly one file
+    Slice bounds come from ``approxQuantile`` (a sketch of bounded size; the
+    slices need not be exactly equal).  Each slice is written as exactly one file
     (choose ``n_files`` so a slice is file-sized), and appends happen one
     after another, so file modification times follow time order and a
     file source reading one file per trigger replays the slices in order.
@@ -28,7 +28,7 @@ def write_in_time_order(df: DataFrame, path: str, ts_col: str, n_files: int = 4)
     """
     micros: Column = F.unix_micros(F.col(ts_col).cast("timestamp"))
     keyed = df.withColumn("_t", micros)
-    qs = keyed.approxQuantile("_t", [i / n_files for i in range(1, n_files)], 0.0) if n_files > 1 else []
+    qs = keyed.approxQuantile("_t", [i / n_files for i in range(1, n_files)], 0.001) if n_files > 1 else []
     bounds = [None, *qs, None]
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         cond = F.lit(True)

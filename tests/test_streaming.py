@@ -8,7 +8,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-import test_admission as TA
+from tests import test_admission as TA  # noqa: E402
 from slopebook.operators import lifecycle, notify
 from slopebook.sources import fixtures as fx
 from slopebook.sources import schemas
