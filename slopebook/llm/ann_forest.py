@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slopebook.llm.common import bounded_sample
 from slopebook.plans.session import materialize, ship_package
 
 #: Distinct vectors that the splits are fitted on at most.
@@ -167,7 +168,7 @@ def search(vectors: DataFrame, queries_where, k: int = 5, id_col: str = "vec_id"
         return none
     dim = dims[0]["d"]
     classes = classes.where(F.size("vec") == dim)
-    rows = classes.select("vec", F.xxhash64("cid").alias("h")).orderBy("h").limit(sample).toPandas()
+    rows = bounded_sample(classes.select("cid", "vec"), "cid", sample).toPandas()
     points = _unit(np.array(rows["vec"].tolist(), dtype=np.float64).reshape(-1, dim))
     forest = grow(points, trees, leaf)
     enough = math.ceil(share * len(points))

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopebook.llm.common import field, with_text_columns
+from slopebook.llm.common import bounded_sample, field, with_text_columns
 
 #: Pages that the labeller is trained on at most, and blocks of one page used in training.
 TRAIN_PAGES = 192
@@ -410,8 +410,7 @@ def train(pages: list[str], seed: int = SEED) -> Labeller:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = TRAIN_PAGES) -> Labeller:
     """Train on at most ``sample`` pages: those of smallest hash of the id."""
-    rows = (pages.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"), F.col(html_col).alias("t"))
-            .where(F.length("t") > 0).orderBy("h", "i").limit(sample).collect())
+    rows = bounded_sample(pages.select(F.col(id_col).alias("i"), F.col(html_col).alias("t")).where(F.length("t") > 0), "i", sample).collect()
     return train([r["t"] for r in rows])
 
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slopebook.llm.common import fresh, field, utf8, with_text_columns
+from slopebook.llm.common import bounded_sample, field, fresh, utf8, with_text_columns
 
 #: Labelled rows that a decision list is fitted on at most: those of smallest
 #: hash of doc_id.  The list has a handful of thresholds, which this many rows fix.
@@ -194,8 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     sampled texts go through the statistics pass.
     """
     named = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
-    sample = (named.groupBy("id").agg(F.min("y").alias("y")).withColumn("h", F.xxhash64("id"))
-              .orderBy("h", "id").limit(max_labelled))
+    sample = bounded_sample(named.groupBy("id").agg(F.min("y").alias("y")), "id", max_labelled)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(F.broadcast(sample), "id")
     got = (text_stats(texts, "t").drop("t").groupBy("id").agg(F.min("y").alias("y"), F.min("h").alias("h"), *[F.min(s).alias(s) for s in STATS])
            .select("y", "h", *[feature(n).alias(f"f_{n}") for n in FEATURES]).toPandas())
