@@ -61,8 +61,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     known = _word_hashes
     if len(known) > MAX_WORDS:
         known.clear()
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh3_64_intdigest(w)
+    for w in set(words):
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
