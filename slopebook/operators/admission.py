@@ -1,28 +1,24 @@
-"""Sequential admission of v2 booking requests.
+"""Sequential admission of booking requests (v2 by members, v1 by items).
 
 The reference serialises every booking behind one global lock: each accepted
 request uses stock that later requests see.  The answer depends on order,
-so a plain aggregate is wrong.  Exact plan:
-
-1. E5 checks give codes to requests that fail before the stock loop.
-2. The rest (*candidates*) expand to cells (shop, category, day) with their
-   need.  A *consumer* is a candidate whose member rows would insert; other
-   candidates are checked against stock but never use it (their transaction
-   rolls back).
-3. A cell is *safe* when current use plus the need of **all** consumers
-   touching it, plus the largest need of a non-consumer touching it, fits
-   the stock: it can never reject anyone.  A request whose cells are all
-   safe is decided by set logic (accepted, or rejected for its member
-   rows).
-4. Requests touching an unsafe cell keep only their unsafe cells (safe ones
-   cannot fail) and go, per shop, through an ordered greedy pass.  Accepted
-   requests of step 3 never touch unsafe cells, so the unsafe cells start
-   from current use.  The greedy pass streams the shop's rows as Arrow
-   batches sorted by (requested_at, request_id); its state is one counter
-   per unsafe cell (at most categories x season days), never the shop's
-   requests.
-
-Steps 1-3 are joins and aggregates.  Only contended requests reach Python.
+so a plain aggregate is wrong.  Exact plan, the same for both versions:
+
+1. The row-level checks give codes to requests that fail before the stock loop.
+2. The rest expand to cells - (shop, category, day) for v2, (item, day) for v1 -
+   with their need.  A *consumer* is a request whose rows would insert if the
+   stock suffices; others are checked against stock but never use it.
+3. A cell is *safe* when current use plus the need of all consumers touching it,
+   plus the largest need of a non-consumer touching it, fits the stock: it can
+   reject nobody.  Only the rows of unsafe cells go on.
+4. Rounds over the unsafe cells (``settle``): a consumer is accepted when even
+   all undecided requests before it leave room in each of its cells, and
+   rejected when the accepted ones before it alone leave none in one of them.
+   The earliest undecided request is decided in every round, so rounds end;
+   each is one running sum per cell, and no shop is a group.  When at most
+   ``PASS_ROWS`` rows are undecided, one ordered pass decides them.
+5. With the accepted known, one running sum per cell gives every other
+   request its first failing cell, and so its code.
 """
 
 from __future__ import annotations
@@ -31,105 +27,108 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from slopebook.functions import pgcompat as pg
 from slopebook.operators import occupancy as occ
 from slopebook.operators import requests as rq
 from slopebook.plans.session import materialize
 
-ADMIT_SCHEMA = T.StructType([
-    T.StructField("request_id", T.IntegerType()),
-    T.StructField("shop_id", T.IntegerType()),
-    T.StructField("accepted", T.BooleanType()),
-    T.StructField("code", T.StringType()),
-])
-
 MEMBER_ROWS_REJECTED = "INVALID_MEMBER_DATA"
+#: Undecided rows that the ordered pass takes; with more, another round is run.
+PASS_ROWS = 100_000
+ORDER = ("requested_at", "request_id")
 
 
-def _greedy(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ordered greedy over one shop's contended rows.
-
-    Input rows (request_id, requested_at, consumer, category, day, need, used,
-    total) arrive sorted by (requested_at, request_id, cat_null, category,
-    day); a request's rows may span batches.
-    """
-    extra: dict[tuple, int] = {}
-    out_ids: list[int] = []
-    out_acc: list[bool] = []
-    out_code: list[str | None] = []
-    cur = None           # (request_id, consumer)
-    cur_cells: list[tuple] = []
-    cur_fail: str | None = None
-    last_key = None
-    shop = 0
+def _ordered_pass(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Accepted request ids of one lane's rows, which come sorted by (requested_at, request_id)."""
+    extra: dict[str, int] = {}
+    accepted: list[int] = []
+    current, cells, fits, last = None, [], True, None
 
     def finish():
-        nonlocal cur, cur_cells, cur_fail
-        if cur is None:
-            return
-        rid, consumer = cur
-        if cur_fail is not None:
-            out_ids.append(rid); out_acc.append(False); out_code.append(cur_fail)
-        elif consumer:
-            for cell, need in cur_cells:
-                extra[cell] = extra.get(cell, 0) + need
-            out_ids.append(rid); out_acc.append(True); out_code.append(None)
-        else:
-            out_ids.append(rid); out_acc.append(False); out_code.append(MEMBER_ROWS_REJECTED)
-        cur, cur_cells, cur_fail = None, [], None
+        if current is not None and fits:
+            for cell, add in cells:
+                extra[cell] = extra.get(cell, 0) + add
+            accepted.append(current)
 
     for pdf in rows:
-        if len(pdf):
-            shop = int(pdf["shop_id"].iloc[0])
-        rid_a = pdf["request_id"].to_numpy()
-        ts_a = pdf["requested_at"].to_numpy()
-        cons_a = pdf["consumer"].to_numpy()
-        cat_a = pdf["category"].to_numpy()
-        day_a = pdf["day"].to_numpy()
-        need_a = pdf["need"].to_numpy()
-        used_a = pdf["used"].to_numpy()
-        tot_a = pdf["total"].to_numpy()
-        for i in range(len(pdf)):
-            rid = int(rid_a[i])
-            key = (ts_a[i], rid)
-            if last_key is not None and key < last_key:
+        columns = (pdf[c].to_numpy() for c in ("request_id", "requested_at", "cell", "need", "add", "used", "total"))
+        for rid, at, cell, need, add, used, total in zip(*columns):
+            if last is not None and (at, rid) < last:
                 raise RuntimeError("admission rows are not in request order")
-            last_key = key
-            if cur is None or cur[0] != rid:
+            last = (at, rid)
+            if current != rid:
                 finish()
-                cur = (rid, bool(cons_a[i]))
-            if cur_fail is not None:
-                continue
-            cat = cat_a[i] if isinstance(cat_a[i], str) else None
-            cell = (cat, day_a[i])
-            need = int(need_a[i])
-            if int(used_a[i]) + extra.get(cell, 0) + need > int(tot_a[i]):
-                day = pd.Timestamp(day_a[i]).strftime("%Y-%m-%d")
-                cur_fail = f"OUT_OF_STOCK:{cat if cat is not None else '<NULL>'}:{day}"
-            else:
-                cur_cells.append((cell, need))
+                current, cells, fits = int(rid), [], True
+            fits = fits and used + extra.get(cell, 0) + need <= total
+            cells.append((cell, int(add)))
     finish()
-    yield pd.DataFrame({"request_id": pd.Series(out_ids, dtype="int32"),
-                        "shop_id": pd.Series([shop] * len(out_ids), dtype="int32"),
-                        "accepted": pd.Series(out_acc, dtype="bool"),
-                        "code": pd.Series(out_code, dtype="object")})
+    yield pd.DataFrame({"request_id": pd.Series(accepted, dtype="int32")})
+
+
+def _before(column: Column) -> Column:
+    """Sum over the rows of the same cell that come earlier in request order."""
+    w = Window.partitionBy("cell").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(w), F.lit(0))
+
+
+def settle(cells: DataFrame) -> DataFrame:
+    """request_id, code of every request of ``cells``: NULL if its stock suffices in request order.
+
+    cells: request_id, lane (requests that share a cell share it), requested_at,
+    consumer, cell (text), place (sorts a request's cells), fail (the code if this
+    cell fails), need (tested), add (used when accepted), used, total.
+    """
+    rows = materialize(cells.where("consumer").select("request_id", "lane", "requested_at", "cell", "need", "add", "used", "total",
+                                                      F.lit(False).alias("accepted")), "admission-round")
+    while rows.where("not accepted").count() > PASS_ROWS:
+        low = F.col("used") + _before(F.when(F.col("accepted"), F.col("add")))
+        high = F.col("used") + _before(F.col("add"))
+        tested = rows.withColumn("low", low).withColumn("high", high).where("not accepted")
+        decided = (tested.groupBy("request_id").agg(F.max(F.col("low") + F.col("need") > F.col("total")).alias("out"),
+                                                    F.min(F.col("high") + F.col("need") <= F.col("total")).alias("in")))
+        rows = materialize(rows.join(decided, "request_id", "left").where(~F.coalesce("out", F.lit(False)))
+                           .withColumn("accepted", F.col("accepted") | F.coalesce("in", F.lit(False))).drop("out", "in"), "admission-round")
+    open_rows = (rows.withColumn("used", F.col("used") + _before(F.when(F.col("accepted"), F.col("add")))).where("not accepted"))
+    passed = (open_rows.repartition("lane").sortWithinPartitions("lane", *ORDER)
+              .groupBy("lane").applyInPandas(_ordered_pass, "request_id int"))
+    accepted = rows.where("accepted").select("request_id").distinct().union(passed).withColumn("accepted", F.lit(True))
+    known = cells.join(accepted, "request_id", "left")
+    low = F.col("used") + _before(F.when(F.col("accepted"), F.col("add")))
+    failed = known.withColumn("low", low).where(F.col("accepted").isNull() & (F.col("low") + F.col("need") > F.col("total")))
+    codes = failed.groupBy("request_id").agg(F.min(F.struct("place", "fail")).alias("f"))
+    return cells.select("request_id").distinct().join(codes, "request_id", "left").select("request_id", F.col("f.fail").alias("code"))
+
+
+def _unsafe(cells: DataFrame) -> DataFrame:
+    """The rows of cells that may reject somebody: demand per cell first, then only their rows are read."""
+    demand = (cells.groupBy("cell").agg(
+        F.sum(F.when(F.col("consumer"), F.col("add")).otherwise(0)).alias("demand"),
+        F.max(F.when(F.col("consumer"), F.col("need") - F.col("add")).otherwise(F.col("need"))).alias("probe"),
+        F.max("used").alias("u"), F.min("total").alias("t"))
+        .where(F.col("u") + F.col("demand") + F.greatest("probe", F.lit(0)) > F.col("t")).select("cell"))
+    return materialize(cells.join(demand, "cell", "left_semi"), "admission-cells")
+
+
+def _answer(requests: DataFrame, codes: DataFrame) -> DataFrame:
+    """Admission rows of ``requests`` (request_id, shop_id, code before the stock, own: code after it)."""
+    return (requests.join(codes.withColumnRenamed("code", "stock"), "request_id", "left")
+            .select("request_id", "shop_id", F.coalesce("code", "stock", "own").alias("code"))
+            .select("request_id", "shop_id", F.col("code").isNull().alias("accepted"), "code")
+            .withColumn("reservation_code", F.when(F.col("accepted"), pg.reservation_code(F.col("request_id")))))
 
 
 def admit(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, members: DataFrame,
           closed_dates: DataFrame, as_of: dt.date | Column) -> DataFrame:
-    """Decide every request in (requested_at, request_id) order per shop.
+    """Decide every v2 request in (requested_at, request_id) order per shop.
 
     Returns request_id, shop_id, accepted, code, reservation_code (E8, only
     for accepted requests).
     """
     # Request-level facts, computed once (the member checks are array
-    # lambdas): code, consumer flag, needs per type.  The members array is
-    # not needed after this, so the slim table is written once and read by
-    # every branch.
+    # lambdas) and written, so the members arrays are read once.
     req = materialize(
         rq.with_v2_code(requests, closed_dates, as_of)
         .select("request_id", "shop_id", "requested_at", "code", "end",
@@ -137,35 +136,39 @@ def admit(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, me
                 rq.members_ok().alias("consumer"), rq.type_needs().alias("needs")),
         "admission-requests")
     cand = req.where(F.col("code").isNull())
-
-    cells = rq.cells_with_state(rq.cells_from_needs(cand, ("consumer",)), equipment, reservations, members)
-    # Per cell: the need of all consumers, and the largest need of a
-    # non-consumer (it is stock-checked on top of whatever was accepted
-    # before it, but never adds to the count).
-    w_demand = (cells.groupBy("shop_id", "category", "day")
-                .agg(F.sum(F.when(F.col("consumer"), F.col("need")).otherwise(0)).alias("demand"),
-                     F.max(F.when(~F.col("consumer"), F.col("need")).otherwise(0)).alias("probe")))
-    cells = cells.join(w_demand, ["shop_id", "category", "day"], "left")
-    safe = (F.col("category").isNotNull()
-            & (F.col("used") + F.col("demand") + F.col("probe") <= F.col("total")))
-    # Three branches read the cell table: cut its lineage once, as a parquet
-    # table in the shared checkpoint folder (survives executor loss).
-    cells = materialize(cells.withColumn("safe", safe), "admission-cells")
-
-    contended_ids = cells.where(~F.col("safe")).select("request_id").distinct()
-    decided = (cand.join(contended_ids, "request_id", "left_anti")
-               .select("request_id", "shop_id", F.col("consumer").alias("accepted"),
-                       F.when(~F.col("consumer"), F.lit(MEMBER_ROWS_REJECTED)).alias("code")))
-    contended = (cells.where(~F.col("safe"))
-                 .select("shop_id", "requested_at", "request_id", "consumer",
-                         F.col("category").isNull().alias("cat_null"), "category", "day",
-                         "need", "used", "total"))
-    greedy = (contended.repartition("shop_id")
-              .sortWithinPartitions("shop_id", "requested_at", "request_id", "cat_null", "category", "day")
-              .groupBy("shop_id")
-              .applyInPandas(_greedy, ADMIT_SCHEMA))
-    failed = req.where(F.col("code").isNotNull()).select(
-        "request_id", "shop_id", F.lit(False).alias("accepted"), "code")
-    result = failed.unionByName(decided).unionByName(greedy)
-    return result.withColumn("reservation_code",
-                             F.when(F.col("accepted"), pg.reservation_code(F.col("request_id"))))
+    state = rq.cells_with_state(rq.cells_from_needs(cand, ("consumer",)), equipment, reservations, members)
+    cells = state.select(
+        "request_id", F.col("shop_id").alias("lane"), "requested_at", "consumer", "used", "total", "need", F.col("need").alias("add"),
+        F.concat_ws("|", "shop_id", F.coalesce("category", F.lit("<NULL>")), "day").alias("cell"),
+        F.struct(F.col("category").isNull().alias("no_category"), "category", "day").alias("place"),
+        rq.out_of_stock_code(F.col("category"), F.col("day")).alias("fail"))
+    own = F.when(F.col("code").isNull() & ~F.col("consumer"), F.lit(MEMBER_ROWS_REJECTED))
+    return _answer(req.select("request_id", "shop_id", "code", own.alias("own")), settle(_unsafe(cells)))
+
+
+def admit_v1(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, items: DataFrame,
+             closed_dates: DataFrame, as_of: dt.date | Column, faithful: bool = True) -> DataFrame:
+    """E7 for v1 requests (one day, explicit items).
+
+    ``faithful`` tests each line alone, as the reference does, so that two lines
+    of one item can overbook it; otherwise the request's total per item is tested.
+    A line that is wrong in itself ends the request there: items after it (in
+    text order of their id) are not tested.
+    """
+    lines = rq.v1_lines(requests, closed_dates, equipment, as_of)
+    first_bad = lines.where("line_code is not null").groupBy("request_id").agg(F.min(F.struct("place", "line_code")).alias("bad"))
+    known = lines.where("line_code is null").join(first_bad, "request_id", "left")
+    tested = known.where(F.col("bad").isNull() | (F.col("place") < F.col("bad.place")))
+    used = occ.booked_items(reservations, items, requests.select(F.col("rental_date").alias("date")))
+    cells = (tested.groupBy("request_id", "requested_at", "equipment_item_id", "rental_date", F.col("bad").isNull().alias("consumer"))
+             .agg(F.min("place").alias("place"), (F.max("qty") if faithful else F.sum("qty")).alias("need"), F.sum("qty").alias("add"),
+                  F.min("total_quantity").alias("total"))
+             .join(used.select("equipment_item_id", F.col("date").alias("rental_date"), F.col("booked").alias("used")),
+                   ["equipment_item_id", "rental_date"], "left")
+             # A request may ask for items of several shops, so the (bounded) ordered pass is one lane.
+             .select("request_id", F.lit(0).alias("lane"), "requested_at", "consumer", "place", "need", "add", "total",
+                     F.coalesce("used", F.lit(0)).alias("used"), F.concat_ws("|", "equipment_item_id", "rental_date").alias("cell"),
+                     F.concat(F.lit("OUT_OF_STOCK:"), F.col("equipment_item_id").cast("string")).alias("fail")))
+    req = (rq.with_v1_code(requests, closed_dates, as_of).join(first_bad, "request_id", "left")
+           .select("request_id", "shop_id", "code", F.when(F.col("code").isNull(), F.col("bad.line_code")).alias("own")))
+    return _answer(req, settle(_unsafe(cells)))

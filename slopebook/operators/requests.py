@@ -176,6 +176,34 @@ def capacity_check(requests: DataFrame, equipment: DataFrame, reservations: Data
 # v1 (single day, explicit equipment items)
 # ---------------------------------------------------------------------------
 
+def with_v1_code(requests: DataFrame, closed_dates: DataFrame, as_of: dt.date | Column) -> DataFrame:
+    """``requests`` plus ``code``: INVALID_INPUT, DATE_IN_PAST, SHOP_CLOSED_ON_DATE or NULL."""
+    closed = closed_dates.select(F.col("closed_date").alias("rental_date")).distinct() \
+        .withColumn("is_closed", F.lit(True))
+    n_items = F.when(F.col("items").isNull(), F.lit(None)).otherwise(F.size("items"))
+    code = (F.when(F.col("rental_date").isNull() | F.col("party_size").isNull()
+                   | (F.col("party_size") <= 0) | n_items.isNull() | (n_items == 0), "INVALID_INPUT")
+            .when(F.col("rental_date") < _lit_date(as_of), "DATE_IN_PAST")
+            .when(F.coalesce("is_closed", F.lit(False)), "SHOP_CLOSED_ON_DATE"))
+    return requests.join(closed, "rental_date", "left").withColumn("code", code).drop("is_closed")
+
+
+def v1_lines(requests: DataFrame, closed_dates: DataFrame, equipment: DataFrame, as_of: dt.date | Column) -> DataFrame:
+    """Item lines of the requests that pass their own checks: place (text order of the item id, then
+    position), qty, the item's stock, and line_code if the line is wrong in itself."""
+    eq = equipment.select(F.col("id").cast("string").alias("eid_text"), F.col("id").alias("equipment_item_id"),
+                          "total_quantity", "is_active")
+    lines = (with_v1_code(requests, closed_dates, as_of).where(F.col("code").isNull())
+             .select("request_id", "shop_id", "requested_at", "rental_date", F.posexplode("items").alias("pos", "it"))
+             .select("request_id", "shop_id", "requested_at", "rental_date", F.col("it.equipment_item_id").alias("eid_text"),
+                     F.struct(F.col("it.equipment_item_id").isNull().alias("no_item"), F.col("it.equipment_item_id").alias("item"), "pos").alias("place"),
+                     pg.pg_int(F.col("it.quantity")).alias("qty")))
+    bad = (F.when(F.col("qty").isNull() | (F.col("qty") <= 0), "INVALID_QUANTITY")
+           .when(F.col("total_quantity").isNull(), "EQUIPMENT_NOT_FOUND")
+           .when(~F.col("is_active"), "EQUIPMENT_INACTIVE"))
+    return lines.join(eq, "eid_text", "left").withColumn("line_code", bad)
+
+
 def validate_requests_v1(requests: DataFrame, closed_dates: DataFrame, equipment: DataFrame,
                          reservations: DataFrame, items: DataFrame, as_of: dt.date | Column,
                          faithful: bool = True) -> DataFrame:
@@ -188,16 +216,7 @@ def validate_requests_v1(requests: DataFrame, closed_dates: DataFrame, equipment
     the reference's check of each line alone (two lines of one item can
     overbook); ``faithful=False`` checks the request's total per item.
     """
-    today = _lit_date(as_of)
-    closed = closed_dates.select(F.col("closed_date").alias("rental_date")).distinct() \
-        .withColumn("is_closed", F.lit(True))
-    n_items = F.when(F.col("items").isNull(), F.lit(None)).otherwise(F.size("items"))
-    r = requests.join(closed, "rental_date", "left")
-    req_code = (F.when(F.col("rental_date").isNull() | F.col("party_size").isNull()
-                       | (F.col("party_size") <= 0) | n_items.isNull() | (n_items == 0), "INVALID_INPUT")
-                .when(F.col("rental_date") < today, "DATE_IN_PAST")
-                .when(F.coalesce("is_closed", F.lit(False)), "SHOP_CLOSED_ON_DATE"))
-    r = r.select("request_id", "rental_date", "items", req_code.alias("req_code"))
+    r = with_v1_code(requests, closed_dates, as_of).select("request_id", "rental_date", "items", F.col("code").alias("req_code"))
 
     lines = (r.where(F.col("req_code").isNull())
              .select("request_id", "rental_date", F.posexplode("items").alias("pos", "it"))

@@ -104,6 +104,23 @@ def q_e7(spark, d):
     return admission.admit(req, t["equipment"], state, t["members"], t["closed_dates"], fx.AS_OF)
 
 
+def _v1_admission(spark, d, faithful):
+    t = _base(spark, d)
+    req = fx.table(spark, d, "fx_requests_v1").where(F.col("requested_at") >= F.lit(CUTOFF))
+    state = t["reservations"].where(F.col("created_at") < F.lit(CUTOFF))
+    return admission.admit_v1(req, t["equipment"], state, t["items"], t["closed_dates"], fx.AS_OF, faithful)
+
+
+@register("e7_admit_v1")
+def q_e7v1(spark, d):
+    return _v1_admission(spark, d, True)
+
+
+@register("e7_admit_v1_summed")
+def q_e7v1s(spark, d):
+    return _v1_admission(spark, d, False)
+
+
 @register("e8_code_collisions")
 def q_e8(spark, d):
     return rq.code_collisions(rq.reservation_rows(fx.table(spark, d, "fx_requests_v2")))

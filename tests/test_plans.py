@@ -34,14 +34,25 @@ def test_status_filter_reaches_scan(spark):
     assert "PushedFilters: [IsNotNull(rental_date), EqualTo(rental_date" in text
 
 
-def test_admission_greedy_input_keeps_request_order(spark):
-    """The grouped pandas step must read rows in our (shop, time, request) sort
-    order; a planner-inserted re-sort on shop_id alone would break it."""
+def test_admission_pass_reads_rows_in_request_order(spark):
+    """The ordered pass must read rows in our (lane, time, request) sort order; a
+    planner-inserted re-sort on the lane alone would break it."""
     import re
     df = E.queries()["e7_admit"](spark, SF)
     df.collect()
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" in p
     sorts = re.findall(r"Sort \[([^\]]*)\]", p)
-    shop_sorts = [s for s in sorts if s.startswith("shop_id")]
+    shop_sorts = [s for s in sorts if s.startswith("lane")]
     assert shop_sorts and all("requested_at" in s for s in shop_sorts), shop_sorts
+
+
+@pytest.mark.parametrize("name,table,at_most", [("e6_capacity_check", "fx_reservations", 1), ("e2_availability_by_category", "fx_reservations", 5),
+                                                ("e6_capacity_check", "fx_requests_v2", 3)])
+def test_tables_are_scanned_once_or_so(spark, name, table, at_most):
+    """E2 asks about each reservation's own period, so the bookings are also its questions."""
+    text = E.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    fields = {"fx_reservations": "customer_phone|rental_date", "fx_requests_v2": "members"}[table]
+    import re
+    scans = [x for x in re.findall(r"Relation \[[^\]]*\] parquet", text) if re.search(fields, x) and ("members#" in x) == (table == "fx_requests_v2")]
+    assert len(scans) <= at_most, len(scans)
