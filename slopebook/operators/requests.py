@@ -3,8 +3,7 @@ from a nested request) and member insert checks.
 
 Every function maps a DataFrame of requests to a DataFrame of answers; the
 reference's per-call PL/pgSQL checks become one ordered ``when`` chain.
-Date-range tests (closed days) explode only requests that already passed
-the length check, so the expansion is bounded by 32 days.
+Closed days are one array per query, tested inside the request's row.
 """
 
 from __future__ import annotations
@@ -30,21 +29,12 @@ def _members_n() -> Column:
     return F.when(F.col("members").isNull(), F.lit(None)).otherwise(F.size("members"))
 
 
-def closed_flags(requests: DataFrame, closed_dates: DataFrame) -> DataFrame:
-    """Per request: any closed day in [start, end], and the eve day closed.
+def closed_days(closed_dates: DataFrame) -> Column:
+    """All closed days as one array: a scalar subquery, evaluated once per query.
 
-    Only requests with a valid range of at most 31 days are expanded (one
-    extra day for the eve).  Closed days join by equality on the date.
+    Bounded by the calendar, not by the data: one entry per distinct day.
     """
-    span = (requests.where(F.col("start").isNotNull() & F.col("end").isNotNull()
-                           & (F.col("end") >= F.col("start"))
-                           & (F.datediff("end", "start") <= MAX_PERIOD_DAYS))
-            .select("request_id", "start",
-                    F.explode(F.sequence(F.date_sub("start", 1), F.col("end"))).alias("day")))
-    hit = span.join(closed_dates.select(F.col("closed_date").alias("day")).distinct(), "day")
-    return hit.groupBy("request_id").agg(
-        F.max(F.col("day") >= F.col("start")).alias("closed_in_period"),
-        F.max(F.col("day") < F.col("start")).alias("closed_on_eve"))
+    return closed_dates.select("closed_date").distinct().agg(F.collect_set("closed_date").alias("days")).scalar()
 
 
 def with_v2_code(requests: DataFrame, closed_dates: DataFrame, as_of: dt.date | Column) -> DataFrame:
@@ -57,8 +47,8 @@ def with_v2_code(requests: DataFrame, closed_dates: DataFrame, as_of: dt.date |
     INVALID_BOARD_TYPE (``NULL NOT IN (...)`` is not true).
     """
     today = _lit_date(as_of)
-    flags = closed_flags(requests, closed_dates)
-    r = requests.join(flags, "request_id", "left")
+    r = requests.withColumn("_closed", closed_days(closed_dates))
+    days = F.col("_closed")
     n = _members_n()
     eve = F.coalesce(F.col("eve_pickup"), F.lit(False))
     bad_type = F.exists("members", lambda m: ~m["board_type"].isin(*BOARD_TYPES))
@@ -71,11 +61,11 @@ def with_v2_code(requests: DataFrame, closed_dates: DataFrame, as_of: dt.date |
             .when(n.isNull() | (n == 0) | (n > MAX_MEMBERS), "INVALID_MEMBERS")
             .when(F.coalesce("adults", F.lit(0)) + F.coalesce("children", F.lit(0)) != n,
                   "MEMBER_COUNT_MISMATCH")
-            .when(F.coalesce("closed_in_period", F.lit(False)), "SHOP_CLOSED_ON_DATE")
+            .when(F.exists(days, lambda d: d.between(F.col("start"), F.col("end"))), "SHOP_CLOSED_ON_DATE")
             .when(eve & (F.date_sub("start", 1) < today), "EVE_IN_PAST")
-            .when(eve & F.coalesce("closed_on_eve", F.lit(False)), "EVE_CLOSED")
+            .when(eve & F.array_contains(days, F.date_sub("start", 1)), "EVE_CLOSED")
             .when(bad_type, "INVALID_BOARD_TYPE"))
-    return r.withColumn("code", code).drop("closed_in_period", "closed_on_eve")
+    return r.withColumn("code", code).drop("_closed")
 
 
 def validate_requests_v2(requests: DataFrame, closed_dates: DataFrame, as_of: dt.date | Column) -> DataFrame:

@@ -73,11 +73,21 @@ def materialize(df, name: str):
     import uuid
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/materialized/{name}-{uuid.uuid4().hex[:12]}"
+    spark.sparkContext.__dict__.setdefault("_slopebook_written", []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     # With the schema given, an empty result reads back as an empty table.
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete what ``materialize`` wrote in this session, once no result that reads it is needed; how many folders."""
+    written = spark.sparkContext.__dict__.pop("_slopebook_written", [])
+    for path in written:
+        fs, p = file_system(spark, path)
+        fs.delete(p, True)
+    return len(written)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``slopebook`` importable in Python workers (pandas UDFs, grouped
     maps, streaming state functions): zip the package once per session and

@@ -114,3 +114,12 @@ def test_hours_are_rewritten_in_their_row_only(spark):
 def test_one_shared_folder_per_session(spark):
     from slopebook.plans.session import ensure_checkpoint_dir
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
+
+
+def test_materialized_folders_can_be_dropped(spark):
+    from slopebook.plans.session import drop_materialized, file_system, materialize
+    df = materialize(spark.range(3), "drop-test")
+    (path,) = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    assert df.count() == 3 and drop_materialized(spark) >= 1
+    fs, p = file_system(spark, path)
+    assert not fs.exists(p)

@@ -48,7 +48,7 @@ def test_admission_pass_reads_rows_in_request_order(spark):
 
 
 @pytest.mark.parametrize("name,table,at_most", [("e6_capacity_check", "fx_reservations", 1), ("e2_availability_by_category", "fx_reservations", 5),
-                                                ("e6_capacity_check", "fx_requests_v2", 3)])
+                                                ("e6_capacity_check", "fx_requests_v2", 4)])
 def test_tables_are_scanned_once_or_so(spark, name, table, at_most):
     """E2 asks about each reservation's own period, so the bookings are also its questions."""
     text = E.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
