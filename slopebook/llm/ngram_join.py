@@ -9,13 +9,13 @@ with its transpose is taken in blocks, and only where the sizes allow a link:
    documents that link share one of these.
 2. Equal sets become one node, so copies are never paired with each other.
 3. Every node points at the hub (smallest node) it shares most columns with;
-   following the pointers gives groups of like documents.  Inside a group the
-   product runs in numpy over blocks of bounded size: a row is multiplied with
-   the columns of what is not yet connected, so a group of copies costs one
-   product, and no pair of a group is ever a row of a table.
-4. Columns that several groups meet in give pairs across groups; their overlap
-   counts are accumulated and pairs below the bound that the sizes imply are
-   discarded.  The rest is verified on the whole sets.
+   following the pointers gives groups of like documents.  Where groups meet
+   in columns, the overlaps of a node with the larger group are accumulated; a
+   node that could reach the bound that the sizes imply takes part in that group
+   as a visitor, all others are discarded.
+4. A group's product runs in numpy on whole sets, in blocks of bounded size: a
+   row is multiplied with the columns of what is not yet connected, so a group of
+   copies costs one product, and no pair is ever a row of a table.
 5. Links join into components by alternating star contraction.
 
 Only the order of columns and the groups are heuristic (they decide how much
@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopebook.llm.common import field, fresh, ship_package, utf8, with_text_columns
+from slopebook.llm.url_filter import bloom, bloom_bits, bloom_block
 from slopebook.plans.session import materialize
 
 WORDS, PERCENT = 5, 80
@@ -52,6 +53,8 @@ COUNT_CELLS, COUNT_LEAST = 4_000_000, 3
 #: Incidences that one side of a block product holds.
 BLOCK_CELLS = 4_000_000
 MAX_WORDS = 500_000
+#: Share of a node's prefix that it must have in common with its hub to join its group.
+GROUP_PERCENT = 40
 
 _MULTIPLIERS = np.random.default_rng(64).integers(1, 2 ** 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _word_hashes: dict[bytes, int] = {}
@@ -170,24 +173,18 @@ def incidence(nodes: DataFrame) -> DataFrame:
     return cells.join(stats, "gram")
 
 
-def may_link(n1, pos1, n2, pos2, percent: int):
-    """Whether the sizes, and the columns left after a first shared one, allow a link."""
-    small, large = F.least(n1, n2), F.greatest(n1, n2)
-    left = F.least(n1 - pos1, n2 - pos2)
-    return (100 * small >= percent * large) & (left * (100 + percent) >= percent * (n1 + n2))
-
-
-def group_nodes(cells: DataFrame, nodes: DataFrame) -> DataFrame:
+def group_nodes(cells: DataFrame, percent: int) -> DataFrame:
     """node, grp: every node of ``cells`` with the root of its hub pointers.
 
     A node points at the smaller node with which it shares most columns, if
-    they are at least a fifth of its prefix; pointers lead to ever smaller
-    nodes, so jumping along them ends after log2(longest path) rounds.
+    they are at least ``GROUP_PERCENT`` of its prefix; pointers lead to ever
+    smaller nodes, so jumping along them ends after log2(longest path) rounds.
     """
     shared = cells.where("node <> hub").groupBy("node", "n", "hub").agg(F.count(F.lit(1)).alias("c"))
     best = (shared.groupBy("node").agg(F.max(F.struct("c", "hub", "n")).alias("b"))
             .select("node", F.col("b.hub").alias("up"), F.col("b.c").alias("c"), F.col("b.n").alias("n")))
-    ups = materialize(best.where(5 * F.col("c") >= F.greatest(F.lit(5), F.ceil(0.15 * F.col("n")))).select("node", "up"), "ngram_up")
+    prefix = F.floor((100 - percent) * F.col("n") / 100) + 1
+    ups = materialize(best.where(100 * F.col("c") >= GROUP_PERCENT * prefix).select("node", "up"), "ngram_up")
     while True:
         nxt = materialize(ups.alias("a").join(ups.alias("b"), F.col("a.up") == F.col("b.node"), "left")
                           .select(F.col("a.node").alias("node"), F.coalesce("b.up", "a.up").alias("up"),
@@ -199,26 +196,36 @@ def group_nodes(cells: DataFrame, nodes: DataFrame) -> DataFrame:
             .select("node", F.coalesce("up", "node").alias("grp")))
 
 
-def cross_pairs(cells: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of nodes of different groups whose accumulated overlap leaves a link possible."""
-    own = materialize(cells.select("gram", "node", "n", "pos").join(groups, "node"), "ngram_cells")
+def visitors(cells: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """node, grp: nodes that may link with a member of another group, and so take part in its product.
+
+    Where two groups meet in a column, only the nodes of the smaller one are
+    counted (of equal ones, of the smaller id), so a large group never makes
+    rows for its visitors.  A node's overlap with a member is at most the columns it
+    shares with the group, plus the longer rest beyond the two prefixes; pairs
+    of node and group below what the sizes ask for are discarded.
+    """
+    own = materialize(cells.select("gram", "node", "n").join(groups, "node"), "ngram_cells")
+    facts = own.select("grp", "node", "n").distinct().groupBy("grp").agg(
+        F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
     met = own.select("gram", "grp").distinct()
     several = met.groupBy("gram").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("gram")
-    met = met.join(several, "gram")
-    both = (met.alias("x").join(met.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.grp") < F.col("y.grp")))
-            .select(F.col("x.gram").alias("gram"), F.col("x.grp").alias("g1"), F.col("y.grp").alias("g2")))
-    side = {k: own.select("gram", F.col("grp").alias(f"g{k}"), F.col("node").alias(f"v{k}"), F.col("n").alias(f"n{k}"),
-                          F.col("pos").alias(f"p{k}")) for k in (1, 2)}
-    met_pairs = both.join(side[1], ["gram", "g1"]).join(side[2], ["gram", "g2"])
-    # The sizes alone rule out most pairs; the first shared column of a link always passes the second test,
-    # so a pair none of whose columns passes it has no link.
-    n1, n2, p1, p2 = (F.col(c) for c in ("n1", "n2", "p1", "p2"))
-    sized = met_pairs.where(100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
-    counted = sized.groupBy("v1", "v2", "n1", "n2").agg(F.count(F.lit(1)).alias("c"), F.max(may_link(n1, p1, n2, p2, percent)).alias("ok"))
-    # Shared columns beyond the prefixes: no more than the longer rest.
-    rest = F.greatest(F.floor(percent * n1 / 100), F.floor(percent * n2 / 100)) + 1
-    return (counted.where("ok").where((F.col("c") + rest) * (100 + percent) >= percent * (n1 + n2))
-            .select(F.col("v1").alias("a"), F.col("v2").alias("b")))
+    host = (met.join(several, "gram").join(facts, "grp")
+            .select("gram", F.col("grp").alias("host"), F.col("size").alias("host_size"), "low", "high"))
+    guest = own.join(several, "gram").join(facts.select("grp", "size"), "grp")
+    n, low, high = F.col("n"), F.col("low"), F.col("high")
+    smaller = (F.col("size") < F.col("host_size")) | ((F.col("size") == F.col("host_size")) & (F.col("grp") < F.col("host")))
+    rows = guest.join(host, "gram").where(smaller & (100 * high >= percent * n) & (100 * n >= percent * low))
+
+    def needed(m):
+        """Columns that sets of n and m n-grams must share within their prefixes."""
+        rest = F.greatest(F.floor(percent * n / 100), F.floor(percent * m / 100)) + 1
+        return F.ceil(percent * (n + m) / (100 + percent)) - rest
+    # The bound is least at an end of the sizes that can link at all.
+    least_size = F.greatest(low, F.ceil(percent * n / 100))
+    most_size = F.least(high, F.floor(100 * n / percent))
+    counted = rows.groupBy("node", "n", "host", "low", "high").agg(F.count(F.lit(1)).alias("c"))
+    return counted.where(F.col("c") >= F.least(needed(least_size), needed(most_size))).select("node", F.col("host").alias("grp"))
 
 
 def peel(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -261,8 +268,17 @@ def peel(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text: str) -> DataFrame:
-    """node, n, grams (the whole set as little-endian longs) of the wanted (node, doc_id)."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("__text")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    """node, n, grams (the whole set as little-endian longs) of the wanted (node, doc_id).
+
+    A Bloom filter of the wanted ids (bounded, broadcast) drops most other texts
+    before the exact join shuffles any.
+    """
+    ids = wanted.select("doc_id").distinct()
+    asked = F.col("doc_id")
+    slim = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("__text"))
+            .withColumn("__block", bloom_block(asked)).join(F.broadcast(bloom(ids, "doc_id")), F.col("__block") == F.col("block"))
+            .where(F.col("word").bitwiseAND(bloom_bits(asked)) == bloom_bits(asked)).select("doc_id", "__text")
+            .join(ids, "doc_id", "left_semi"))
 
     def compute(texts):
         for t in texts:
@@ -276,16 +292,16 @@ def node_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text:
 def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: str, text: str) -> DataFrame:
     """a, b: links that span the components of ``nodes`` (node, n, doc_id, prefix)."""
     cells = materialize(incidence(nodes), "ngram_columns")
-    groups = materialize(group_nodes(cells, nodes), "ngram_groups")
-    pairs = materialize(cross_pairs(cells, groups, percent), "ngram_pairs")
-    sizes = groups.join(nodes.select("node", "n"), "node").groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("cells")).where("m > 1")
+    groups = materialize(group_nodes(cells, percent), "ngram_groups")
+    taking_part = materialize(groups.union(visitors(cells, groups, percent)), "ngram_members")
+    sizes = (taking_part.join(nodes.select("node", "n"), "node").groupBy("grp")
+             .agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("cells")).where("m > 1"))
     blocks = F.ceil(F.col("cells") / BLOCK_CELLS).cast("int")
-    members = groups.join(sizes.select("grp", blocks.alias("blocks")), "grp")
-    paired = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = (members.select("node").union(paired).distinct().join(nodes.select("node", "doc_id"), "node"))
-    sets = materialize(node_sets(docs, materialize(wanted, "ngram_wanted"), words, id_col, text), "ngram_sets")
+    members = materialize(taking_part.join(sizes.select("grp", blocks.alias("blocks")), "grp"), "ngram_members")
+    wanted = materialize(members.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "ngram_wanted")
+    sets = materialize(node_sets(docs, wanted, words, id_col, text), "ngram_sets")
 
-    # Within groups: one task per pair of blocks (one block for all but huge groups).
+    # One task per group and pair of its blocks (one block for all but huge groups).
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = (sets.join(members, "node").withColumn("blk", block)
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -296,21 +312,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: s
         found = peel(pdf["node"].to_numpy(), [np.frombuffer(g, dtype="<i8") for g in pdf["grams"]], percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    inside = placed.groupBy("grp", "i", "j").applyInPandas(product, "a long, b long")
-
-    # Across groups: the surviving pairs on their whole sets.
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("ga"), b.column("gb")):
-                s, t = (np.frombuffer(v.as_buffer(), dtype="<i8") for v in (x, y))
-                keep.append(len(np.intersect1d(s, t, assume_unique=True)) >= least_overlap(len(s), len(t), percent))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    across = (pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-              .join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-              .select("a", "b", "ga", "gb").mapInArrow(verify, "a long, b long"))
-    return inside.union(across)
+    return placed.groupBy("grp", "i", "j").applyInPandas(product, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

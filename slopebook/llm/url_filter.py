@@ -58,11 +58,11 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*fits)
 
 
-def _block(url: Column) -> Column:
+def bloom_block(url: Column) -> Column:
     return F.pmod(F.xxhash64(url), F.lit(BLOCKS))
 
 
-def _bits(url: Column) -> Column:
+def bloom_bits(url: Column) -> Column:
     """A word with up to ``BITS`` bits set, from six-bit pieces of a second hash."""
     h = F.xxhash64(F.lit("bits"), url)
     word = F.lit(0).cast("long")
@@ -73,9 +73,9 @@ def _bits(url: Column) -> Column:
 
 
 def bloom(listed: DataFrame, url: str = "canonical") -> DataFrame:
-    """(block, word) of the listed URLs; at most ``BLOCKS`` rows."""
+    """(block, word) of the values of a column (URLs here; any type will do); at most ``BLOCKS`` rows."""
     u = F.col(url)
-    return listed.where(u.isNotNull()).groupBy(_block(u).alias("block")).agg(F.bit_or(_bits(u)).alias("word"))
+    return listed.where(u.isNotNull()).groupBy(bloom_block(u).alias("block")).agg(F.bit_or(bloom_bits(u)).alias("word"))
 
 
 def in_list(urls: DataFrame, listed: DataFrame, key: str, url: str = "canonical") -> DataFrame:
@@ -85,7 +85,7 @@ def in_list(urls: DataFrame, listed: DataFrame, key: str, url: str = "canonical"
     """
     u = F.col(key)
     asked = urls.select(key).where(u.isNotNull()).distinct()
-    hits = (asked.withColumn("__block", _block(u)).withColumn("__bits", _bits(u))
+    hits = (asked.withColumn("__block", bloom_block(u)).withColumn("__bits", bloom_bits(u))
             .join(F.broadcast(bloom(listed, url)), F.col("__block") == F.col("block"))
             .where(F.col("word").bitwiseAND(F.col("__bits")) == F.col("__bits")).select(key))
     return hits.join(listed.select(F.col(url).alias(key)).where(u.isNotNull()).distinct(), key, "left_semi")
