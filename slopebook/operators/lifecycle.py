@@ -30,14 +30,20 @@ def phone_digits(phone: Column) -> Column:
     return F.regexp_replace(phone, r"[^0-9]", "")
 
 
+def _shop_key(asked: DataFrame) -> list[str]:
+    """Requests that name their shop match within it; those that do not match in any."""
+    return ["shop_id"] if "shop_id" in asked.columns else []
+
+
 def _matched(lookups: DataFrame, reservations: DataFrame, how: str) -> DataFrame:
-    keys = lookups.select("lookup_id", lookup_code(F.col("code")).alias("k_code"),
+    shop = _shop_key(lookups)
+    keys = lookups.select("lookup_id", *shop, lookup_code(F.col("code")).alias("k_code"),
                           lookup_phone(F.col("phone")).alias("k_phone"))
     r = reservations.select(F.col("id").alias("reservation_id"), F.col("reservation_code").alias("k_code"),
                             F.col("customer_phone").alias("k_phone"), *[
                                 c for c in reservations.columns
                                 if c not in ("id", "reservation_code", "customer_phone")])
-    return keys.join(r, ["k_code", "k_phone"], how)
+    return keys.join(r, ["k_code", "k_phone", *shop], how)
 
 
 def _null_text(c: Column) -> Column:
@@ -109,11 +115,12 @@ def cancel(requests: DataFrame, reservations: DataFrame) -> tuple[DataFrame, Dat
     Returns (results, updated reservations) - the second has status and
     cancelled_at / updated_at set from the winning request.
     """
-    keys = requests.select("request_id", "requested_at", lookup_code(F.col("code")).alias("k_code"),
+    shop = _shop_key(requests)
+    keys = requests.select("request_id", "requested_at", *shop, lookup_code(F.col("code")).alias("k_code"),
                            lookup_phone(F.col("phone")).alias("k_phone"))
-    r = reservations.select(F.col("id").alias("reservation_id"), F.col("reservation_code").alias("k_code"),
+    r = reservations.select(F.col("id").alias("reservation_id"), F.col("reservation_code").alias("k_code"), *shop,
                             F.col("customer_phone").alias("k_phone"), F.col("status").alias("old_status"))
-    m = keys.join(r, ["k_code", "k_phone"], "left")
+    m = keys.join(r, ["k_code", "k_phone", *shop], "left")
     first = (m.where(F.col("reservation_id").isNotNull() & (F.col("old_status") != "cancelled"))
              .groupBy("reservation_id")
              .agg(F.min(F.struct("requested_at", "request_id")).alias("w")))

@@ -127,7 +127,8 @@ def equipment_feed_report(equipment: DataFrame, feed: DataFrame) -> DataFrame:
     """A5 for equipment: size is trimmed; blank or NULL size -> INVALID_SIZE; quantity
     NULL or < 0 -> INVALID_QUANTITY; duplicate (category, size) -> DUPLICATE."""
     f = feed.withColumn("size_label", F.trim("size_label"))
-    return insert_report(equipment, f, ["category", "size_label"], "feed_no", [
+    shop = ["shop_id"] if "shop_id" in feed.columns else []  # a size belongs to its shop where the feed names one
+    return insert_report(equipment, f, [*shop, "category", "size_label"], "feed_no", [
         (F.coalesce("size_label", F.lit("")) == "", "INVALID_SIZE"),
         (F.col("total_quantity").isNull() | (F.col("total_quantity") < 0), "INVALID_QUANTITY"),
     ])

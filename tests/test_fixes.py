@@ -123,3 +123,24 @@ def test_materialized_folders_can_be_dropped(spark):
     assert df.count() == 3 and drop_materialized(spark) >= 1
     fs, p = file_system(spark, path)
     assert not fs.exists(p)
+
+
+def test_lookups_and_cancellations_stay_in_their_shop(spark):
+    from slopebook.operators import lifecycle
+    res = spark.createDataFrame([res_row(1, D(2025, 1, 10), shop=1, code="YR-1"), res_row(2, D(2025, 1, 10), shop=2, code="YR-1")], RES_COLS)
+    asked = spark.createDataFrame([(7, 2, dt.datetime(2025, 1, 2), "yr-1", "09012345678")],
+                                  "request_id int, shop_id int, requested_at timestamp, code string, phone string")
+    _results, after = lifecycle.cancel(asked, res)
+    assert {r.id: r.status for r in after.collect()} == {1: "pending", 2: "cancelled"}
+    members = spark.createDataFrame([], schemas.RESERVATION_MEMBERS)
+    found = lifecycle.lookup_v2(asked.withColumnRenamed("request_id", "lookup_id"), res, members)
+    assert found.count() == 1
+    assert lifecycle.lookup_v2(asked.withColumnRenamed("request_id", "lookup_id").drop("shop_id"), res, members).count() == 2
+
+
+def test_a_size_is_a_duplicate_in_its_shop_only(spark):
+    cols = "feed_no int, shop_id int, category string, size_label string, total_quantity int"
+    eq = spark.createDataFrame([(1, "ski", "160")], "shop_id int, category string, size_label string")
+    feed = spark.createDataFrame([(1, 1, "ski", "160", 1), (2, 2, "ski", " 160 ", 1), (3, 2, "ski", "160", 1)], cols)
+    got = {r.feed_no: r.status for r in mt.equipment_feed_report(eq, feed).collect()}
+    assert got == {1: "DUPLICATE", 2: "ACCEPTED", 3: "DUPLICATE"}
