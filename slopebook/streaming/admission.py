@@ -44,10 +44,10 @@ CATS = ("ski", "snowboard", None)      # stock-test order; NULL type last
 
 
 def prepare(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, members: DataFrame,
-            closed_dates: DataFrame, as_of: dt.date) -> DataFrame:
+            closed_dates: DataFrame, as_of: dt.date | None) -> DataFrame:
     """Stateless rows for the stateful step: one per (request, occupied day) (or one
     row with a NULL day when the range is invalid)."""
-    today = F.lit(as_of)
+    today = F.current_date() if as_of is None else F.lit(as_of)
     n = F.when(F.col("members").isNull(), F.lit(None)).otherwise(F.size("members"))
     pre = (F.when(F.col("start").isNull() | F.col("end").isNull() | (F.col("end") < F.col("start")),
                   "INVALID_DATES")
@@ -66,7 +66,7 @@ def prepare(requests: DataFrame, equipment: DataFrame, reservations: DataFrame,
         return F.size(F.filter("members", lambda m: m["board_type"] == cat))
 
     r = (requests
-         .select("request_id", "shop_id", "requested_at", "start", "end", eve.alias("eve"),
+         .select("request_id", "shop_id", "requested_at", "start", "end", eve.alias("eve"), today.alias("today"),
                  pre.alias("pre_code"), (eve & (F.date_sub("start", 1) < today)).alias("eve_in_past"),
                  F.coalesce(F.exists("members", lambda m: ~m["board_type"].isin(*rq.BOARD_TYPES)),
                             F.lit(False)).alias("bad_type"),
@@ -93,7 +93,7 @@ def prepare(requests: DataFrame, equipment: DataFrame, reservations: DataFrame,
         closed, used, stock = (materialize(x, f"j3-static-{n}") for n, x in
                                (("closed", closed), ("used", used), ("stock", stock)))
     return (rows.join(closed, "day", "left").join(used, ["shop_id", "day"], "left").join(stock, "shop_id", "left")
-            .select("shop_id", "requested_at", "request_id", "start", "end", "eve", "pre_code", "eve_in_past",
+            .select("shop_id", "requested_at", "request_id", "start", "end", "eve", "today", "pre_code", "eve_in_past",
                     "bad_type", "members_ok", "need_ski", "need_snowboard", "need_null", "day",
                     F.coalesce("is_closed", F.lit(False)).alias("is_closed"),
                     F.coalesce("used_ski", F.lit(0)).alias("used_ski"),
@@ -102,9 +102,11 @@ def prepare(requests: DataFrame, equipment: DataFrame, reservations: DataFrame,
                     F.coalesce("total_snowboard", F.lit(0)).alias("total_snowboard")))
 
 
-def _decider(as_of: dt.date):
-    prune_before = (as_of - dt.timedelta(days=1)).isoformat()
+#: Days for which a decided request id is remembered after its period.
+KEEP_DAYS = 30
 
+
+def _decider():
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used_extra, decided = ({}, {})
         if state.exists:
@@ -115,6 +117,8 @@ def _decider(as_of: dt.date):
             yield pd.DataFrame([], columns=[f.name for f in DECISION_SCHEMA.fields])
             return
         shop = int(pdf["shop_id"].iloc[0])
+        today = pd.Timestamp(pdf["today"].max()).date()
+        prune_before = (today - dt.timedelta(days=1)).isoformat()
         pdf = pdf.sort_values(["requested_at", "request_id", "day"], kind="stable", na_position="first")
         cols = {c: pdf[c].to_numpy() for c in pdf.columns}
         day_iso = [None if pd.isna(x) else pd.Timestamp(x).date().isoformat() for x in cols["day"]]
@@ -168,19 +172,20 @@ def _decider(as_of: dt.date):
                     for r in occupied if need else ():
                         cell = f"{cat}|{day_iso[r]}"
                         used_extra[cell] = used_extra.get(cell, 0) + need
-            decided[str(rid)] = [code is None, code, end_iso[f]]
+            last = max(today, dt.date.fromisoformat(end_iso[f])) if end_iso[f] else today
+            decided[str(rid)] = [code is None, code, (last + dt.timedelta(days=KEEP_DAYS)).isoformat()]
             out.append((rid, shop, code is None, code))
         used_extra = {k: v for k, v in used_extra.items() if k.split("|")[1] >= prune_before}
-        decided = {k: v for k, v in decided.items() if v[2] is None or v[2] >= prune_before}
+        decided = {k: v for k, v in decided.items() if v[2] >= today.isoformat()}
         state.update((json.dumps(used_extra), json.dumps(decided)))
         yield pd.DataFrame(out, columns=[f.name for f in DECISION_SCHEMA.fields])
 
     return decide
 
 
-def decisions(prepared: DataFrame, as_of: dt.date) -> DataFrame:
+def decisions(prepared: DataFrame) -> DataFrame:
     return (prepared.groupBy("shop_id")
-            .applyInPandasWithState(_decider(as_of), DECISION_SCHEMA, STATE_SCHEMA, "append",
+            .applyInPandasWithState(_decider(), DECISION_SCHEMA, STATE_SCHEMA, "append",
                                     GroupStateTimeout.NoTimeout)
             .withColumn("reservation_code",
                         F.when(F.col("accepted"), pg.reservation_code(F.col("request_id")))))
@@ -188,14 +193,14 @@ def decisions(prepared: DataFrame, as_of: dt.date) -> DataFrame:
 
 def run_admission_stream(spark, requests_dir: str, schema: T.StructType, equipment: DataFrame,
                          reservations: DataFrame, members: DataFrame, closed_dates: DataFrame,
-                         as_of: dt.date, out_dir: str, checkpoint: str,
+                         as_of: dt.date | None, out_dir: str, checkpoint: str,
                          max_files_per_trigger: int = 1) -> DataFrame:
     from slopebook.plans.session import prefer_rocksdb_state
     prefer_rocksdb_state(spark)
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(requests_dir))
     prepared = prepare(stream, equipment, reservations, members, closed_dates, as_of)
-    q = (decisions(prepared, as_of).writeStream.format("parquet").option("path", out_dir)
+    q = (decisions(prepared).writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out_dir)
