@@ -11,10 +11,12 @@ of one shop is decided in (requested_at, request_id) order: closed-day codes
 (aggregated over the request's day rows), then the stock test per board
 type and day against current use plus what this stream accepted before,
 then the member rows.  The state holds only counters per (category, day)
-accepted by the stream, and the decided request ids; days before
-``as_of - 1`` are pruned on every call.  No watermark: a late request is
-decided, never dropped.  A request id seen before keeps its first decision,
-so a replay after restart admits nothing twice.
+accepted by the stream, and the decided request ids; days before yesterday
+are pruned on every call.  No watermark: a late request is decided, never
+dropped.  A request id seen before keeps its first decision until ``KEEP_DAYS``
+after its period (or after the decision, if that is later), so a replay after
+restart admits nothing twice and the state does not grow for ever.  The clock
+moves: without a fixed ``as_of`` every micro-batch uses its own current date.
 """
 
 from __future__ import annotations
