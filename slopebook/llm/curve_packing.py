@@ -20,6 +20,7 @@ gives no piece.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ LENGTH = 2048
 END_ID = 1
 DIMS, GRID_BITS = 3, 16
 HASHED = 64
-#: Space-separated words remembered by a worker before it starts afresh.
-MAX_WORDS = 500_000
+#: Space-separated words remembered by a worker, in two generations: when the newer is full it becomes the older.
+MAX_WORDS = 300_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -57,17 +58,24 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
         self.dtype = np.uint16 if self.bpe.max_token_value < 65536 else np.uint32
-        self.words: dict[str, bytes | None] = {}
+        self.code = "H" if self.dtype == np.uint16 else "I"
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.bpe.encode(text, allowed_special="all"), dtype=self.dtype).tobytes()
+        ids = self.bpe.encode(text, allowed_special="all") if SPECIAL in text else self.bpe.encode_ordinary(text)
+        return array(self.code, ids).tobytes()
 
     def _word(self, word: str) -> bytes | None:
-        # A word that is empty or starts or ends in white space belongs to a run: not context-free.
-        got = self._whole(" " + word) if word and word == word.strip() else None
+        """A word met anew; None if it is empty or starts or ends in white space: it belongs to a run."""
+        got = self.older.get(word)
+        if got is None:
+            if not word or word != word.strip():
+                return None
+            got = array(self.code, self.bpe.encode_ordinary(" " + word)).tobytes()
         if len(word) <= 40:
             if len(self.words) >= MAX_WORDS:
-                self.words.clear()
+                self.older, self.words = self.words, {}
             self.words[word] = got
         return got
 
@@ -77,10 +85,18 @@ class ByteBpe:
         if SPECIAL in text:
             return self._whole(text)
         first, *rest = text.split(" ")
-        known, missing = self.words.get, self._word
-        out = [known(w, b"") or missing(w) for w in rest]
-        if None in out or not first or first != first.strip():
+        if not first or first != first.strip():
             return self._whole(text)
+        out, missing = [], self._word
+        known = self.words
+        for w in rest:
+            got = known.get(w)
+            if got is None:
+                got = missing(w)
+                if got is None:
+                    return self._whole(text)
+                known = self.words  # a new generation may have begun
+            out.append(got)
         return self._whole(first) + b"".join(out)
 
 

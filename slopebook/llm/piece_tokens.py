@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from slopebook.llm.common import field, utf8, with_text_columns
 
 MARK = "▁"
-#: Distinct chunks (and token pairs) remembered by a worker before it starts afresh.
-MAX_CHUNKS = 600_000
+#: Distinct chunks remembered by a worker, in two generations (when the newer is full it becomes the older),
+#: and token pairs before it starts afresh.
+MAX_CHUNKS = 350_000
 MAX_PAIRS = 1_500_000
 LONGEST_CACHED = 40
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -66,6 +67,7 @@ class PieceEncoder:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.chunks: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Plain merging of a short string: lowest rank first, leftmost on ties."""
@@ -125,11 +127,13 @@ class PieceEncoder:
         return b"".join([self.as_bytes[i] for i in ids]).decode("utf-8", "replace")
 
     def _chunk(self, key: str) -> tuple[str, int, str]:
-        ids = self.encode_chunk(MARK + key)
-        got = (" ".join(map(str, ids)), len(ids), self.decode_pieces(ids))
+        got = self.older.get(key)
+        if got is None:
+            ids = self.encode_chunk(MARK + key)
+            got = (" ".join(map(str, ids)), len(ids), self.decode_pieces(ids))
         if len(key) <= LONGEST_CACHED:
             if len(self.chunks) >= MAX_CHUNKS:
-                self.chunks.clear()
+                self.older, self.chunks = self.chunks, {}
             self.chunks[key] = got
         return got
 
@@ -141,8 +145,7 @@ class PieceEncoder:
         keys = marked.split(MARK)
         if "" in keys:
             keys = [k[1:] for k in _CHUNK.findall(MARK + marked)]
-        known = self.chunks.get
-        got = [known(k) or self._chunk(k) for k in keys]
+        got = [self.chunks.get(k) or self._chunk(k) for k in keys]
         return (sum([g[1] for g in got]) + 1, " ".join([g[0] for g in got]) + f" {self.eos}", "".join([g[2] for g in got])[1:])
 
     def encode(self, text: str | None) -> list[int]:
