@@ -421,51 +421,80 @@ select id, shop_id, reservation_code, rental_date, cast(null as date) as return_
 from fx_reservations
 """, "fx_reservations")
 
-ORACLE["a3_constraint_audit"] = W(_REQ + """
-, res as (
-  select request_id as id, 'YR-' || upper(substr(sha256(cast(request_id as varchar)), 1, 6)) as reservation_code,
-    "start" as rental_date, trim("name") as customer_name, trim(phone) as customer_phone,
-    cast(n as int) as party_size, 'pending' as status, coalesce(eve_pickup, false) as eve_pickup
-  from req)
-, mem as (select reservation_id, member_no, height_cm, shoe_cm, board_type from fx_members)
+_AUDIT = """
 select 'equipment_items' as table_name, 'pk_id' as constraint_name, cast(id as varchar) as key
-  from fx_equipment group by id having count(*) > 1
+  from {eq} group by id having count(*) > 1
 union all select 'equipment_items', 'unique_category_size',
   concat_ws('|', cast(shop_id as varchar), category, size_label)
-  from fx_equipment group by shop_id, category, size_label having count(*) > 1
-union all select 'equipment_items', 'check_category', cast(id as varchar) from fx_equipment
+  from {eq} group by shop_id, category, size_label having count(*) > 1
+union all select 'equipment_items', 'check_category', cast(id as varchar) from {eq}
   where not coalesce(category in ('ski', 'snowboard', 'boots'), false)
-union all select 'equipment_items', 'check_total_quantity', cast(id as varchar) from fx_equipment
+union all select 'equipment_items', 'check_total_quantity', cast(id as varchar) from {eq}
   where total_quantity < 0
-union all select 'equipment_items', 'not_null', cast(id as varchar) from fx_equipment
+union all select 'equipment_items', 'not_null', cast(id as varchar) from {eq}
   where size_label is null or total_quantity is null or is_active is null
-union all select 'reservations', 'pk_id', cast(id as varchar) from res group by id having count(*) > 1
-union all select 'reservations', 'unique_reservation_code', reservation_code from res
+union all select 'reservations', 'pk_id', cast(id as varchar) from {res} group by id having count(*) > 1
+union all select 'reservations', 'unique_reservation_code', reservation_code from {res}
   group by reservation_code having count(*) > 1
-union all select 'reservations', 'check_party_size', cast(id as varchar) from res where party_size <= 0
-union all select 'reservations', 'check_status', cast(id as varchar) from res
+union all select 'reservations', 'check_party_size', cast(id as varchar) from {res} res where party_size <= 0
+union all select 'reservations', 'check_status', cast(id as varchar) from {res}
   where not coalesce(status in ('pending', 'confirmed', 'cancelled'), false)
-union all select 'reservations', 'not_null', cast(id as varchar) from res
+union all select 'reservations', 'not_null', cast(id as varchar) from {res}
   where reservation_code is null or rental_date is null or customer_name is null or customer_phone is null
      or party_size is null or eve_pickup is null
-union all select 'reservation_items', 'check_quantity', cast(reservation_id as varchar) from fx_items
+union all select 'reservation_items', 'check_quantity', cast(reservation_id as varchar) from {items}
   where quantity <= 0
-union all select 'reservation_items', 'fk_reservation', cast(reservation_id as varchar) from fx_items i
-  where not exists (select 1 from res where res.id = i.reservation_id)
-union all select 'reservation_items', 'fk_equipment', cast(equipment_item_id as varchar) from fx_items i
-  where not exists (select 1 from fx_equipment e where e.id = i.equipment_item_id)
-union all select 'reservation_members', 'check_height', cast(reservation_id as varchar) || '|' || cast(member_no as varchar)
-  from mem where not (height_cm between 80 and 220)
-union all select 'reservation_members', 'check_shoe', cast(reservation_id as varchar) || '|' || cast(member_no as varchar)
-  from mem where not (shoe_cm between 14 and 33)
+union all select 'reservation_items', 'fk_reservation', cast(reservation_id as varchar) from {items} i
+  where not exists (select 1 from {res} res where res.id = i.reservation_id)
+union all select 'reservation_items', 'fk_equipment', cast(equipment_item_id as varchar) from {items} i
+  where not exists (select 1 from {eq} e where e.id = i.equipment_item_id)
+union all select 'reservation_members', 'check_height', concat_ws('|', cast(reservation_id as varchar), cast(member_no as varchar))
+  from {mem} where not (height_cm between 80 and 220)
+union all select 'reservation_members', 'check_shoe', concat_ws('|', cast(reservation_id as varchar), cast(member_no as varchar))
+  from {mem} where not (shoe_cm between 14 and 33)
 union all select 'reservation_members', 'check_board_type',
-  cast(reservation_id as varchar) || '|' || cast(member_no as varchar)
-  from mem where not coalesce(board_type in ('ski', 'snowboard', 'none'), false)
-union all select 'reservation_members', 'fk_reservation', cast(reservation_id as varchar) from mem m
-  where not exists (select 1 from res where res.id = m.reservation_id)
-union all select 'closed_dates', 'pk_closed_date', cast(closed_date as varchar) from fx_closed_dates
+  concat_ws('|', cast(reservation_id as varchar), cast(member_no as varchar))
+  from {mem} where not coalesce(board_type in ('ski', 'snowboard', 'none'), false)
+union all select 'reservation_members', 'fk_reservation', cast(reservation_id as varchar) from {mem} m
+  where not exists (select 1 from {res} res where res.id = m.reservation_id)
+union all select 'closed_dates', 'pk_closed_date', cast(closed_date as varchar) from {closed}
   group by closed_date having count(*) > 1
-""", *_REQ_FX, "fx_equipment", "fx_items")
+union all select 'reservation_members', 'not_null', concat_ws('|', cast(reservation_id as varchar), cast(member_no as varchar))
+  from {mem} where member_no is null or height_cm is null or shoe_cm is null
+"""
+
+ORACLE["a3_constraint_audit"] = W(_REQ + """
+, res as (
+  select request_id as id, 'YR-' || upper(substr(sha256(cast(request_id as varchar)), 1, 6)) as reservation_code,
+    "start" as rental_date, trim("name") as customer_name, trim(phone) as customer_phone,
+    cast(n as int) as party_size, 'pending' as status, coalesce(eve_pickup, false) as eve_pickup
+  from req)
+, mem as (select reservation_id, member_no, height_cm, shoe_cm, board_type from fx_members)
+""" + _AUDIT.format(eq="fx_equipment", res="res", items="fx_items", mem="mem", closed="fx_closed_dates"), *_REQ_FX, "fx_equipment", "fx_items")
+
+#: The tables with defects planted by id, so that every constraint is broken somewhere.
+ORACLE["a3_broken_audit"] = W("""
+, eq_b as (select case when id % 31 = 0 then id - 1 else id end as id, shop_id,
+    case when id % 37 = 0 then 'sled' else category end as category,
+    case when id % 29 = 0 then 'dup' when id % 61 = 0 then null else size_label end as size_label,
+    case when id % 41 = 0 then -1 when id % 43 = 0 then null else total_quantity end as total_quantity, is_active
+  from fx_equipment)
+, res_1 as (select id, case when id % 53 = 0 then 'YR-DUP' else reservation_code end as reservation_code, rental_date, customer_name,
+    case when id % 61 = 0 then null else customer_phone end as customer_phone,
+    case when id % 19 = 0 then 0 else party_size end as party_size,
+    case when id % 23 = 0 then 'lost' when id % 59 = 0 then null else status end as status, eve_pickup from fx_reservations)
+, res_b as (select * from res_1 union all select * from res_1 where id % 67 = 0)
+, items_b as (select case when reservation_id % 73 = 0 then -reservation_id else reservation_id end as reservation_id,
+    case when equipment_item_id % 79 = 0 then -equipment_item_id else equipment_item_id end as equipment_item_id,
+    case when reservation_id % 71 = 0 then 0 else quantity end as quantity from fx_items)
+, mem_b as (select case when reservation_id % 53 = 0 then -reservation_id else reservation_id end as reservation_id,
+    case when reservation_id % 59 = 0 then null else member_no end as member_no,
+    case when reservation_id % 31 = 0 then 300 when reservation_id % 37 = 0 then null else height_cm end as height_cm,
+    case when reservation_id % 41 = 0 then 33.5 else shoe_cm end as shoe_cm,
+    case when reservation_id % 43 = 0 then 'sled' when reservation_id % 47 = 0 then null else board_type end as board_type from fx_members)
+, closed_b as (select closed_date from fx_closed_dates union all select closed_date from fx_closed_dates where day(closed_date) % 2 = 0)
+""" + _AUDIT.format(eq="eq_b", res="res_b", items="items_b", mem="mem_b", closed="closed_b"),
+    "fx_equipment", "fx_reservations", "fx_items", "fx_members", "fx_closed_dates")
 
 ORACLE["a4_insert_ignore"] = W("""
 , feed as (select feed_no, category, trim(size_label) as size_label, total_quantity from fx_equipment_feed

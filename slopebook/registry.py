@@ -239,6 +239,33 @@ def q_a3(spark, d):
     return mt.audit(t["equipment"], res, t["items"], rq.member_rows(req), t["closed_dates"])
 
 
+@register("a3_broken_audit")
+def q_a3b(spark, d):
+    """The audit over tables with defects planted by id: every constraint is broken somewhere."""
+    t = _base(spark, d)
+    i, rid, eid = F.col("id"), F.col("reservation_id"), F.col("equipment_item_id")
+    eq = t["equipment"].select(
+        F.when(i % 31 == 0, i - 1).otherwise(i).alias("id"), "shop_id",
+        F.when(i % 37 == 0, "sled").otherwise(F.col("category")).alias("category"),
+        F.when(i % 29 == 0, "dup").when(i % 61 != 0, F.col("size_label")).alias("size_label"),
+        F.when(i % 41 == 0, -1).when(i % 43 != 0, F.col("total_quantity")).alias("total_quantity"), "is_active")
+    res = t["reservations"].select(
+        "id", F.when(i % 53 == 0, "YR-DUP").otherwise(F.col("reservation_code")).alias("reservation_code"), "rental_date", "customer_name",
+        F.when(i % 61 != 0, F.col("customer_phone")).alias("customer_phone"),
+        F.when(i % 19 == 0, 0).otherwise(F.col("party_size")).alias("party_size"),
+        F.when(i % 23 == 0, "lost").when(i % 59 != 0, F.col("status")).alias("status"), "eve_pickup")
+    items = t["items"].select(
+        F.when(rid % 73 == 0, -rid).otherwise(rid).alias("reservation_id"), F.when(eid % 79 == 0, -eid).otherwise(eid).alias("equipment_item_id"),
+        F.when(rid % 71 == 0, 0).otherwise(F.col("quantity")).alias("quantity"))
+    mem = t["members"].select(
+        F.when(rid % 53 == 0, -rid).otherwise(rid).alias("reservation_id"), F.when(rid % 59 != 0, F.col("member_no")).alias("member_no"),
+        F.when(rid % 31 == 0, 300).when(rid % 37 != 0, F.col("height_cm")).alias("height_cm"),
+        F.when(rid % 41 == 0, F.lit(33.5).cast("decimal(4,1)")).otherwise(F.col("shoe_cm")).alias("shoe_cm"),
+        F.when(rid % 43 == 0, "sled").when(rid % 47 != 0, F.col("board_type")).alias("board_type"))
+    closed = t["closed_dates"].select("closed_date")
+    return mt.audit(eq, res.union(res.where(i % 67 == 0)), items, mem, closed.union(closed.where(F.dayofmonth("closed_date") % 2 == 0)))
+
+
 def _valid_feed(spark, d):
     f = fx.table(spark, d, "fx_equipment_feed").withColumn("size_label", F.trim("size_label"))
     return f.where((F.col("size_label") != "") & (F.col("total_quantity") >= 0))

@@ -31,3 +31,8 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["window_id", "shop_id", "category", "remaining", "error"]
     assert df.count() > 0
+
+
+def test_every_constraint_is_broken_somewhere(spark):
+    got = E.queries()["a3_broken_audit"](spark, SF).select("table_name", "constraint_name").distinct().count()
+    assert got >= 18
