@@ -12,9 +12,11 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slopebook.functions import pgcompat as pg
 from slopebook.operators import occupancy as occ
+from slopebook.sources import schemas
 
 BOARD_TYPES = ("ski", "snowboard", "none")
 MAX_PERIOD_DAYS = 30
@@ -259,6 +261,18 @@ def reservation_rows(requests: DataFrame) -> DataFrame:
     )
 
 
+def members_from_json(body: Column) -> Column:
+    """The members array of a JSON request body: every value as its text (numbers and
+    booleans too), addons only if they are an array, NULL if the body is no array."""
+    fields = [f.name for f in schemas.MEMBER_REQUEST.fields]
+    text = T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in fields]))
+
+    def addons(m):
+        return F.when(m["addons"].startswith("["), F.from_json(m["addons"], T.ArrayType(T.StringType()))).otherwise(F.array().cast("array<string>"))
+    parsed = F.when(F.ltrim(body).startswith("["), F.from_json(body, text))
+    return F.transform(parsed, lambda m: F.struct(*[(addons(m) if f == "addons" else m[f]).alias(f) for f in fields]))
+
+
 def member_rows(requests: DataFrame) -> DataFrame:
     """A8 (children): one member row per array element, member_no from 1."""
     m = requests.select(F.col("request_id").alias("reservation_id"),

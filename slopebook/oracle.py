@@ -219,6 +219,8 @@ select reservation_id, member_no, height_cm, cast(shoe_cm as varchar) as shoe_cm
 from fx_members
 """, "fx_members")
 
+ORACLE["a8_member_rows_json"] = ORACLE["a8_member_rows"]
+
 # --- lookup, cancel, status, pricing, notifications --------------------------
 
 ORACLE["b6_lookup_keys"] = W("""

@@ -138,6 +138,14 @@ def q_a8m(spark, d):
     return m.withColumn("addons", F.concat_ws(",", "addons")).withColumn("shoe_cm", F.col("shoe_cm").cast("string"))
 
 
+@register("a8_member_rows_json")
+def q_a8j(spark, d):
+    """Member rows of requests whose members arrive as JSON text."""
+    bodies = fx.table(spark, d, "fx_requests_v2").select("request_id", F.to_json("members").alias("body"))
+    m = rq.member_rows(bodies.select("request_id", rq.members_from_json(F.col("body")).alias("members")))
+    return m.withColumn("addons", F.concat_ws(",", "addons")).withColumn("shoe_cm", F.col("shoe_cm").cast("string"))
+
+
 # --- lookup, cancel, status, pricing, notifications (E9-E15, B6) -----------
 
 from slopebook.operators import lifecycle, notify, pricing  # noqa: E402

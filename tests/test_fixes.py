@@ -144,3 +144,14 @@ def test_a_size_is_a_duplicate_in_its_shop_only(spark):
     feed = spark.createDataFrame([(1, 1, "ski", "160", 1), (2, 2, "ski", " 160 ", 1), (3, 2, "ski", "160", 1)], cols)
     got = {r.feed_no: r.status for r in mt.equipment_feed_report(eq, feed).collect()}
     assert got == {1: "DUPLICATE", 2: "ACCEPTED", 3: "DUPLICATE"}
+
+
+def test_members_from_json_bodies(spark):
+    from slopebook.operators import requests as rq
+    bodies = ['[{"height_cm": 170, "shoe_cm": 26.5, "board_type": "ski", "is_child": true, "addons": ["helmet", "sled"]}]',
+              '[{"height_cm": "150", "board_type": null, "addons": "helmet"}, {}]', '{"height_cm": 1}', "[]", "oops", None]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, body string")
+    got = {r.id: r.m for r in df.select("id", rq.members_from_json(F.col("body")).alias("m")).collect()}
+    assert [tuple(m[f] for f in ("height_cm", "shoe_cm", "board_type", "is_child", "addons")) for m in got[0]] == [("170", "26.5", "ski", "true", ["helmet", "sled"])]
+    assert [(m["height_cm"], m["board_type"], m["addons"]) for m in got[1]] == [("150", None, []), (None, None, [])]
+    assert got[2] is None and got[3] == [] and got[5] is None and not got[4]
