@@ -570,17 +570,17 @@ def q_e12t(spark, d):
 def q_j2(spark, d):
     t = _base(spark, d)
     root = s_files.scratch(spark, "j2")
-    s_files.write_in_time_order(fx.table(spark, d, "fx_status_events"), f"{root}/in", "ts")
-    return s_st.run_status_stream(spark, f"{root}/in", t["reservations"], f"{root}/out", f"{root}/ckpt")
+    files = s_files.write_in_time_order(fx.table(spark, d, "fx_status_events"), f"{root}/in", "ts")
+    return s_st.run_status_stream(spark, f"{root}/in", t["reservations"], f"{root}/out", f"{root}/ckpt", files)
 
 
 @register("j1_outbox_stream")
 def q_j1(spark, d):
     t = _base(spark, d)
     root = s_files.scratch(spark, "j1")
-    s_files.write_in_time_order(fx.table(spark, d, "fx_status_events"), f"{root}/in", "ts")
+    files = s_files.write_in_time_order(fx.table(spark, d, "fx_status_events"), f"{root}/in", "ts")
     return s_out.run_outbox_stream(spark, f"{root}/in", t["reservations"], t["members"],
-                                   notify.shops_from(t["reservations"]), f"{root}/outbox", f"{root}/ckpt")
+                                   notify.shops_from(t["reservations"]), f"{root}/outbox", f"{root}/ckpt", files)
 
 
 @register("j3_admission_stream")
@@ -588,11 +588,11 @@ def q_j3(spark, d):
     t = _base(spark, d)
     root = s_files.scratch(spark, "j3")
     req = fx.table(spark, d, "fx_requests_v2").where(F.col("requested_at") >= F.lit(CUTOFF))
-    s_files.write_in_time_order(req, f"{root}/in", "requested_at")
+    files = s_files.write_in_time_order(req, f"{root}/in", "requested_at")
     state = t["reservations"].where(F.col("created_at") < F.lit(CUTOFF))
     schema = fx.table(spark, d, "fx_requests_v2").schema
     out = s_adm.run_admission_stream(spark, f"{root}/in", schema, t["equipment"], state, t["members"],
-                                     t["closed_dates"], fx.AS_OF, f"{root}/out", f"{root}/ckpt")
+                                     t["closed_dates"], fx.AS_OF, f"{root}/out", f"{root}/ckpt", files)
     return out.select("request_id", "shop_id", "accepted", "code", "reservation_code")
 
 

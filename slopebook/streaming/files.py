@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopebook.plans.session import ensure_checkpoint_dir
+from slopebook.plans.session import ensure_checkpoint_dir, file_system
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -15,25 +15,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_in_time_order(df: DataFrame, path: str, ts_col: str, n_files: int = 4) -> None:
-    """Write ``df`` as ``n_files`` appends, slice k holding the k-th time range.
+#: Rows of one input file; a slice is written by as many tasks as it has files.
+ROWS_PER_FILE = 1_000_000
+
+
+def write_in_time_order(df: DataFrame, path: str, ts_col: str, n_slices: int = 4, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """Write ``df`` as ``n_slices`` appends, slice k holding the k-th time range; returns the files of a slice.
 
     Slice bounds come from ``approxQuantile`` (a sketch of bounded size; the
-    slices need not be exactly equal).  Each slice is written as exactly one file
-    (choose ``n_files`` so a slice is file-sized), and appends happen one
-    after another, so file modification times follow time order and a
-    file source reading one file per trigger replays the slices in order.
-    Several files per slice would let sibling files with interleaved times
-    be consumed in either order.
+    slices need not be exactly equal).  Every slice has the same number of
+    files, written in parallel, and appends happen one after another, so a file
+    source that reads that many files per trigger replays whole slices in time order.
     """
+    spark = df.sparkSession
     micros: Column = F.unix_micros(F.col(ts_col).cast("timestamp"))
     keyed = df.withColumn("_t", micros)
-    qs = keyed.approxQuantile("_t", [i / n_files for i in range(1, n_files)], 0.001) if n_files > 1 else []
+    files = max(1, keyed.count() // (n_slices * rows_per_file))
+    qs = keyed.approxQuantile("_t", [i / n_slices for i in range(1, n_slices)], 0.001) if n_slices > 1 else []
     bounds = [None, *qs, None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
+    for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:]), start=1):
         cond = F.lit(True)
         if lo is not None:
             cond = cond & (F.col("_t") > F.lit(int(lo)))
         if hi is not None:
             cond = cond & (F.col("_t") <= F.lit(int(hi)))
-        keyed.where(cond).drop("_t").coalesce(1).write.mode("append").parquet(path)
+        part = keyed.where(cond).drop("_t")
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
+        fs, p = file_system(spark, path)
+        written = sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(p))
+        if written != k * files:
+            raise RuntimeError(f"slice {k} has not {files} files: {written} written so far")
+    return files

@@ -80,3 +80,16 @@ def test_admission_stream_equals_model(spark):
                                        f"{d}/out", f"{d}/ckpt")
     got = {r.request_id: (r.accepted, r.code) for r in got_df.collect()}
     assert got == want
+
+
+def test_slices_of_several_files_replay_in_order(spark):
+    from slopebook.streaming.files import write_in_time_order
+    t = fx.load_all(spark, SF)
+    events = fx.table(spark, SF, "fx_status_events")
+    d = _scratch()
+    files = write_in_time_order(events, f"{d}/in", "ts", n_slices=2, rows_per_file=max(1, events.count() // 8))
+    assert files >= 3
+    got = sst.run_status_stream(spark, f"{d}/in", t["reservations"], f"{d}/out", f"{d}/ckpt", files)
+    want = lifecycle.status_transitions(events, t["reservations"])
+    cols = [f.name for f in sst.TRANSITION_SCHEMA.fields]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
