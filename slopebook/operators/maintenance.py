@@ -29,7 +29,9 @@ def _row_checks(df: DataFrame, table: str, key: Column, checks: list[tuple[str,
 
 
 def _dupes(df: DataFrame, table: str, name: str, cols: list[str]) -> DataFrame:
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    """Keys that occur twice.  A key with a NULL in it is never a duplicate (as in a
+    UNIQUE constraint); the not_null check reports it."""
+    g = df.dropna(subset=cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     return g.select(F.lit(table).alias("table_name"), F.lit(name).alias("constraint_name"),
                     F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols])
                     .alias("key"))

@@ -428,7 +428,8 @@ select 'equipment_items' as table_name, 'pk_id' as constraint_name, cast(id as v
   from {eq} group by id having count(*) > 1
 union all select 'equipment_items', 'unique_category_size',
   concat_ws('|', cast(shop_id as varchar), category, size_label)
-  from {eq} group by shop_id, category, size_label having count(*) > 1
+  from {eq} where shop_id is not null and category is not null and size_label is not null
+  group by shop_id, category, size_label having count(*) > 1
 union all select 'equipment_items', 'check_category', cast(id as varchar) from {eq}
   where not coalesce(category in ('ski', 'snowboard', 'boots'), false)
 union all select 'equipment_items', 'check_total_quantity', cast(id as varchar) from {eq}
