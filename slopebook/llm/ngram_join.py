@@ -163,26 +163,28 @@ def document_rows(docs: DataFrame, order: ColumnOrder, words: int, percent: int,
 
 
 def incidence(nodes: DataFrame) -> DataFrame:
-    """gram, node, n, pos, hub: the entries of columns that two or more nodes meet in.
+    """gram, node, hub: the entries of columns that two or more nodes meet in; the hub is the smallest.
 
-    Counts and hubs are combined before the shuffle; the join back splits hot columns.
+    Smallest and largest node are combined before the shuffle; the join back
+    splits hot columns.  Sizes are joined later, to the few entries that are left.
     """
-    cells = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
-    stats = (cells.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("hub"))
-             .where("df > 1").select("gram", "hub"))
+    cells = nodes.select("node", F.explode("prefix").alias("gram"))
+    stats = (cells.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+             .where("hub < last").select("gram", "hub"))
     return cells.join(stats, "gram")
 
 
-def group_nodes(cells: DataFrame, percent: int) -> DataFrame:
-    """node, grp: every node of ``cells`` with the root of its hub pointers.
+def group_nodes(cells: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """node, n, grp: every node of ``cells`` with the root of its hub pointers.
 
     A node points at the smaller node with which it shares most columns, if
     they are at least ``GROUP_PERCENT`` of its prefix; pointers lead to ever
     smaller nodes, so jumping along them ends after log2(longest path) rounds.
     """
-    shared = cells.where("node <> hub").groupBy("node", "n", "hub").agg(F.count(F.lit(1)).alias("c"))
-    best = (shared.groupBy("node").agg(F.max(F.struct("c", "hub", "n")).alias("b"))
-            .select("node", F.col("b.hub").alias("up"), F.col("b.c").alias("c"), F.col("b.n").alias("n")))
+    met = materialize(cells.select("node").distinct().join(nodes.select("node", "n"), "node"), "ngram_met")
+    shared = cells.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
+    best = (shared.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("b"))
+            .select("node", F.col("b.hub").alias("up"), F.col("b.c").alias("c")).join(met, "node"))
     prefix = F.floor((100 - percent) * F.col("n") / 100) + 1
     ups = materialize(best.where(100 * F.col("c") >= GROUP_PERCENT * prefix).select("node", "up"), "ngram_up")
     while True:
@@ -192,8 +194,7 @@ def group_nodes(cells: DataFrame, percent: int) -> DataFrame:
         ups = nxt.select("node", "up")
         if nxt.where("moved").limit(1).count() == 0:
             break
-    return (cells.select("node").distinct().join(ups, "node", "left")
-            .select("node", F.coalesce("up", "node").alias("grp")))
+    return met.join(ups, "node", "left").select("node", "n", F.coalesce("up", "node").alias("grp"))
 
 
 def visitors(cells: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -205,8 +206,8 @@ def visitors(cells: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     shares with the group, plus the longer rest beyond the two prefixes; pairs
     of node and group below what the sizes ask for are discarded.
     """
-    own = materialize(cells.select("gram", "node", "n").join(groups, "node"), "ngram_cells")
-    facts = own.select("grp", "node", "n").distinct().groupBy("grp").agg(
+    own = materialize(cells.select("gram", "node").join(groups, "node"), "ngram_cells")
+    facts = groups.groupBy("grp").agg(
         F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
     met = own.select("gram", "grp").distinct()
     several = met.groupBy("gram").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("gram")
@@ -292,8 +293,8 @@ def node_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text:
 def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: str, text: str) -> DataFrame:
     """a, b: links that span the components of ``nodes`` (node, n, doc_id, prefix)."""
     cells = materialize(incidence(nodes), "ngram_columns")
-    groups = materialize(group_nodes(cells, percent), "ngram_groups")
-    taking_part = materialize(groups.union(visitors(cells, groups, percent)), "ngram_members")
+    groups = materialize(group_nodes(cells, nodes, percent), "ngram_groups")
+    taking_part = materialize(groups.select("node", "grp").union(visitors(cells, groups, percent)), "ngram_members")
     sizes = (taking_part.join(nodes.select("node", "n"), "node").groupBy("grp")
              .agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("cells")).where("m > 1"))
     blocks = F.ceil(F.col("cells") / BLOCK_CELLS).cast("int")
