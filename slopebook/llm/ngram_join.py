@@ -268,26 +268,30 @@ def peel(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     return out
 
 
-def node_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text: str) -> DataFrame:
-    """node, n, grams (the whole set as little-endian longs) of the wanted (node, doc_id).
+def placed_sets(docs: DataFrame, places: DataFrame, words: int, id_col: str, text: str) -> DataFrame:
+    """node, grams (the whole set as little-endian longs), grp, i, j: the sets where they are multiplied.
 
-    A Bloom filter of the wanted ids (bounded, broadcast) drops most other texts
-    before the exact join shuffles any.
+    places: doc_id and its (node, grp, blocks). A Bloom filter of the wanted ids
+    (bounded, broadcast) drops most other texts before any is shuffled; a row
+    that is repeated is read once.
     """
-    ids = wanted.select("doc_id").distinct()
     asked = F.col("doc_id")
     slim = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("__text"))
-            .withColumn("__block", bloom_block(asked)).join(F.broadcast(bloom(ids, "doc_id")), F.col("__block") == F.col("block"))
+            .withColumn("__block", bloom_block(asked)).join(F.broadcast(bloom(places, "doc_id")), F.col("__block") == F.col("block"))
             .where(F.col("word").bitwiseAND(bloom_bits(asked)) == bloom_bits(asked)).select("doc_id", "__text")
-            .join(ids, "doc_id", "left_semi"))
+            .repartition("doc_id").dropDuplicates(["doc_id", "__text"]).join(places, "doc_id"))
 
     def compute(texts):
         for t in texts:
             grams = ngrams(t, words)
-            yield (node_of(grams), len(grams), grams.tobytes()) if len(grams) else (None, 0, b"")
+            yield (node_of(grams), grams.tobytes()) if len(grams) else (None, b"")
 
-    got = with_text_columns(slim, "__text", [field("node", "long"), field("n", "long"), field("grams", "binary")], compute)
-    return got.select("doc_id", "node", "n", "grams").join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).drop("doc_id")
+    got = with_text_columns(slim, "__text", [field("node", "long"), field("grams", "binary")], compute)
+    # A group has one block, or as many as its size asks for; each pair of blocks is one product.
+    block = F.pmod(F.xxhash64("node"), F.col("p.blocks")).cast("int")
+    return (got.select("node", "grams", F.explode("places").alias("p")).where("node = p.node")
+            .withColumn("blk", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)))
+            .select("node", "grams", F.col("p.grp").alias("grp"), F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")))
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: str, text: str) -> DataFrame:
@@ -298,15 +302,9 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: s
     sizes = (taking_part.join(nodes.select("node", "n"), "node").groupBy("grp")
              .agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("cells")).where("m > 1"))
     blocks = F.ceil(F.col("cells") / BLOCK_CELLS).cast("int")
-    members = materialize(taking_part.join(sizes.select("grp", blocks.alias("blocks")), "grp"), "ngram_members")
-    wanted = materialize(members.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "ngram_wanted")
-    sets = materialize(node_sets(docs, wanted, words, id_col, text), "ngram_sets")
-
-    # One task per group and pair of its blocks (one block for all but huge groups).
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = (sets.join(members, "node").withColumn("blk", block)
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("node", "grams", "grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")))
+    members = taking_part.join(sizes.select("grp", blocks.alias("blocks")), "grp").join(nodes.select("node", "doc_id"), "node")
+    places = materialize(members.groupBy("doc_id").agg(F.collect_set(F.struct("node", "grp", "blocks")).alias("places")), "ngram_places")
+    placed = placed_sets(docs, places, words, id_col, text)
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable")
