@@ -1,8 +1,9 @@
 """Secret scan: three base patterns plus a randomness test battery.
 
 Base kinds (assign, access, hex) are fixed patterns.  The method adds spans:
-every run of 20 or more token characters holding a digit and a letter, that no
-base span touches, is read in the smallest encoding alphabet that holds it.
+every run of 20 or more token characters that no base span touches is read in
+the smallest encoding alphabet that holds it.  A ``=`` ends a run, so the name
+and the value of name=value are two runs and padding belongs to none.
 Three tests ask whether it is a uniform random string of that alphabet:
 chi-squared over the symbols, Wald-Wolfowitz runs about the middle symbol, and
 lag-1 serial correlation.  Fisher's method joins the p-values.
@@ -11,7 +12,7 @@ False-discovery control is per stratum (alphabet and length band, because the
 tests' power depends on both): a Benjamini-Hochberg cut over all candidates of
 the corpus names those that are *not* random, so at most ``FDR`` of the names
 so struck off were truly random.  The rest are reported as kind ``random``.
-The cut is found from counts per (stratum, p-value bucket), at most 27 x 1000
+The cut is found from counts per (stratum, p-value bucket), at most 36 x 1000
 rows whatever the corpus.
 
 Positions are code points, ends exclusive; texts are read whole.
@@ -43,23 +44,23 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones can be passed over at once
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN)
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % MIN_TOKEN)
 _HINTS = (b"passw", b"secret", b"token", b"api")
 
 _DIGITS = "0123456789"
 _LOW, _UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from small to large alphabet.
 ALPHABETS = {
-    "hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "base32": _UP + "234567", "base36": _DIGITS + _LOW,
-    "BASE36": _DIGITS + _UP, "base62": _DIGITS + _UP + _LOW, "base64": _UP + _LOW + _DIGITS + "+/",
+    "hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "lower": _LOW, "UPPER": _UP, "base32": _UP + "234567",
+    "base36": _DIGITS + _LOW, "BASE36": _DIGITS + _UP, "letters": _UP + _LOW, "base62": _DIGITS + _UP + _LOW, "base64": _UP + _LOW + _DIGITS + "+/",
     "base64url": _UP + _LOW + _DIGITS + "-_", "mixed": _UP + _LOW + _DIGITS + "+/-_",
 }
 _CODE = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
 
-_IS_HEX, _IS_DIGIT = 1, 2
+_IS_HEX, _IS_TOKEN = 1, 2
 _CLASS = np.zeros(256, dtype=np.uint8)
-_CLASS[48:58] = _IS_HEX | _IS_DIGIT
-_CLASS[97:103] = _IS_HEX
+_CLASS[list(ALPHABETS["mixed"].encode())] = _IS_TOKEN
+_CLASS[list(ALPHABETS["hex"].encode())] |= _IS_HEX
 
 
 def _normal_tail(z: float) -> float:
@@ -96,8 +97,8 @@ def randomness(symbols: list[int], size: int) -> float:
 
 
 def infer_encoding(token: str) -> str | None:
-    """The smallest encoding that holds the token (padding = stripped); None without a digit and a letter."""
-    if not any(c in _DIGITS for c in token) or not any(c.isalpha() for c in token):
+    """The smallest encoding that holds the token; None for a rule of signs alone, which 20 random symbols are once in 1e24."""
+    if not any(c.isalnum() for c in token):
         return None
     used = set(token)
     return next((name for name, code in _CODE.items() if used <= code.keys()), None)
@@ -124,18 +125,19 @@ def base_spans(text: str, raw: bytes, kinds: np.ndarray) -> list[tuple[str, int,
 
 def candidates(text: str, kinds: np.ndarray, taken: list[tuple[str, int, int, int]]) -> list[tuple[int, int, str, int]]:
     """(start, end, stratum, p-value bucket) of the runs to be tested."""
-    if not (kinds & _IS_DIGIT).any():
+    # A run of 20 holds a whole aligned block of 10.
+    whole = (kinds & _IS_TOKEN)[:len(kinds) // 10 * 10].reshape(-1, 10)
+    if not whole.all(axis=1).any():
         return []
     out = []
     for m in TOKEN.finditer(text):
-        token = m.group().strip("=")
-        if len(token) < MIN_TOKEN or any(s < m.end() and m.start() < e for _k, s, e, _v in taken):
+        token = m.group()
+        if any(s < m.end() and m.start() < e for _k, s, e, _v in taken):
             continue
         encoding = infer_encoding(token)
         if encoding:
             p = randomness([_CODE[encoding][c] for c in token], len(ALPHABETS[encoding]))
-            start = m.start() + m.group().index(token)
-            out.append((start, start + len(token), stratum_of(encoding, len(token)), min(int(p * BUCKETS), BUCKETS - 1)))
+            out.append((m.start(), m.end(), stratum_of(encoding, len(token)), min(int(p * BUCKETS), BUCKETS - 1)))
     return out
 
 
@@ -174,7 +176,7 @@ def cuts(scanned: DataFrame, fdr: float = FDR) -> dict[str, int]:
 
     A bucket b is struck off when its upper p-value (b+1)/BUCKETS is at most
     fdr * (candidates in buckets 0..b) / (candidates of the stratum), or a
-    higher bucket is.  At most 27 x BUCKETS counts reach the driver.
+    higher bucket is.  At most 36 x BUCKETS counts reach the driver.
     """
     rows = (scanned.select(F.explode("cands").alias("c")).groupBy("c.stratum", "c.bucket")
             .agg(F.count(F.lit(1)).alias("n")).collect())

@@ -120,6 +120,30 @@ def test_random_tokens_found_and_words_left(spark):
     assert all(got[i]["spans"] == "" for i in range(60, 120))
 
 
+def test_secrets_in_name_value_forms(spark):
+    keys = {"AWS_SECRET_ACCESS_KEY={}": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "x?sig={}&b=1": "Zk93LmQ4x0PqR7tYv2Bn8HsWcE5aJ1uG",
+            "auth={}==": "Jx7Qv2LkZp9Tn4Rb8Wc1Yd6Hf3", "a={}=b": "PTGuZeJFEBZjSzwDOhiX", "KEY={}": "QZJXKVBPWMFYGCHDURLN", "k={};": "qzjxkvbpwmfygchdurln"}
+    rows = [(i, form.format(k), None, None, None) for i, (form, k) in enumerate(keys.items())]
+    found = {r["doc_id"]: r["spans"].split(",") for r in secret_scan.digest(secret_scan.find_secrets(documents(spark, rows))).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(documents(spark, rows)).collect()}
+    for i, (form, k) in enumerate(keys.items()):
+        start = form.index("{}")
+        assert f"random:{start}:{start + len(k)}" in found[i] and k not in masked[i]
+
+
+def test_keys_without_digits_are_tested(spark):
+    rng = random.Random(5)
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(b62) for _ in range(20)) for _ in range(1500)]
+    rule = ["-" * 30, "xy" * 12, "Zz" * 15]
+    rows = [(i, f"k={k}", None, None, None) for i, k in enumerate(keys + rule * 40)]
+    got = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.find_secrets(documents(spark, rows))).collect()}
+    found = [got[i]["n_random"] == 1 for i in range(1500)]
+    bare = [f for f, k in zip(found, keys) if k.isalpha()]
+    assert len(bare) >= 20 and sum(bare) >= 0.9 * len(bare) and sum(found) >= 1400
+    assert all(got[i]["spans"] == "" for i in range(1500, len(rows)))
+
+
 def test_redact_masks_and_keeps_rows(spark):
     docs = documents(spark)
     out = secret_scan.redact(docs)
