@@ -10,9 +10,12 @@ labelled as article are joined.
 Training: nobody labels blocks here, so the labeller is taught by pages whose
 answer is known by construction.  A bounded sample of the corpus' pages
 (``TRAIN_PAGES``, smallest hash of the id) is read; where a page has
-<article> or <main>, that markup is the answer, and its texts are also dealt
-anew into other page layouts (``LAYOUT_*``: containers and class names that
-hold articles or not).  Weights (under 1 MB) travel with the tasks.
+<article> or <main>, that markup is the answer, else the containers that
+``LAYOUT_ARTICLE`` names (role=main, class=content and the like).  The article
+texts are also dealt anew into other page layouts (``LAYOUT_*``: containers and
+class names that hold articles or not); a page without any such container
+gives its long unlinked blocks to that.  Weights (under 1 MB) travel with the
+tasks.
 
 Edge cases: a null or empty page gives an empty text; unclosed, stray and
 nested tags are tolerated; repeated rows give equal results; a page with one
@@ -336,6 +339,36 @@ def truth(block: Block) -> bool:
     return bool(inside) and not any(e in _NOT_ARTICLE for e in block.path[inside[0] + 1:])
 
 
+#: Elements and attribute words of the containers that hold articles, and the words of a long block.
+_ARTICLE_TAGS = {t for x in LAYOUT_ARTICLE for t in re.findall(r"<(\w+)", x)}
+_ARTICLE_WORDS = {f".{w}" for x in LAYOUT_ARTICLE for w in _NAMES.findall(" ".join(re.findall(r"'([^']*)'", x)).lower())}
+LONG_WORDS = 12
+
+
+def _below_body(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path without html and body and their words."""
+    at = next((i for i, e in enumerate(path) if e[0] != "." and e not in ("html", "body")), len(path))
+    return path[at:]
+
+
+def contained(block: Block) -> bool:
+    """The answer of containers without article or main: inside one that ``LAYOUT_ARTICLE`` names, inside nothing that is
+    not the article, and no list of links."""
+    tag, held = "", False
+    for e in _below_body(block.path):
+        if e in _NOT_ARTICLE:
+            return False
+        if e[0] != ".":
+            tag = e
+        held = held or e in _ARTICLE_WORDS and tag in _ARTICLE_TAGS
+    return held and 2 * block.linked < len(block.text)
+
+
+def long_unlinked(block: Block) -> bool:
+    """What is taken for article text where no container tells: many words, few in links, inside nothing that is not the article."""
+    return len(block.text.split()) >= LONG_WORDS and 5 * block.linked < len(block.text) and not any(e in _NOT_ARTICLE for e in _below_body(block.path))
+
+
 def _close(opened: str) -> str:
     return "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", opened)))
 
@@ -387,11 +420,14 @@ def relayout(article: list[str], other: list[str], rng: np.random.Generator) ->
 
 
 def train(pages: list[str], seed: int = SEED) -> Labeller:
-    """Fit a labeller on sample pages: as they are where their markup answers, and dealt into other layouts."""
+    """Fit a labeller on sample pages: as they are where their markup or containers answer, and dealt into other layouts."""
     rng = np.random.default_rng(seed)
     read = [blocks_of(p)[:TRAIN_BLOCKS] for p in pages]
-    marked = [(b, [truth(x) for x in b]) for b in read]
-    good = [[x.text for x, y in zip(b, ys) if y] for b, ys in marked]
+    marked = []
+    for b in read:
+        ys = [truth(x) for x in b]
+        marked.append((b, ys if any(ys) else [contained(x) for x in b]))
+    good = [[x.text for x, y in zip(b, ys) if y] or [x.text for x in b if long_unlinked(x)] for b, ys in marked]
     rest = [x.text for b, ys in marked for x, y in zip(b, ys) if not y] or ["menu", "about us", "contact"]
     examples = [(features(b), np.array(ys, np.float32)) for b, ys in marked if any(ys)]
     for texts in good:

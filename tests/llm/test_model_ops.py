@@ -65,6 +65,29 @@ def test_held_out_layouts(model):
     assert total > 1000 and right / total > 0.95
 
 
+@pytest.mark.parametrize("box", ["<div class='content'>", "<div class='entry-content'>", "<div role='main'>", "<div class='x7'>"])
+def test_pages_without_article_or_main(box):
+    def put(page):
+        return page.replace("<article>", box).replace("</article>", "</div>")
+
+    fitted = html_blocks.train([put(p) for p, _a in _sample(4, 120)])
+    pages = _sample(5, 40)
+    got = html_blocks.main_texts([put(p) for p, _a in pages], fitted)
+    want = [[a[0][:20].strip(), *a] for _p, a in pages]
+    lines = [g.split("\n") if g else [] for g in got]
+    kept = sum(len(set(w) & set(g)) for w, g in zip(want, lines))
+    assert kept >= 0.95 * sum(len(set(w)) for w in want) and kept >= 0.95 * sum(map(len, lines))
+
+
+def test_few_marked_pages_do_not_outvote_the_rest():
+    def put(page):
+        return page.replace("<article>", "<div class='content'>").replace("</article>", "</div>")
+
+    fitted = html_blocks.train([p for p, _a in _sample(6, 2)] + [put(p) for p, _a in _sample(4, 120)])
+    got = html_blocks.main_texts([put(p) for p, _a in _sample(5, 40)], fitted)
+    assert sum(map(bool, got)) >= 38
+
+
 def test_gradients_match_differences():
     m = html_blocks.Labeller(dim=5, hidden=3)
     for k in m.w:
