@@ -17,6 +17,9 @@ class names that hold articles or not); a page without any such container
 gives its long unlinked blocks to that.  Weights (under 1 MB) travel with the
 tasks.
 
+Only what HTML reads raw (``RAW``) and comments are skipped; formulas and
+drawings are read in their line, fallback texts and controls as blocks.
+
 Edge cases: a null or empty page gives an empty text; unclosed, stray and
 nested tags are tolerated; repeated rows give equal results; a page with one
 huge block or very many blocks is read whole; without any page there is
@@ -46,13 +49,20 @@ SEED = 11
 
 # Fixed values of HTML: elements by how they shape the text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr br img".split())
+                   "small span strike strong sub sup time tt u var wbr br img "
+                   # formulas and drawings stand in the line, as do their parts
+                   "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup "
+                   "munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml "
+                   "svg g defs use symbol path rect circle ellipse line polyline polygon text tspan textpath image marker mask pattern "
+                   "clippath lineargradient radialgradient stop filter foreignobject".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title select option button object canvas".split())
+#: Elements that HTML reads raw, up to their end tag.
+RAW = frozenset("script style noscript iframe textarea title".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
                      "h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: A start tag ends an open element of the same group, up to the group's container.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+            "option": ({"option"}, {"select", "datalist"}), "button": ({"button"}, {"object", "template", "td", "th", "table"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[^<]++|<", re.S)
@@ -125,7 +135,7 @@ def blocks_of(page: str) -> list[Block]:
             if not attrs.endswith("/"):
                 at = end.end() if end else (n if tag in ("script", "style") else at)
             continue
-        if tag in VOID or attrs.endswith("/") and tag not in INLINE:
+        if tag in VOID or attrs.endswith("/") and (tag not in INLINE or any(t in ("svg", "math") for t in (tag, *(t for t, _e in stack)))):
             continue
         if tag in CLOSES_P:
             for depth in range(len(stack) - 1, -1, -1):
@@ -330,7 +340,7 @@ LAYOUT_OTHER = ["<nav>", "<nav><ul>", "<div class='menu'>", "<ul class='nav'>",
                 "<div class='legal'>", "<div class='disclaimer'>", "<div class='pagination'>", "<div class='newsletter'>"]
 #: Those that also occur inside an article's container.
 LAYOUT_INSIDE = [x for x in LAYOUT_OTHER if any(w in x for w in ("ad", "aside", "related", "share", "social", "comment", "promo", "form", "tags", "nav"))]
-_NOT_ARTICLE = {"nav", "aside", "footer", "header", "form"} | {f".{w}" for x in LAYOUT_OTHER for w in _NAMES.findall(" ".join(re.findall(r"'([^']*)'", x)))}
+_NOT_ARTICLE = {"nav", "aside", "footer", "header", "form", "button", "select", "template"} | {f".{w}" for x in LAYOUT_OTHER for w in _NAMES.findall(" ".join(re.findall(r"'([^']*)'", x)))}
 
 
 def truth(block: Block) -> bool:

@@ -45,6 +45,24 @@ def test_reader_blocks():
     assert html_blocks.blocks_of("a\x00b<3 </ p>")[0].text
 
 
+def test_reader_keeps_formulas_fallbacks_and_what_follows_unclosed_controls():
+    got = html_blocks.blocks_of("<p>so <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn></math> holds <svg width='1'><path d='M0'/><text>fig</text></svg> here"
+                                "<object data='x'><p>old text</p></object><canvas>drawn <b>so</b></canvas><select><option>a<option>b</select>z")
+    assert [b.text for b in got] == ["so x=1 holds fig here", "old text", "drawn so", "a", "b", "z"]
+    assert got[-1].path == ("p",) and "button" not in html_blocks.blocks_of("<nav><button>m</nav><p>t")[-1].path
+    for tag in ("button", "object", "canvas", "select", "template", "math", "svg"):
+        page = f"<nav><{tag}>menu</nav><article><p>long text</p><p>and more</p></article><{tag}>end</{tag}>"
+        got = html_blocks.blocks_of(page)
+        assert [b.text for b in got if html_blocks.truth(b)] == ["long text", "and more"], tag
+
+
+def test_formulas_and_fallbacks_reach_the_text(model):
+    article = ["we find <math><mi>a</mi><mo>+</mo><mi>b</mi></math> in all of these cases", "<object>the table in plain words for old readers</object>"]
+    rng = random.Random(6)
+    (got,) = html_blocks.main_texts([_page(rng, ["a heading of it", *article, prose(rng, 30)], [prose(rng, 4) for _ in range(5)])], model)
+    assert "we find a+b in all of these cases" in got and "the table in plain words for old readers" in got
+
+
 def test_held_out_pages_are_exact(model):
     pages = _sample(2, 60)
     got = html_blocks.main_texts([p for p, _a in pages], model)
