@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from slopebook.llm import curve_packing, line_dedup, piece_tokens, quality_rules, secret_scan, url_filter
+from slopebook.llm import curve_packing, line_dedup, ngram_join, piece_tokens, quality_rules, secret_scan, url_filter
 from tests.llm.fixtures import SCHEMA, document_rows, documents, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -234,6 +234,20 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.drop_lines(documents(spark, [])).count() == 0
 
 
+def test_copies_on_over_a_tenth_of_a_source_are_emptied(spark):
+    """Rows are counted as pages, so a group of copies makes its own lines boilerplate (README, op8)."""
+    rng = random.Random(12)
+    copy = "\n".join(prose(rng, 12) for _ in range(3))
+    rows = [(i, copy if i < 10 else prose(rng, 40), "en", "a", 0) for i in range(30)]  # a third of the source
+    rows += [(100 + i, copy if i < 10 else prose(rng, 40), "en", "b", 0) for i in range(100)]  # a tenth
+    out = line_dedup.drop_lines(documents(spark, rows))
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert all(got[i].strip() == "" for i in range(10)) and all(got[100 + i] == copy for i in range(10))
+    assert sum(not t.strip() for t in got.values()) == 10
+    kept = {r["doc_id"] for r in ngram_join.keep_representatives(out.where("source = 'a'")).collect()}
+    assert kept == set(range(30))  # without words nothing links, so all ten go on empty
+
+
 # --- packing ---------------------------------------------------------------
 
 def _ids(text):
