@@ -12,8 +12,8 @@ False-discovery control is per stratum (alphabet and length band, because the
 tests' power depends on both): a Benjamini-Hochberg cut over all candidates of
 the corpus names those that are *not* random, so at most ``FDR`` of the names
 so struck off were truly random.  The rest are reported as kind ``random``.
-The cut is found from counts per (stratum, p-value bucket), at most 36 x 1000
-rows whatever the corpus.
+The cut is found from counts per (stratum, p-value bucket), at most 36 x 6001
+rows whatever the corpus; buckets are even in log p, 20 to a power of ten.
 
 Positions are code points, ends exclusive; texts are read whole.
 
@@ -35,7 +35,8 @@ from slopebook.llm.common import field, fresh, utf8, with_text_columns
 from slopebook.plans.session import materialize
 
 FDR = 0.05
-BUCKETS = 1000
+#: Bucket b holds p-values from 10 ** (-b / 20) down to the next bucket's; the last one all from 1e-300 on.
+LAST_BUCKET = 6000
 MIN_TOKEN = 20
 #: Lengths at which a new band starts.
 BANDS = (20, 32, 64)
@@ -104,6 +105,10 @@ def infer_encoding(token: str) -> str | None:
     return next((name for name, code in _CODE.items() if used <= code.keys()), None)
 
 
+def bucket_of(p: float) -> int:
+    return min(LAST_BUCKET, math.floor(-20 * math.log10(max(p, 1e-300)) + 1e-9)) if p < 1 else 0
+
+
 def stratum_of(encoding: str, length: int) -> str:
     return f"{encoding}:{max(b for b in BANDS if length >= b)}"
 
@@ -137,7 +142,7 @@ def candidates(text: str, kinds: np.ndarray, taken: list[tuple[str, int, int, in
         encoding = infer_encoding(token)
         if encoding:
             p = randomness([_CODE[encoding][c] for c in token], len(ALPHABETS[encoding]))
-            out.append((m.start(), m.end(), stratum_of(encoding, len(token)), min(int(p * BUCKETS), BUCKETS - 1)))
+            out.append((m.start(), m.end(), stratum_of(encoding, len(token)), bucket_of(p)))
     return out
 
 
@@ -172,11 +177,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
 
 def cuts(scanned: DataFrame, fdr: float = FDR) -> dict[str, int]:
-    """Per stratum the first bucket that counts as random (Benjamini-Hochberg).
+    """Per stratum the first bucket that is struck off as not random (Benjamini-Hochberg).
 
-    A bucket b is struck off when its upper p-value (b+1)/BUCKETS is at most
-    fdr * (candidates in buckets 0..b) / (candidates of the stratum), or a
-    higher bucket is.  At most 36 x BUCKETS counts reach the driver.
+    A bucket b is struck off when its upper p-value 10 ** (-b / 20) is at most
+    fdr * (candidates in buckets b and up) / (candidates of the stratum), or a
+    lower bucket is.  At most 36 x (LAST_BUCKET + 1) counts reach the driver.
     """
     rows = (scanned.select(F.explode("cands").alias("c")).groupBy("c.stratum", "c.bucket")
             .agg(F.count(F.lit(1)).alias("n")).collect())
@@ -185,11 +190,11 @@ def cuts(scanned: DataFrame, fdr: float = FDR) -> dict[str, int]:
         by.setdefault(r["stratum"], {})[r["bucket"]] = r["n"]
     out = {}
     for stratum, counts in by.items():
-        total, below, cut = sum(counts.values()), 0, 0
-        for bucket in sorted(counts):
-            below += counts[bucket]
-            if (bucket + 1) / BUCKETS <= fdr * below / total:
-                cut = bucket + 1
+        total, struck, cut = sum(counts.values()), 0, LAST_BUCKET + 1
+        for bucket in sorted(counts, reverse=True):
+            struck += counts[bucket]
+            if 10 ** (-bucket / 20) <= fdr * struck / total:
+                cut = bucket
         out[stratum] = cut
     return out
 
@@ -203,7 +208,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fd
     scanned = materialize(scan(docs, id_col, text), "secret_scan")
     limit = cuts(scanned, fdr)
     first = F.create_map(*[F.lit(x) for kv in sorted(limit.items()) for x in kv]) if limit else None
-    random = F.filter("cands", lambda c: c["bucket"] >= first[c["stratum"]]) if limit else F.col("cands")
+    random = F.filter("cands", lambda c: c["bucket"] < first[c["stratum"]]) if limit else F.col("cands")
     return scanned.select("doc_id", "base", F.transform(random, lambda c: F.struct(
         F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end"),
         c["start"].alias("value"))).alias("random"))
@@ -234,7 +239,7 @@ def redact_text(text: str | None, limit: dict[str, int]) -> str | None:
     if not text:
         return text
     ((base, cands),) = scan_texts([text])
-    spans = sorted([(v, e) for _k, _s, e, v in base] + [(s, e) for s, e, st, b in cands if b >= limit.get(st, 0)])
+    spans = sorted([(v, e) for _k, _s, e, v in base] + [(s, e) for s, e, st, b in cands if b < limit.get(st, LAST_BUCKET + 1)])
     out, at = [], 0
     for start, end in spans:
         if start >= at:

@@ -144,6 +144,17 @@ def test_keys_without_digits_are_tested(spark):
     assert all(got[i]["spans"] == "" for i in range(1500, len(rows)))
 
 
+def test_a_few_dull_runs_among_many_keys_are_struck_off(spark):
+    rng = random.Random(7)
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(b62) for _ in range(40)) for _ in range(400)]
+    dull = ["Ab1" * 13, "aB2aB2" * 7]
+    rows = [(i, f"see {k} here", None, None, None) for i, k in enumerate(keys + dull)]
+    got = {r["doc_id"]: r["n_random"] for r in secret_scan.digest(secret_scan.find_secrets(documents(spark, rows))).collect()}
+    assert got[400] == got[401] == 0 and sum(got.values()) >= 380
+    assert all(k in " ".join(r["text"] for r in secret_scan.redact(documents(spark, rows)).collect()) for k in dull)
+
+
 def test_redact_masks_and_keeps_rows(spark):
     docs = documents(spark)
     out = secret_scan.redact(docs)
