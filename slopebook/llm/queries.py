@@ -8,8 +8,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from slopebook.llm import (ann_forest, bwt_dedup, curve_packing, html_blocks, line_dedup, ngram_join, piece_tokens,
-                           quality_rules, secret_scan, url_filter)
+from slopebook.llm import (ann_forest, bwt_dedup, curve_packing, html_blocks, line_dedup, merkle_manifest, ngram_join,
+                           piece_tokens, quality_rules, secret_scan, url_filter)
 from slopebook.llm.common import table
 
 QUERIES = {}
@@ -127,3 +127,12 @@ def op9_curve_packing(spark, sf_dir):
 def op10_ngram_join(spark, sf_dir):
     """Size of every document's set of 4-word shingles and its component of links at 85 percent."""
     return ngram_join.join(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    """Leaf, roots and proof of every document, and what a copy with lower-cased texts folds to."""
+    docs = table(spark, sf_dir, "documents")
+    proven = merkle_manifest.manifest(docs, "lang", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"],
+                                      merkle_manifest.tampered(docs, "doc_id", "text"))
+    return merkle_manifest.digest(proven, "doc_id")
