@@ -8,8 +8,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from slopebook.llm import (ann_forest, bwt_dedup, curve_packing, html_blocks, line_dedup, merkle_manifest, ngram_join,
-                           piece_tokens, quality_rules, secret_scan, url_filter)
+from slopebook.llm import (ann_forest, bwt_dedup, curve_packing, html_blocks, katz_lm, line_dedup, merkle_manifest,
+                           ngram_join, piece_tokens, quality_rules, secret_scan, url_filter)
 from slopebook.llm.common import table
 
 QUERIES = {}
@@ -136,3 +136,11 @@ def op12_merkle_manifest(spark, sf_dir):
     proven = merkle_manifest.manifest(docs, "lang", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"],
                                       merkle_manifest.tampered(docs, "doc_id", "text"))
     return merkle_manifest.digest(proven, "doc_id")
+
+
+@query
+def op13_katz_lm(spark, sf_dir):
+    """Log-probability of every document, learned from those whose hash does not hold them out."""
+    docs = table(spark, sf_dir, "documents")
+    out = katz_lm.score(docs, ~katz_lm.held_out(F.col("doc_id")))
+    return out.withColumn("held_out", ~F.col("training")).drop("training")
