@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from slopebook.llm import (ann_forest, bwt_dedup, curve_packing, html_blocks, katz_lm, line_dedup, merkle_manifest,
-                           ngram_join, piece_tokens, quality_rules, secret_scan, url_filter)
+                           ngram_join, phrase_graph, piece_tokens, quality_rules, secret_scan, url_filter)
 from slopebook.llm.common import table
 
 QUERIES = {}
@@ -129,6 +129,12 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+@query
+def op11_phrase_graph(spark, sf_dir):
+    """The 2000 best collocations of every language."""
+    return phrase_graph.mine(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_merkle_manifest(spark, sf_dir):
     """Leaf, roots and proof of every document, and what a copy with lower-cased texts folds to."""
