@@ -2,15 +2,15 @@
 window), E3 (members in use per shop, category and day).
 
 Plan notes (100 TB view)
-* Members are counted per (reservation, category) *before* the day
-  expansion, so the explode multiplies reservations, not members.
-* The explode is clipped to the asked range first (``start <= hi AND end >=
-  lo`` then ``sequence(greatest, least)``): Catalyst cannot push a ``day
-  between`` filter below a generator, so we write the overlap test ourselves.
-* Range containment (window contains day) becomes an equi-join on
-  (shop, category, day) after exploding the window; no theta or nested-loop
-  join.  Aggregations are hash aggregates with map-side partial combine, so a
-  hot shop or day only shrinks to one row per cell before the shuffle.
+* Members are counted per (reservation, category) first.  A booking is then two
+  rows, +n on its first day and -n on the day after its last, whatever its
+  length; they are summed per (shop, category, day) with map-side combining and
+  a running sum over the (few) days of change gives the use.  Only E3, whose
+  result has a row per day, expands the segments, after aggregation.
+* E2 reads a window's peak from two cells of a table of maxima over 1, 2, 4, ...
+  days, made once per (shop, category); windows are never expanded to days.
+  Both joins are equi-joins; no theta or nested-loop join.
+* Day lists per (shop, category) are bounded by the calendar, not by the data.
 """
 
 from __future__ import annotations
@@ -36,13 +36,13 @@ def member_counts(members: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).cast("int").alias("n")))
 
 
-def daily_occupancy(reservations: DataFrame, members: DataFrame,
-                    lo: dt.date | Column | None = None, hi: dt.date | Column | None = None) -> DataFrame:
-    """Members in use per (shop_id, category, day), for days in [lo, hi]
-    where bounds are given.
+def occupancy_segments(reservations: DataFrame, members: DataFrame,
+                       lo: dt.date | Column | None = None, hi: dt.date | Column | None = None) -> DataFrame:
+    """shop_id, category, day, until, used: stretches of days (``until`` is the day after) of equal use.
 
-    Active reservations only; an eve pickup occupies the day before; a NULL
-    return date is a one-day rental.
+    A sweep line: +n where a booking begins, -n after it ends, summed per day
+    before the running sum, so the rows shuffled do not depend on how long
+    bookings are.  Stretches without use between others are included.
     """
     r, first, last = _active_spans(reservations), F.col("s"), F.col("e")
     if lo is not None:
@@ -51,10 +51,56 @@ def daily_occupancy(reservations: DataFrame, members: DataFrame,
     if hi is not None:
         hi_c = hi if isinstance(hi, Column) else F.lit(hi)
         r, last = r.where(F.col("s") <= hi_c), F.least(last, hi_c)
-    j = r.join(member_counts(members), "reservation_id")
-    days = j.select("shop_id", "category", "n",
-                    F.explode(F.sequence(first, last)).alias("day"))
-    return days.groupBy("shop_id", "category", "day").agg(F.sum("n").cast("int").alias("used"))
+    ends = F.array(F.struct(first.alias("day"), F.col("n").alias("delta")),
+                   F.struct(F.date_add(last, 1).alias("day"), (-F.col("n")).alias("delta")))
+    deltas = (r.join(member_counts(members), "reservation_id")
+              .select("shop_id", "category", F.explode(ends).alias("d"))
+              .groupBy("shop_id", "category", F.col("d.day").alias("day")).agg(F.sum("d.delta").alias("delta")))
+    by_day = Window.partitionBy("shop_id", "category").orderBy("day")
+    return (deltas.select("shop_id", "category", "day", F.lead("day").over(by_day).alias("until"),
+                          F.sum("delta").over(by_day).cast("int").alias("used"))
+            .where("until is not null"))
+
+
+def daily_occupancy(reservations: DataFrame, members: DataFrame,
+                    lo: dt.date | Column | None = None, hi: dt.date | Column | None = None) -> DataFrame:
+    """Members in use per (shop_id, category, day), for days in [lo, hi]
+    where bounds are given.
+
+    Active reservations only; an eve pickup occupies the day before; a NULL
+    return date is a one-day rental.
+    """
+    used = occupancy_segments(reservations, members, lo, hi).where("used > 0")
+    return used.select("shop_id", "category", F.explode(F.sequence("day", F.date_sub("until", 1))).alias("day"), "used")
+
+
+def range_maxima(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans, maxima): per (shop_id, category) the first and last day of ``segments``, and
+    (level, day, peak): the largest use in the 2**level days from ``day`` on.
+
+    One row per (shop, category) holds its days (a calendar's worth); each level
+    comes from the one below by comparing it with itself 2**(level-1) days on.
+    """
+    days = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("day", "until", "used"))),
+                                 lambda x: F.array_repeat(x["used"], F.datediff(x["until"], x["day"]))))
+    base = segments.groupBy("shop_id", "category").agg(F.min("day").alias("h_lo"), F.date_sub(F.max("until"), 1).alias("h_hi"), days.alias("days"))
+
+    def doubled(levels: Column, k: Column) -> Column:
+        below = F.element_at(levels, -1)
+        step = F.pow(F.lit(2), k - 1).cast("int")
+        row = F.transform(F.sequence(F.lit(0), F.size(below) - 1 - step), lambda i: F.greatest(below[i], below[i + step]))
+        return F.concat(levels, F.array(row))
+    top = _log2(F.size("days"))
+    levels = F.when(top > 0, F.aggregate(F.sequence(F.lit(1), top), F.array("days"), doubled)).otherwise(F.array("days"))
+    cells = (base.select("shop_id", "category", "h_lo", F.posexplode(levels).alias("level", "row"))
+             .select("shop_id", "category", "h_lo", "level", F.posexplode("row").alias("at", "peak"))
+             .where("peak > 0").select("shop_id", "category", "level", F.date_add("h_lo", F.col("at")).alias("day"), "peak"))
+    return base.select("shop_id", "category", "h_lo", "h_hi"), cells
+
+
+def _log2(n: Column) -> Column:
+    """floor(log2(n)) of a positive whole number, exactly."""
+    return F.length(F.bin(n)) - 1
 
 
 def _active_spans(reservations: DataFrame) -> DataFrame:
@@ -90,18 +136,15 @@ def availability_by_category(equipment: DataFrame, reservations: DataFrame, memb
         F.lit(None).cast("int").alias("remaining"), F.lit("INVALID_DATES").alias("error"))
     ok = w.where(~bad)
     stock = category_stock(equipment)
-    # One pass over the bookings: use per (shop, category, day), which also
-    # bounds the days that can raise a peak.  A window (unbounded in length)
-    # is clipped to its shop's days in use before the day expansion.
-    occ = daily_occupancy(reservations, members)
-    horizon = occ.groupBy("shop_id").agg(F.min("day").alias("h_lo"), F.max("day").alias("h_hi"))
+    spans, maxima = range_maxima(occupancy_segments(reservations, members))
     lo, hi = F.greatest("from", "h_lo"), F.least("end", "h_hi")
-    win_days = (ok.join(horizon, "shop_id")
-                .select("window_id", "shop_id",
-                        F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<date>")))
-                        .alias("day")))
-    peak = (win_days.join(occ, ["shop_id", "day"])
-            .groupBy("window_id", "category").agg(F.max("used").alias("peak")))
+    level = _log2(F.datediff(hi, lo) + 1)
+    two = F.array_distinct(F.array(lo, F.date_sub(hi, F.pow(F.lit(2), level).cast("int") - 1)))
+    # A window that leaves its shop's days in use is clipped to them; two cells of one level cover the rest.
+    probes = (ok.join(spans, "shop_id").where(lo <= hi)
+              .select("window_id", "shop_id", "category", level.alias("level"), F.explode(two).alias("day")))
+    peak = (probes.join(maxima, ["shop_id", "category", "level", "day"])
+            .groupBy("window_id", "category").agg(F.max("peak").alias("peak")))
     res = (ok.select("window_id", "shop_id").join(stock, "shop_id")
            .join(peak, ["window_id", "category"], "left")
            .select("window_id", "shop_id", "category",
