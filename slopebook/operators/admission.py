@@ -17,6 +17,9 @@ so a plain aggregate is wrong.  Exact plan, the same for both versions:
    The earliest undecided request is decided in every round, so rounds end;
    each is one running sum per cell, and no shop is a group.  When at most
    ``PASS_ROWS`` rows are undecided, one ordered pass decides them.
+   Running sums have two levels: rows are cut into blocks by request order, a
+   row's sum is the one within its (cell, block) plus the cell's blocks before,
+   so a cell that most requests ask for is no task of its own.
 5. With the accepted known, one running sum per cell gives every other
    request its first failing cell, and so its code.
 """
@@ -30,7 +33,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopebook.functions import pgcompat as pg
 from slopebook.operators import occupancy as occ
 from slopebook.operators import requests as rq
 from slopebook.plans.session import materialize
@@ -65,39 +67,55 @@ def _ordered_pass(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             fits = fits and used + extra.get(cell, 0) + need <= total
             cells.append((cell, int(add)))
     finish()
-    yield pd.DataFrame({"request_id": pd.Series(accepted, dtype="int32")})
+    yield pd.DataFrame({"request_id": pd.Series(accepted, dtype="int64")})
 
 
-def _before(column: Column) -> Column:
-    """Sum over the rows of the same cell that come earlier in request order."""
-    w = Window.partitionBy("cell").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(column).over(w), F.lit(0))
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``block``, ascending in request order; blocks are of about equal size and span all cells.
+
+    To be written before use: the number of a block is that of its partition.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, *ORDER).withColumn("block", F.spark_partition_id())
+
+
+def with_sums_before(rows: DataFrame, **values: Column) -> DataFrame:
+    """``rows`` (cell, block and the order columns) with, for each name, the sum of its value over the
+    rows of the same cell that come earlier in request order."""
+    of = {f"_{k}": F.coalesce(v, F.lit(0)) for k, v in values.items()}
+    rows = rows.withColumns(of)
+    before = Window.partitionBy("cell").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (rows.groupBy("cell", "block").agg(*(F.sum(c).alias(c) for c in of))
+              .select("cell", "block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in of)))
+    within = Window.partitionBy("cell", "block").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({k: F.coalesce(F.sum(f"_{k}").over(within), F.lit(0)) for k in values})
+    return (local.join(blocks, ["cell", "block"]).withColumns({k: F.col(k) + F.col(f"__{k}") for k in values})
+            .drop(*of, *(f"_{c}" for c in of)))
 
 
 def settle(cells: DataFrame) -> DataFrame:
     """request_id, code of every request of ``cells``: NULL if its stock suffices in request order.
 
     cells: request_id, lane (requests that share a cell share it), requested_at,
-    consumer, cell (text), place (sorts a request's cells), fail (the code if this
-    cell fails), need (tested), add (used when accepted), used, total.
+    consumer, cell (text), block (see :func:`in_blocks`), place (sorts a request's cells),
+    fail (the code if this cell fails), need (tested), add (used when accepted), used, total.
     """
-    rows = materialize(cells.where("consumer").select("request_id", "lane", "requested_at", "cell", "need", "add", "used", "total",
+    rows = materialize(cells.where("consumer").select("request_id", "lane", "requested_at", "cell", "block", "need", "add", "used", "total",
                                                       F.lit(False).alias("accepted")), "admission-round")
     while rows.where("not accepted").count() > PASS_ROWS:
-        low = F.col("used") + _before(F.when(F.col("accepted"), F.col("add")))
-        high = F.col("used") + _before(F.col("add"))
-        tested = rows.withColumn("low", low).withColumn("high", high).where("not accepted")
-        decided = (tested.groupBy("request_id").agg(F.max(F.col("low") + F.col("need") > F.col("total")).alias("out"),
-                                                    F.min(F.col("high") + F.col("need") <= F.col("total")).alias("in")))
+        tested = with_sums_before(rows, low=F.when(F.col("accepted"), F.col("add")), high=F.col("add")).where("not accepted")
+        decided = (tested.groupBy("request_id").agg(F.max(F.col("used") + F.col("low") + F.col("need") > F.col("total")).alias("out"),
+                                                    F.min(F.col("used") + F.col("high") + F.col("need") <= F.col("total")).alias("in")))
         rows = materialize(rows.join(decided, "request_id", "left").where(~F.coalesce("out", F.lit(False)))
                            .withColumn("accepted", F.col("accepted") | F.coalesce("in", F.lit(False))).drop("out", "in"), "admission-round")
-    open_rows = (rows.withColumn("used", F.col("used") + _before(F.when(F.col("accepted"), F.col("add")))).where("not accepted"))
+    open_rows = (with_sums_before(rows, low=F.when(F.col("accepted"), F.col("add"))).withColumn("used", F.col("used") + F.col("low"))
+                 .where("not accepted").drop("low", "block"))
     passed = (open_rows.repartition("lane").sortWithinPartitions("lane", *ORDER)
-              .groupBy("lane").applyInPandas(_ordered_pass, "request_id int"))
+              .groupBy("lane").applyInPandas(_ordered_pass, "request_id long"))
     accepted = rows.where("accepted").select("request_id").distinct().union(passed).withColumn("accepted", F.lit(True))
     known = cells.join(accepted, "request_id", "left")
-    low = F.col("used") + _before(F.when(F.col("accepted"), F.col("add")))
-    failed = known.withColumn("low", low).where(F.col("accepted").isNull() & (F.col("low") + F.col("need") > F.col("total")))
+    failed = (with_sums_before(known, low=F.when(F.col("accepted"), F.col("add")))
+              .where(F.col("accepted").isNull() & (F.col("used") + F.col("low") + F.col("need") > F.col("total"))))
     codes = failed.groupBy("request_id").agg(F.min(F.struct("place", "fail")).alias("f"))
     return cells.select("request_id").distinct().join(codes, "request_id", "left").select("request_id", F.col("f.fail").alias("code"))
 
@@ -109,15 +127,24 @@ def _unsafe(cells: DataFrame) -> DataFrame:
         F.max(F.when(F.col("consumer"), F.col("need") - F.col("add")).otherwise(F.col("need"))).alias("probe"),
         F.max("used").alias("u"), F.min("total").alias("t"))
         .where(F.col("u") + F.col("demand") + F.greatest("probe", F.lit(0)) > F.col("t")).select("cell"))
-    return materialize(cells.join(demand, "cell", "left_semi"), "admission-cells")
+    return materialize(in_blocks(materialize(cells.join(demand, "cell", "left_semi"), "admission-unsafe")), "admission-cells")
 
 
 def _answer(requests: DataFrame, codes: DataFrame) -> DataFrame:
-    """Admission rows of ``requests`` (request_id, shop_id, code before the stock, own: code after it)."""
+    """Admission rows of ``requests`` (request_id, shop_id, code before the stock, own: code after it, reservation_code)."""
     return (requests.join(codes.withColumnRenamed("code", "stock"), "request_id", "left")
-            .select("request_id", "shop_id", F.coalesce("code", "stock", "own").alias("code"))
-            .select("request_id", "shop_id", F.col("code").isNull().alias("accepted"), "code")
-            .withColumn("reservation_code", F.when(F.col("accepted"), pg.reservation_code(F.col("request_id")))))
+            .select("request_id", "shop_id", F.coalesce("code", "stock", "own").alias("code"), "reservation_code")
+            .select("request_id", "shop_id", F.col("code").isNull().alias("accepted"), "code",
+                    F.when(F.col("code").isNull(), F.col("reservation_code")).alias("reservation_code")))
+
+
+def v2_cells(state: DataFrame) -> DataFrame:
+    """The input of :func:`settle` (without block) from (request, category, day) rows with their need, use and stock."""
+    return state.select(
+        "request_id", F.col("shop_id").alias("lane"), "requested_at", "consumer", "used", "total", "need", F.col("need").alias("add"),
+        F.concat_ws("|", "shop_id", F.coalesce("category", F.lit("<NULL>")), "day").alias("cell"),
+        F.struct(F.col("category").isNull().alias("no_category"), "category", "day").alias("place"),
+        rq.out_of_stock_code(F.col("category"), F.col("day")).alias("fail"))
 
 
 def admit(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, members: DataFrame,
@@ -125,7 +152,7 @@ def admit(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, me
     """Decide every v2 request in (requested_at, request_id) order per shop.
 
     Returns request_id, shop_id, accepted, code, reservation_code (E8, only
-    for accepted requests).
+    for accepted requests; no two requests or stored reservations share one).
     """
     # Request-level facts, computed once (the member checks are array
     # lambdas) and written, so the members arrays are read once.
@@ -137,13 +164,9 @@ def admit(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, me
         "admission-requests")
     cand = req.where(F.col("code").isNull())
     state = rq.cells_with_state(rq.cells_from_needs(cand, ("consumer",)), equipment, reservations, members)
-    cells = state.select(
-        "request_id", F.col("shop_id").alias("lane"), "requested_at", "consumer", "used", "total", "need", F.col("need").alias("add"),
-        F.concat_ws("|", "shop_id", F.coalesce("category", F.lit("<NULL>")), "day").alias("cell"),
-        F.struct(F.col("category").isNull().alias("no_category"), "category", "day").alias("place"),
-        rq.out_of_stock_code(F.col("category"), F.col("day")).alias("fail"))
     own = F.when(F.col("code").isNull() & ~F.col("consumer"), F.lit(MEMBER_ROWS_REJECTED))
-    return _answer(req.select("request_id", "shop_id", "code", own.alias("own")), settle(_unsafe(cells)))
+    coded = rq.numbered_codes(req, reservations)
+    return _answer(coded.select("request_id", "shop_id", "code", "reservation_code", own.alias("own")), settle(_unsafe(v2_cells(state))))
 
 
 def admit_v1(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, items: DataFrame,
@@ -169,6 +192,6 @@ def admit_v1(requests: DataFrame, equipment: DataFrame, reservations: DataFrame,
              .select("request_id", F.lit(0).alias("lane"), "requested_at", "consumer", "place", "need", "add", "total",
                      F.coalesce("used", F.lit(0)).alias("used"), F.concat_ws("|", "equipment_item_id", "rental_date").alias("cell"),
                      F.concat(F.lit("OUT_OF_STOCK:"), F.col("equipment_item_id").cast("string")).alias("fail")))
-    req = (rq.with_v1_code(requests, closed_dates, as_of).join(first_bad, "request_id", "left")
-           .select("request_id", "shop_id", "code", F.when(F.col("code").isNull(), F.col("bad.line_code")).alias("own")))
+    req = (rq.numbered_codes(rq.with_v1_code(requests, closed_dates, as_of), reservations).join(first_bad, "request_id", "left")
+           .select("request_id", "shop_id", "code", "reservation_code", F.when(F.col("code").isNull(), F.col("bad.line_code")).alias("own")))
     return _answer(req, settle(_unsafe(cells)))

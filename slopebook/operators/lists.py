@@ -95,8 +95,9 @@ def inventory_list(equipment: DataFrame) -> DataFrame:
 
 
 def upcoming_closed(closed_dates: DataFrame, as_of: dt.date) -> DataFrame:
-    """Closed days from ``as_of`` on, ascending."""
-    return closed_dates.where(F.col("closed_date") >= F.lit(as_of)).orderBy("closed_date")
+    """Closed days of every shop from ``as_of`` on, with their ``position`` in the shop's list."""
+    return (closed_dates.where(F.col("closed_date") >= F.lit(as_of))
+            .withColumn("position", F.row_number().over(Window.partitionBy("shop_id").orderBy("closed_date"))))
 
 
 def staff_filter(reservations: DataFrame, day: dt.date | None, status: str = "active") -> DataFrame:

@@ -16,6 +16,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slopebook.plans.session import materialize
+
 CATEGORIES = ("ski", "snowboard", "boots")
 STATUSES = ("pending", "confirmed", "cancelled")
 
@@ -82,7 +84,7 @@ def audit(equipment: DataFrame, reservations: DataFrame, items: DataFrame, membe
             ("not_null", F.col("member_no").isNull() | F.col("height_cm").isNull() | F.col("shoe_cm").isNull()),
         ]),
         _orphans(m, r, "reservation_id", "id", "reservation_members", "fk_reservation"),
-        _dupes(closed_dates, "closed_dates", "pk_closed_date", ["closed_date"]),
+        _dupes(closed_dates, "closed_dates", "pk_closed_date", ["shop_id", "closed_date"]),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -137,9 +139,9 @@ def equipment_feed_report(equipment: DataFrame, feed: DataFrame) -> DataFrame:
 
 
 def closed_day_report(closed_dates: DataFrame, feed: DataFrame) -> DataFrame:
-    """A5 for closed days (feed_no, closed_date): no date -> INVALID_DATE; a day that
-    is closed already, or earlier in the feed -> DUPLICATE."""
-    return insert_report(closed_dates, feed, ["closed_date"], "feed_no", [(F.col("closed_date").isNull(), "INVALID_DATE")])
+    """A5 for closed days (feed_no, shop_id, closed_date): no date -> INVALID_DATE; a day on which
+    the shop is closed already, or earlier in the feed -> DUPLICATE."""
+    return insert_report(closed_dates, feed, ["shop_id", "closed_date"], "feed_no", [(F.col("closed_date").isNull(), "INVALID_DATE")])
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
@@ -169,18 +171,23 @@ def apply_equipment_changes(equipment: DataFrame, changes: DataFrame) -> DataFra
 
     A step is +1 or -1; a -1 at 0 is ignored, so q <- max(q + d, 0): a
     Lindley recursion, whose final value is ``max(q0 + S_n, S_n - min_k S_k)``
-    with S_k the running sum of steps.  The running sum is a sort-based
-    window (streams, spills); the rest is a partial aggregate per item, so a
-    hot item is never collected into one list.  Toggles flip is_active; only
-    their parity matters.
+    with S_k the running sum of steps.  Sum and least prefix combine from
+    stretches to the whole, so changes are cut into blocks by their number: the
+    running sums stay within (item, block), and the few blocks of an item are
+    combined after.  An item with most of the changes is no task of its own.
+    Toggles flip is_active; only their parity matters.
     """
-    w = (Window.partitionBy("equipment_item_id").orderBy("change_no")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    steps = changes.withColumn("d", F.coalesce("delta", F.lit(0)).cast("long"))
-    run = steps.withColumn("s_k", F.sum("d").over(w))
-    per = run.groupBy("equipment_item_id").agg(
-        F.sum("d").alias("s_n"), F.min("s_k").alias("min_s"),
-        F.sum(F.when(F.coalesce("toggle", F.lit(False)), 1).otherwise(0)).alias("flips"))
+    parts = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = materialize(changes.select("equipment_item_id", "change_no", F.coalesce("delta", F.lit(0)).cast("long").alias("d"),
+                                       F.coalesce("toggle", F.lit(False)).cast("int").alias("flip"))
+                        .repartitionByRange(parts, "change_no").withColumn("block", F.spark_partition_id()), "equipment-steps")
+    within = (Window.partitionBy("equipment_item_id", "block").orderBy("change_no")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    blocks = (steps.withColumn("s_k", F.sum("d").over(within)).groupBy("equipment_item_id", "block")
+              .agg(F.sum("d").alias("s"), F.min("s_k").alias("low"), F.sum("flip").alias("flips")))
+    before = Window.partitionBy("equipment_item_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    per = (blocks.withColumn("low", F.col("low") + F.coalesce(F.sum("s").over(before), F.lit(0))).groupBy("equipment_item_id")
+           .agg(F.sum("s").alias("s_n"), F.min("low").alias("min_s"), F.sum("flips").alias("flips")))
     j = equipment.join(per, equipment.id == per.equipment_item_id, "left")
     qty = F.greatest(F.col("total_quantity") + F.col("s_n"), F.col("s_n") - F.col("min_s"))
     return (j.withColumn("total_quantity", F.coalesce(qty, F.col("total_quantity")).cast("int"))
@@ -205,9 +212,10 @@ def cascade_delete(reservations: DataFrame, children: DataFrame, delete_ids: Dat
     return children.join(gone, "reservation_id", "left_anti")
 
 
-def delete_by_key(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows left after deleting the given keys."""
-    return table.join(keys.select(key).distinct(), key, "left_anti")
+def delete_by_key(table: DataFrame, keys: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows left after deleting the given keys (of one or more columns)."""
+    on = [key] if isinstance(key, str) else key
+    return table.join(keys.select(*on).distinct(), on, "left_anti")
 
 
 def stamp_updated_at(table: DataFrame, changed: DataFrame, key: str, at: Column | dt.datetime) -> DataFrame:

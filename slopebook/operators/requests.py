@@ -3,7 +3,7 @@ from a nested request) and member insert checks.
 
 Every function maps a DataFrame of requests to a DataFrame of answers; the
 reference's per-call PL/pgSQL checks become one ordered ``when`` chain.
-Closed days are one array per query, tested inside the request's row.
+Closed days are one sorted array per shop, tested inside the request's row.
 """
 
 from __future__ import annotations
@@ -31,12 +31,12 @@ def _members_n() -> Column:
     return F.when(F.col("members").isNull(), F.lit(None)).otherwise(F.size("members"))
 
 
-def closed_days(closed_dates: DataFrame) -> Column:
-    """All closed days as one array: a scalar subquery, evaluated once per query.
+def closed_days(closed_dates: DataFrame) -> DataFrame:
+    """shop_id, _closed: the closed days of every shop as one sorted array.
 
-    Bounded by the calendar, not by the data: one entry per distinct day.
+    A row per shop, each bounded by the calendar.  A shop's days close that shop only.
     """
-    return closed_dates.select("closed_date").distinct().agg(F.collect_set("closed_date").alias("days")).scalar()
+    return closed_dates.groupBy("shop_id").agg(F.array_sort(F.collect_set("closed_date")).alias("_closed"))
 
 
 def with_v2_code(requests: DataFrame, closed_dates: DataFrame, as_of: dt.date | Column) -> DataFrame:
@@ -48,9 +48,13 @@ def with_v2_code(requests: DataFrame, closed_dates: DataFrame, as_of: dt.date |
     EVE_CLOSED, INVALID_BOARD_TYPE.  A NULL board type is not
     INVALID_BOARD_TYPE (``NULL NOT IN (...)`` is not true).
     """
+    return coded_v2(requests.join(closed_days(closed_dates), "shop_id", "left"), as_of).select(*requests.columns, "code")
+
+
+def coded_v2(requests: DataFrame, as_of: dt.date | Column) -> DataFrame:
+    """``requests`` (with their shop's closed days as ``_closed``, NULL if none) plus ``code``."""
     today = _lit_date(as_of)
-    r = requests.withColumn("_closed", closed_days(closed_dates))
-    days = F.col("_closed")
+    days = F.coalesce("_closed", F.array().cast("array<date>"))
     n = _members_n()
     eve = F.coalesce(F.col("eve_pickup"), F.lit(False))
     bad_type = F.exists("members", lambda m: ~m["board_type"].isin(*BOARD_TYPES))
@@ -67,7 +71,7 @@ def with_v2_code(requests: DataFrame, closed_dates: DataFrame, as_of: dt.date |
             .when(eve & (F.date_sub("start", 1) < today), "EVE_IN_PAST")
             .when(eve & F.array_contains(days, F.date_sub("start", 1)), "EVE_CLOSED")
             .when(bad_type, "INVALID_BOARD_TYPE"))
-    return r.withColumn("code", code).drop("_closed")
+    return requests.withColumn("code", code)
 
 
 def validate_requests_v2(requests: DataFrame, closed_dates: DataFrame, as_of: dt.date | Column) -> DataFrame:
@@ -170,14 +174,14 @@ def capacity_check(requests: DataFrame, equipment: DataFrame, reservations: Data
 
 def with_v1_code(requests: DataFrame, closed_dates: DataFrame, as_of: dt.date | Column) -> DataFrame:
     """``requests`` plus ``code``: INVALID_INPUT, DATE_IN_PAST, SHOP_CLOSED_ON_DATE or NULL."""
-    closed = closed_dates.select(F.col("closed_date").alias("rental_date")).distinct() \
-        .withColumn("is_closed", F.lit(True))
+    closed = (closed_dates.select("shop_id", F.col("closed_date").alias("rental_date")).distinct()
+              .withColumn("is_closed", F.lit(True)))
     n_items = F.when(F.col("items").isNull(), F.lit(None)).otherwise(F.size("items"))
     code = (F.when(F.col("rental_date").isNull() | F.col("party_size").isNull()
                    | (F.col("party_size") <= 0) | n_items.isNull() | (n_items == 0), "INVALID_INPUT")
             .when(F.col("rental_date") < _lit_date(as_of), "DATE_IN_PAST")
             .when(F.coalesce("is_closed", F.lit(False)), "SHOP_CLOSED_ON_DATE"))
-    return requests.join(closed, "rental_date", "left").withColumn("code", code).drop("is_closed")
+    return requests.join(closed, ["shop_id", "rental_date"], "left").withColumn("code", code).drop("is_closed")
 
 
 def v1_lines(requests: DataFrame, closed_dates: DataFrame, equipment: DataFrame, as_of: dt.date | Column) -> DataFrame:
@@ -300,6 +304,40 @@ def item_rows(requests: DataFrame) -> DataFrame:
                     pg.pg_int(F.col("it.quantity")).alias("quantity"))
 
 
+def numbered_codes(requests: DataFrame, known: DataFrame | None = None, order: tuple[str, ...] = ("requested_at", "request_id")) -> DataFrame:
+    """E8 without collisions: ``requests`` plus ``reservation_code``.
+
+    The first request of a code (by ``order``) has it as it is; the next ones get
+    ``-1``, ``-2`` ... after it.  Numbers go on after those of ``known`` reservations
+    (id, reservation_code), and a request that is stored already keeps its code, so
+    a retry never changes one.  Windows are over equal codes: a few rows each.
+    """
+    r = requests.withColumn("_code", pg.reservation_code(F.col("request_id")))
+    if known is not None and "reservation_code" in known.columns:
+        given = known.select(F.col("id").alias("request_id"), F.col("reservation_code").alias("_old"))
+        # YR-ABC123-2 is the third of YR-ABC123; a code without a number is the first of itself.
+        numbered = F.regexp_extract("_old", NUMBERED, 2)
+        base = F.when(numbered != "", F.regexp_extract("_old", NUMBERED, 1)).otherwise(F.col("_old"))
+        taken = (given.select(base.alias("_code"), F.when(numbered != "", numbered.cast("long")).otherwise(F.lit(0)).alias("n"))
+                 .groupBy("_code").agg((F.max("n") + 1).alias("_next")))
+        stored = given.groupBy("request_id").agg(F.min("_old").alias("_old"))
+        r = r.join(stored, "request_id", "left").join(taken, "_code", "left")
+    else:
+        r = r.withColumns({"_old": F.lit(None).cast("string"), "_next": F.lit(None).cast("long")})
+    earlier = Window.partitionBy("_code").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.coalesce("_next", F.lit(0)) + F.coalesce(F.sum(F.when(F.col("_old").isNull(), 1).otherwise(0)).over(earlier), F.lit(0))
+    code = F.coalesce("_old", numbered_code(F.col("_code"), n))
+    return r.withColumn("reservation_code", code).drop("_code", "_old", "_next")
+
+
+#: A code with a number after it.
+NUMBERED = r"^(YR-[0-9A-F]{6})-(\d+)$"
+
+
+def numbered_code(code: Column, n: Column) -> Column:
+    return F.when(n == 0, code).otherwise(F.concat(code, F.lit("-"), n.cast("string")))
+
+
 def code_collisions(reservations: DataFrame) -> DataFrame:
     """E8 audit: reservation codes used by more than one reservation."""
     return (reservations.groupBy("reservation_code")

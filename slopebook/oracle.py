@@ -98,10 +98,10 @@ _REQ = """
       then 'INVALID_CONTACT'
     when n is null or n = 0 or n > 20 then 'INVALID_MEMBERS'
     when coalesce(adults, 0) + coalesce(children, 0) <> n then 'MEMBER_COUNT_MISMATCH'
-    when exists (select 1 from fx_closed_dates c where c.closed_date between "start" and "end")
+    when exists (select 1 from fx_closed_dates c where c.shop_id = req.shop_id and c.closed_date between "start" and "end")
       then 'SHOP_CLOSED_ON_DATE'
     when eve_pickup and "start" - 1 < date '2024-12-10' then 'EVE_IN_PAST'
-    when eve_pickup and exists (select 1 from fx_closed_dates c where c.closed_date = "start" - 1)
+    when eve_pickup and exists (select 1 from fx_closed_dates c where c.shop_id = req.shop_id and c.closed_date = "start" - 1)
       then 'EVE_CLOSED'
     when bad_type then 'INVALID_BOARD_TYPE'
   end as code from req)
@@ -148,7 +148,7 @@ _V1 = """
     when r.rental_date is null or r.party_size is null or r.party_size <= 0 or p.n is null or p.n = 0
       then 'INVALID_INPUT'
     when r.rental_date < date '2024-12-10' then 'DATE_IN_PAST'
-    when r.rental_date in (select closed_date from fx_closed_dates) then 'SHOP_CLOSED_ON_DATE'
+    when exists (select 1 from fx_closed_dates c where c.shop_id = r.shop_id and c.closed_date = r.rental_date) then 'SHOP_CLOSED_ON_DATE'
   end as req_code
   from fx_reservations r left join n_items p on p.reservation_id = r.id)
 , lines as (
@@ -195,6 +195,15 @@ ORACLE["e8_code_collisions"] = W("""
 select reservation_code, count(*) as n, min(id) as first_id from codes group by 1 having count(*) > 1
 """, "fx_reservations")
 
+ORACLE["e8_unique_codes"] = W("""
+, codes as (select id, created_at, 'YR-' || upper(substr(sha256(cast(id as varchar)), 1, 6)) as c from fx_reservations)
+, taken as (select distinct c from codes where created_at < timestamp '1998-01-01')
+, ranked as (select id, c, row_number() over (partition by c order by created_at, id) - 1
+    + case when c in (select c from taken) then 1 else 0 end as n
+  from codes where created_at >= timestamp '1998-01-01')
+select id as request_id, case when n = 0 then c else c || '-' || cast(n as varchar) end as reservation_code from ranked
+""", "fx_reservations")
+
 ORACLE["a8_reservation_rows"] = W(_REQ + """
 select request_id as id, shop_id, 'YR-' || upper(substr(sha256(cast(request_id as varchar)), 1, 6))
          as reservation_code,
@@ -460,8 +469,8 @@ union all select 'reservation_members', 'check_board_type',
   from {mem} where not coalesce(board_type in ('ski', 'snowboard', 'none'), false)
 union all select 'reservation_members', 'fk_reservation', cast(reservation_id as varchar) from {mem} m
   where not exists (select 1 from {res} res where res.id = m.reservation_id)
-union all select 'closed_dates', 'pk_closed_date', cast(closed_date as varchar) from {closed}
-  group by closed_date having count(*) > 1
+union all select 'closed_dates', 'pk_closed_date', concat_ws('|', cast(shop_id as varchar), cast(closed_date as varchar)) from {closed}
+  group by shop_id, closed_date having count(*) > 1
 union all select 'reservation_members', 'not_null', concat_ws('|', cast(reservation_id as varchar), cast(member_no as varchar))
   from {mem} where member_no is null or height_cm is null or shoe_cm is null
 """
@@ -495,31 +504,31 @@ ORACLE["a3_broken_audit"] = W("""
     case when reservation_id % 31 = 0 then 300 when reservation_id % 37 = 0 then null else height_cm end as height_cm,
     case when reservation_id % 41 = 0 then 33.5 else shoe_cm end as shoe_cm,
     case when reservation_id % 43 = 0 then 'sled' when reservation_id % 47 = 0 then null else board_type end as board_type from fx_members)
-, closed_b as (select closed_date from fx_closed_dates union all select closed_date from fx_closed_dates where day(closed_date) % 2 = 0)
+, closed_b as (select shop_id, closed_date from fx_closed_dates union all select shop_id, closed_date from fx_closed_dates where day(closed_date) % 2 = 0)
 """ + _AUDIT.format(eq="eq_b", res="res_b", items="items_b", mem="mem_b", closed="closed_b"),
     "fx_equipment", "fx_reservations", "fx_items", "fx_members", "fx_closed_dates")
 
 ORACLE["a4_insert_ignore"] = W("""
-, feed as (select feed_no, category, trim(size_label) as size_label, total_quantity from fx_equipment_feed
+, feed as (select feed_no, shop_id, category, trim(size_label) as size_label, total_quantity from fx_equipment_feed
            where trim(size_label) <> '' and total_quantity >= 0)
-, firsts as (select * from feed qualify row_number() over (partition by category, size_label order by feed_no) = 1)
-select category, size_label, total_quantity, 'existing' as source from fx_equipment
+, firsts as (select * from feed qualify row_number() over (partition by shop_id, category, size_label order by feed_no) = 1)
+select shop_id, category, size_label, total_quantity, 'existing' as source from fx_equipment
 union all
-select category, size_label, total_quantity, 'inserted' from firsts f
-where not exists (select 1 from fx_equipment e where e.category = f.category and e.size_label = f.size_label)
+select shop_id, category, size_label, total_quantity, 'inserted' from firsts f
+where not exists (select 1 from fx_equipment e where e.shop_id = f.shop_id and e.category = f.category and e.size_label = f.size_label)
 """, "fx_equipment", "fx_equipment_feed")
 
 ORACLE["a5_insert_report"] = W("""
 , f as (
-  select feed_no, category, trim(size_label) as size_label, total_quantity,
+  select feed_no, shop_id, category, trim(size_label) as size_label, total_quantity,
     case when trim(size_label) = '' then 'INVALID_SIZE'
          when total_quantity is null or total_quantity < 0 then 'INVALID_QUANTITY' end as inv
   from fx_equipment_feed)
-, firsts as (select category, size_label, min(feed_no) as fst from f where inv is null group by 1, 2)
-select f.feed_no, f.category, f.size_label, case when inv is not null then inv
-  when exists (select 1 from fx_equipment e where e.category = f.category and e.size_label = f.size_label)
+, firsts as (select shop_id, category, size_label, min(feed_no) as fst from f where inv is null group by 1, 2, 3)
+select f.feed_no, f.shop_id, f.category, f.size_label, case when inv is not null then inv
+  when exists (select 1 from fx_equipment e where e.shop_id = f.shop_id and e.category = f.category and e.size_label = f.size_label)
     or f.feed_no <> fi.fst then 'DUPLICATE' else 'ACCEPTED' end as status
-from f left join firsts fi on fi.category = f.category and fi.size_label = f.size_label
+from f left join firsts fi on fi.shop_id = f.shop_id and fi.category = f.category and fi.size_label = f.size_label
 """, "fx_equipment", "fx_equipment_feed")
 
 ORACLE["a6_upsert_pages"] = W("""
@@ -557,7 +566,7 @@ where not exists (select 1 from fx_reservations r where r.id = m.reservation_id
 """, "fx_members", "fx_reservations")
 
 ORACLE["a12_delete_closed_days"] = W("""
-select closed_date from fx_closed_dates where closed_date >= date '2024-12-10'
+select shop_id, closed_date from fx_closed_dates where closed_date >= date '2024-12-10'
 """, "fx_closed_dates")
 
 ORACLE["a13_stamp_updated_at"] = W("""
@@ -578,7 +587,7 @@ select id, category, size_label, total_quantity from fx_equipment where is_activ
 """, "fx_equipment")
 
 ORACLE["b3_upcoming_closed"] = W("""
-select closed_date from fx_closed_dates where closed_date >= date '2024-12-10'
+select shop_id, closed_date, cast(row_number() over (partition by shop_id order by closed_date) as int) as position from fx_closed_dates where closed_date >= date '2024-12-10'
 """, "fx_closed_dates")
 
 ORACLE["b5_day_list"] = W("""
@@ -606,11 +615,11 @@ where not exists (select 1 from fx_reservations r where r.id = i.reservation_id
 """, "fx_reservations", "fx_items")
 
 ORACLE["a5_closed_day_report"] = W("""
-, feed as (select cast(o_orderkey as bigint) as feed_no,
+, feed as (select cast(o_orderkey as bigint) as feed_no, cast(o_custkey % 25 as int) as shop_id,
     case when o_orderkey % 13 <> 0 then cast(o_orderdate as date) end as closed_date from orders)
-select feed_no, closed_date, case when closed_date is null then 'INVALID_DATE'
-  when closed_date in (select closed_date from fx_closed_dates)
-    or row_number() over (partition by closed_date order by feed_no) > 1 then 'DUPLICATE' else 'ACCEPTED' end as status
+select feed_no, shop_id, closed_date, case when closed_date is null then 'INVALID_DATE'
+  when exists (select 1 from fx_closed_dates c where c.shop_id = feed.shop_id and c.closed_date = feed.closed_date)
+    or row_number() over (partition by shop_id, closed_date order by feed_no) > 1 then 'DUPLICATE' else 'ACCEPTED' end as status
 from feed
 """, "fx_closed_dates")
 

@@ -126,6 +126,15 @@ def q_e8(spark, d):
     return rq.code_collisions(rq.reservation_rows(fx.table(spark, d, "fx_requests_v2")))
 
 
+@register("e8_unique_codes")
+def q_e8u(spark, d):
+    """Codes of all requests next to the stored reservations made before them: none is given twice."""
+    req = fx.table(spark, d, "fx_requests_v2").where(F.col("requested_at") >= F.lit(CUTOFF))
+    known = fx.table(spark, d, "fx_requests_v2").where(F.col("requested_at") < F.lit(CUTOFF))
+    stored = rq.reservation_rows(known).select("id", "reservation_code").dropDuplicates(["reservation_code"])
+    return rq.numbered_codes(req, stored).select("request_id", "reservation_code")
+
+
 @register("a8_reservation_rows")
 def q_a8r(spark, d):
     return rq.reservation_rows(fx.table(spark, d, "fx_requests_v2"))
@@ -270,7 +279,7 @@ def q_a3b(spark, d):
         F.when(rid % 31 == 0, 300).when(rid % 37 != 0, F.col("height_cm")).alias("height_cm"),
         F.when(rid % 41 == 0, F.lit(33.5).cast("decimal(4,1)")).otherwise(F.col("shoe_cm")).alias("shoe_cm"),
         F.when(rid % 43 == 0, "sled").when(rid % 47 != 0, F.col("board_type")).alias("board_type"))
-    closed = t["closed_dates"].select("closed_date")
+    closed = t["closed_dates"].select("shop_id", "closed_date")
     return mt.audit(eq, res.union(res.where(i % 67 == 0)), items, mem, closed.union(closed.where(F.dayofmonth("closed_date") % 2 == 0)))
 
 
@@ -282,8 +291,8 @@ def _valid_feed(spark, d):
 @register("a4_insert_ignore")
 def q_a4(spark, d):
     t = _base(spark, d)
-    target = t["equipment"].select("category", "size_label", "total_quantity")
-    return mt.insert_ignore(target, _valid_feed(spark, d), ["category", "size_label"], "feed_no")
+    target = t["equipment"].select("shop_id", "category", "size_label", "total_quantity")
+    return mt.insert_ignore(target, _valid_feed(spark, d), ["shop_id", "category", "size_label"], "feed_no")
 
 
 @register("a5_insert_report")
@@ -339,7 +348,7 @@ def q_a11p(spark, d):
 @register("a5_closed_day_report")
 def q_a5c(spark, d):
     feed = spark.read.parquet(f"{d}/orders.parquet").select(
-        F.col("o_orderkey").cast("long").alias("feed_no"),
+        F.col("o_orderkey").cast("long").alias("feed_no"), (F.col("o_custkey") % fx.N_SHOPS).cast("int").alias("shop_id"),
         F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderdate").cast("date")).alias("closed_date"))
     return mt.closed_day_report(fx.table(spark, d, "fx_closed_dates"), feed)
 
@@ -352,7 +361,7 @@ def q_a8i(spark, d):
 @register("a12_delete_closed_days")
 def q_a12(spark, d):
     c = fx.table(spark, d, "fx_closed_dates")
-    return mt.delete_by_key(c, c.where(F.col("closed_date") < F.lit(fx.AS_OF)), "closed_date")
+    return mt.delete_by_key(c, c.where(F.col("closed_date") < F.lit(fx.AS_OF)), ["shop_id", "closed_date"])
 
 
 @register("a13_stamp_updated_at")

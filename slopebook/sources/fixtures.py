@@ -127,7 +127,8 @@ def fx_items(spark: SparkSession, d: str) -> DataFrame:
 def fx_closed_dates(spark: SparkSession, d: str) -> DataFrame:
     o = _read(spark, d, "orders")
     fold = _days(F.col("o_orderdate")) % SEASON_DAYS
-    return o.where(fold % 17 == 3).select(_season(fold).alias("closed_date")).distinct()
+    shop = (F.col("o_custkey") % N_SHOPS).cast("int")
+    return o.where((fold + shop) % 17 == 3).select(shop.alias("shop_id"), _season(fold).alias("closed_date")).distinct()
 
 
 def fx_requests_v2(spark: SparkSession, d: str) -> DataFrame:
@@ -231,6 +232,7 @@ def fx_equipment_feed(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     return p.select(
         k.cast("long").alias("feed_no"),
+        (F.when(k % 2 == 0, F.col("p_size")).otherwise(k) % N_SHOPS).cast("int").alias("shop_id"),
         F.when(F.col("p_size") % 3 == 0, "ski").when(F.col("p_size") % 3 == 1, "snowboard")
         .otherwise("boots").alias("category"),
         F.when(k % 29 == 0, F.lit("  ")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit("cm")))
@@ -344,7 +346,7 @@ _SOURCES = {
 DERIVED = tuple(_SOURCES)
 
 # Bump when a derivation changes, so stale copies are not reused.
-_VERSION = "4"
+_VERSION = "5"
 
 
 def _fingerprint(spark: SparkSession, d: str, name: str) -> str:
@@ -435,8 +437,8 @@ select cast(l_orderkey as int) as reservation_id, cast(l_partkey as int) as equi
   cast(1 + l_linenumber % 2 as int) as quantity
 from lineitem""",
     "fx_closed_dates": f"""
-select distinct cast(date '2024-12-01' + cast({_FOLD} as int) as date) as closed_date
-from orders where {_FOLD} % 17 = 3""",
+select distinct cast(o_custkey % 25 as int) as shop_id, cast(date '2024-12-01' + cast({_FOLD} as int) as date) as closed_date
+from orders where ({_FOLD} + o_custkey % 25) % 17 = 3""",
     "fx_lookups": """
 select cast(o_orderkey as int) as lookup_id,
   concat(' ', lower(concat('yr-', lpad(cast(o_orderkey as varchar), 6, '0'))), ' ') as code,
@@ -455,7 +457,7 @@ select cast(e.event_id as bigint) as request_id, e.ts as requested_at,
 from events e left join orders o on o.o_orderkey = e.user_id
 where e.event_type = 'error'""",
     "fx_equipment_feed": """
-select cast(p_partkey as bigint) as feed_no,
+select cast(p_partkey as bigint) as feed_no, cast(case when p_partkey % 2 = 0 then p_size else p_partkey end % 25 as int) as shop_id,
   case p_size % 3 when 0 then 'ski' when 1 then 'snowboard' else 'boots' end as category,
   case when p_partkey % 29 = 0 then '  ' else concat(cast(p_size as varchar), 'cm') end as size_label,
   cast(p_partkey % 7 - 1 as int) as total_quantity

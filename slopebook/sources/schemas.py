@@ -28,7 +28,7 @@ EQUIPMENT_ITEMS = T.StructType([
     _f("created_at", TS), _f("updated_at", TS),
 ])
 
-CLOSED_DATES = T.StructType([_f("closed_date", D, False), _f("reason", S), _f("created_at", TS)])
+CLOSED_DATES = T.StructType([_f("shop_id", I), _f("closed_date", D, False), _f("reason", S), _f("created_at", TS)])
 
 BUSINESS_SETTINGS = T.StructType([
     _f("id", T.ShortType(), False), _f("open_time", S, False), _f("close_time", S, False),

@@ -88,11 +88,11 @@ def model(requests, equipment, base_res, base_members, closed):
             code = "INVALID_MEMBERS"
         elif (q["adults"] or 0) + (q["children"] or 0) != n:
             code = "MEMBER_COUNT_MISMATCH"
-        elif any(d in closed for d in days(st, en)):
+        elif any((q["shop_id"], d) in closed for d in days(st, en)):
             code = "SHOP_CLOSED_ON_DATE"
         elif eve and st - dt.timedelta(days=1) < AS_OF:
             code = "EVE_IN_PAST"
-        elif eve and st - dt.timedelta(days=1) in closed:
+        elif eve and (q["shop_id"], st - dt.timedelta(days=1)) in closed:
             code = "EVE_CLOSED"
         elif any(m["board_type"] is not None and m["board_type"] not in TYPES for m in ms):
             code = "INVALID_BOARD_TYPE"
@@ -142,7 +142,7 @@ def generate(seed: int):
                 equipment.append({"id": eid, "shop_id": shop, "category": cat, "size_label": f"{eid}cm",
                                   "total_quantity": rng.randint(0, 3), "is_active": rng.random() > 0.2})
                 eid += 1
-    closed = {AS_OF + dt.timedelta(days=rng.randint(0, 12)) for _ in range(2)}
+    closed = {(shop, AS_OF + dt.timedelta(days=rng.randint(0, 12))) for shop in (0, 1) for _ in range(3)}
     base_res, base_mem = [], []
     for i in range(10):
         s = AS_OF + dt.timedelta(days=rng.randint(-2, 10))
@@ -178,7 +178,7 @@ def _frames(spark, requests, equipment, base_res, base_mem, closed):
     res = spark.createDataFrame(base_res, "id int, shop_id int, rental_date date, return_date date, "
                                           "eve_pickup boolean, status string")
     mem = spark.createDataFrame(base_mem, "reservation_id int, board_type string")
-    cl = spark.createDataFrame([(d,) for d in sorted(closed)], "closed_date date")
+    cl = spark.createDataFrame(sorted(closed), "shop_id int, closed_date date")
     return req, eq, res, mem, cl
 
 

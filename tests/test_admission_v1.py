@@ -39,7 +39,7 @@ def model(requests, equipment, booked, closed, faithful):
             code = "INVALID_INPUT"
         elif day < AS_OF:
             code = "DATE_IN_PAST"
-        elif day in closed:
+        elif (r[1], day) in closed:
             code = "SHOP_CLOSED_ON_DATE"
         else:
             totals = {}
@@ -72,9 +72,9 @@ def test_v1_equals_model(spark, monkeypatch, seed, faithful, pass_rows):
     req = spark.createDataFrame(requests, schemas.REQUESTS_V1)
     res = spark.createDataFrame([(500, 1, DAYS[2], "pending"), (501, 1, DAYS[3], "cancelled")], "id int, shop_id int, rental_date date, status string")
     items = spark.createDataFrame([(500, 2, 1), (500, 10, 1), (501, 3, 5)], "reservation_id int, equipment_item_id int, quantity int")
-    closed = spark.createDataFrame([(DAYS[4], None, None)], schemas.CLOSED_DATES)
+    closed = spark.createDataFrame([(1, DAYS[4], None, None), (2, DAYS[1], None, None)], schemas.CLOSED_DATES)
     got = admission.admit_v1(req, spark.createDataFrame(equipment, EQ), res, items, closed, AS_OF, faithful)
-    want = model(requests, equipment, {("2", DAYS[2]): 1, ("10", DAYS[2]): 1}, {DAYS[4]}, faithful)
+    want = model(requests, equipment, {("2", DAYS[2]): 1, ("10", DAYS[2]): 1}, {(1, DAYS[4]), (2, DAYS[1])}, faithful)
     assert {r.request_id: (r.accepted, r.code) for r in got.collect()} == want
     kinds = {c.split(":")[0] for _a, c in want.values() if c}
     assert kinds >= {"OUT_OF_STOCK", "INVALID_QUANTITY", "EQUIPMENT_NOT_FOUND", "INVALID_INPUT"} and any(a for a, _c in want.values())

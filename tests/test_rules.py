@@ -97,7 +97,7 @@ def req(i, start, end, members, eve=False, adults=None, phone="09012345678", nam
 
 
 def test_validate_v2_order_and_limits(spark):
-    closed = spark.createDataFrame([(D(2025, 1, 20),)], "closed_date date")
+    closed = spark.createDataFrame([(1, D(2025, 1, 20)), (2, D(2025, 1, 11)), (2, D(2025, 2, 10))], "shop_id int, closed_date date")
     rows = [
         req(1, D(2025, 2, 1), D(2025, 3, 3), [member("ski")]),             # 30 days: ok
         req(2, D(2025, 2, 1), D(2025, 3, 4), [member("ski")]),             # 31 days: too long
@@ -149,7 +149,7 @@ def test_v1_duplicate_lines_faithful_vs_summed(spark):
                                "is_active boolean")
     res = spark.createDataFrame([res_row(10, D(2025, 1, 12))], RES_COLS)
     items = spark.createDataFrame([(10, 1, 1)], "reservation_id int, equipment_item_id int, quantity int")
-    closed = spark.createDataFrame([], "closed_date date")
+    closed = spark.createDataFrame([], "shop_id int, closed_date date")
     r = spark.createDataFrame([(1, 1, dt.datetime(2025, 1, 1), D(2025, 1, 12), "N", "0901", None, 2,
                                 [{"equipment_item_id": "1", "quantity": "2"}, {"equipment_item_id": "1",
                                                                                 "quantity": "2"}], None)],
