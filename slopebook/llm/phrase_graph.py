@@ -54,7 +54,7 @@ TOP = 2000
 FACTOR = 2_000_000
 BLOCK_WORDS = 2_000_000
 #: Words of the corpus for each bucket.
-BUCKET_WORDS = 500_000
+BUCKET_WORDS = 1_000_000
 
 #: Texts over this size are read in parts that end after a break.
 LONG_BYTES = 4_000_000
