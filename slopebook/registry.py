@@ -579,17 +579,17 @@ def q_e12t(spark, d):
 def q_j2(spark, d):
     t = _base(spark, d)
     root = s_files.scratch(spark, "j2")
-    files = s_files.write_in_time_order(fx.table(spark, d, "fx_status_events"), f"{root}/in", "ts")
-    return s_st.run_status_stream(spark, f"{root}/in", t["reservations"], f"{root}/out", f"{root}/ckpt", files)
+    s_files.write_in_time_order(fx.table(spark, d, "fx_status_events"), f"{root}/in", "ts", "event_id")
+    return s_st.run_status_stream(spark, f"{root}/in", t["reservations"], f"{root}/out", f"{root}/ckpt")
 
 
 @register("j1_outbox_stream")
 def q_j1(spark, d):
     t = _base(spark, d)
     root = s_files.scratch(spark, "j1")
-    files = s_files.write_in_time_order(fx.table(spark, d, "fx_status_events"), f"{root}/in", "ts")
+    s_files.write_in_time_order(fx.table(spark, d, "fx_status_events"), f"{root}/in", "ts", "event_id")
     return s_out.run_outbox_stream(spark, f"{root}/in", t["reservations"], t["members"],
-                                   notify.shops_from(t["reservations"]), f"{root}/outbox", f"{root}/ckpt", files)
+                                   notify.shops_from(t["reservations"]), f"{root}/outbox", f"{root}/ckpt")
 
 
 @register("j3_admission_stream")

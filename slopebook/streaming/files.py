@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopebook.plans.session import ensure_checkpoint_dir, file_system
@@ -15,34 +16,44 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-#: Rows of one input file; a slice is written by as many tasks as it has files.
-ROWS_PER_FILE = 1_000_000
+#: Rows of one input file, about; a micro-batch that takes one file has as many, however large the table.
+ROWS_PER_FILE = 100_000
 
 
-def write_in_time_order(df: DataFrame, path: str, ts_col: str, n_slices: int = 4, rows_per_file: int = ROWS_PER_FILE) -> int:
-    """Write ``df`` as ``n_slices`` appends, slice k holding the k-th time range; returns the files of a slice.
+def write_in_time_order(df: DataFrame, path: str, *order: str, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """Write ``df`` as files of about ``rows_per_file`` rows, each holding the next stretch by ``order``; how many.
 
-    Slice bounds come from ``approxQuantile`` (a sketch of bounded size; the
-    slices need not be exactly equal).  Every slice has the same number of
-    files, written in parallel, and appends happen one after another, so a file
-    source that reads that many files per trigger replays whole slices in time order.
+    One range-partitioned job: more rows make more files, not larger ones, and
+    rows of one time are split by the next column of ``order``.  A file source
+    takes files by their times, so these are set to follow the order (the store
+    must keep times that are set, as HDFS and local disks do).
     """
     spark = df.sparkSession
-    micros: Column = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    keyed = df.withColumn("_t", micros)
-    files = max(1, keyed.count() // (n_slices * rows_per_file))
-    qs = keyed.approxQuantile("_t", [i / n_slices for i in range(1, n_slices)], 0.001) if n_slices > 1 else []
-    bounds = [None, *qs, None]
-    for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:]), start=1):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col("_t") > F.lit(int(lo)))
-        if hi is not None:
-            cond = cond & (F.col("_t") <= F.lit(int(hi)))
-        part = keyed.where(cond).drop("_t")
-        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
-        fs, p = file_system(spark, path)
-        written = sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(p))
-        if written != k * files:
-            raise RuntimeError(f"slice {k} has not {files} files: {written} written so far")
-    return files
+    parts = max(1, -(-df.count() // rows_per_file))
+    df.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(path)
+    fs, p = file_system(spark, path)
+    files = sorted((f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    first = int(time.time() * 1000) - 1000 * len(files)
+    for k, file in enumerate(files):
+        fs.setTimes(file, first + 1000 * k, -1)
+    return len(files)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+def write_once(df: DataFrame, path: str) -> str:
+    """Write ``df`` to ``path`` unless an earlier run did: what a restarted stream reads must not change."""
+    spark = df.sparkSession
+    if not exists(spark, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+    return path
+
+
+def batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows under ``path``, one folder a micro-batch (without the column that numbers them); empty if none was written."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*[F.col(f.name) for f in schema.fields])

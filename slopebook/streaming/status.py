@@ -2,12 +2,16 @@
 
 Change events (event_id, reservation_id, ts, action in created | confirm |
 cancel) stream in; each reservation's current status is the state of an
-``applyInPandasWithState`` group keyed by reservation_id.  The first event of
-a reservation starts from its stored status (a stream-static join with the
-reservations table).  Rules, as on the staff page: confirm applies only to a
+``applyInPandasWithState`` group keyed by reservation_id.  The state is seeded
+once: the stored reservations are the first rows of the stream (a second file
+source, read by the first micro-batch and never again), so no micro-batch reads
+the reservations table.  Rules, as on the staff page: confirm applies only to a
 pending reservation, cancel to any reservation not yet cancelled (a repeat
 cancel is rejected); 'created' carries no status change.
 
+An event that is delivered again, in whatever later file, is dropped: event ids
+are kept in the state store for ``SEEN_DAYS`` after their first arrival.
+
 Within a micro-batch events are applied in (ts, event_id) order; across
 micro-batches in arrival order, so the result equals the batch fold (E12)
 when input files arrive in time order.
@@ -18,11 +22,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from slopebook.streaming.files import write_once
+
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("reservation_id", T.IntegerType()),
     T.StructField("ts", T.TimestampType()), T.StructField("action", T.StringType()),
@@ -35,7 +41,14 @@ TRANSITION_SCHEMA = T.StructType([
     T.StructField("applied", T.BooleanType()), T.StructField("result", T.StringType()),
 ])
 
-STATE_SCHEMA = T.StructType([T.StructField("status", T.StringType())])
+#: facts: what a consumer of the transitions wants to know of the reservation, as one text.
+SEED_SCHEMA = T.StructType([T.StructField("reservation_id", T.IntegerType()), T.StructField("status", T.StringType()),
+                            T.StructField("facts", T.StringType())])
+STATE_SCHEMA = T.StructType([T.StructField("status", T.StringType()), T.StructField("facts", T.StringType())])
+OUT_SCHEMA = T.StructType([*TRANSITION_SCHEMA.fields, T.StructField("facts", T.StringType())])
+SEED = "seed"
+#: Days for which an event's id is remembered.
+SEEN_DAYS = 60
 
 
 def step(status: str | None, action: str) -> tuple[str | None, bool, str]:
@@ -53,39 +66,66 @@ def step(status: str | None, action: str) -> tuple[str | None, bool, str]:
     return status, False, "NO_CHANGE"
 
 
+def _text(value) -> str | None:
+    return value if isinstance(value, str) else None   # pandas gives NaN for a missing text
+
+
 def _machine(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches), ignore_index=True)   # one reservation, one micro-batch
-    pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-    cur = state.get[0] if state.exists else (pdf["base_status"].iloc[0] if len(pdf) else None)
-    if isinstance(cur, float):  # pandas NaN for a missing stored status
-        cur = None
+    status, facts = state.get if state.exists else (None, None)
+    events = []
+    for pdf in batches:
+        for action, event, ts, base, told in zip(*(pdf[c].tolist() for c in ("action", "event_id", "ts", "base_status", "facts"))):
+            if action == SEED:
+                if not state.exists:
+                    status, facts = _text(base), _text(told)
+            else:
+                events.append((ts, int(event), action))
     rows = []
-    for r in pdf.itertuples(index=False):
-        new, applied, result = step(cur, r.action)
-        rows.append((r.event_id, r.reservation_id, r.ts, r.action, cur, new, applied, result))
-        cur = new
-    state.update((cur,))
-    yield pd.DataFrame(rows, columns=[f.name for f in TRANSITION_SCHEMA.fields])
+    for ts, event, action in sorted(events):
+        new, applied, result = step(status, action)
+        rows.append((event, key[0], ts, action, status, new, applied, result, facts))
+        status = new
+    state.update((status, facts))
+    if rows:
+        yield pd.DataFrame(rows, columns=[f.name for f in OUT_SCHEMA.fields])
 
 
-def status_transitions(events: DataFrame, reservations: DataFrame) -> DataFrame:
-    """Streaming (or batch) events -> one transition row per event."""
-    base = reservations.select(F.col("id").alias("reservation_id"), F.col("status").alias("base_status"))
-    j = events.join(base, "reservation_id", "left")
-    return (j.groupBy("reservation_id")
-            .applyInPandasWithState(_machine, TRANSITION_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.NoTimeout))
+def seeds(reservations: DataFrame, facts: Column | None = None) -> DataFrame:
+    """The rows that a stream starts with: every stored reservation, its status and ``facts``."""
+    text = F.lit(None).cast("string") if facts is None else facts
+    return reservations.select(F.col("id").cast("int").alias("reservation_id"), "status", text.alias("facts"))
 
 
-def run_status_stream(spark, events_dir: str, reservations: DataFrame, out_dir: str, checkpoint: str,
-                      max_files_per_trigger: int = 1) -> DataFrame:
-    """Run J2 over the files in ``events_dir`` until they are consumed; return the transitions."""
+def once_each(events: DataFrame, key: str, days: int = SEEN_DAYS) -> DataFrame:
+    """``events`` without those whose ``key`` arrived before (by arrival, so no event is ever too late)."""
+    return (events.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", f"{days} days")
+            .dropDuplicatesWithinWatermark([key]).drop("_arrived"))
+
+
+def status_transitions(events: DataFrame, seed_rows: DataFrame) -> DataFrame:
+    """Streaming events -> one transition row per event (with the reservation's facts)."""
+    first = seed_rows.select(F.lit(None).cast("long").alias("event_id"), "reservation_id", F.lit(None).cast("timestamp").alias("ts"),
+                             F.lit(SEED).alias("action"), F.col("status").alias("base_status"), "facts")
+    changes = (once_each(events, "event_id").select("event_id", "reservation_id", "ts", "action")
+               .withColumns({"base_status": F.lit(None).cast("string"), "facts": F.lit(None).cast("string")}))
+    return (changes.unionByName(first).groupBy("reservation_id")
+            .applyInPandasWithState(_machine, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+
+
+def transition_stream(spark: SparkSession, events_dir: str, seed_rows: DataFrame, checkpoint: str, max_files_per_trigger: int) -> DataFrame:
+    """The transitions of the files in ``events_dir``; ``seed_rows`` are written beside the checkpoint once and read by the first micro-batch."""
     from slopebook.plans.session import prefer_rocksdb_state
     prefer_rocksdb_state(spark)
-    stream = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(events_dir))
-    q = (status_transitions(stream, reservations).writeStream.format("parquet")
-         .option("path", out_dir).option("checkpointLocation", checkpoint)
+    first = spark.readStream.schema(SEED_SCHEMA).parquet(write_once(seed_rows, f"{checkpoint}-seeds"))
+    events = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(events_dir)
+    return status_transitions(events, first)
+
+
+def run_status_stream(spark: SparkSession, events_dir: str, reservations: DataFrame, out_dir: str, checkpoint: str,
+                      max_files_per_trigger: int = 1) -> DataFrame:
+    """Run J2 over the files in ``events_dir`` until they are consumed; return the transitions."""
+    transitions = transition_stream(spark, events_dir, seeds(reservations), checkpoint, max_files_per_trigger).drop("facts")
+    q = (transitions.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(TRANSITION_SCHEMA).parquet(out_dir)

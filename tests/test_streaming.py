@@ -15,6 +15,7 @@ from slopebook.sources import schemas
 from slopebook.streaming import admission as sadm
 from slopebook.streaming import outbox as sout
 from slopebook.streaming import status as sst
+from slopebook.streaming.files import write_in_time_order
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,8 +25,9 @@ def _scratch():
 
 
 def _write_in_time_order(df, path, order_col, n_files=4):
-    from slopebook.streaming.files import write_in_time_order
-    write_in_time_order(df, path, order_col, n_files)
+    """At least ``n_files`` files, so that the stream has several micro-batches."""
+    then = "event_id" if "event_id" in df.columns else "request_id"
+    assert write_in_time_order(df, path, order_col, then, rows_per_file=max(1, df.count() // n_files)) >= n_files - 1
 
 
 def test_status_stream_equals_batch_fold(spark):
@@ -82,14 +84,72 @@ def test_admission_stream_equals_model(spark):
     assert got == want
 
 
-def test_slices_of_several_files_replay_in_order(spark):
-    from slopebook.streaming.files import write_in_time_order
+def test_files_keep_their_size_and_split_ties(spark):
+    """Seventy of a hundred rows have one time: no file is larger for it, and the order is total."""
+    rows = [(i, 1, dt.datetime(2025, 1, 1) + dt.timedelta(hours=0 if i < 70 else i), "confirm") for i in range(100)]
+    events = spark.createDataFrame(rows, sst.EVENT_SCHEMA)
+    for per in (10, 25):
+        d = _scratch()
+        n = write_in_time_order(events, f"{d}/in", "ts", "event_id", rows_per_file=per)
+        assert n >= 100 // per - 1
+        by_file = events.sparkSession.read.parquet(f"{d}/in").groupBy(F.input_file_name().alias("f")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).orderBy("f").collect()
+        assert max(r.n for r in by_file) <= 2 * per
+        assert all(a.hi < b.lo for a, b in zip(by_file, by_file[1:]))
+
+
+def _stored(spark, n=6):
+    from tests.test_rules import RES_COLS, res_row
+    return spark.createDataFrame([res_row(i, dt.date(2025, 1, 12)) for i in range(1, n + 1)], RES_COLS)
+
+
+def test_redelivered_events_change_nothing(spark):
+    """An event that comes again in a later file gives no second transition and no second mail; a restart sends nothing."""
     t = fx.load_all(spark, SF)
-    events = fx.table(spark, SF, "fx_status_events")
+    events = fx.table(spark, SF, "fx_status_events").orderBy("ts", "event_id").limit(60)
+    shops = notify.shops_from(t["reservations"])
     d = _scratch()
-    files = write_in_time_order(events, f"{d}/in", "ts", n_slices=2, rows_per_file=max(1, events.count() // 8))
-    assert files >= 3
-    got = sst.run_status_stream(spark, f"{d}/in", t["reservations"], f"{d}/out", f"{d}/ckpt", files)
-    want = lifecycle.status_transitions(events, t["reservations"])
-    cols = [f.name for f in sst.TRANSITION_SCHEMA.fields]
-    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+    write_in_time_order(events, f"{d}/in", "ts", "event_id", rows_per_file=20)
+    run = lambda: sout.run_outbox_stream(spark, f"{d}/in", t["reservations"], t["members"], shops, f"{d}/outbox", f"{d}/ckpt")
+    first = sorted(map(tuple, run().collect()))
+    assert first
+    again = events.where(F.col("action") == "created").union(events.limit(10))
+    assert again.count() > 10
+    again.coalesce(1).write.mode("append").parquet(f"{d}/in")
+    assert sorted(map(tuple, run().collect())) == first
+
+
+def test_status_survives_a_restart(spark):
+    """A second run goes on from the state of the first; the stored status does not come back."""
+    schema = sst.EVENT_SCHEMA
+    at = dt.datetime(2025, 1, 1)
+    res = _stored(spark).select("id", F.lit("pending").alias("status"))
+    d = _scratch()
+    spark.createDataFrame([(1, 1, at, "confirm"), (2, 2, at, "cancel")], schema).coalesce(1).write.parquet(f"{d}/in")
+    sst.run_status_stream(spark, f"{d}/in", res, f"{d}/out", f"{d}/ckpt")
+    later = at + dt.timedelta(days=1)
+    spark.createDataFrame([(3, 1, later, "confirm"), (4, 2, later, "cancel"), (5, 3, later, "confirm"), (6, 99, later, "cancel")],
+                          schema).coalesce(1).write.mode("append").parquet(f"{d}/in")
+    out = sst.run_status_stream(spark, f"{d}/in", res, f"{d}/out", f"{d}/ckpt")
+    got = {r.event_id: (r.old_status, r.new_status, r.result) for r in out.collect()}
+    assert got == {1: ("pending", "confirmed", "OK"), 2: ("pending", "cancelled", "OK"), 3: ("confirmed", "confirmed", "NOT_PENDING"),
+                   4: ("cancelled", "cancelled", "ALREADY_CANCELLED"), 5: ("pending", "confirmed", "OK"), 6: (None, None, "NOT_FOUND")}
+
+
+def test_no_micro_batch_reads_the_stored_tables(spark):
+    """The plan of the stream scans the events and the seeds, nothing else."""
+    t = fx.load_all(spark, SF)
+    d = _scratch()
+    _write_in_time_order(fx.table(spark, SF, "fx_status_events"), f"{d}/in", "ts")
+    stream = sst.transition_stream(spark, f"{d}/in", sout.seeds(t["reservations"], t["members"]), f"{d}/ckpt", 1)
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert plan.count("StreamingRelation") == 2 and "Join" not in plan
+
+
+def test_empty_outbox(spark):
+    t = fx.load_all(spark, SF)
+    d = _scratch()
+    spark.createDataFrame([], sst.EVENT_SCHEMA).write.parquet(f"{d}/in")
+    out = sout.run_outbox_stream(spark, f"{d}/in", t["reservations"].limit(0), t["members"].limit(0), notify.shops_from(t["reservations"]),
+                                 f"{d}/outbox", f"{d}/ckpt")
+    assert out.columns == sout.OUTBOX_COLUMNS and out.count() == 0
