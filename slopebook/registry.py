@@ -597,11 +597,11 @@ def q_j3(spark, d):
     t = _base(spark, d)
     root = s_files.scratch(spark, "j3")
     req = fx.table(spark, d, "fx_requests_v2").where(F.col("requested_at") >= F.lit(CUTOFF))
-    files = s_files.write_in_time_order(req, f"{root}/in", "requested_at")
+    s_files.write_in_time_order(req, f"{root}/in", "requested_at", "request_id")
     state = t["reservations"].where(F.col("created_at") < F.lit(CUTOFF))
     schema = fx.table(spark, d, "fx_requests_v2").schema
     out = s_adm.run_admission_stream(spark, f"{root}/in", schema, t["equipment"], state, t["members"],
-                                     t["closed_dates"], fx.AS_OF, f"{root}/out", f"{root}/ckpt", files)
+                                     t["closed_dates"], fx.AS_OF, f"{root}/out", f"{root}/ckpt")
     return out.select("request_id", "shop_id", "accepted", "code", "reservation_code")
 
 

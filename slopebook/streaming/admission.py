@@ -1,208 +1,212 @@
-"""Streaming admission of v2 booking requests, state per shop.
-
-Stateless part (per request row, no aggregation): the row-level checks of
-E5, member-row checks, the need per board type (array ``filter``/``size``),
-one row per occupied day (at most 32, only for valid ranges), and
-stream-static joins with closed days, current use per (shop, day) and active
-stock per shop.
-
-Stateful part: ``applyInPandasWithState`` keyed by shop_id.  A micro-batch
-of one shop is decided in (requested_at, request_id) order: closed-day codes
-(aggregated over the request's day rows), then the stock test per board
-type and day against current use plus what this stream accepted before,
-then the member rows.  The state holds only counters per (category, day)
-accepted by the stream, and the decided request ids; days before yesterday
-are pruned on every call.  No watermark: a late request is decided, never
-dropped.  A request id seen before keeps its first decision until ``KEEP_DAYS``
-after its period (or after the decision, if that is later), so a replay after
-restart admits nothing twice and the state does not grow for ever.  The clock
-moves: without a fixed ``as_of`` every micro-batch uses its own current date.
+"""Streaming admission of v2 booking requests, state per cell.
+
+A cell is (shop, category, day).  Each micro-batch does three things:
+
+1. Stateless: the row-level checks of E5 (closed days of the request's own shop
+   included) and one row per cell that a request needs.
+2. Keyed state (``transformWithStateInPandas``): the members booked in a cell,
+   seeded once from the stored reservations, and the codes given out, seeded
+   once from the stored ones.  A cell's rows pass through and get its use; a
+   request's row gets its reservation code.  No key is a shop.
+3. ``foreachBatch``: the micro-batch is decided by the rounds of
+   :func:`slopebook.operators.admission.settle`, as a batch would be.  The
+   decisions go to ``batch_id=<epoch>``, and the bookings of the accepted to the
+   feedback folder, a second source of the same stream: the next micro-batch
+   adds them to its cells.
+
+A micro-batch starts after the one before has ended, so it always sees all
+bookings made before it.  One replayed after a failure overwrites its own
+folders, from the same state.  A request id that arrives again gives no second
+decision for ``SEEN_DAYS``.  There is no watermark on request times: a late
+request is decided, never dropped.  State of a cell that nothing has touched
+for ``KEEP_DAYS`` expires.  Without a fixed ``as_of`` every micro-batch uses its
+own current date.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from slopebook.functions import pgcompat as pg
+from slopebook.operators import admission as adm
 from slopebook.operators import occupancy as occ
 from slopebook.operators import requests as rq
-from slopebook.operators.admission import MEMBER_ROWS_REJECTED
 from slopebook.plans.session import materialize
+from slopebook.streaming.files import batches, write_once
+from slopebook.streaming.status import once_each
 
 DECISION_SCHEMA = T.StructType([
-    T.StructField("request_id", T.IntegerType()), T.StructField("shop_id", T.IntegerType()),
-    T.StructField("accepted", T.BooleanType()), T.StructField("code", T.StringType()),
+    T.StructField("request_id", T.IntegerType()), T.StructField("shop_id", T.IntegerType()), T.StructField("accepted", T.BooleanType()),
+    T.StructField("code", T.StringType()), T.StructField("reservation_code", T.StringType()),
 ])
-STATE_SCHEMA = T.StructType([T.StructField("used", T.StringType()), T.StructField("decided", T.StringType())])
-CATS = ("ski", "snowboard", None)      # stock-test order; NULL type last
-
-
-def prepare(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, members: DataFrame,
-            closed_dates: DataFrame, as_of: dt.date | None) -> DataFrame:
-    """Stateless rows for the stateful step: one per (request, occupied day) (or one
-    row with a NULL day when the range is invalid)."""
+#: One row of the stateful step.  request: a request as such, under a key of its code; need: a cell that it needs;
+#: booked: members booked by earlier micro-batches; used (out only): a cell's use before this micro-batch.
+ROW_SCHEMA = ("cell string, kind string, request_id int, shop_id int, requested_at timestamp, consumer boolean, code string, "
+              "category string, day date, n long, reservation_code string")
+COLUMNS = [f.split()[0] for f in ROW_SCHEMA.split(", ")]
+FEEDBACK_SCHEMA = T.StructType([T.StructField("cell", T.StringType()), T.StructField("n", T.LongType())])
+SEED_SCHEMA = T.StructType([T.StructField("cell", T.StringType()), T.StructField("name", T.StringType()), T.StructField("n", T.LongType())])
+#: Keys that the requests' own rows, and the codes given out, are dealt to.
+CODE_KEYS = 1024
+#: Days for which a request's id is remembered, and an untouched cell's use.
+SEEN_DAYS, KEEP_DAYS = 150, 800
+
+
+def cell_key(category, day="day"):
+    return F.concat_ws("|", F.coalesce(F.col("shop_id").cast("string"), F.lit("<NULL>")), F.coalesce(category, F.lit("<NULL>")), F.col(day).cast("string"))
+
+
+def code_key(code):
+    return F.concat(F.lit("#"), F.pmod(F.xxhash64(code), F.lit(CODE_KEYS)).cast("string"))
+
+
+def seeds(reservations: DataFrame, members: DataFrame) -> DataFrame:
+    """cell, name, n: members booked per cell; and per stored code (name) the number that comes next."""
+    used = occ.daily_occupancy(reservations, members).select(cell_key(F.col("category")).alias("cell"), F.lit(None).cast("string").alias("name"),
+                                                             F.col("used").cast("long").alias("n"))
+    if "reservation_code" not in reservations.columns:
+        return used
+    old = F.col("reservation_code")
+    number = F.regexp_extract(old, rq.NUMBERED, 2)
+    base = F.when(number != "", F.regexp_extract(old, rq.NUMBERED, 1)).otherwise(old)
+    codes = (reservations.where(old.isNotNull()).select(base.alias("name"), F.when(number != "", number.cast("long")).otherwise(F.lit(0)).alias("n"))
+             .groupBy("name").agg((F.max("n") + 1).alias("n")))
+    return used.unionByName(codes.select(code_key(F.col("name")).alias("cell"), "name", "n"))
+
+
+def prepare(requests: DataFrame, closed: DataFrame, as_of: dt.date | None) -> DataFrame:
+    """Rows for the stateful step: one per request, and one per cell that it needs if it passed the checks before the stock."""
     today = F.current_date() if as_of is None else F.lit(as_of)
-    n = F.when(F.col("members").isNull(), F.lit(None)).otherwise(F.size("members"))
-    pre = (F.when(F.col("start").isNull() | F.col("end").isNull() | (F.col("end") < F.col("start")),
-                  "INVALID_DATES")
-           .when(F.col("start") < today, "DATE_IN_PAST")
-           .when(F.datediff("end", "start") > rq.MAX_PERIOD_DAYS, "PERIOD_TOO_LONG")
-           .when(F.col("name").isNull() | (F.length(F.trim("name")) == 0) | F.col("phone").isNull()
-                 | (F.length(F.trim("phone")) < 10), "INVALID_CONTACT")
-           .when(n.isNull() | (n == 0) | (n > rq.MAX_MEMBERS), "INVALID_MEMBERS")
-           .when(F.coalesce("adults", F.lit(0)) + F.coalesce("children", F.lit(0)) != n,
-                 "MEMBER_COUNT_MISMATCH"))
-    eve = F.coalesce(F.col("eve_pickup"), F.lit(False))
-
-    def need(cat):
-        if cat is None:
-            return F.size(F.filter("members", lambda m: m["board_type"].isNull()))
-        return F.size(F.filter("members", lambda m: m["board_type"] == cat))
-
-    r = (requests
-         .select("request_id", "shop_id", "requested_at", "start", "end", eve.alias("eve"), today.alias("today"),
-                 pre.alias("pre_code"), (eve & (F.date_sub("start", 1) < today)).alias("eve_in_past"),
-                 F.coalesce(F.exists("members", lambda m: ~m["board_type"].isin(*rq.BOARD_TYPES)),
-                            F.lit(False)).alias("bad_type"),
-                 rq.members_ok().alias("members_ok"),
-                 F.coalesce(need("ski"), F.lit(0)).alias("need_ski"),
-                 F.coalesce(need("snowboard"), F.lit(0)).alias("need_snowboard"),
-                 F.coalesce(need(None), F.lit(0)).alias("need_null")))
-    span_ok = (F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("end") >= F.col("start"))
-               & (F.datediff("end", "start") <= rq.MAX_PERIOD_DAYS))
-    rows = r.withColumn("day", F.explode_outer(F.when(span_ok, F.sequence(F.date_sub("start", 1), F.col("end")))))
-
-    closed = closed_dates.select(F.col("closed_date").alias("day")).distinct().withColumn("is_closed", F.lit(True))
-    used = (occ.daily_occupancy(reservations, members)
-            .groupBy("shop_id", "day")
-            .agg(F.sum(F.when(F.col("category") == "ski", F.col("used")).otherwise(0)).alias("used_ski"),
-                 F.sum(F.when(F.col("category") == "snowboard", F.col("used")).otherwise(0)).alias("used_snowboard")))
-    stock = (occ.category_stock(equipment).groupBy("shop_id")
-             .agg(F.sum(F.when(F.col("category") == "ski", F.col("total")).otherwise(0)).alias("total_ski"),
-                  F.sum(F.when(F.col("category") == "snowboard", F.col("total")).otherwise(0))
-                  .alias("total_snowboard")))
-    if rows.isStreaming:
-        # Static sides are read by every micro-batch: compute them once and
-        # cut their lineage (small: shops x days).
-        closed, used, stock = (materialize(x, f"j3-static-{n}") for n, x in
-                               (("closed", closed), ("used", used), ("stock", stock)))
-    return (rows.join(closed, "day", "left").join(used, ["shop_id", "day"], "left").join(stock, "shop_id", "left")
-            .select("shop_id", "requested_at", "request_id", "start", "end", "eve", "today", "pre_code", "eve_in_past",
-                    "bad_type", "members_ok", "need_ski", "need_snowboard", "need_null", "day",
-                    F.coalesce("is_closed", F.lit(False)).alias("is_closed"),
-                    F.coalesce("used_ski", F.lit(0)).alias("used_ski"),
-                    F.coalesce("used_snowboard", F.lit(0)).alias("used_snowboard"),
-                    F.coalesce("total_ski", F.lit(0)).alias("total_ski"),
-                    F.coalesce("total_snowboard", F.lit(0)).alias("total_snowboard")))
-
-
-#: Days for which a decided request id is remembered after its period.
-KEEP_DAYS = 30
-
-
-def _decider():
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used_extra, decided = ({}, {})
-        if state.exists:
-            used_extra = json.loads(state.get[0])
-            decided = json.loads(state.get[1])
-        pdf = pd.concat(list(batches), ignore_index=True)  # one shop, one micro-batch
-        if len(pdf) == 0:
-            yield pd.DataFrame([], columns=[f.name for f in DECISION_SCHEMA.fields])
+    coded = rq.coded_v2(requests.join(closed, "shop_id", "left"), today)
+    own = pg.reservation_code(F.col("request_id"))
+    slim = coded.select("request_id", "shop_id", "requested_at", "code", occ.occupied_from(F.col("eve_pickup"), F.col("start")).alias("from"), "end",
+                        rq.members_ok().alias("consumer"), rq.type_needs().alias("needs"), own.alias("reservation_code"))
+    none = F.array().cast("array<date>")
+    days = F.when(F.col("code").isNull(), F.sequence("from", "end")).otherwise(none)
+    whole = F.array(F.struct(F.lit("request").alias("kind"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("date").alias("day"),
+                             F.lit(0).cast("long").alias("n")))
+    cells = F.flatten(F.transform(F.coalesce("needs", F.array().cast("array<struct<category:string,need:int>>")), lambda c: F.transform(
+        days, lambda d: F.struct(F.lit("need").alias("kind"), c["category"].alias("category"), d.alias("day"), c["need"].cast("long").alias("n")))))
+    rows = slim.withColumn("r", F.explode(F.concat(whole, cells))).select("*", "r.*")
+    key = F.when(F.col("kind") == "request", code_key(F.col("reservation_code"))).otherwise(cell_key(F.col("category")))
+    return rows.withColumn("cell", key).select(*COLUMNS)
+
+
+class Cells(StatefulProcessor):
+    """Keeps the members booked in a cell, or the numbers of the codes of a key."""
+
+    def init(self, handle):
+        keep = KEEP_DAYS * 86_400_000
+        self.used = handle.getValueState("used", "n long", ttlDurationMs=keep)
+        self.codes = handle.getMapState("codes", "name string", "n long")   # a code stays given out for ever
+
+    def handleInitialState(self, key, initialState, timerValues):
+        for name, n in zip(initialState["name"].tolist(), initialState["n"].tolist()):
+            if isinstance(name, str):
+                self.codes.updateValue((name,), (int(n),))
+            else:
+                self.used.update((int(n),))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0].startswith("#"):
+            yield self.numbered(pd.concat(list(rows), ignore_index=True))
+            return
+        stored = self.used.get()
+        used, more, needed = int(stored[0]) if stored else 0, 0, False
+        for pdf in rows:  # passed on as they come: a cell that many requests need is not held
+            booked = pdf["kind"] == "booked"
+            more += int(pdf.loc[booked, "n"].sum())
+            if not booked.all():
+                needed = True
+                yield pdf[~booked][COLUMNS]
+        if more:
+            self.used.update((used + more,))
+        if needed:
+            yield self.row(key[0], used + more)
+
+    def numbered(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        """A key's requests of one micro-batch (a ``CODE_KEYS``-th of them), each with a code that no other has."""
+        pdf = pdf.sort_values(["requested_at", "request_id"], kind="stable")
+        next_number, out = {}, []
+        for code in pdf["reservation_code"].tolist():
+            if code not in next_number:
+                stored = self.codes.getValue((code,)) if self.codes.containsKey((code,)) else None
+                next_number[code] = int(stored[0]) if stored else 0
+            n = next_number[code]
+            next_number[code] = n + 1
+            out.append(f"{code}-{n}" if n else code)
+        for code, n in next_number.items():
+            self.codes.updateValue((code,), (n,))
+        return pdf.assign(reservation_code=out)[COLUMNS]
+
+    @staticmethod
+    def row(cell: str, used: int) -> pd.DataFrame:
+        return pd.DataFrame([(cell, "used", 0, 0, pd.NaT, False, None, None, None, used, None)], columns=COLUMNS)
+
+    def close(self):
+        pass
+
+
+def decide(batch: DataFrame, epoch: int, stock: DataFrame, out_dir: str, feedback_dir: str) -> None:
+    """Decide one micro-batch and book what it accepts."""
+    rows = materialize(batch, "j3-batch")   # written once: reading the batch again would step the state again
+    asked = rows.where("kind = 'request'").select("request_id", "shop_id", "requested_at", "code", "reservation_code", "consumer")
+    if asked.limit(1).count() == 0:
+        return
+    used = rows.where("kind = 'used'").select("cell", F.col("n").cast("int").alias("used"))
+    needs = rows.where("kind = 'need'").select("cell", "request_id", "shop_id", "requested_at", "consumer", "category", "day", F.col("n").cast("int").alias("need"))
+    state = (needs.join(used, "cell").join(stock, ["shop_id", "category"], "left").withColumn("total", F.coalesce("total", F.lit(0))))
+    own = F.when(F.col("code").isNull() & ~F.col("consumer"), F.lit(adm.MEMBER_ROWS_REJECTED))
+    codes = adm.settle(adm._unsafe(adm.v2_cells(state)))
+    answers = materialize(adm._answer(asked.select("request_id", "shop_id", "code", "reservation_code", own.alias("own")), codes), "j3-answers")
+    answers.select(*[F.col(f.name).cast(f.dataType) for f in DECISION_SCHEMA.fields]).write.mode("overwrite").parquet(f"{out_dir}/batch_id={epoch}")
+    booked = needs.join(answers.where("accepted").select("request_id"), "request_id", "left_semi").groupBy("cell").agg(F.sum("need").cast("long").alias("n"))
+    booked.coalesce(1 if booked.sparkSession.sparkContext.defaultParallelism < 64 else 64).write.mode("overwrite").parquet(f"{feedback_dir}/batch_id={epoch}")
+
+
+def until_idle(q: StreamingQuery) -> None:
+    """Wait for a micro-batch that no source had rows for (state that expires makes such micro-batches run too)."""
+    while True:
+        if not q.isActive:
+            raise q.exception() or RuntimeError("the stream ended")
+        last = q.lastProgress
+        if last is not None and last["numInputRows"] == 0 and not q.status["isDataAvailable"]:
             return
-        shop = int(pdf["shop_id"].iloc[0])
-        today = pd.Timestamp(pdf["today"].max()).date()
-        prune_before = (today - dt.timedelta(days=1)).isoformat()
-        pdf = pdf.sort_values(["requested_at", "request_id", "day"], kind="stable", na_position="first")
-        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
-        day_iso = [None if pd.isna(x) else pd.Timestamp(x).date().isoformat() for x in cols["day"]]
-        start_iso = [None if pd.isna(x) else pd.Timestamp(x).date().isoformat() for x in cols["start"]]
-        end_iso = [None if pd.isna(x) else pd.Timestamp(x).date().isoformat() for x in cols["end"]]
-        out = []
-        i, n = 0, len(pdf)
-        while i < n:
-            j = i
-            rid = int(cols["request_id"][i])
-            while j < n and int(cols["request_id"][j]) == rid:
-                j += 1
-            rows = range(i, j)
-            i = j
-            if str(rid) in decided:
-                out.append((rid, shop, decided[str(rid)][0], decided[str(rid)][1]))
-                continue
-            f = rows[0]
-            start = start_iso[f]
-            eve = bool(cols["eve"][f])
-            days = [r for r in rows if day_iso[r] is not None]
-            in_period = [r for r in days if start is not None and day_iso[r] >= start]
-            code = cols["pre_code"][f] if isinstance(cols["pre_code"][f], str) else None
-            if code is None and any(bool(cols["is_closed"][r]) for r in in_period):
-                code = "SHOP_CLOSED_ON_DATE"
-            if code is None and eve and bool(cols["eve_in_past"][f]):
-                code = "EVE_IN_PAST"
-            if code is None and eve and any(bool(cols["is_closed"][r]) for r in days if day_iso[r] < start):
-                code = "EVE_CLOSED"
-            if code is None and bool(cols["bad_type"][f]):
-                code = "INVALID_BOARD_TYPE"
-            occupied = days if eve else in_period
-            if code is None:
-                for cat in CATS:
-                    need = int(cols["need_" + (cat or "null")][f])
-                    if need == 0:
-                        continue
-                    for r in occupied:
-                        base = int(cols["used_" + cat][r]) if cat else 0
-                        total = int(cols["total_" + cat][r]) if cat else 0
-                        if base + used_extra.get(f"{cat}|{day_iso[r]}", 0) + need > total:
-                            code = f"OUT_OF_STOCK:{cat if cat else '<NULL>'}:{day_iso[r]}"
-                            break
-                    if code:
-                        break
-            if code is None and not bool(cols["members_ok"][f]):
-                code = MEMBER_ROWS_REJECTED
-            if code is None:
-                for cat in ("ski", "snowboard"):
-                    need = int(cols["need_" + cat][f])
-                    for r in occupied if need else ():
-                        cell = f"{cat}|{day_iso[r]}"
-                        used_extra[cell] = used_extra.get(cell, 0) + need
-            last = max(today, dt.date.fromisoformat(end_iso[f])) if end_iso[f] else today
-            decided[str(rid)] = [code is None, code, (last + dt.timedelta(days=KEEP_DAYS)).isoformat()]
-            out.append((rid, shop, code is None, code))
-        used_extra = {k: v for k, v in used_extra.items() if k.split("|")[1] >= prune_before}
-        decided = {k: v for k, v in decided.items() if v[2] >= today.isoformat()}
-        state.update((json.dumps(used_extra), json.dumps(decided)))
-        yield pd.DataFrame(out, columns=[f.name for f in DECISION_SCHEMA.fields])
-
-    return decide
-
-
-def decisions(prepared: DataFrame) -> DataFrame:
-    return (prepared.groupBy("shop_id")
-            .applyInPandasWithState(_decider(), DECISION_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.NoTimeout)
-            .withColumn("reservation_code",
-                        F.when(F.col("accepted"), pg.reservation_code(F.col("request_id")))))
-
-
-def run_admission_stream(spark, requests_dir: str, schema: T.StructType, equipment: DataFrame,
+        time.sleep(0.2)
+
+
+def run_admission_stream(spark: SparkSession, requests_dir: str, schema: T.StructType, equipment: DataFrame,
                          reservations: DataFrame, members: DataFrame, closed_dates: DataFrame,
                          as_of: dt.date | None, out_dir: str, checkpoint: str,
                          max_files_per_trigger: int = 1) -> DataFrame:
+    """Run J3 until all files in ``requests_dir`` are decided; return the decisions."""
     from slopebook.plans.session import prefer_rocksdb_state
     prefer_rocksdb_state(spark)
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(requests_dir))
-    prepared = prepare(stream, equipment, reservations, members, closed_dates, as_of)
-    q = (decisions(prepared).writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    feedback = f"{checkpoint}-feedback"
+    # The folder that later micro-batches write to must be there from the start.
+    write_once(spark.createDataFrame([], FEEDBACK_SCHEMA), f"{feedback}/batch_id=-1")
+    seed = spark.read.schema(SEED_SCHEMA).parquet(write_once(seeds(reservations, members), f"{checkpoint}-seeds"))
+    closed, stock = (materialize(x, f"j3-{n}") for n, x in (("closed", rq.closed_days(closed_dates)), ("stock", occ.category_stock(equipment))))
+    stream = once_each(spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(requests_dir),
+                       "request_id", SEEN_DAYS)
+    booked = (spark.readStream.schema(FEEDBACK_SCHEMA).parquet(feedback).where("cell is not null")
+              .select(*[F.lit("booked").alias("kind") if c == "kind" else F.col(c) if c in ("cell", "n") else F.lit(None).alias(c) for c in COLUMNS]))
+    typed = T._parse_datatype_string(ROW_SCHEMA)
+    rows = prepare(stream, closed, as_of).unionByName(booked.select(*[F.col(f.name).cast(f.dataType) for f in typed.fields]))
+    stepped = rows.groupBy("cell").transformWithStateInPandas(Cells(), ROW_SCHEMA, "append", "processingTime", seed.groupBy("cell"))
+    # Bookings come back through the feedback folder, so the stream runs until neither source has more.
+    q = (stepped.writeStream.foreachBatch(lambda df, epoch: decide(df, epoch, stock, out_dir, feedback))
+         .option("checkpointLocation", checkpoint).start())
+    try:
+        until_idle(q)
+    finally:
+        q.stop()
+    return batches(spark, out_dir, DECISION_SCHEMA)

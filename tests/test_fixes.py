@@ -28,14 +28,8 @@ def test_stream_counts_use_on_every_day(spark):
     day = D(2027, 1, 1)
     res = spark.createDataFrame([res_row(1, day)], RES_COLS)
     mem = spark.createDataFrame([(1, 1, "ski")], "reservation_id int, member_no int, board_type string")
-    eq = spark.createDataFrame([(1, 1, "ski", "160cm", 1, True)],
-                               "id int, shop_id int, category string, size_label string, total_quantity int, is_active boolean")
-    member = ("170", "26", "ski", "false", "30", None, None, None, None, [])
-    req = spark.createDataFrame([(9, 1, dt.datetime(2025, 1, 1), day, day, "N", "09012345678", None, 1, 0, [member], None, False)],
-                                schemas.REQUESTS_V2)
-    closed = spark.createDataFrame([], schemas.CLOSED_DATES)
-    rows = stream.prepare(req, eq, res, mem, closed, D(2025, 1, 1)).where(F.col("day") == F.lit(day)).collect()
-    assert [r.used_ski for r in rows] == [1]
+    rows = stream.seeds(res, mem).where(F.col("cell").endswith(day.isoformat())).collect()
+    assert [r.n for r in rows] == [1]
 
 
 def test_load_reads_older_files_without_new_columns(spark, tmp_path):
