@@ -153,3 +153,43 @@ def test_empty_outbox(spark):
     out = sout.run_outbox_stream(spark, f"{d}/in", t["reservations"].limit(0), t["members"].limit(0), notify.shops_from(t["reservations"]),
                                  f"{d}/outbox", f"{d}/ckpt")
     assert out.columns == sout.OUTBOX_COLUMNS and out.count() == 0
+
+
+def test_admission_stream_with_a_hot_shop_and_a_restart(spark):
+    """A third of the requests ask one shop; the stream is stopped between files, and a file comes again."""
+    data = TA.generate(13)
+    for k, q in enumerate(data[0]):
+        q["shop_id"] = 0 if k % 3 else 1 + k % 2
+    want = TA.model(*data)
+    req, eq, res, mem, cl = TA._frames(spark, *data)
+    rows = sorted(data[0], key=lambda q: (q["requested_at"], q["request_id"]))
+    d = _scratch()
+
+    def run():
+        out = sadm.run_admission_stream(spark, f"{d}/in", schemas.REQUESTS_V2, eq, res, mem, cl, TA.AS_OF, f"{d}/out", f"{d}/ckpt")
+        return {r.request_id: (r.accepted, r.code, r.reservation_code) for r in out.collect()}, out.count()
+
+    spark.createDataFrame(rows[:70], schemas.REQUESTS_V2).coalesce(1).write.mode("append").parquet(f"{d}/in")
+    first, n = run()
+    assert n == 70
+    spark.createDataFrame(rows[40:], schemas.REQUESTS_V2).coalesce(1).write.mode("append").parquet(f"{d}/in")
+    both, n = run()
+    assert n == len(want) and {k: v[:2] for k, v in both.items()} == want
+    assert all(both[k] == v for k, v in first.items())
+    codes = [v[2] for v in both.values() if v[0]]
+    assert len(codes) == len(set(codes)) and None not in codes
+
+
+def test_codes_of_a_key_are_given_once(spark):
+    """Requests of one code are numbered in order, after the numbers of stored reservations."""
+    from slopebook.operators import requests as rq
+    at = dt.datetime(2025, 1, 1)
+    code = spark.range(1).select(F.lit(7).alias("request_id")).select(sadm.pg.reservation_code(F.col("request_id"))).first()[0]
+    req = spark.createDataFrame([(7, at + dt.timedelta(hours=2)), (8, at)], "request_id int, requested_at timestamp")
+    known = spark.createDataFrame([(1, code), (2, f"{code}-1"), (8, "YR-KEPT00")], "id int, reservation_code string")
+    got = {r.request_id: r.reservation_code for r in rq.numbered_codes(req, known).collect()}
+    assert got == {7: f"{code}-2", 8: "YR-KEPT00"}
+    seeds = sadm.seeds(spark.createDataFrame([(1, 1, dt.date(2025, 1, 1), None, False, "cancelled", code), (2, 1, dt.date(2025, 1, 1), None, False, "cancelled", f"{code}-1")],
+                                             "id int, shop_id int, rental_date date, return_date date, eve_pickup boolean, status string, reservation_code string"),
+                       spark.createDataFrame([], "reservation_id int, board_type string")).collect()
+    assert [(r.name, r.n) for r in seeds] == [(code, 2)]
