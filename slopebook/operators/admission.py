@@ -120,7 +120,7 @@ def settle(cells: DataFrame) -> DataFrame:
     return cells.select("request_id").distinct().join(codes, "request_id", "left").select("request_id", F.col("f.fail").alias("code"))
 
 
-def _unsafe(cells: DataFrame) -> DataFrame:
+def unsafe(cells: DataFrame) -> DataFrame:
     """The rows of cells that may reject somebody: demand per cell first, then only their rows are read."""
     demand = (cells.groupBy("cell").agg(
         F.sum(F.when(F.col("consumer"), F.col("add")).otherwise(0)).alias("demand"),
@@ -130,7 +130,7 @@ def _unsafe(cells: DataFrame) -> DataFrame:
     return materialize(in_blocks(materialize(cells.join(demand, "cell", "left_semi"), "admission-unsafe")), "admission-cells")
 
 
-def _answer(requests: DataFrame, codes: DataFrame) -> DataFrame:
+def answer(requests: DataFrame, codes: DataFrame) -> DataFrame:
     """Admission rows of ``requests`` (request_id, shop_id, code before the stock, own: code after it, reservation_code)."""
     return (requests.join(codes.withColumnRenamed("code", "stock"), "request_id", "left")
             .select("request_id", "shop_id", F.coalesce("code", "stock", "own").alias("code"), "reservation_code")
@@ -165,8 +165,8 @@ def admit(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, me
     cand = req.where(F.col("code").isNull())
     state = rq.cells_with_state(rq.cells_from_needs(cand, ("consumer",)), equipment, reservations, members)
     own = F.when(F.col("code").isNull() & ~F.col("consumer"), F.lit(MEMBER_ROWS_REJECTED))
-    coded = rq.numbered_codes(req, reservations)
-    return _answer(coded.select("request_id", "shop_id", "code", "reservation_code", own.alias("own")), settle(_unsafe(v2_cells(state))))
+    coded = rq.distinct_codes(req, reservations)
+    return answer(coded.select("request_id", "shop_id", "code", "reservation_code", own.alias("own")), settle(unsafe(v2_cells(state))))
 
 
 def admit_v1(requests: DataFrame, equipment: DataFrame, reservations: DataFrame, items: DataFrame,
@@ -192,6 +192,6 @@ def admit_v1(requests: DataFrame, equipment: DataFrame, reservations: DataFrame,
              .select("request_id", F.lit(0).alias("lane"), "requested_at", "consumer", "place", "need", "add", "total",
                      F.coalesce("used", F.lit(0)).alias("used"), F.concat_ws("|", "equipment_item_id", "rental_date").alias("cell"),
                      F.concat(F.lit("OUT_OF_STOCK:"), F.col("equipment_item_id").cast("string")).alias("fail")))
-    req = (rq.numbered_codes(rq.with_v1_code(requests, closed_dates, as_of), reservations).join(first_bad, "request_id", "left")
+    req = (rq.distinct_codes(rq.with_v1_code(requests, closed_dates, as_of), reservations).join(first_bad, "request_id", "left")
            .select("request_id", "shop_id", "code", "reservation_code", F.when(F.col("code").isNull(), F.col("bad.line_code")).alias("own")))
-    return _answer(req, settle(_unsafe(cells)))
+    return answer(req, settle(unsafe(cells)))

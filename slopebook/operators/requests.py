@@ -304,38 +304,30 @@ def item_rows(requests: DataFrame) -> DataFrame:
                     pg.pg_int(F.col("it.quantity")).alias("quantity"))
 
 
-def numbered_codes(requests: DataFrame, known: DataFrame | None = None, order: tuple[str, ...] = ("requested_at", "request_id")) -> DataFrame:
+def distinct_code(code: Column, request_id: Column, first: Column) -> Column:
+    """A code as it is for the first to have it; for others with their id after it, which no other code can equal."""
+    return F.when(first, code).otherwise(F.concat(code, F.lit("-"), request_id.cast("string")))
+
+
+def distinct_codes(requests: DataFrame, known: DataFrame | None = None, order: tuple[str, ...] = ("requested_at", "request_id")) -> DataFrame:
     """E8 without collisions: ``requests`` plus ``reservation_code``.
 
-    The first request of a code (by ``order``) has it as it is; the next ones get
-    ``-1``, ``-2`` ... after it.  Numbers go on after those of ``known`` reservations
-    (id, reservation_code), and a request that is stored already keeps its code, so
-    a retry never changes one.  Windows are over equal codes: a few rows each.
+    The first request of a code (by ``order``) has it as it is, unless one of the
+    ``known`` reservations (id, reservation_code) has it; others get their id after
+    it.  A request that is stored already keeps its code, so a retry never changes
+    one.  Windows are over equal codes: a few rows each.
     """
     r = requests.withColumn("_code", pg.reservation_code(F.col("request_id")))
     if known is not None and "reservation_code" in known.columns:
-        given = known.select(F.col("id").alias("request_id"), F.col("reservation_code").alias("_old"))
-        # YR-ABC123-2 is the third of YR-ABC123; a code without a number is the first of itself.
-        numbered = F.regexp_extract("_old", NUMBERED, 2)
-        base = F.when(numbered != "", F.regexp_extract("_old", NUMBERED, 1)).otherwise(F.col("_old"))
-        taken = (given.select(base.alias("_code"), F.when(numbered != "", numbered.cast("long")).otherwise(F.lit(0)).alias("n"))
-                 .groupBy("_code").agg((F.max("n") + 1).alias("_next")))
-        stored = given.groupBy("request_id").agg(F.min("_old").alias("_old"))
+        stored = known.groupBy(F.col("id").alias("request_id")).agg(F.min("reservation_code").alias("_old"))
+        taken = known.select(F.col("reservation_code").alias("_code")).distinct().withColumn("_taken", F.lit(True))
         r = r.join(stored, "request_id", "left").join(taken, "_code", "left")
     else:
-        r = r.withColumns({"_old": F.lit(None).cast("string"), "_next": F.lit(None).cast("long")})
+        r = r.withColumns({"_old": F.lit(None).cast("string"), "_taken": F.lit(None).cast("boolean")})
     earlier = Window.partitionBy("_code").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    n = F.coalesce("_next", F.lit(0)) + F.coalesce(F.sum(F.when(F.col("_old").isNull(), 1).otherwise(0)).over(earlier), F.lit(0))
-    code = F.coalesce("_old", numbered_code(F.col("_code"), n))
-    return r.withColumn("reservation_code", code).drop("_code", "_old", "_next")
-
-
-#: A code with a number after it.
-NUMBERED = r"^(YR-[0-9A-F]{6})-(\d+)$"
-
-
-def numbered_code(code: Column, n: Column) -> Column:
-    return F.when(n == 0, code).otherwise(F.concat(code, F.lit("-"), n.cast("string")))
+    is_new = F.col("_taken").isNull() & (F.coalesce(F.sum(F.when(F.col("_old").isNull(), 1)).over(earlier), F.lit(0)) == 0)
+    code = F.coalesce("_old", distinct_code(F.col("_code"), F.col("request_id"), is_new))
+    return r.withColumn("reservation_code", code).drop("_code", "_old", "_taken")
 
 
 def code_collisions(reservations: DataFrame) -> DataFrame:

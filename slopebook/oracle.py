@@ -201,7 +201,7 @@ ORACLE["e8_unique_codes"] = W("""
 , ranked as (select id, c, row_number() over (partition by c order by created_at, id) - 1
     + case when c in (select c from taken) then 1 else 0 end as n
   from codes where created_at >= timestamp '1998-01-01')
-select id as request_id, case when n = 0 then c else c || '-' || cast(n as varchar) end as reservation_code from ranked
+select id as request_id, case when n = 0 then c else c || '-' || cast(id as varchar) end as reservation_code from ranked
 """, "fx_reservations")
 
 ORACLE["a8_reservation_rows"] = W(_REQ + """

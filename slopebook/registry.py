@@ -132,7 +132,7 @@ def q_e8u(spark, d):
     req = fx.table(spark, d, "fx_requests_v2").where(F.col("requested_at") >= F.lit(CUTOFF))
     known = fx.table(spark, d, "fx_requests_v2").where(F.col("requested_at") < F.lit(CUTOFF))
     stored = rq.reservation_rows(known).select("id", "reservation_code").dropDuplicates(["reservation_code"])
-    return rq.numbered_codes(req, stored).select("request_id", "reservation_code")
+    return rq.distinct_codes(req, stored).select("request_id", "reservation_code")
 
 
 @register("a8_reservation_rows")

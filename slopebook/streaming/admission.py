@@ -1,24 +1,25 @@
-"""Streaming admission of v2 booking requests, state per cell.
+"""Streaming admission of v2 booking requests, state per week of a shop's category.
 
-A cell is (shop, category, day).  Each micro-batch does three things:
+Each micro-batch does three things:
 
 1. Stateless: the row-level checks of E5 (closed days of the request's own shop
-   included) and one row per cell that a request needs.
-2. Keyed state (``transformWithStateInPandas``): the members booked in a cell,
-   seeded once from the stored reservations, and the codes given out, seeded
-   once from the stored ones.  A cell's rows pass through and get its use; a
-   request's row gets its reservation code.  No key is a shop.
+   included) and one row per cell (shop, category, day) that a request needs.
+2. Keyed state (``transformWithStateInPandas``): the members booked on the seven
+   days of a (shop, category, week), seeded once from the stored reservations.
+   Rows pass through as they come and get the use of their days; no key is a
+   shop.  Which codes were given out before is state of Spark's own
+   deduplication, seeded with the stored ones.
 3. ``foreachBatch``: the micro-batch is decided by the rounds of
    :func:`slopebook.operators.admission.settle`, as a batch would be.  The
    decisions go to ``batch_id=<epoch>``, and the bookings of the accepted to the
    feedback folder, a second source of the same stream: the next micro-batch
-   adds them to its cells.
+   adds them to its weeks.
 
 A micro-batch starts after the one before has ended, so it always sees all
 bookings made before it.  One replayed after a failure overwrites its own
 folders, from the same state.  A request id that arrives again gives no second
 decision for ``SEEN_DAYS``.  There is no watermark on request times: a late
-request is decided, never dropped.  State of a cell that nothing has touched
+request is decided, never dropped.  State of a week that nothing has touched
 for ``KEEP_DAYS`` expires.  Without a fixed ``as_of`` every micro-batch uses its
 own current date.
 """
@@ -30,7 +31,7 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -47,109 +48,83 @@ DECISION_SCHEMA = T.StructType([
     T.StructField("request_id", T.IntegerType()), T.StructField("shop_id", T.IntegerType()), T.StructField("accepted", T.BooleanType()),
     T.StructField("code", T.StringType()), T.StructField("reservation_code", T.StringType()),
 ])
-#: One row of the stateful step.  request: a request as such, under a key of its code; need: a cell that it needs;
-#: booked: members booked by earlier micro-batches; used (out only): a cell's use before this micro-batch.
-ROW_SCHEMA = ("cell string, kind string, request_id int, shop_id int, requested_at timestamp, consumer boolean, code string, "
+#: One row of a micro-batch.  request: a request as such; code: a code that nobody had before; need: a cell that a request
+#: needs; booked (in only): members booked by earlier micro-batches; used (out only): a day's use before this micro-batch.
+ROW_SCHEMA = ("week string, slot int, kind string, request_id int, shop_id int, requested_at timestamp, consumer boolean, code string, "
               "category string, day date, n long, reservation_code string")
 COLUMNS = [f.split()[0] for f in ROW_SCHEMA.split(", ")]
-FEEDBACK_SCHEMA = T.StructType([T.StructField("cell", T.StringType()), T.StructField("n", T.LongType())])
-SEED_SCHEMA = T.StructType([T.StructField("cell", T.StringType()), T.StructField("name", T.StringType()), T.StructField("n", T.LongType())])
-#: Keys that the requests' own rows, and the codes given out, are dealt to.
-CODE_KEYS = 1024
-#: Days for which a request's id is remembered, and an untouched cell's use.
+FEEDBACK_SCHEMA = T.StructType([T.StructField("week", T.StringType()), T.StructField("slot", T.IntegerType()), T.StructField("n", T.LongType())])
+CODE_SCHEMA = T.StructType([T.StructField("reservation_code", T.StringType())])
+#: Days for which a request's id is remembered, and the use of an untouched week.
 SEEN_DAYS, KEEP_DAYS = 150, 800
+MONDAY = dt.date(2000, 1, 3)
 
 
-def cell_key(category, day="day"):
-    return F.concat_ws("|", F.coalesce(F.col("shop_id").cast("string"), F.lit("<NULL>")), F.coalesce(category, F.lit("<NULL>")), F.col(day).cast("string"))
+def week_key(category, day):
+    number = F.floor(F.datediff(day, F.lit(MONDAY)) / 7).cast("string")
+    return F.concat_ws("|", F.coalesce(F.col("shop_id").cast("string"), F.lit("<NULL>")), F.coalesce(category, F.lit("<NULL>")), number)
 
 
-def code_key(code):
-    return F.concat(F.lit("#"), F.pmod(F.xxhash64(code), F.lit(CODE_KEYS)).cast("string"))
+def slot_of(day):
+    return F.pmod(F.datediff(day, F.lit(MONDAY)), F.lit(7)).cast("int")
 
 
 def seeds(reservations: DataFrame, members: DataFrame) -> DataFrame:
-    """cell, name, n: members booked per cell; and per stored code (name) the number that comes next."""
-    used = occ.daily_occupancy(reservations, members).select(cell_key(F.col("category")).alias("cell"), F.lit(None).cast("string").alias("name"),
+    """week, slot, n: members booked per day by the stored reservations."""
+    day = F.col("day")
+    return occ.daily_occupancy(reservations, members).select(week_key(F.col("category"), day).alias("week"), slot_of(day).alias("slot"),
                                                              F.col("used").cast("long").alias("n"))
-    if "reservation_code" not in reservations.columns:
-        return used
-    old = F.col("reservation_code")
-    number = F.regexp_extract(old, rq.NUMBERED, 2)
-    base = F.when(number != "", F.regexp_extract(old, rq.NUMBERED, 1)).otherwise(old)
-    codes = (reservations.where(old.isNotNull()).select(base.alias("name"), F.when(number != "", number.cast("long")).otherwise(F.lit(0)).alias("n"))
-             .groupBy("name").agg((F.max("n") + 1).alias("n")))
-    return used.unionByName(codes.select(code_key(F.col("name")).alias("cell"), "name", "n"))
+
+
+def typed(rows: DataFrame, **columns) -> DataFrame:
+    """``rows`` with the columns of ROW_SCHEMA; those that are not given come from ``rows`` or are empty."""
+    return rows.select(*[columns.get(f.name, F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                         for f in T._parse_datatype_string(ROW_SCHEMA).fields])
 
 
 def prepare(requests: DataFrame, closed: DataFrame, as_of: dt.date | None) -> DataFrame:
-    """Rows for the stateful step: one per request, and one per cell that it needs if it passed the checks before the stock."""
+    """Per request what is decided without the stock: its code, whether its member rows insert, its needs and its first reservation code."""
     today = F.current_date() if as_of is None else F.lit(as_of)
-    coded = rq.coded_v2(requests.join(closed, "shop_id", "left"), today)
-    own = pg.reservation_code(F.col("request_id"))
-    slim = coded.select("request_id", "shop_id", "requested_at", "code", occ.occupied_from(F.col("eve_pickup"), F.col("start")).alias("from"), "end",
-                        rq.members_ok().alias("consumer"), rq.type_needs().alias("needs"), own.alias("reservation_code"))
-    none = F.array().cast("array<date>")
-    days = F.when(F.col("code").isNull(), F.sequence("from", "end")).otherwise(none)
-    whole = F.array(F.struct(F.lit("request").alias("kind"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("date").alias("day"),
-                             F.lit(0).cast("long").alias("n")))
-    cells = F.flatten(F.transform(F.coalesce("needs", F.array().cast("array<struct<category:string,need:int>>")), lambda c: F.transform(
-        days, lambda d: F.struct(F.lit("need").alias("kind"), c["category"].alias("category"), d.alias("day"), c["need"].cast("long").alias("n")))))
-    rows = slim.withColumn("r", F.explode(F.concat(whole, cells))).select("*", "r.*")
-    key = F.when(F.col("kind") == "request", code_key(F.col("reservation_code"))).otherwise(cell_key(F.col("category")))
-    return rows.withColumn("cell", key).select(*COLUMNS)
-
-
-class Cells(StatefulProcessor):
-    """Keeps the members booked in a cell, or the numbers of the codes of a key."""
+    return rq.coded_v2(requests.join(closed, "shop_id", "left"), today).select(
+        "request_id", "shop_id", "requested_at", "code", occ.occupied_from(F.col("eve_pickup"), F.col("start")).alias("from"), "end",
+        rq.members_ok().alias("consumer"), rq.type_needs().alias("needs"), pg.reservation_code(F.col("request_id")).alias("reservation_code"))
+
+
+def needed_cells(prepared: DataFrame) -> DataFrame:
+    """One row per cell that a request needs, of those that passed the checks before the stock."""
+    per = (prepared.where("code is null").select("request_id", "shop_id", "requested_at", "consumer", "from", "end", F.explode("needs").alias("c"))
+           .select("*", F.explode(F.sequence("from", "end")).alias("day")))
+    day = F.col("day")
+    return typed(per, kind=F.lit("need"), category=F.col("c.category"), n=F.col("c.need"), week=week_key(F.col("c.category"), day), slot=slot_of(day))
+
+
+class Weeks(StatefulProcessor):
+    """Keeps the members booked on the days of a week."""
 
     def init(self, handle):
-        keep = KEEP_DAYS * 86_400_000
-        self.used = handle.getValueState("used", "n long", ttlDurationMs=keep)
-        self.codes = handle.getMapState("codes", "name string", "n long")   # a code stays given out for ever
+        self.booked = handle.getValueState("booked", "n array<long>", ttlDurationMs=KEEP_DAYS * 86_400_000)
 
     def handleInitialState(self, key, initialState, timerValues):
-        for name, n in zip(initialState["name"].tolist(), initialState["n"].tolist()):
-            if isinstance(name, str):
-                self.codes.updateValue((name,), (int(n),))
-            else:
-                self.used.update((int(n),))
+        days = [0] * 7
+        for slot, n in zip(initialState["slot"].tolist(), initialState["n"].tolist()):
+            days[slot] += int(n)
+        self.booked.update((days,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if key[0].startswith("#"):
-            yield self.numbered(pd.concat(list(rows), ignore_index=True))
-            return
-        stored = self.used.get()
-        used, more, needed = int(stored[0]) if stored else 0, 0, False
-        for pdf in rows:  # passed on as they come: a cell that many requests need is not held
-            booked = pdf["kind"] == "booked"
-            more += int(pdf.loc[booked, "n"].sum())
+        stored = self.booked.get()
+        days, more, needed = [int(n) for n in stored[0]] if stored else [0] * 7, False, False
+        for pdf in rows:  # passed on as they come: a week that many requests need is not held
+            booked = (pdf["kind"] == "booked").to_numpy()
+            for slot, n in zip(pdf["slot"][booked].tolist(), pdf["n"][booked].tolist()):
+                days[slot] += int(n)
+                more = True
             if not booked.all():
                 needed = True
                 yield pdf[~booked][COLUMNS]
         if more:
-            self.used.update((used + more,))
+            self.booked.update((days,))
         if needed:
-            yield self.row(key[0], used + more)
-
-    def numbered(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        """A key's requests of one micro-batch (a ``CODE_KEYS``-th of them), each with a code that no other has."""
-        pdf = pdf.sort_values(["requested_at", "request_id"], kind="stable")
-        next_number, out = {}, []
-        for code in pdf["reservation_code"].tolist():
-            if code not in next_number:
-                stored = self.codes.getValue((code,)) if self.codes.containsKey((code,)) else None
-                next_number[code] = int(stored[0]) if stored else 0
-            n = next_number[code]
-            next_number[code] = n + 1
-            out.append(f"{code}-{n}" if n else code)
-        for code, n in next_number.items():
-            self.codes.updateValue((code,), (n,))
-        return pdf.assign(reservation_code=out)[COLUMNS]
-
-    @staticmethod
-    def row(cell: str, used: int) -> pd.DataFrame:
-        return pd.DataFrame([(cell, "used", 0, 0, pd.NaT, False, None, None, None, used, None)], columns=COLUMNS)
+            yield pd.DataFrame([(key[0], slot, "used", 0, 0, pd.NaT, False, None, None, None, n, None) for slot, n in enumerate(days)], columns=COLUMNS)
 
     def close(self):
         pass
@@ -161,26 +136,36 @@ def decide(batch: DataFrame, epoch: int, stock: DataFrame, out_dir: str, feedbac
     asked = rows.where("kind = 'request'").select("request_id", "shop_id", "requested_at", "code", "reservation_code", "consumer")
     if asked.limit(1).count() == 0:
         return
-    used = rows.where("kind = 'used'").select("cell", F.col("n").cast("int").alias("used"))
-    needs = rows.where("kind = 'need'").select("cell", "request_id", "shop_id", "requested_at", "consumer", "category", "day", F.col("n").cast("int").alias("need"))
-    state = (needs.join(used, "cell").join(stock, ["shop_id", "category"], "left").withColumn("total", F.coalesce("total", F.lit(0))))
+    new_codes = rows.where("kind = 'code' and request_id is not null").select("reservation_code").distinct().withColumn("is_new", F.lit(True))
+    first = Window.partitionBy("reservation_code").orderBy(*adm.ORDER)
+    coded = (asked.join(new_codes, "reservation_code", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)) & (F.row_number().over(first) == 1))
+             .withColumn("reservation_code", rq.distinct_code(F.col("reservation_code"), F.col("request_id"), F.col("is_new"))))
+    used = rows.where("kind = 'used'").select("week", "slot", F.col("n").cast("int").alias("used"))
+    needs = rows.where("kind = 'need'").select("week", "slot", "request_id", "shop_id", "requested_at", "consumer", "category", "day",
+                                               F.col("n").cast("int").alias("need"))
+    state = needs.join(used, ["week", "slot"]).join(stock, ["shop_id", "category"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
     own = F.when(F.col("code").isNull() & ~F.col("consumer"), F.lit(adm.MEMBER_ROWS_REJECTED))
-    codes = adm.settle(adm._unsafe(adm.v2_cells(state)))
-    answers = materialize(adm._answer(asked.select("request_id", "shop_id", "code", "reservation_code", own.alias("own")), codes), "j3-answers")
+    codes = adm.settle(adm.unsafe(adm.v2_cells(state)))
+    answers = materialize(adm.answer(coded.select("request_id", "shop_id", "code", "reservation_code", own.alias("own")), codes), "j3-answers")
     answers.select(*[F.col(f.name).cast(f.dataType) for f in DECISION_SCHEMA.fields]).write.mode("overwrite").parquet(f"{out_dir}/batch_id={epoch}")
-    booked = needs.join(answers.where("accepted").select("request_id"), "request_id", "left_semi").groupBy("cell").agg(F.sum("need").cast("long").alias("n"))
-    booked.coalesce(1 if booked.sparkSession.sparkContext.defaultParallelism < 64 else 64).write.mode("overwrite").parquet(f"{feedback_dir}/batch_id={epoch}")
+    booked = needs.join(answers.where("accepted").select("request_id"), "request_id", "left_semi")
+    booked.groupBy("week", "slot").agg(F.sum("need").cast("long").alias("n")).write.mode("overwrite").parquet(f"{feedback_dir}/batch_id={epoch}")
 
 
 def until_idle(q: StreamingQuery) -> None:
-    """Wait for a micro-batch that no source had rows for (state that expires makes such micro-batches run too)."""
-    while True:
+    """Wait for two micro-batches in a row that no source had rows for.
+
+    State that expires makes such micro-batches run; the first one after a
+    restart may have been planned before the new files were seen.
+    """
+    empty = set()
+    while len(empty) < 2:
         if not q.isActive:
             raise q.exception() or RuntimeError("the stream ended")
         last = q.lastProgress
-        if last is not None and last["numInputRows"] == 0 and not q.status["isDataAvailable"]:
-            return
-        time.sleep(0.2)
+        if last is not None and "addBatch" in last["durationMs"]:
+            empty = empty | {last["batchId"]} if last["numInputRows"] == 0 else set()
+        time.sleep(0.1)
 
 
 def run_admission_stream(spark: SparkSession, requests_dir: str, schema: T.StructType, equipment: DataFrame,
@@ -193,17 +178,20 @@ def run_admission_stream(spark: SparkSession, requests_dir: str, schema: T.Struc
     feedback = f"{checkpoint}-feedback"
     # The folder that later micro-batches write to must be there from the start.
     write_once(spark.createDataFrame([], FEEDBACK_SCHEMA), f"{feedback}/batch_id=-1")
-    seed = spark.read.schema(SEED_SCHEMA).parquet(write_once(seeds(reservations, members), f"{checkpoint}-seeds"))
+    seed = spark.read.parquet(write_once(seeds(reservations, members), f"{checkpoint}-seeds"))
+    known = reservations.select("reservation_code") if "reservation_code" in reservations.columns else spark.createDataFrame([], CODE_SCHEMA)
+    stored_codes = spark.readStream.schema(CODE_SCHEMA).parquet(write_once(known.where("reservation_code is not null"), f"{checkpoint}-codes"))
     closed, stock = (materialize(x, f"j3-{n}") for n, x in (("closed", rq.closed_days(closed_dates)), ("stock", occ.category_stock(equipment))))
     stream = once_each(spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(requests_dir),
                        "request_id", SEEN_DAYS)
-    booked = (spark.readStream.schema(FEEDBACK_SCHEMA).parquet(feedback).where("cell is not null")
-              .select(*[F.lit("booked").alias("kind") if c == "kind" else F.col(c) if c in ("cell", "n") else F.lit(None).alias(c) for c in COLUMNS]))
-    typed = T._parse_datatype_string(ROW_SCHEMA)
-    rows = prepare(stream, closed, as_of).unionByName(booked.select(*[F.col(f.name).cast(f.dataType) for f in typed.fields]))
-    stepped = rows.groupBy("cell").transformWithStateInPandas(Cells(), ROW_SCHEMA, "append", "processingTime", seed.groupBy("cell"))
+    prepared = prepare(stream, closed, as_of)
+    booked = spark.readStream.schema(FEEDBACK_SCHEMA).parquet(feedback)
+    stepped = (needed_cells(prepared).unionByName(typed(booked, kind=F.lit("booked"))).groupBy("week")
+               .transformWithStateInPandas(Weeks(), ROW_SCHEMA, "append", "processingTime", seed.groupBy("week")))
+    codes = typed(prepared, kind=F.lit("code"), code=F.lit(None)).unionByName(typed(stored_codes, kind=F.lit("code"))).dropDuplicates(["reservation_code"])
+    rows = stepped.unionByName(typed(prepared, kind=F.lit("request"))).unionByName(codes)
     # Bookings come back through the feedback folder, so the stream runs until neither source has more.
-    q = (stepped.writeStream.foreachBatch(lambda df, epoch: decide(df, epoch, stock, out_dir, feedback))
+    q = (rows.writeStream.foreachBatch(lambda df, epoch: decide(df, epoch, stock, out_dir, feedback))
          .option("checkpointLocation", checkpoint).start())
     try:
         until_idle(q)

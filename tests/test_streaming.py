@@ -9,6 +9,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from tests import test_admission as TA  # noqa: E402
+from slopebook.operators import admission as adm
 from slopebook.operators import lifecycle, notify
 from slopebook.sources import fixtures as fx
 from slopebook.sources import schemas
@@ -180,16 +181,29 @@ def test_admission_stream_with_a_hot_shop_and_a_restart(spark):
     assert len(codes) == len(set(codes)) and None not in codes
 
 
-def test_codes_of_a_key_are_given_once(spark):
-    """Requests of one code are numbered in order, after the numbers of stored reservations."""
+def test_no_code_is_given_twice(spark):
+    """The first request of a code keeps it if no stored reservation has it; a retry keeps its own."""
     from slopebook.operators import requests as rq
     at = dt.datetime(2025, 1, 1)
-    code = spark.range(1).select(F.lit(7).alias("request_id")).select(sadm.pg.reservation_code(F.col("request_id"))).first()[0]
-    req = spark.createDataFrame([(7, at + dt.timedelta(hours=2)), (8, at)], "request_id int, requested_at timestamp")
-    known = spark.createDataFrame([(1, code), (2, f"{code}-1"), (8, "YR-KEPT00")], "id int, reservation_code string")
-    got = {r.request_id: r.reservation_code for r in rq.numbered_codes(req, known).collect()}
-    assert got == {7: f"{code}-2", 8: "YR-KEPT00"}
-    seeds = sadm.seeds(spark.createDataFrame([(1, 1, dt.date(2025, 1, 1), None, False, "cancelled", code), (2, 1, dt.date(2025, 1, 1), None, False, "cancelled", f"{code}-1")],
-                                             "id int, shop_id int, rental_date date, return_date date, eve_pickup boolean, status string, reservation_code string"),
-                       spark.createDataFrame([], "reservation_id int, board_type string")).collect()
-    assert [(r.name, r.n) for r in seeds] == [(code, 2)]
+    req = spark.createDataFrame([(7, at + dt.timedelta(hours=2)), (8, at), (9, at)], "request_id int, requested_at timestamp")
+    plain = {r.request_id: r.reservation_code for r in rq.distinct_codes(req).collect()}
+    assert all(len(c) == 9 for c in plain.values())
+    known = spark.createDataFrame([(1, plain[7]), (8, "YR-KEPT00")], "id int, reservation_code string")
+    got = {r.request_id: r.reservation_code for r in rq.distinct_codes(req, known).collect()}
+    assert got == {7: f"{plain[7]}-7", 8: "YR-KEPT00", 9: plain[9]}
+
+
+def test_stream_gives_no_code_twice(spark, monkeypatch):
+    """Every request has one and the same code, which a stored reservation may have too."""
+    data = TA.generate(13)
+    for taken in (False, True):
+        req, eq, res, mem, cl = TA._frames(spark, *data)
+        monkeypatch.setattr(sadm.pg, "reservation_code", lambda c: F.lit("YR-SAME00"))
+        d = _scratch()
+        _write_in_time_order(req, f"{d}/in", "requested_at", n_files=2)
+        res = res.withColumn("reservation_code", F.when(F.lit(taken), F.lit("YR-SAME00")).otherwise(F.concat(F.lit("YR-"), F.col("id").cast("string"))))
+        out = sadm.run_admission_stream(spark, f"{d}/in", schemas.REQUESTS_V2, eq, res, mem, cl, TA.AS_OF, f"{d}/out", f"{d}/ckpt")
+        codes = [r.reservation_code for r in out.where("accepted").collect()]
+        assert len(codes) == len(set(codes)) > 3
+        batch = {r.request_id: r.reservation_code for r in adm.admit(req, eq, res, mem, cl, TA.AS_OF).collect()}
+        assert {r.request_id: r.reservation_code for r in out.collect()} == batch
