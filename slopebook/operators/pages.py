@@ -11,15 +11,13 @@ rows per map task.
 
 from __future__ import annotations
 
-import html.parser
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from slopebook.operators import maintenance as mt
+from slopebook.operators import markup
 
 # JavaScript's \s, spelled out (Java's \s lacks NBSP, U+3000 and friends).
 JS_SPACE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -143,73 +141,8 @@ def first_style(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<style\b[^>]*>(.*?)</style>", 1)
 
 
-class _RootExtractor(html.parser.HTMLParser):
-    """Inner HTML of the first element with a given id (nesting-aware)."""
-
-    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-    def __init__(self, root_id: str):
-        super().__init__(convert_charrefs=False)
-        self.root_id, self.start, self.end, self.found = root_id, None, None, False
-        self.open: list[str] = []  # the root and the elements open inside it
-        self._line_starts = [0]
-
-    def _offset(self) -> int:
-        line, col = self.getpos()
-        return self._line_starts[line - 1] + col
-
-    def feed_text(self, text: str) -> str | None:
-        self._line_starts = [0] + [i + 1 for i, ch in enumerate(text) if ch == "\n"]
-        self.feed(text)
-        self.close()
-        if self.start is None:
-            return None
-        return text[self.start:self.end if self.end is not None else len(text)]
-
-    def handle_starttag(self, tag, attrs):
-        if self.found:
-            if self.end is None and tag not in self.VOID:
-                self.open.append(tag)
-            return
-        if dict(attrs).get("id") == self.root_id:
-            self.found = True
-            self.open = [] if tag in self.VOID else [tag]
-            start_tag = self.get_starttag_text() or ""
-            self.start = self._offset() + len(start_tag)
-            if tag in self.VOID:
-                self.end = self.start
-
-    def handle_endtag(self, tag):
-        # An end tag closes the elements left open inside it (li, p, td need
-        # no end tag of their own); one that matches nothing open is ignored.
-        if self.found and self.end is None and tag in self.open:
-            while self.open.pop() != tag:
-                pass
-            if not self.open:
-                self.end = self._offset()
-
-    def handle_startendtag(self, tag, attrs):
-        # The slash of a non-void element means nothing in HTML.
-        self.handle_starttag(tag, attrs)
-
-
 def extract_root_html(pages: DataFrame, root_id: str = "page-root", col: str = "html") -> DataFrame:
-    """E25 (root part): inner HTML of the element with ``root_id`` (NULL if none).
-
-    Needs an HTML tokenizer to match nested tags, so it runs as a pandas UDF
-    over Arrow batches (one parser per row, no state across rows).
-    """
-    @F.pandas_udf(T.StringType())
-    def inner(s: pd.Series) -> pd.Series:
-        out = []
-        for v in s:
-            if v is None:
-                out.append(None)
-                continue
-            try:
-                out.append(_RootExtractor(root_id).feed_text(v))
-            except Exception:  # noqa: BLE001 - malformed markup: no root
-                out.append(None)
-        return pd.Series(out, dtype="object")
-
-    return pages.withColumn("root_html", inner(F.col(col)))
+    """E25 (root part): inner HTML of the element with ``root_id`` (NULL if none), by the offsets of the page's one parse."""
+    inner = F.substring(F.col(col), F.col("root.start") + 1, F.col("root.end") - F.col("root.start"))
+    return (markup.scanned(pages, col, root_id).withColumn("root_html", F.when(F.col("root").isNotNull(), inner))
+            .drop("nodes", "blocks", "root"))

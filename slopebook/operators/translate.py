@@ -7,16 +7,15 @@ affix-stripped core, then guarded term replacement - all inside one
 projection.  Nothing runs in Python.
 
 E22/E23 need HTML structure (which text nodes sit inside script/style/...,
-where an element ends), so a stdlib ``html.parser`` runs per page in a pandas
-UDF over Arrow batches.  E22 is split around E21: the parser emits the
-translatable nodes as rows, Spark translates them (E21), and a second pass
-writes the translations back by source offset.
+where an element ends): the offsets come from the one parse of
+:mod:`slopebook.operators.markup`.  E22 is split around E21: the translatable
+nodes become rows, Spark translates them (E21), and the translations are
+written back by source offset.
 """
 
 from __future__ import annotations
 
 import html
-import html.parser
 import re
 
 import pandas as pd
@@ -24,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slopebook.operators import markup
+
 # JavaScript's \s spelled out for Java regex.
 JS_SPACE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
@@ -179,113 +180,6 @@ def translate(df: DataFrame, text_col: str, lang: str, dictionary: DataFrame) ->
 # HTML structure
 # ---------------------------------------------------------------------------
 
-SKIP_TAGS = {"script", "style", "textarea", "noscript", "code", "svg"}
-SKIP_ATTRS = ("data-no-i18n", "data-langblock")
-I18N_ATTRS = ("placeholder", "title", "alt", "aria-label")
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
-        "track", "wbr"}
-_JP_PY = re.compile("[ぁ-ゟ゠-ヿ一-鿿]")
-
-
-class _Scanner(html.parser.HTMLParser):
-    """Offsets of translatable text nodes / attribute values and of language blocks."""
-
-    def __init__(self, text: str):
-        super().__init__(convert_charrefs=True)
-        self.text = text
-        self.line_starts = [0] + [m.end() for m in re.finditer("\n", text)]
-        self.stack: list[tuple[str, bool, str | None, int]] = []  # tag, skipped, langblock, start
-        self.nodes: list[tuple[int, int, str, str]] = []  # start, end, kind, raw
-        self.blocks: list[tuple[int, int, str]] = []  # start, end, lang
-        self._pending: tuple[int, str] | None = None
-
-    def _pos(self) -> int:
-        line, col = self.getpos()
-        return self.line_starts[line - 1] + col
-
-    def _flush(self):
-        if self._pending is not None:
-            start, data = self._pending
-            end = self._pos()
-            if _JP_PY.search(data) and not self._skipped():
-                self.nodes.append((start, end, "text", data))
-            self._pending = None
-
-    def _skipped(self) -> bool:
-        return bool(self.stack) and self.stack[-1][1]
-
-    def handle_data(self, data):
-        if self._pending is None:
-            self._pending = (self._pos(), data)
-        else:
-            self._pending = (self._pending[0], self._pending[1] + data)
-
-    def handle_starttag(self, tag, attrs):
-        self._flush()
-        start = self._pos()
-        raw = self.get_starttag_text() or ""
-        a = dict(attrs)
-        parent_skip = self._skipped()
-        skip = parent_skip or tag in SKIP_TAGS or any(x in a for x in SKIP_ATTRS)
-        if not skip:
-            for name in I18N_ATTRS:
-                v = a.get(name)
-                if v is not None and _JP_PY.search(v):
-                    m = re.search(rf'(?i)\s{re.escape(name)}\s*=\s*("([^"]*)"|\'([^\']*)\'|([^\s>]+))', raw)
-                    if m:
-                        g = 2 if m.group(2) is not None else 3 if m.group(3) is not None else 4
-                        kind = "attr:" if g < 4 else "bare:"  # a bare value has no quotes of its own
-                        self.nodes.append((start + m.start(g), start + m.end(g), kind + name, v))
-        if tag not in VOID:
-            self.stack.append((tag, skip, a.get("data-langblock"), start))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.stack and self.stack[-1][0] == tag:
-            self.stack.pop()
-
-    def handle_endtag(self, tag):
-        self._flush()
-        end_start = self._pos()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                for t, _skip, lang, start in self.stack[i:]:
-                    if lang is not None:
-                        close = self.text.find(">", end_start)
-                        stop = close + 1 if t == tag and close >= 0 else end_start
-                        self.blocks.append((start, stop, lang))
-                del self.stack[i:]
-                break
-
-    def handle_comment(self, data):
-        self._flush()
-
-    def close(self):
-        super().close()
-        self._flush()
-
-
-NODE_SCHEMA = T.ArrayType(T.StructType([
-    T.StructField("node_no", T.IntegerType()), T.StructField("kind", T.StringType()),
-    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
-    T.StructField("raw", T.StringType())]))
-
-
-@F.pandas_udf(NODE_SCHEMA)
-def _scan_nodes(s: pd.Series) -> pd.Series:
-    out = []
-    for v in s:
-        if v is None or not (_JP_PY.search(v) or "&" in v):  # Japanese may be all character references
-            out.append([])
-            continue
-        sc = _Scanner(v)
-        sc.feed(v)
-        sc.close()
-        out.append([{"node_no": i, "kind": kind, "start": a, "end": b, "raw": raw}
-                    for i, (a, b, kind, raw) in enumerate(sc.nodes)])
-    return pd.Series(out)
-
-
 @F.pandas_udf(T.StringType())
 def _write_back(htmls: pd.Series, edits: pd.Series) -> pd.Series:
     out = []
@@ -310,7 +204,7 @@ def _write_back(htmls: pd.Series, edits: pd.Series) -> pd.Series:
 def page_nodes(pages: DataFrame, id_col: str = "id", html_col: str = "html") -> DataFrame:
     """E22 step 1: translatable nodes of each page (text nodes and four
     attributes containing Japanese, outside skipped elements)."""
-    return (pages.select(id_col, F.explode(_scan_nodes(F.col(html_col))).alias("n"))
+    return (markup.scanned(pages.select(id_col, html_col), html_col).select(id_col, F.explode("nodes").alias("n"))
             .select(id_col, "n.node_no", "n.kind", "n.start", "n.end", "n.raw"))
 
 
@@ -333,28 +227,8 @@ def translate_pages(pages: DataFrame, lang: str, dictionary: DataFrame, id_col:
     return out, tr
 
 
-@F.pandas_udf(T.StringType())
-def _keep_blocks(htmls: pd.Series, langs: pd.Series) -> pd.Series:
-    out = []
-    for v, lang in zip(htmls, langs):
-        if v is None or "data-langblock" not in v.lower():
-            out.append(v)
-            continue
-        sc = _Scanner(v)
-        sc.feed(v)
-        sc.close()
-        drop = sorted((a, b) for a, b, bl in sc.blocks if bl != lang)
-        pieces, pos = [], 0
-        for a, b in drop:
-            if a < pos:
-                continue
-            pieces.append(v[pos:a])
-            pos = b
-        pieces.append(v[pos:])
-        out.append("".join(pieces))
-    return pd.Series(out, dtype="object")
-
-
 def select_language_blocks(pages: DataFrame, lang: str, html_col: str = "html") -> DataFrame:
     """Keep only the ``data-langblock`` elements of ``lang`` (others removed)."""
-    return pages.withColumn(html_col, _keep_blocks(F.col(html_col), F.lit(lang)))
+    others = F.array_sort(F.filter("blocks", lambda b: b["lang"] != lang))
+    return (markup.scanned(pages, html_col).withColumn("blocks", others)
+            .withColumn(html_col, markup.without(F.col(html_col), F.col("blocks"))).drop("nodes", "blocks", "root"))

@@ -8,7 +8,7 @@ aggregation its own way, so agreement is a real cross-check.
 
 from __future__ import annotations
 
-from slopebook.sources.fixtures import SITE_PARTS, site_sql
+from slopebook.sources.fixtures import HOOK_PARTS, SITE_PARTS, hook_sql, site_sql
 from slopebook.sources.fixtures import with_fixtures as W
 
 ORACLE: dict[str, str] = {}
@@ -807,6 +807,11 @@ ORACLE["e24_site_rewrite"] = _site(site_sql({
     "hours": "'<div class=\"access-row\">営業時間 8:00〜17:00</div>'", "link": "'<a href=\"tel:00000000000\">'", "handle": "'@new_shop'",
     "footer": "'<footer><a href=\"pages/faq.html\">よくある質問</a></footer></body></html>'"}), "html",
     more=", case when o_orderkey % 17 = 0 then 0 else 5 end as n_rules_hit")
+# Nine rules find an element on every page, the booking title's on every second.
+ORACLE["e24_site_elements"] = f"""
+select cast(o_orderkey as bigint) as id, {hook_sql()} as html,
+  cast(9 + case when (o_orderkey // {list(HOOK_PARTS).index("title") + 1}) % 2 = 0 then 1 else 0 end as int) as n_rules_hit from orders
+"""
 ORACLE["e25_site_root"] = _site(site_sql(parts=_INNER), "root_html", "null")
 ORACLE["e25_site_style"] = _site("'.b{width:' || case when o_orderkey % 3 = 0 then '760px' else '90%' end || '}'", "style")
 ORACLE["e21_site_texts"] = """

@@ -499,7 +499,7 @@ def q_e27(spark, d):
 
 # --- translation (E21-E23) ----------------------------------------------------
 
-from slopebook.operators import translate as tr  # noqa: E402
+from slopebook.operators import markup, translate as tr  # noqa: E402
 from slopebook.sources.dictionary import sample_dictionary  # noqa: E402
 
 
@@ -553,6 +553,11 @@ def q_e24s(spark, d):
     return pages.rewrite_html(_site_pages(spark, d), pages.default_rewrite_rules(**REWRITE_RULES)).select("id", "html", "n_rules_hit")
 
 
+@register("e24_site_elements")
+def q_e24e(spark, d):
+    return markup.rewrite_elements(fx.table(spark, d, "fx_hook_pages"), markup.repair_rules(**REWRITE_RULES, button_html="<svg/>TEL"))
+
+
 @register("e25_site_style")
 def q_e25ss(spark, d):
     return _site_pages(spark, d).select("id", pages.first_style(F.col("html")).alias("style"))

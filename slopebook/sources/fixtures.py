@@ -273,11 +273,12 @@ SITE_PARTS = {
     "head": "<html><head><style>.b{width:",
     "width": "width",
     "body": "}</style></head><body>",
-    "root": '<div ID = "page-root">',
+    "root": "root",
     "list": "<ul><li>",
     "guest": "guest",
     "item": "<li>",
-    "code": "予約番号",
+    "code": "code",
+    "note": "note",
     "end_list": "</ul>",
     "hours": '<div class="access-row">営業時間 8:30〜18:00</div>',
     "bus": '<div class="access-row">バス 18:00</div>',
@@ -294,10 +295,67 @@ SITE_PARTS = {
 }
 
 
+#: The root element's start tag as different editors write it.
+SITE_ROOTS = ['<div ID = "page-root">', "<div class='x' id='page-root'>", "<div id=page-root data-a>", '<DIV\n id="page-root"\tclass="y z">']
+
+#: Parts of a home page as (found, wanted) texts; ``{k}`` is the row's key.  A part with several pairs changes from row to row.
+HOOK_PARTS = {
+    "head": [("<html><body><!-- {k} -->", "<html><body><!-- {k} -->")],
+    "footer": [('<ul class="utility-links"><li><a href="#">よくある質問</a><li><a class=x href=\'#\'>お問い合わせ {k}</a></ul>',
+                '<ul class="utility-links"><li><a href="pages/faq.html">よくある質問</a><li><a class=x href=\'tel:00000000000\'>お問い合わせ {k}</a></ul>'),
+               ('<div class="a utility-links b"><p><a>プライバシー &amp; {k}</a></p><a href=#>会社</a></div>',
+                '<div class="a utility-links b"><p><a href="pages/privacy.html">プライバシー &amp; {k}</a></p><a href=#>会社</a></div>')],
+    "outside": [('<a href="#">よくある質問</a>', '<a href="#">よくある質問</a>')],
+    "card": [('<a class="content-card" href="#"><span class="content-card-title">初心者ガイド</span></a>',
+              '<a class="content-card" href="pages/beginner-guide.html"><span class="content-card-title">初心者ガイド</span></a>'),
+             ('<a href=guide.html class="content-card wide"><b><i class=content-card-title>&#x521D;心者 {k}</i></b>初</a>',
+              '<a href="pages/beginner-guide.html" class="content-card wide"><b><i class=content-card-title>&#x521D;心者 {k}</i></b>初</a>')],
+    "other_card": [('<a class="content-card" href="s.html"><span class="content-card-title">上級</span>初心者</a>',
+                    '<a class="content-card" href="s.html"><span class="content-card-title">上級</span>初心者</a>')],
+    "hours": [('<div class="access-row"><b>営業時間</b> 8:30〜18:00 8：30</div>', '<div class="access-row"><b>営業時間</b> 8:00〜17:00 8：00</div>'),
+              ('<p class="access-row">営業<b>時間</b>8:30-18:30</p>', '<p class="access-row">営業<b>時間</b>8:00-17:00</p>')],
+    "bus": [('<div class="access-row">バス 8:30 18:00</div>', '<div class="access-row">バス 8:30 18:00</div>')],
+    "handle": [('<p class="utility-ig">@old_shop <b>old_shop</b></p><p class="utility-ig">@old_shop</p>',
+                '<p class="utility-ig">@new_shop <b>@new_shop</b></p><p class="utility-ig">@old_shop</p>')],
+    "lookup": [('<a href="reserve-lookup.html?k={k}">確認</a>', '<a href="reserve-lookup.html?k={k}" style="display: none;">確認</a>'),
+               ('<a style="color:red" href=\'/reserve-lookup\'>確認</a>', '<a style="color:red; display: none;" href=\'/reserve-lookup\'>確認</a>')],
+    "button": [('<a class="header-cta-btn" href="reserve.html"><i>WEB</i></a>', '<a class="header-cta-btn" href="tel:00000000000"><svg/>TEL</a>')],
+    "booking": [('<a href="x/reserve.html?n={k}">予約<b>する</b></a>', '<a href="tel:00000000000">📞 電話で予約する</a>')],
+    "title": [('<h3 class="booking-card-title">WEB<br>予約</h3>', '<h3 class="booking-card-title">ご予約・お問い合わせ</h3>'),
+              ('<h3 class="booking-card-title">電話</h3>', '<h3 class="booking-card-title">電話</h3>')],
+    "steps": [('<div class="booking-steps"><div><a href="reserve.html">1</a></div>{k}</div>',
+               '<div class="tel-card"><a class="tel-num" href="tel:00000000000">000-0000-0000</a><p class="tel-sub">受付時間 8:00〜17:00（不定休）</p></div>')],
+    "badge": [('<span class="badge-label">WEB予約 {k}</span>', '<span class="badge-label">電話でご予約</span>')],
+    "script": [('<script>var a=\'<p class="badge-label">WEB予約</p>\';</script></body></html>',
+                '<script>var a=\'<p class="badge-label">WEB予約</p>\';</script></body></html>')],
+}
+
+
+def fx_hook_pages(spark: SparkSession, d: str) -> DataFrame:
+    """One home page per order from ``HOOK_PARTS``; part number i takes its pair number (key / (i + 1)) in turn."""
+    k = F.col("o_orderkey")
+    parts = [F.element_at(F.array(*[F.lit(found) for found, _wanted in pairs]), (F.floor(k / (i + 1)) % len(pairs) + 1).cast("int"))
+             for i, pairs in enumerate(HOOK_PARTS.values())]
+    return _read(spark, d, "orders").select(
+        k.cast("long").alias("id"), F.replace(F.concat(*parts), F.lit("{k}"), k.cast("string")).alias("html"))
+
+
+def hook_sql() -> str:
+    """SQL for the wanted text of ``fx_hook_pages``."""
+    def q(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+    parts = [f"list_extract([{', '.join(q(wanted) for _found, wanted in pairs)}], cast((o_orderkey // {i + 1}) % {len(pairs)} + 1 as int))"
+             for i, pairs in enumerate(HOOK_PARTS.values())]
+    return f"replace({' || '.join(parts)}, '{{k}}', cast(o_orderkey as varchar))"
+
+
 def fx_site_pages(spark: SparkSession, d: str) -> DataFrame:
     """One page per order from ``SITE_PARTS``; every 17th is empty."""
     k = F.col("o_orderkey")
     filled = {"width": F.when(k % 3 == 0, "760px").otherwise("90%"),
+              "root": F.element_at(F.array(*map(F.lit, SITE_ROOTS)), (k % len(SITE_ROOTS) + 1).cast("int")),
+              "code": F.when(k % 2 == 0, "予約番号").otherwise("&#x4E88;約&#30058;号"),
+              "note": F.concat(F.lit("<p\n data-n='"), k.cast("string"), F.lit("'>No. "), k.cast("string"), F.lit(" &amp; <b>more<i>!</b></p>")),
               "guest": F.concat(F.lit("利用者"), (k % 5 + 1).cast("string"), F.lit("（大人）"))}
     parts = [filled.get(v, F.lit(v)) for v in SITE_PARTS.values()]
     return _read(spark, d, "orders").select(
@@ -341,12 +399,12 @@ _SOURCES = {
     "fx_requests_v1": ["orders", "lineitem"], "fx_lookups": ["orders"], "fx_status_events": ["events"],
     "fx_cancel_requests": ["events", "orders"], "fx_equipment_feed": ["part"],
     "fx_equipment_changes": ["lineitem"], "fx_pages": ["pages"], "fx_site_pages": ["orders"],
-    "fx_site_texts": ["orders"],
+    "fx_site_texts": ["orders"], "fx_hook_pages": ["orders"],
 }
 DERIVED = tuple(_SOURCES)
 
 # Bump when a derivation changes, so stale copies are not reused.
-_VERSION = "5"
+_VERSION = "6"
 
 
 def _fingerprint(spark: SparkSession, d: str, name: str) -> str:
@@ -376,7 +434,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     fs, p = file_system(spark, path)
     if not fs.exists(p):
         tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
-        globals()[name](spark, d).write.parquet(tmp)
+        # Derived from one small file each, but written by (and so read by) all cores, as a stored table is.
+        globals()[name](spark, d).repartition(2 * spark.sparkContext.defaultParallelism).write.parquet(tmp)
         fs.rename(file_system(spark, tmp)[1], p)
     return spark.read.parquet(path)
 
@@ -484,6 +543,15 @@ def site_sql(replaced: dict[str, str] | None = None, parts: list[str] | None = N
             return "case when o_orderkey % 3 = 0 then '760px' else '90%' end"
         if part == "guest":
             return "'利用者' || (o_orderkey % 5 + 1) || '（大人）'"
+        if part == "root":
+            return f"list_extract([{', '.join(quoted(r) for r in SITE_ROOTS)}], cast(o_orderkey % {len(SITE_ROOTS)} + 1 as int))"
+        if part == "code":
+            return "case when o_orderkey % 2 = 0 then '予約番号' else '&#x4E88;約&#30058;号' end"
+        if part == "note":
+            return "'<p\n data-n=" + 2 * chr(39) + "' || o_orderkey || '" + 2 * chr(39) + ">No. ' || o_orderkey || ' &amp; <b>more<i>!</b></p>'"
+        return quoted(value)
+
+    def quoted(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
     return " || ".join(sql(k, v) for k, v in SITE_PARTS.items() if parts is None or k in parts)
 
