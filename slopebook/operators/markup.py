@@ -43,9 +43,12 @@ class Element:
     inside_end: int | None = None
     end: int | None = None
     text_end: int | None = None
+    classes: frozenset = frozenset()
 
-    def classes(self) -> set[str]:
-        return set((self.attrs.get("class") or "").split())
+    def __post_init__(self):
+        names = self.attrs.get("class")
+        if names:
+            self.classes = frozenset(names.split())
 
 
 class PageScan(html.parser.HTMLParser):
@@ -107,8 +110,7 @@ class PageScan(html.parser.HTMLParser):
         self._root_tag(tag, a, start + len(raw))
         element = None
         if self.keep:
-            parent = next((s[4] for s in reversed(self.stack) if s[4] is not None), None)
-            element = Element(tag, a, start, start + len(raw), len(self.texts), parent)
+            element = Element(tag, a, start, start + len(raw), len(self.texts), self.stack[-1][4] if self.stack else None)
             self.elements.append(element)
         if tag not in VOID:
             self.stack.append((tag, skip, a.get("data-langblock"), start, element))
@@ -268,12 +270,12 @@ class Rule:
         self.needle = self.css or self.inside or self.href or ""
 
     def matches(self, e: Element) -> bool:
-        if (self.tag and e.tag != self.tag) or (self.css and self.css not in e.classes()) or (self.href and self.href not in (e.attrs.get("href") or "")):
+        if (self.tag and e.tag != self.tag) or (self.css and self.css not in e.classes) or (self.href and self.href not in (e.attrs.get("href") or "")):
             return False
-        if self.without and self.without in e.classes():
+        if self.without and self.without in e.classes:
             return False
         up = e.parent
-        while self.inside and up is not None and self.inside not in up.classes():
+        while self.inside and up is not None and self.inside not in up.classes:
             up = up.parent
         return not self.inside or up is not None
 
@@ -306,12 +308,19 @@ def apply_rules(text: str | None, rules: list[Rule]) -> tuple[str | None, int]:
         return text, 0
     page = PageScan(text, elements=True)
     edits, hit = [], 0
+    named: dict[str, list[Element]] = {}
+    for e in page.elements:
+        for name in e.classes:
+            named.setdefault(name, []).append(e)
+    links = [e for e in page.elements if e.attrs.get("href") is not None]
     for rule in rules:
         done = False
-        for e in (page.elements if rule.needle in text else []):
+        if rule.needle not in text:
+            continue
+        for e in named.get(rule.css, []) if rule.css else links if rule.href else page.elements:
             if not rule.matches(e):
                 continue
-            told = e if rule.told_by is None else next((x for x in page.elements if e.inside <= x.start < e.inside_end and rule.told_by in x.classes()), None)
+            told = e if rule.told_by is None else next((x for x in page.elements if e.inside <= x.start < e.inside_end and rule.told_by in x.classes), None)
             words = None if told is None else page.content(told)
             actions = next((a for pattern, a in rule.cases if words is not None and (pattern is None or re.search(pattern, words))), None)
             found = _edits(page, e, actions) if actions else []
