@@ -92,6 +92,28 @@ def audit(equipment: DataFrame, reservations: DataFrame, items: DataFrame, membe
     return out
 
 
+def audit_site(settings: DataFrame, pages: DataFrame, versions: DataFrame) -> DataFrame:
+    """A3 for the settings (one row per shop, whose id is 1), the published pages and their versions."""
+    def missing(*cols: str) -> Column:
+        out = F.lit(False)
+        for c in cols:
+            out = out | F.col(c).isNull()
+        return out
+    parts = [
+        _dupes(settings, "business_settings", "pk_id", ["shop_id", "id"]),
+        _row_checks(settings, "business_settings", F.col("shop_id"), [
+            ("check_single_row", F.col("id") != 1), ("not_null", missing("id", "open_time", "close_time", "max_advance_days"))]),
+        _dupes(pages, "site_pages", "pk_page_key", ["page_key"]),
+        _row_checks(pages, "site_pages", F.col("page_key"), [("not_null", missing("page_key", "html", "css", "project_data"))]),
+        _dupes(versions, "site_page_versions", "pk_id", ["id"]),
+        _row_checks(versions, "site_page_versions", F.col("id"), [("not_null", missing("id", "page_key", "html", "css", "project_data", "created_at"))]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _first_per_key(feed: DataFrame, keys: list[str], order: str) -> DataFrame:
     first = feed.groupBy(*keys).agg(F.min(order).alias("_first"))
     return feed.join(first, keys).where(F.col(order) == F.col("_first")).drop("_first")

@@ -533,7 +533,7 @@ from f left join firsts fi on fi.shop_id = f.shop_id and fi.category = f.categor
 
 ORACLE["a6_upsert_pages"] = W("""
 select page_key, html, id as version_id from fx_pages
-qualify row_number() over (partition by page_key order by case when id >= 100 then 1 else 0 end desc, id desc) = 1
+qualify row_number() over (partition by page_key order by case when id % 3 = 0 then 1 else 0 end desc, id desc) = 1
 """, "fx_pages")
 
 # Sequential fold (the stepper's own rule), independent of the Spark plan's closed form.
@@ -904,6 +904,42 @@ from fx_equipment
 """, "fx_equipment")
 
 ORACLE["a7_append_versions"] = W("select id, page_key, created_at from fx_pages", "fx_pages")
+ORACLE["a7_stored_versions"] = ORACLE["a7_append_versions"]
+ORACLE["e18_stored_pages"] = W("""
+select page_key, id as version_id, created_at as updated_at, html, css from fx_pages
+qualify row_number() over (partition by page_key order by case when id % 3 = 0 then 1 else 0 end desc, id desc) = 1
+""", "fx_pages")
+
+ORACLE["a3_site_audit"] = W("""
+, v as (select case when id % 11 = 0 then id - 1 else id end as id, case when id % 13 <> 0 then page_key end as page_key,
+    case when id % 7 <> 0 then html end as html, css, case when id % 17 <> 0 then project_data end as project_data from fx_pages)
+, p as (select page_key, case when id % 5 <> 0 then html end as html from fx_pages where id < 60)
+, s as (select cast(id % 25 as int) as shop_id, case when id % 9 = 0 then 2 else 1 end as id, id % 4 = 0 as no_time from fx_pages)
+select 'business_settings' as table_name, 'pk_id' as constraint_name, concat_ws('|', cast(shop_id as varchar), cast(id as varchar)) as key
+  from s group by shop_id, id having count(*) > 1
+union all select 'business_settings', 'check_single_row', cast(shop_id as varchar) from s where id <> 1
+union all select 'business_settings', 'not_null', cast(shop_id as varchar) from s where no_time
+union all select 'site_pages', 'pk_page_key', page_key from p group by page_key having count(*) > 1
+union all select 'site_pages', 'not_null', page_key from p where html is null
+union all select 'site_page_versions', 'pk_id', cast(id as varchar) from v group by id having count(*) > 1
+union all select 'site_page_versions', 'not_null', cast(id as varchar) from v where page_key is null or html is null or project_data is null
+""", "fx_pages")
+
+ORACLE["b2_visible_rows"] = W("""
+, n as (select 'equipment_items' as table_name, 'anon' as role, count(*) as n from fx_equipment where is_active
+  union all select 'equipment_items', 'staff', count(*) from fx_equipment
+  union all select 'closed_dates', r, count(*) from fx_closed_dates, (values ('anon'), ('staff')) x(r) group by r
+  union all select 'reservations', 'staff', count(*) from fx_reservations
+  union all select 'reservation_items', 'staff', count(*) from fx_items
+  union all select 'reservation_members', 'staff', count(*) from fx_members
+  union all select 'site_pages', r, count(distinct page_key) from fx_pages, (values ('anon'), ('staff')) x(r) group by r
+  union all select 'site_page_versions', 'staff', count(*) from fx_pages)
+select table_name, role, n from n where n > 0
+""", "fx_equipment", "fx_closed_dates", "fx_reservations", "fx_items", "fx_members", "fx_pages")
+
+ORACLE["asset_names"] = """
+select page_id, regexp_replace(url, '[^a-zA-Z0-9._-]', '_', 'g') as name from pages
+"""
 
 ORACLE["e16_lookup_card"] = W("""
 , mrows as (

@@ -232,8 +232,9 @@ def q_e15(spark, d):
 
 # --- table maintenance (A1-A13) ---------------------------------------------
 
+from slopebook.functions import pgcompat as pg  # noqa: E402
 from slopebook.operators import lists, maintenance as mt, pages  # noqa: E402
-from slopebook.sources import schemas  # noqa: E402
+from slopebook.sources import schemas, store  # noqa: E402
 
 STAMP_AT = dt.datetime(2025, 1, 1)
 STAFF_DAY = dt.date(2025, 1, 15)
@@ -301,11 +302,15 @@ def q_a5(spark, d):
     return mt.equipment_feed_report(t["equipment"], fx.table(spark, d, "fx_equipment_feed"))
 
 
+#: A third of the versions, in every part of the table, are changes to the rest.
+_CHANGED, _KEPT = "id % 3 = 0", "id % 3 <> 0"
+
+
 @register("a6_upsert_pages")
 def q_a6(spark, d):
     pv = fx.table(spark, d, "fx_pages")
-    target = pv.where(F.col("id") < 100).select("page_key", "html", F.col("id").alias("version_id"))
-    changes = pv.where(F.col("id") >= 100).select("page_key", "html", F.col("id").alias("version_id"))
+    target = pv.where(_KEPT).select("page_key", "html", F.col("id").alias("version_id"))
+    changes = pv.where(_CHANGED).select("page_key", "html", F.col("id").alias("version_id"))
     return mt.upsert(target, changes, "page_key", "version_id")
 
 
@@ -614,17 +619,73 @@ def q_j3(spark, d):
 
 @register("a1_scan_equipment")
 def q_a1(spark, d):
-    return schemas.conform(fx.table(spark, d, "fx_equipment"), schemas.EQUIPMENT_ITEMS,
-                           schemas.DEFAULTS["equipment_items"])
+    return schemas.scan(spark, fx.stored(spark, d, "fx_equipment"), "equipment_items")
 
 
 @register("a7_append_versions")
 def q_a7(spark, d):
     pv = fx.table(spark, d, "fx_pages")
     cols = ["id", "page_key", "created_at"]
-    return mt.append(pv.where(F.col("id") < 100).select(*cols), pv.where(F.col("id") >= 100).select(*cols))
+    return mt.append(pv.where(_KEPT).select(*cols), pv.where(_CHANGED).select(*cols))
+
+
+@register("a7_stored_versions")
+def q_a7s(spark, d):
+    """The stored version table after two publishes: the second only adds files."""
+    folder = _published(spark, d)
+    return store.read(spark, f"{folder}/versions", store.VERSIONS).select("id", "page_key", "created_at")
 
 
+@register("e18_stored_pages")
+def q_e18s(spark, d):
+    """The stored pages after two publishes: the second rewrites the partitions of its pages."""
+    folder = _published(spark, d)
+    return store.read(spark, f"{folder}/pages", store.CURRENT).select("page_key", "version_id", "updated_at", "html", "css")
+
+
+def _published(spark, d):
+    pv = fx.table(spark, d, "fx_pages")
+    folder = s_files.scratch(spark, "pages")
+    store.create_pages(spark, folder)
+    store.publish(spark, folder, pv.where(_KEPT))
+    store.publish(spark, folder, pv.where(_CHANGED))
+    return folder
+
+
+@register("a3_site_audit")
+def q_a3s(spark, d):
+    """The audit of settings, pages and versions, with defects planted by id."""
+    pv = fx.table(spark, d, "fx_pages")
+    i = F.col("id")
+    versions = pv.select(F.when(i % 11 == 0, i - 1).otherwise(i).alias("id"), F.when(i % 13 != 0, F.col("page_key")).alias("page_key"),
+                         F.when(i % 7 != 0, F.col("html")).alias("html"), "css", F.when(i % 17 != 0, F.col("project_data")).alias("project_data"), "created_at")
+    site = pv.select("page_key", F.when(i % 5 != 0, F.col("html")).alias("html"), "css", "project_data").where(i < 60)
+    settings = pv.select(F.when(i % 9 == 0, 2).otherwise(1).cast("smallint").alias("id"), F.when(i % 4 != 0, F.lit("08:30")).alias("open_time"),
+                         F.lit("18:00").alias("close_time"), F.lit(90).alias("max_advance_days"), (i % 25).cast("int").alias("shop_id"))
+    return mt.audit_site(settings, site, versions)
+
+
+@register("b2_visible_rows")
+def q_b2r(spark, d):
+    """How many rows of every table each role can read."""
+    t = _base(spark, d)
+    pv = fx.table(spark, d, "fx_pages")
+    tables = {"equipment_items": t["equipment"], "closed_dates": t["closed_dates"], "reservations": t["reservations"], "reservation_items": t["items"],
+              "reservation_members": t["members"], "site_pages": pv.select("page_key").distinct(), "site_page_versions": pv}
+    out = [lists.visible(df, name, role).select(F.lit(name).alias("table_name"), F.lit(role).alias("role")).groupBy("table_name", "role")
+           .agg(F.count(F.lit(1)).alias("n")) for name, df in tables.items() for role in ("anon", "staff")]
+    both = out[0]
+    for o in out[1:]:
+        both = both.unionByName(o)
+    return both
+
+
+@register("asset_names")
+def q_assets(spark, d):
+    """Safe storage names of files that are called after pages' urls."""
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return p.select("page_id", pg.safe_asset_name(F.col("url")).alias("name"))
+
 @register("e16_lookup_card")
 def q_e16l(spark, d):
     t = _base(spark, d)

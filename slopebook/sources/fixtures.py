@@ -421,7 +421,12 @@ def _fingerprint(spark: SparkSession, d: str, name: str) -> str:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """The derived table ``name`` for dataset ``d``, materialised once.
+    """The derived table ``name`` for dataset ``d``, see :func:`stored`."""
+    return spark.read.parquet(stored(spark, d, name))
+
+
+def stored(spark: SparkSession, d: str, name: str) -> str:
+    """The folder of the derived table ``name`` for dataset ``d``, materialised once.
 
     Written to a unique folder and renamed into place, so two jobs deriving
     the same table at once cannot corrupt it (the first rename wins; if no
@@ -437,7 +442,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
         # Derived from one small file each, but written by (and so read by) all cores, as a stored table is.
         globals()[name](spark, d).repartition(2 * spark.sparkContext.defaultParallelism).write.parquet(tmp)
         fs.rename(file_system(spark, tmp)[1], p)
-    return spark.read.parquet(path)
+    return path
 
 
 # ---------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Declared schemas of the booking tables (A1) and schema evolution (A2).
 
 The tables are plain row tables with a fixed schema that grows by adding
-nullable columns with defaults.  ``load`` reads parquet with the files'
-merged schema (a column missing in some reads as NULL there and ``conform``
+nullable columns with defaults.  ``load`` reads parquet in the declared
+schema (a column missing in some files reads as NULL there and ``conform``
 fills its default); ``conform`` brings any DataFrame to a target schema.
 ``shop_id`` is our scale-out key: every shop-scoped table carries it.
 """
@@ -135,12 +135,16 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | N
     return df.select(*cols)
 
 
-def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A1: scan one base table in its declared schema.
+def scan(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A1: scan the files of one base table in its declared schema.
 
-    The files' schemas are merged: files written before a column was added
-    read it as NULL, whatever file comes first.
+    The schema is given, so no file's footer is read to find it; a file
+    written before a column was added has NULL there, which takes the default.
     """
     schema = TABLES[name]
-    raw = spark.read.option("mergeSchema", "true").parquet(f"{directory}/{name}.parquet")
-    return conform(raw, schema, DEFAULTS.get(name))
+    return conform(spark.read.schema(schema).parquet(path), schema, DEFAULTS.get(name))
+
+
+def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """A1: :func:`scan` of a base table in a directory of tables."""
+    return scan(spark, f"{directory}/{name}.parquet", name)
