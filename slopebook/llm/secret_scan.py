@@ -1,9 +1,10 @@
 """Secret scan: three base patterns plus a randomness test battery.
 
 Base kinds (assign, access, hex) are fixed patterns.  The method adds spans:
-every run of 20 or more token characters that no base span touches is read in
-the smallest encoding alphabet that holds it.  A ``=`` ends a run, so the name
-and the value of name=value are two runs and padding belongs to none.
+every run of 20 or more token characters, or what base spans leave of it to
+their left and right, is read in the smallest encoding alphabet that holds it.
+A ``=`` ends a run, so the name and the value of name=value are two runs and
+padding belongs to none.
 Three tests ask whether it is a uniform random string of that alphabet:
 chi-squared over the symbols, Wald-Wolfowitz runs about the middle symbol, and
 lag-1 serial correlation.  Fisher's method joins the p-values.
@@ -12,6 +13,12 @@ False-discovery control is per stratum (alphabet and length band, because the
 tests' power depends on both): a Benjamini-Hochberg cut over all candidates of
 the corpus names those that are *not* random, so at most ``FDR`` of the names
 so struck off were truly random.  The rest are reported as kind ``random``.
+That bounds lost secrets; words are kept out by the tests' power: a letters-only
+run is tested only from the length on at which the chi-squared test tells text
+of a language (``COLLISION``) from random letters 19 times in 20: 52 letters
+of one case, 20 of both.  Shorter ones are tested where running text does not
+stand, right after a ``=``; elsewhere a random key of one case without a digit
+(one in some 600 of base36 keys of 20) is not reported.
 The cut is found from counts per (stratum, p-value bucket), at most 36 x 6001
 rows whatever the corpus; buckets are even in log p, 20 to a power of ten.
 
@@ -38,6 +45,8 @@ FDR = 0.05
 #: Bucket b holds p-values from 10 ** (-b / 20) down to the next bucket's; the last one all from 1e-300 on.
 LAST_BUCKET = 6000
 MIN_TOKEN = 20
+#: Chance that two letters of running text are equal (fixed value), level of the test and its least power for letters-only runs.
+COLLISION, LEVEL_Z, POWER_Z = 0.065, 1.645, 1.645
 #: Lengths at which a new band starts.
 BANDS = (20, 32, 64)
 
@@ -56,6 +65,7 @@ ALPHABETS = {
     "base36": _DIGITS + _LOW, "BASE36": _DIGITS + _UP, "letters": _UP + _LOW, "base62": _DIGITS + _UP + _LOW, "base64": _UP + _LOW + _DIGITS + "+/",
     "base64url": _UP + _LOW + _DIGITS + "-_", "mixed": _UP + _LOW + _DIGITS + "+/-_",
 }
+_WORDLIKE = ("lower", "UPPER", "letters")
 _CODE = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
 
 _IS_HEX, _IS_TOKEN = 1, 2
@@ -105,6 +115,28 @@ def infer_encoding(token: str) -> str | None:
     return next((name for name, code in _CODE.items() if used <= code.keys()), None)
 
 
+def least_length(encoding: str) -> int:
+    """Symbols that a run of this encoding needs to be tested.
+
+    For text of a language chi-squared is noncentral, with n * (COLLISION * size - 1)
+    beyond its degrees of freedom; both are taken as normal.
+    """
+    if encoding not in _WORDLIKE:
+        return MIN_TOKEN
+    free = len(ALPHABETS[encoding]) - 1
+    # Upper LEVEL_Z point of chi-squared (Wilson-Hilferty).
+    limit = free * (1 - 2 / (9 * free) + LEVEL_Z * math.sqrt(2 / (9 * free))) ** 3
+    n = MIN_TOKEN
+    while True:
+        beyond = n * (COLLISION * (free + 1) - 1)
+        if free + beyond - limit >= POWER_Z * math.sqrt(2 * (free + 2 * beyond)):
+            return n
+        n += 1
+
+
+_LEAST = {name: least_length(name) for name in ALPHABETS}
+
+
 def bucket_of(p: float) -> int:
     return min(LAST_BUCKET, math.floor(-20 * math.log10(max(p, 1e-300)) + 1e-9)) if p < 1 else 0
 
@@ -136,16 +168,30 @@ def candidates(text: str, kinds: np.ndarray, taken: list[tuple[str, int, int, in
         return []
     out = []
     for m in TOKEN.finditer(text):
-        token = m.group()
-        if any(s < m.end() and m.start() < e for _k, s, e, _v in taken):
-            continue
-        encoding = infer_encoding(token)
-        if encoding:
-            p = randomness([_CODE[encoding][c] for c in token], len(ALPHABETS[encoding]))
-            out.append((m.start(), m.end(), stratum_of(encoding, len(token)), bucket_of(p)))
+        for start, end in parts_beside(m.start(), m.end(), taken):
+            token = text[start:end]
+            encoding = infer_encoding(token)
+            if encoding and (len(token) >= _LEAST[encoding] or is_value(text, start)):
+                p = randomness([_CODE[encoding][c] for c in token], len(ALPHABETS[encoding]))
+                out.append((start, end, stratum_of(encoding, len(token)), bucket_of(p)))
     return out
 
 
+def is_value(text: str, start: int) -> bool:
+    """Does a ``=`` stand before, with or without an opening quote?"""
+    before = text[max(0, start - 2):start]
+    return before.endswith("=") or before in ("='", '="')
+
+
+def parts_beside(start: int, end: int, taken: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
+    """What the base spans leave of a run, in parts long enough to be tested."""
+    out, at = [], start
+    for s, e in sorted((s, e) for _k, s, e, _v in taken if s < end and start < e):
+        out.append((at, s))
+        at = max(at, e)
+    return [(a, b) for a, b in [*out, (at, end)] if b - a >= MIN_TOKEN]
+
+
 def scan_texts(texts):
     """(base spans, candidates) of each text."""
     for text in texts:
