@@ -39,9 +39,10 @@ from pyspark.sql import functions as F
 
 from slopebook.llm.common import bounded_sample, field, with_text_columns
 
-#: Pages that the labeller is trained on at most, and blocks of one page used in training.
+#: Pages that the labeller is trained on at most; of each a stretch of so many blocks from a random place on.  Other layouts
+#: are made of stretches of so many blocks of an article, of so many words of a text.
 TRAIN_PAGES = 192
-TRAIN_BLOCKS = 120
+TRAIN_BLOCKS, TRAIN_ARTICLE, TRAIN_WORDS = 120, 12, 40
 PATH_DIM, WORD_DIM = 96, 32
 HIDDEN = 20
 EPOCHS = 14
@@ -56,8 +57,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "svg g defs use symbol path rect circle ellipse line polyline polygon text tspan textpath image marker mask pattern "
                    "clippath lineargradient radialgradient stop filter foreignobject".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that HTML reads raw, up to their end tag.
-RAW = frozenset("script style noscript iframe textarea title".split())
+#: Elements that HTML reads raw, up to their end tag, and whose text is none of the page's.  What stands in for a script or
+#: a frame (noscript, iframe) is read like the rest.
+RAW = frozenset("script style textarea title".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
                      "h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: A start tag ends an open element of the same group, up to the group's container.
@@ -131,9 +133,9 @@ def blocks_of(page: str) -> list[Block]:
                     break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if not attrs.endswith("/"):
-                at = end.end() if end else (n if tag in ("script", "style") else at)
+            # A slash at the end of the start tag means nothing here.
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = end.end() if end else (n if tag in ("script", "style") else at)
             continue
         if tag in VOID or attrs.endswith("/") and (tag not in INLINE or any(t in ("svg", "math") for t in (tag, *(t for t, _e in stack)))):
             continue
@@ -338,9 +340,13 @@ LAYOUT_OTHER = ["<nav>", "<nav><ul>", "<div class='menu'>", "<ul class='nav'>",
                 "<div class='login'>", "<section class='comments'>", "<div class='comments'>", "<div id='comments'>", "<div class='comment'>",
                 "<ol class='comment-list'>", "<div class='share'>", "<div class='social'>", "<div class='tags'>", "<div class='copyright'>",
                 "<div class='legal'>", "<div class='disclaimer'>", "<div class='pagination'>", "<div class='newsletter'>"]
+#: How a block of an article is marked up; three of five are plain paragraphs.
+LAYOUT_BLOCKS = ["<h2>", "<h3>", "<li>", "<ul><li>", "<ul class='list'><li>", "<ol><li>", "<blockquote>", "<blockquote><p>", "<table><tr><td>",
+                 "<figure><figcaption>", "<div><p>", "<div>", "<pre>", "<dl><dd>", "<section><p>", "<noscript><p>", "<div class='row'><p>"]
 #: Those that also occur inside an article's container.
 LAYOUT_INSIDE = [x for x in LAYOUT_OTHER if any(w in x for w in ("ad", "aside", "related", "share", "social", "comment", "promo", "form", "tags", "nav"))]
 _NOT_ARTICLE = {"nav", "aside", "footer", "header", "form", "button", "select", "template"} | {f".{w}" for x in LAYOUT_OTHER for w in _NAMES.findall(" ".join(re.findall(r"'([^']*)'", x)))}
+_NOT_ARTICLE -= {".list"}  # a list of comments is known by its first word, any other list may be the article's
 
 
 def truth(block: Block) -> bool:
@@ -383,6 +389,12 @@ def _close(opened: str) -> str:
     return "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", opened)))
 
 
+def stretch(items: list, size: int, rng: np.random.Generator) -> list:
+    """At most ``size`` consecutive items, from a random place on."""
+    start = int(rng.integers(max(len(items) - size, 0) + 1))
+    return items[start:start + size]
+
+
 def relayout(article: list[str], other: list[str], rng: np.random.Generator) -> tuple[list[Block], list[bool]]:
     """A page of another layout that holds these texts, read into blocks, and each block's answer."""
     seen: list[bool] = []
@@ -391,12 +403,12 @@ def relayout(article: list[str], other: list[str], rng: np.random.Generator) ->
     def put(opened: str, texts: list[str], is_article: bool, close=True):
         out.append(opened)
         for t in texts:
-            t = " ".join(t.split()[:40]) or "x"
+            t = " ".join(stretch(t.split(), TRAIN_WORDS, rng)) or "x"
             kind = rng.integers(5)
             words = html.escape(t)
             if is_article:
-                tag = ("p", "p", "p", "h2", "li" if rng.random() < 0.3 else "p")[kind]
-                out.append(f"<{tag}>{words}</{tag}>")
+                box = "<p>" if rng.random() < 0.6 else str(rng.choice(LAYOUT_BLOCKS))
+                out.append(box + words + _close(box))
             elif "<ul" in opened or "<ol" in opened or rng.random() < 0.3:
                 out.append(f"<li><a href='/x'>{words}</a></li>")
             else:
@@ -414,7 +426,7 @@ def relayout(article: list[str], other: list[str], rng: np.random.Generator) ->
     box = str(rng.choice(LAYOUT_ARTICLE))
     if article:
         out.append(box)
-        out.append(f"<h1>{html.escape(article[0][:60]) or 'x'}</h1>")
+        out.append(f"<h1>{html.escape(' '.join(stretch(article[0].split(), 9, rng))) or 'x'}</h1>")
         seen.append(True)
         half = rng.integers(len(article) + 1)
         put("", article[:half], True)
@@ -432,7 +444,7 @@ def relayout(article: list[str], other: list[str], rng: np.random.Generator) ->
 def train(pages: list[str], seed: int = SEED) -> Labeller:
     """Fit a labeller on sample pages: as they are where their markup or containers answer, and dealt into other layouts."""
     rng = np.random.default_rng(seed)
-    read = [blocks_of(p)[:TRAIN_BLOCKS] for p in pages]
+    read = [stretch(blocks_of(p), TRAIN_BLOCKS, rng) for p in pages]
     marked = []
     for b in read:
         ys = [truth(x) for x in b]
@@ -441,11 +453,11 @@ def train(pages: list[str], seed: int = SEED) -> Labeller:
     rest = [x.text for b, ys in marked for x, y in zip(b, ys) if not y] or ["menu", "about us", "contact"]
     examples = [(features(b), np.array(ys, np.float32)) for b, ys in marked if any(ys)]
     for texts in good:
-        for _ in range(4):
+        for _ in range(6):
             # Article texts stand in boxes too: the words alone must not give the answer.
             pool = rest + [str(t) for t in rng.choice(texts, min(3, len(texts)))] if texts else rest
             # Some pages are long: the state must hold over many blocks.
-            blocks, ys = relayout(texts[:12] * int(rng.choice([1, 1, 1, 2, 8])), pool, rng)
+            blocks, ys = relayout(stretch(texts, TRAIN_ARTICLE, rng) * int(rng.choice([1, 1, 1, 2, 8])), pool, rng)
             if blocks:
                 examples.append((features(blocks), np.array(ys, np.float32)))
     model = Labeller()
