@@ -39,7 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopebook.llm.common import field, fresh, ship_package, utf8, with_text_columns
+from slopebook.llm.arrays import SPACES, byte_set, combine, hashed_words, mix, text_bytes, text_slices
+from slopebook.llm.common import field, fresh, ship_package, with_text_columns
 from slopebook.llm.url_filter import bloom, bloom_bits, bloom_block
 from slopebook.plans.session import materialize
 
@@ -52,39 +53,45 @@ MIN_FREQUENT = 30
 COUNT_CELLS, COUNT_LEAST = 4_000_000, 3
 #: Incidences that one side of a block product holds.
 BLOCK_CELLS = 4_000_000
-MAX_WORDS = 500_000
 #: Share of a node's prefix that it must have in common with its hub to join its group.
 GROUP_PERCENT = 40
 
 _MULTIPLIERS = np.random.default_rng(64).integers(1, 2 ** 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_word_hashes: dict[bytes, int] = {}
+WORD = ~byte_set(SPACES)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _word_hashes
-    if len(known) > MAX_WORDS:
-        known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+def ngram_sets(texts: list[str | None] | pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The sorted distinct n-gram hashes (int64) of each text.
+
+    Words of many texts are hashed at once (capital ASCII letters as small
+    ones); an n-gram's hash is a sum over its words' hashes, each times the
+    number of its place.
+    """
+    data, offsets = text_bytes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+    for first, last in text_slices(offsets):
+        cut = offsets[first:last + 1]
+        h, starts = hashed_words(data, cut, WORD)
+        bounds = np.searchsorted(starts, cut)
+        with np.errstate(over="ignore"):
+            key = np.zeros(max(len(h) - words + 1, 0), dtype=np.uint64)
+            for k in range(words):
+                key += h[k:len(h) - words + 1 + k] * _MULTIPLIERS[k] if len(key) else 0
+            key = mix(key).view(np.int64)
+        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if end - start >= words:
+                yield np.unique(key[start:end - words + 1])
+            elif end > start:
+                whole = np.full(1, end - start, dtype=np.uint64)
+                for at in range(start, end):
+                    whole = combine(whole, h[at:at + 1])
+                yield whole.view(np.int64)
+            else:
+                yield np.zeros(0, dtype=np.int64)
 
 
 def ngrams(text: str | None, words: int) -> np.ndarray:
-    """The sorted distinct n-gram hashes (int64) of a text."""
-    parts = utf8(text).lower().split()  # bytes: only A-Z are lowered, only \x20\x09-\x0D split
-    n = len(parts)
-    if n < words:
-        return np.array([xxhash.xxh3_64_intdigest(b"\0".join(parts))] if n else [], dtype=np.uint64).view(np.int64)
-    h = word_hashes(parts)
-    with np.errstate(over="ignore"):
-        key = np.zeros(n - words + 1, dtype=np.uint64)
-        for k in range(words):
-            key += h[k:n - words + 1 + k] * _MULTIPLIERS[k]
-        key ^= key >> np.uint64(31)
-        key *= np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return np.unique(key.view(np.int64))
+    """The n-grams of one text."""
+    return next(ngram_sets([text], words))
 
 
 def least_overlap(n1, n2, percent: int):
@@ -112,8 +119,7 @@ def frequent_ngrams(docs: DataFrame, text: str, words: int) -> np.ndarray:
             often = n >= COUNT_LEAST
             return pa.RecordBatch.from_arrays([pa.array(got[often]), pa.array(n[often])], names=["gram", "n"])
         for batch in batches:
-            for value in batch.column(0):
-                grams = ngrams(value.as_py(), words)
+            for grams in ngram_sets(batch.column(0), words):
                 held.append(grams)
                 cells += len(grams)
                 if cells >= COUNT_CELLS:
@@ -153,8 +159,7 @@ def document_rows(docs: DataFrame, order: ColumnOrder, words: int, percent: int,
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("__text"))
 
     def compute(texts):
-        for t in texts:
-            grams = ngrams(t, words)
+        for grams in ngram_sets(texts, words):
             n = len(grams)
             yield (n, node_of(grams), known.value.arrange(grams)[:prefix_length(n, percent)]) if n else (0, None, [])
 
@@ -282,8 +287,7 @@ def placed_sets(docs: DataFrame, places: DataFrame, words: int, id_col: str, tex
             .repartition("doc_id").dropDuplicates(["doc_id", "__text"]).join(places, "doc_id"))
 
     def compute(texts):
-        for t in texts:
-            grams = ngrams(t, words)
+        for grams in ngram_sets(texts, words):
             yield (node_of(grams), grams.tobytes()) if len(grams) else (None, b"")
 
     got = with_text_columns(slim, "__text", [field("node", "long"), field("grams", "binary")], compute)
