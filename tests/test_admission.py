@@ -204,3 +204,42 @@ def test_admission_same_for_any_partition_count(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1] == results[2]
+
+
+def test_sums_of_a_hot_cell_are_spread(spark):
+    """Most rows in one cell, many of them at one time: the sums are right and no (cell, block) holds a large share."""
+    from pyspark.sql import functions as F
+
+    from slopebook.plans.session import materialize
+    rng = random.Random(3)
+    t0 = dt.datetime(2025, 1, 1)
+    rows = [(i, t0 + dt.timedelta(minutes=rng.choice([0, 0, 0, 5, i])), "hot" if i % 4 else f"c{i % 3}", rng.randint(0, 5)) for i in range(600)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "request_id int, requested_at timestamp, cell string, v int")
+    placed = materialize(admission.in_blocks(df), "test-blocks")
+    got = {r.request_id: (r.low, r.high) for r in admission.with_sums_before(placed, low=F.when(F.col("v") > 2, F.col("v")), high=F.col("v")).collect()}
+    want, sums = {}, {}
+    for i, _at, cell, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        low, high = sums.get(cell, (0, 0))
+        want[i] = (low, high)
+        sums[cell] = (low + (v if v > 2 else 0), high + v)
+    assert got == want
+    largest = placed.where("cell = 'hot'").groupBy("block").count().agg(F.max("count")).first()[0]
+    assert largest <= 450 * 0.6  # four blocks here: the hot cell's 450 rows are not together
+
+
+def test_changes_of_a_hot_item(spark):
+    """A9 on an item with most of the changes equals the step-by-step fold."""
+    from slopebook.operators import maintenance
+    rng = random.Random(4)
+    changes = [(k, 1 if rng.random() < 0.8 else 2, rng.choice([-1, -1, 1, 0, None]), rng.random() < 0.1) for k in range(500)]
+    eq = spark.createDataFrame([(1, 2, True), (2, 0, True), (3, 7, False)], "id int, total_quantity int, is_active boolean")
+    shuffled = changes[:]
+    rng.shuffle(shuffled)
+    df = spark.createDataFrame(shuffled, "change_no long, equipment_item_id int, delta int, toggle boolean")
+    got = {r.id: (r.total_quantity, r.is_active) for r in maintenance.apply_equipment_changes(eq, df).collect()}
+    want = {1: (2, True), 2: (0, True), 3: (7, False)}
+    for _k, item, delta, toggle in changes:
+        q, active = want[item]
+        want[item] = (max(q + (delta or 0), 0), active != toggle)
+    assert got == want
