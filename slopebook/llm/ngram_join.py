@@ -54,7 +54,7 @@ COUNT_CELLS, COUNT_LEAST = 4_000_000, 3
 #: Incidences that one side of a block product holds.
 BLOCK_CELLS = 4_000_000
 #: Share of a node's prefix that it must have in common with its hub to join its group.
-GROUP_PERCENT = 15
+GROUP_PERCENT = 20
 
 _MULTIPLIERS = np.random.default_rng(64).integers(1, 2 ** 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WORD = ~byte_set(SPACES)
