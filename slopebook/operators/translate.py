@@ -145,6 +145,9 @@ def translate(df: DataFrame, text_col: str, lang: str, dictionary: DataFrame) ->
          .groupBy("_dk").agg(F.max_by(F.struct("_dv"), "_at").alias("_last")).select("_dk", "_last._dv"))
     # Only Japanese rows probe the dictionary (a NULL key never matches).
     base = base.withColumn("_k_probe", F.when(jp, F.col("_k")))
+    # A site's dictionary does not grow with its texts.  Without the hint the texts are shuffled by
+    # these keys before it is known to be small, and all that are not Japanese (NULL) meet in one task.
+    d = F.broadcast(d)
     j = (base.join(d.withColumnRenamed("_dk", "_k_probe").withColumnRenamed("_dv", "_d_k"), "_k_probe", "left")
          .join(d.withColumnRenamed("_dk", "_core").withColumnRenamed("_dv", "_d_core"), "_core", "left"))
     kk, cc, pp, ss = F.col("_k"), F.col("_core"), F.col("_pre"), F.col("_suf")

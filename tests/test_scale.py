@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from slopebook.operators import translate as tr
 from slopebook.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +44,16 @@ def test_more_source_makes_more_tasks_not_larger_ones(spark, monkeypatch):
     assert few == 2 * spark.sparkContext.defaultParallelism
     monkeypatch.setattr(fx, "BYTES_PER_TASK", 1000)
     assert fx._tasks(spark, SF, "orders") == fx._tasks(spark, SF, "lineitem") > few
+
+
+def test_texts_are_not_shuffled_to_meet_the_dictionary(spark):
+    d = spark.createDataFrame([("予約番号", "Booking no.", "號碼")], "ja string, en string, zh string")
+    texts = spark.range(100).select("id", F.when(F.col("id") % 3 == 0, "予約番号").when(F.col("id") % 3 == 1, "plain").alias("text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = tr.translate(texts, "text", "en", d)
+        p = plan(out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(_k_probe" not in p and "hashpartitioning(_core" not in p
+    assert {(r.text, r.translated) for r in out.collect()} == {("予約番号", "Booking no."), ("plain", None), (None, None)}
