@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from slopebook.operators import markup
 
@@ -183,25 +183,35 @@ def translate(df: DataFrame, text_col: str, lang: str, dictionary: DataFrame) ->
 # HTML structure
 # ---------------------------------------------------------------------------
 
-@F.pandas_udf(T.StringType())
-def _write_back(htmls: pd.Series, edits: pd.Series) -> pd.Series:
-    out = []
-    for v, ed in zip(htmls, edits):
-        if v is None or ed is None or len(ed) == 0:
-            out.append(v)
+def _written(v: str | None, edits: list[dict] | None) -> str | None:
+    """The page ``v`` with its edits (start, end, kind, text) put in."""
+    if v is None or not edits:
+        return v
+    pieces, pos = [], 0
+    for e in sorted(edits, key=lambda x: x["start"]):
+        if e["start"] < pos:
             continue
-        pieces, pos = [], 0
-        for e in sorted(ed, key=lambda x: x["start"]):
-            if e["start"] < pos:
-                continue
-            pieces.append(v[pos:e["start"]])
-            quote = e["kind"] != "text"
-            text = html.escape(e["text"], quote=quote)
-            pieces.append(f'"{text}"' if e["kind"].startswith("bare:") else text)
-            pos = e["end"]
-        pieces.append(v[pos:])
-        out.append("".join(pieces))
-    return pd.Series(out, dtype="object")
+        pieces.append(v[pos:e["start"]])
+        quote = e["kind"] != "text"
+        text = html.escape(e["text"], quote=quote)
+        pieces.append(f'"{text}"' if e["kind"].startswith("bare:") else text)
+        pos = e["end"]
+    pieces.append(v[pos:])
+    return "".join(pieces)
+
+
+def _write_back(pages: DataFrame, html_col: str) -> DataFrame:
+    """``pages`` with the edits of each (column ``edits``, dropped) put into ``html_col``."""
+    at, edits_at = pages.columns.index(html_col), pages.columns.index("edits")
+    schema = pages.drop("edits").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in markup.slices(whole, at)):
+            new = [_written(v, e) for v, e in zip(batch.column(at).to_pylist(), batch.column(edits_at).to_pylist())]
+            columns = [pa.array(new, type=batch.column(i).type) if i == at else batch.column(i) for i in range(batch.num_columns) if i != edits_at]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return pages.mapInArrow(run, schema)
 
 
 def page_nodes(pages: DataFrame, id_col: str = "id", html_col: str = "html") -> DataFrame:
@@ -225,9 +235,7 @@ def translate_pages(pages: DataFrame, lang: str, dictionary: DataFrame, id_col:
     edits = (tr.where(F.col("translated").isNotNull())
              .groupBy(id_col).agg(F.collect_list(F.struct("start", "end", "kind",
                                                           F.col("display").alias("text"))).alias("edits")))
-    out = (pages.join(edits, id_col, "left")
-           .withColumn(html_col, _write_back(F.col(html_col), F.col("edits"))).drop("edits"))
-    return out, tr
+    return _write_back(pages.join(edits, id_col, "left").select(*pages.columns, "edits"), html_col), tr
 
 
 def select_language_blocks(pages: DataFrame, lang: str, html_col: str = "html") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from slopebook.operators import translate as tr
+from slopebook.operators import markup, translate as tr
 from slopebook.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +60,33 @@ def test_texts_are_not_shuffled_to_meet_the_dictionary(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(_k_probe" not in p and "hashpartitioning(_core" not in p
     assert {(r.text, r.translated) for r in out.collect()} == {("予約番号", "Booking no."), ("plain", None), (None, None)}
+
+
+def test_page_batches_are_taken_in_slices(monkeypatch):
+    monkeypatch.setattr(markup, "SLICE_BYTES", 10)
+    texts = ["a" * 4, None, "b" * 6, "c" * 30, "", "d", None]
+    parts = list(markup.slices(pa.RecordBatch.from_arrays([pa.array(texts)], ["html"]), 0))
+    assert [v for p in parts for v in p.column(0).to_pylist()] == texts
+    assert [p.num_rows for p in parts] == [3, 1, 3]
+    assert list(markup.slices(pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["html"]), 0)) == []
+
+
+def test_positions_equal_those_by_line_and_column():
+    class ByLine(markup.PageScan):
+        def __init__(self, text):
+            self.line_starts = [0] + [i + 1 for i, c in enumerate(text) if c == "\n"]
+            super().__init__(text, "r")
+
+        updatepos = markup.html.parser.HTMLParser.updatepos
+
+        def _pos(self):
+            line, col = self.getpos()
+            return self.line_starts[line - 1] + col
+
+    rng = random.Random(3)
+    pieces = ["<p>", "</p>", "\n", "予約", "<div id=r data-langblock='ja'\n>", "</div>", "<!-- x\n -->", "&amp;", "&#x4E88;", "<", "<img alt=スキー>", "<script>",
+              "</script>", "<!x", "<?y\n>", "a < b", "<textarea>", "</textarea>", "</", "<br/>", "<a title='大\n人'", "😀"]
+    for _ in range(1500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        new, old = markup.PageScan(text, "r"), ByLine(text)
+        assert (new.nodes, new.blocks, new.root) == (old.nodes, old.blocks, old.root), text
