@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from slopebook.operators import notify
 from slopebook.plans.session import materialize
 from slopebook.streaming import status as st
-from slopebook.streaming.files import batches
+from slopebook.streaming.files import batches, start
 
 OUTBOX_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("reservation_id", T.IntegerType()), T.StructField("recipient", T.StringType()),
@@ -72,8 +72,7 @@ def run_outbox_stream(spark: SparkSession, events_dir: str, reservations: DataFr
     """Run J1 over the files in ``events_dir`` until they are consumed; return the outbox."""
     transitions = st.transition_stream(spark, events_dir, seeds(reservations, members), checkpoint, max_files_per_trigger)
     facts, shops = facts_type(reservations, members), materialize(shops, "outbox-shops")
-    q = (transitions.writeStream
-         .foreachBatch(lambda df, epoch: write_outbox_batch(df, epoch, outbox_dir, facts, shops))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q = start(transitions.writeStream.foreachBatch(lambda df, epoch: write_outbox_batch(df, epoch, outbox_dir, facts, shops))
+              .outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True), spark, f"{checkpoint}-seeds")
     q.awaitTermination()
     return batches(spark, outbox_dir, OUTBOX_SCHEMA)

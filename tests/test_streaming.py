@@ -206,3 +206,41 @@ def test_stream_gives_no_code_twice(spark, monkeypatch):
     codes = [c for c in got.values() if c]
     assert len(codes) == len(set(codes)) > 3 and "YR-SAME00" not in codes
     assert got == {r.request_id: r.reservation_code for r in adm.admit(req, eq, res, mem, cl, TA.AS_OF).collect()}
+
+
+def _fold(rows, stored):
+    """event_id -> (old, new, result), by the rules one event after the other."""
+    now, out = dict(stored), {}
+    for event, rid, _at, action in rows:
+        old = now.get(rid)
+        if action == "confirm":
+            new, result = ("confirmed", "OK") if old == "pending" else (old, "NOT_PENDING")
+        elif action == "cancel":
+            new, result = (old, "NOT_FOUND") if old is None else (old, "ALREADY_CANCELLED") if old == "cancelled" else ("cancelled", "OK")
+        else:
+            new, result = old, "NO_CHANGE"
+        now[rid], out[event] = new, (old, new, result)
+    return out
+
+
+def test_status_stream_over_many_micro_batches_equals_the_fold(spark):
+    """Every stored status, none and unknown reservations, ties in time, and no reservation that is a Python group."""
+    import random
+    rnd = random.Random(5)
+    stored = {i: s for i, s in enumerate(("pending", "pending", "confirmed", "cancelled", "other", None))}
+    at = dt.datetime(2025, 1, 1)
+    rows = [(k, rnd.randrange(8), at + dt.timedelta(hours=k // 3), rnd.choice(("created", "confirm", "cancel", "confirm"))) for k in range(90)]
+    res = spark.createDataFrame(list(stored.items()), "id int, status string")
+    d = _scratch()
+    write_in_time_order(spark.createDataFrame(rows, sst.EVENT_SCHEMA), f"{d}/in", "ts", "event_id", rows_per_file=20)
+    out = sst.run_status_stream(spark, f"{d}/in", res, f"{d}/out", f"{d}/ckpt")
+    assert {r.event_id: (r.old_status, r.new_status, r.result) for r in out.collect()} == _fold(rows, stored)
+    plan = sst.transition_stream(spark, f"{d}/in", sst.seeds(res), f"{d}/other", 1)._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroups" not in plan and "Aggregate" in plan
+
+
+def test_status_stream_goes_on_where_the_clock_is_behind(spark):
+    """What a later run brings ranks above what came before, whatever the time; each run has its own number."""
+    from slopebook.streaming.files import next_run
+    d = _scratch()
+    assert [next_run(spark, f"{d}/runs") for _ in range(3)] == [0, 1, 2]
