@@ -244,3 +244,40 @@ def test_status_stream_goes_on_where_the_clock_is_behind(spark):
     from slopebook.streaming.files import next_run
     d = _scratch()
     assert [next_run(spark, f"{d}/runs") for _ in range(3)] == [0, 1, 2]
+
+
+def test_streams_keep_few_states_of_few_partitions(spark, monkeypatch):
+    """J3 has three keyed operators, none in Python, with two state partitions a core; the session's setting stays."""
+    from slopebook.streaming import files
+    data = TA.generate(7)
+    req, eq, res, mem, cl = TA._frames(spark, *data)
+    d = _scratch()
+    _write_in_time_order(req, f"{d}/in", "requested_at", n_files=1)
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+
+    def kept(*args):
+        seen.append(files.start(*args))
+        return seen[-1]
+    monkeypatch.setattr(sadm, "start", kept)
+    out = sadm.run_admission_stream(spark, f"{d}/in", schemas.REQUESTS_V2, eq, res, mem, cl, TA.AS_OF, f"{d}/out", f"{d}/ckpt")
+    assert out.count() == len(data[0])
+    states = seen[0].recentProgress[0]["stateOperators"]
+    assert sorted(s["operatorName"] for s in states) == ["dedupeWithinWatermark", "stateStoreSave", "stateStoreSave"]
+    assert {s["numShufflePartitions"] for s in states} == {2 * spark.sparkContext.defaultParallelism}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_stream_knows_the_stored_codes(spark):
+    """A code of many stored reservations is never given out as it is."""
+    data = TA.generate(13)
+    req, eq, res, mem, cl = TA._frames(spark, *data)
+    from slopebook.functions import pgcompat as pg
+    codes = req.select(pg.reservation_code(F.col("request_id")).alias("reservation_code")).distinct()
+    stored = res.drop("reservation_code").crossJoin(codes) if res.count() else res
+    first = res.select(F.min("id")).first()[0]
+    stored = stored.where(F.col("id") == first)   # one reservation, read once a code: the codes are all taken
+    d = _scratch()
+    _write_in_time_order(req, f"{d}/in", "requested_at", n_files=2)
+    out = sadm.run_admission_stream(spark, f"{d}/in", schemas.REQUESTS_V2, eq, stored, mem.limit(0), cl, TA.AS_OF, f"{d}/out", f"{d}/ckpt")
+    got = {r.request_id: r.reservation_code for r in out.collect() if r.accepted}
+    assert got and all(c.endswith(f"-{k}") for k, c in got.items())
