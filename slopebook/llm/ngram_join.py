@@ -13,10 +13,14 @@ with its transpose is taken in blocks, and only where the sizes allow a link:
    in columns, the overlaps of a node with the larger group are accumulated; a
    node that could reach the bound that the sizes imply takes part in that group
    as a visitor, all others are discarded.
-4. A group's product runs in numpy on whole sets, in blocks of bounded size: a
+4. The documents of a group are sifted before any whole set is moved: one that
+   shares too few prefix columns with each other document there, or whose sketch
+   (its n-grams counted by hash, some two bits an n-gram) allows no overlap
+   that is large enough, links with nothing in the group.
+5. What is left is multiplied in numpy on whole sets, in blocks of bounded size: a
    row is multiplied with the columns of what is not yet connected, so a group of
    copies costs one product, and no pair is ever a row of a table.
-5. Links join into components by alternating star contraction.
+6. Links join into components by alternating star contraction.
 
 Only the order of columns and the groups are heuristic (they decide how much
 work there is, not which links are found).  N-grams, words and sets are
@@ -53,6 +57,10 @@ MIN_FREQUENT = 30
 COUNT_CELLS, COUNT_LEAST = 4_000_000, 3
 #: Incidences that one side of a block product holds.
 BLOCK_CELLS = 4_000_000
+#: Sizes of documents (n-grams in all) that one side of a sifted block has.
+SIFT_CELLS = 8_000_000
+#: N-grams for each bin of a sketch, at least.
+SKETCH_SHARE = 4
 #: Share of a node's prefix that it must have in common with its hub to join its group.
 GROUP_PERCENT = 20
 
@@ -153,17 +161,24 @@ def node_of(grams: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes()))))
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """N-grams counted by the low bits of their hashes, a byte a bin; empty (nothing known) if a bin overflows."""
+    width = 1 << max(len(grams) // SKETCH_SHARE, 1).bit_length() - 1
+    bins = np.bincount(grams & np.int64(width - 1), minlength=width)
+    return bins.astype(np.uint8).tobytes() if bins.max() < 256 else b""
+
+
 def document_rows(docs: DataFrame, order: ColumnOrder, words: int, percent: int, id_col: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, node, prefix (the document's first columns) per row."""
+    """doc_id, n_shingles, node, prefix (the document's first columns), sketch per row."""
     known = docs.sparkSession.sparkContext.broadcast(order)  # at most MAX_FREQUENT n-grams
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("__text"))
 
     def compute(texts):
         for grams in ngram_sets(texts, words):
             n = len(grams)
-            yield (n, node_of(grams), known.value.arrange(grams)[:prefix_length(n, percent)]) if n else (0, None, [])
+            yield (n, node_of(grams), known.value.arrange(grams)[:prefix_length(n, percent)], sketch(grams)) if n else (0, None, [], None)
 
-    fields = [field("n_shingles", "long"), field("node", "long"), field("prefix", "longs")]
+    fields = [field("n_shingles", "long"), field("node", "long"), field("prefix", "longs"), field("sketch", "binary")]
     return with_text_columns(slim, "__text", fields, compute).drop("__text")
 
 
@@ -215,10 +230,10 @@ def visitors(cells: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     facts = groups.groupBy("grp").agg(
         F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
     met = own.select("gram", "grp").distinct()
-    several = met.groupBy("gram").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("gram")
-    host = (met.join(several, "gram").join(facts, "grp")
+    common = met.groupBy("gram").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("gram")
+    host = (met.join(common, "gram").join(facts, "grp")
             .select("gram", F.col("grp").alias("host"), F.col("size").alias("host_size"), "low", "high"))
-    guest = own.join(several, "gram").join(facts.select("grp", "size"), "grp")
+    guest = own.join(common, "gram").join(facts.select("grp", "size"), "grp")
     n, low, high = F.col("n"), F.col("low"), F.col("high")
     smaller = (F.col("size") < F.col("host_size")) | ((F.col("size") == F.col("host_size")) & (F.col("grp") < F.col("host")))
     rows = guest.join(host, "gram").where(smaller & (100 * high >= percent * n) & (100 * n >= percent * low))
@@ -234,21 +249,106 @@ def visitors(cells: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return counted.where(F.col("c") >= F.least(needed(least_size), needed(most_size))).select("node", F.col("host").alias("grp"))
 
 
+class Columns:
+    """The incidence matrix of some sets, held by columns."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        grams, self.column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        self.rows_of = row[np.argsort(self.column, kind="stable")]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.column, minlength=len(grams)))])
+        self.firsts = np.concatenate([[0], np.cumsum(sizes)])
+
+    def met(self, x: int) -> np.ndarray:
+        """The rows that share a column with row ``x``, once for each column that others have too."""
+        cols = self.column[self.firsts[x]:self.firsts[x + 1]]
+        wide = cols[self.starts[cols + 1] - self.starts[cols] > 1]
+        if not len(wide):
+            return np.zeros(0, dtype=np.int64)
+        lens = self.starts[wide + 1] - self.starts[wide]
+        at = np.repeat(self.starts[wide] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
+        return self.rows_of[at]
+
+
+def folded(bins: np.ndarray, width: int) -> np.ndarray:
+    """Rows of sketches with ``width`` bins (both are powers of two)."""
+    return bins if bins.shape[1] == width else bins.reshape(len(bins), -1, width).sum(axis=1, dtype=np.int64)
+
+
+def sift(sizes: np.ndarray, columns: list[np.ndarray], sketches: list[bytes], percent: int) -> np.ndarray:
+    """Whether each of these documents may link with another of them.
+
+    sizes: of the whole sets; columns: the prefix columns that others meet in.
+    Two sets share at most what their prefixes share and what the larger one
+    has beyond its prefix, and at most the lesser of the two counts in each
+    bin of their sketches.
+    """
+    matrix = Columns(columns)
+    width = np.array([len(s) for s in sketches], dtype=np.int64)
+    bins, place = {}, np.zeros(len(width), dtype=np.int64)
+    for w in np.unique(width[width > 0]).tolist():
+        at = np.flatnonzero(width == w)
+        place[at] = np.arange(len(at))
+        bins[w] = np.frombuffer(b"".join(sketches[k] for k in at), dtype=np.uint8).reshape(len(at), w)
+    may = np.zeros(len(sizes), dtype=bool)
+    for x in range(len(sizes)):
+        if may[x]:
+            continue
+        near, shared = np.unique(matrix.met(x), return_counts=True)
+        beyond = -(-percent * np.maximum(sizes[near], sizes[x]) // 100) - 1
+        least = least_overlap(sizes[near], sizes[x], percent)
+        hit = (near != x) & (least <= np.minimum(sizes[near], sizes[x])) & (shared + beyond >= least)
+        near, least = near[hit], least[hit]
+        fits = np.ones(len(near), dtype=bool)
+        for w in np.unique(width[near]).tolist() if width[x] else []:
+            if w:
+                at, both = np.flatnonzero(width[near] == w), min(w, int(width[x]))
+                mine = folded(bins[int(width[x])][place[x]][None], both)
+                most = np.minimum(folded(bins[w][place[near[at]]], both), mine).sum(axis=1, dtype=np.int64)
+                fits[at] = most >= least[at]
+        may[near[fits]] = True
+        may[x] = fits.any()
+    return may
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """``members`` (node, grp, blocks, ...) at every pair i, j of blocks of the group that the node's block is in."""
+    return (members.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other")))
+
+
+def several(members: DataFrame, nodes: DataFrame, cells: int) -> DataFrame:
+    """node, grp, blocks: the members of groups of two or more, and the blocks that so many n-grams of the group ask for."""
+    sizes = (members.join(nodes.select("node", "n"), "node").groupBy("grp")
+             .agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("cells")).where("m > 1"))
+    return members.join(sizes.select("grp", F.ceil(F.col("cells") / cells).cast("int").alias("blocks")), "grp")
+
+
+def sifted(members: DataFrame, cells: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``members`` (node, grp) that may link with another one of their group."""
+    columns = cells.groupBy("node").agg(F.collect_list("gram").alias("columns"))
+    facts = nodes.select("node", "n", "sketch").join(columns, "node")
+    placed = in_blocks(several(members, nodes, SIFT_CELLS)).join(facts, "node").select("node", "grp", "i", "j", "n", "columns", "sketch")
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf["n"].to_numpy(dtype=np.int64)
+        may = sift(sizes, [np.asarray(c, dtype=np.int64) for c in pdf["columns"]], [bytes(s) for s in pdf["sketch"]], percent)
+        return pdf.loc[may, ["node", "grp"]]
+
+    return placed.groupBy("grp", "i", "j").applyInPandas(product, "node long, grp long").distinct()
+
+
 def peel(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that span the components of these documents, by sparse row products.
 
-    The incidence matrix is held by columns.  A document's product with what is
-    not yet connected gives all its overlaps; what links leaves the rest and is
-    expanded in turn, so connected documents are not compared again.
+    A document's product with what is not yet connected gives all its overlaps;
+    what links leaves the rest and is expanded in turn, so connected documents
+    are not compared again.
     """
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    flat = np.concatenate(sets)
-    grams, column = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    by_column = np.argsort(column, kind="stable")
-    rows_of = row[by_column]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(column, minlength=len(grams)))])
-    firsts = np.concatenate([[0], np.cumsum(sizes)])
+    matrix = Columns(sets)
     left = np.ones(len(sets), dtype=bool)
     out: list[tuple[int, int]] = []
     for seed in range(len(sets)):
@@ -258,14 +358,10 @@ def peel(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
         queue = [seed]
         while queue and left.any():
             x = queue.pop()
-            cols = column[firsts[x]:firsts[x + 1]]
-            lens = starts[cols + 1] - starts[cols]
-            wide = cols[lens > 1]
-            if not len(wide):
+            met = matrix.met(x)
+            if not len(met):
                 continue
-            lens = starts[wide + 1] - starts[wide]
-            at = np.repeat(starts[wide] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-            overlap = np.bincount(rows_of[at], minlength=len(sets))
+            overlap = np.bincount(met, minlength=len(sets))
             hit = np.flatnonzero(left & (overlap >= least_overlap(sizes, sizes[x], percent)) & (overlap > 0))
             left[hit] = False
             queue += hit.tolist()
@@ -292,21 +388,17 @@ def placed_sets(docs: DataFrame, places: DataFrame, words: int, id_col: str, tex
 
     got = with_text_columns(slim, "__text", [field("node", "long"), field("grams", "binary")], compute)
     # A group has one block, or as many as its size asks for; each pair of blocks is one product.
-    block = F.pmod(F.xxhash64("node"), F.col("p.blocks")).cast("int")
-    return (got.select("node", "grams", F.explode("places").alias("p")).where("node = p.node")
-            .withColumn("blk", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)))
-            .select("node", "grams", F.col("p.grp").alias("grp"), F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")))
+    here = got.select("node", "grams", F.explode("places").alias("p")).where("node = p.node")
+    return in_blocks(here.select("node", "grams", "p.grp", "p.blocks")).select("node", "grams", "grp", "i", "j")
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: str, text: str) -> DataFrame:
-    """a, b: links that span the components of ``nodes`` (node, n, doc_id, prefix)."""
+    """a, b: links that span the components of ``nodes`` (node, n, doc_id, prefix, sketch)."""
     cells = materialize(incidence(nodes), "ngram_columns")
     groups = materialize(group_nodes(cells, nodes, percent), "ngram_groups")
     taking_part = materialize(groups.select("node", "grp").union(visitors(cells, groups, percent)), "ngram_members")
-    sizes = (taking_part.join(nodes.select("node", "n"), "node").groupBy("grp")
-             .agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("cells")).where("m > 1"))
-    blocks = F.ceil(F.col("cells") / BLOCK_CELLS).cast("int")
-    members = taking_part.join(sizes.select("grp", blocks.alias("blocks")), "grp").join(nodes.select("node", "doc_id"), "node")
+    left = materialize(sifted(taking_part, cells, nodes, percent), "ngram_sifted")
+    members = several(left, nodes, BLOCK_CELLS).join(nodes.select("node", "doc_id"), "node")
     places = materialize(members.groupBy("doc_id").agg(F.collect_set(F.struct("node", "grp", "blocks")).alias("places")), "ngram_places")
     placed = placed_sets(docs, places, words, id_col, text)
 
@@ -353,7 +445,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     rows = materialize(document_rows(docs, order, words, percent, id_col, text), "ngram_rows")
     known = rows.where("node is not null and doc_id is not null")
     nodes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"),
-                                                  F.min("prefix").alias("prefix")), "ngram_nodes")
+                                                  F.min("prefix").alias("prefix"), F.min("sketch").alias("sketch")), "ngram_nodes")
     roots = materialize(components(links(docs, nodes, words, percent, id_col, text)), "ngram_roots")
     named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

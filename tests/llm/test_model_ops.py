@@ -333,3 +333,41 @@ def test_least_overlap_is_exact():
             for n2 in range(1, 40):
                 need = min((i for i in range(0, 100) if 100 * i >= percent * (n1 + n2 - i)))
                 assert ngram_join.least_overlap(n1, n2, percent) == need
+
+
+def test_sift_keeps_every_link():
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(12):
+        base = np.unique(rng.integers(-2 ** 63, 2 ** 63 - 1, rng.integers(1, 300)))
+        for _ in range(rng.integers(1, 6)):
+            gone = rng.integers(0, len(base) // 12 + 1)
+            own = rng.integers(-2 ** 63, 2 ** 63 - 1, rng.integers(0, len(base) // 16 + 1))
+            sets.append(np.unique(np.concatenate([rng.permutation(base)[gone:], own])))
+    for percent in (80, 85):
+        linked = np.array([any(i != k and 100 * len(np.intersect1d(s, t)) >= percent * len(np.union1d(s, t))
+                               for k, t in enumerate(sets)) for i, s in enumerate(sets)])
+        prefixes = [s[:ngram_join.prefix_length(len(s), percent)] for s in sets]
+        sizes = np.array([len(s) for s in sets])
+        known = [ngram_join.sketch(s) for s in sets]
+        for sketches in (known, [b""] * len(sets), [b"" if k % 3 else s for k, s in enumerate(known)]):
+            assert ngram_join.sift(sizes, prefixes, sketches, percent)[linked].all()
+        assert 5 < linked.sum() < len(sets)
+    # One bin that overflows: nothing is known of the set.
+    assert ngram_join.sketch(np.arange(5000, dtype=np.int64) * 2 ** 20) == b""
+
+
+def test_only_sets_that_may_link_are_moved(spark, monkeypatch):
+    rng = random.Random(6)
+    hub = [f"h{rng.randrange(10 ** 9)}" for _ in range(400)]
+    texts = [hub, [*hub[:398], "y", "z"], *([*hub[:200], *(f"o{k}w{i}" for i in range(200))] for k in range(20))]
+    places, placed = [], ngram_join.placed_sets
+
+    def counted(docs, wanted, *rest):
+        places.append(wanted.count())
+        return placed(docs, wanted, *rest)
+    monkeypatch.setattr(ngram_join, "placed_sets", counted)
+    rows = [(i, " ".join(t), None, None, None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(documents(spark, rows), 4, 85).collect()}
+    assert got == {i: 0 if i < 2 else i for i in range(len(rows))}
+    assert places == [2]  # half of its columns bring each of the others to the hub's group
