@@ -55,6 +55,8 @@ FACTOR = 2_000_000
 BLOCK_WORDS = 2_000_000
 #: Words of the corpus for each bucket.
 BUCKET_WORDS = 500_000
+#: Words of a block whose runs are sorted at once.
+SORT_WORDS = 250_000
 
 #: Texts over this size are read in parts that end after a break.
 LONG_BYTES = 4_000_000
@@ -223,9 +225,15 @@ def dealt_runs(columns: list[np.ndarray], n: np.ndarray, buckets: int) -> Iterat
         key = combine(key, c.view(np.uint64))
     number = key_bucket(mix(key), buckets)
     order = np.argsort(number, kind="stable")
-    columns, n = [c[order] for c in columns], n[order]
-    for b, s in dealt(number[order]):
-        yield b, [pack(c[s], k == 0) for k, c in enumerate(columns)], pack(n[s])
+    places = list(dealt(number[order]))
+    del key, number
+
+    def packed(c, steps=False):  # a column is in order only while it is packed
+        c = c[order]
+        return [pack(c[s], steps) for _b, s in places]
+    blobs = [packed(c, k == 0) for k, c in enumerate(columns)]
+    for (b, _s), words, total in zip(places, zip(*blobs), packed(n)):
+        yield b, list(words), total
 
 
 def longest_runs(ids: np.ndarray, firsts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -239,23 +247,30 @@ def longest_runs(ids: np.ndarray, firsts: np.ndarray) -> tuple[list[np.ndarray],
     word, begin = ids[often], begin[often]
     if not len(word):
         return [np.zeros(0, dtype=np.int64)] * LONGEST, np.zeros(0, dtype=np.int64)
-    run = np.cumsum(begin)
-    known, local = np.unique(word, return_inverse=True)
+    run = np.cumsum(begin, dtype=np.int32)
+    known = np.unique(word)
+    local = np.searchsorted(known, word).astype(np.int32)
     size = len(known) + 1
-
-    def ahead(k):
-        out = np.zeros(len(word), dtype=np.int64)
-        if k < len(word):
-            same = run[k:] == run[:len(word) - k]
-            out[:len(word) - k] = np.where(same, local[k:] + 1, 0)
-        return out
-    # Pairs of words, then pairs of pairs: two sorts of single numbers instead of one of four columns.
-    left, left_at = np.unique((local + 1) * np.int64(size) + ahead(1), return_inverse=True)
-    right, right_at = np.unique(ahead(2) * np.int64(size) + ahead(3), return_inverse=True)
-    both, n = np.unique(left_at * np.int64(len(right)) + right_at, return_counts=True)
     names = np.append(-1, known)
-    first, second = left[both // len(right)], right[both % len(right)]
-    return [names[c] for c in (first // size, first % size, second // size, second % size)], n
+    del word, begin
+    # Runs by their first word, so many at once that the sorts stay small.
+    before = np.cumsum(np.bincount(local)) - 1
+    part = (before // SORT_WORDS).astype(np.int32)[local]
+    found: list[list[np.ndarray]] = []
+    for p in np.unique(part):
+        at = np.flatnonzero(part == p)
+
+        def ahead(k):
+            to = np.minimum(at + k, len(local) - 1)
+            return np.where((at + k < len(local)) & (run[to] == run[at]), local[to].astype(np.int64) + 1, 0)
+        # Pairs of words, then pairs of pairs: two sorts of single numbers instead of one of four columns.
+        left, left_at = np.unique((local[at] + np.int64(1)) * size + ahead(1), return_inverse=True)
+        right, right_at = np.unique(ahead(2) * np.int64(size) + ahead(3), return_inverse=True)
+        both, n = np.unique(left_at * np.int64(len(right)) + right_at, return_counts=True)
+        first, second = left[both // len(right)], right[both % len(right)]
+        found.append([names[c] for c in (first // size, first % size, second // size, second % size)] + [n])
+    *columns, n = (np.concatenate([f.pop(0) for f in found]) for _ in range(LONGEST + 1))
+    return columns, n
 
 
 def runs(blocks: DataFrame, replies: DataFrame, buckets: int, least: int) -> DataFrame:

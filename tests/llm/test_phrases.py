@@ -106,3 +106,29 @@ def test_exact_beyond_64_bits(spark):
     grams = spark.createDataFrame([([1, 2], 8 * 10 ** 15 + 1, True)], "run array<long>, f long, kept boolean")
     got = phrase_graph.scored(grams, words).first()
     assert got["score"] == 2_000_000 * (8 * 10 ** 15 + 1) // (18 * 10 ** 15 + 1)
+
+
+def test_runs_of_a_block_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    rng = np.random.default_rng(3)
+    ids = rng.zipf(1.3, 600_000) % 40_000 * 7
+    ids[rng.random(len(ids)) < 0.05] = -1
+    firsts = rng.random(len(ids)) < 0.05
+    firsts[0] = True
+    tracemalloc.start()
+    columns, n = phrase_graph.longest_runs(ids, firsts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * len(ids)  # bytes; one sort of all runs takes over 100 a word
+    piece = np.cumsum(firsts | np.append(False, ids[:-1] < 0))
+    want = Counter()
+    padded, pieces = np.append(ids, [-1] * 3), np.append(piece, [-1] * 3)
+    rows = [np.where(pieces[k:k + len(ids)] == piece, padded[k:k + len(ids)], -1) for k in range(4)]
+    for run in zip(*(np.where(np.all([r >= 0 for r in rows[1:k + 1]], axis=0), rows[k], -1).tolist() for k in range(4))):
+        if run[0] >= 0:
+            want[run] += 1
+    assert dict(zip(zip(*(c.tolist() for c in columns)), n.tolist())) == want
+    order = list(zip(*(c.tolist() for c in columns)))
+    assert order == sorted(order)
