@@ -10,7 +10,9 @@ smaller document, or earlier in the same one) is removed.
 2. *Equal segments* are combined, first inside each task and then per anchor:
    all but the earliest occurrence are removed whole.  Anchors with one segment
    left are unique and end here, which is nearly all of the corpus.
-3. *Merged transforms.*  The distinct segments of the other anchors are packed
+   Equal windows have their anchor at one place, so a segment takes part only if
+   it agrees with another one of its anchor in 82 bytes or so around the anchor.
+3. *Merged transforms.*  What is left of the other anchors' distinct segments is packed
    into shards; each shard gets a suffix array (sorted to LENGTH bytes) and a
    Burrows-Wheeler transform.  The shards of a unit are merged by iterative
    interleave refinement: the interleave by the first t symbols is sorted
@@ -286,23 +288,54 @@ def repeated_windows(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int,
     return list(zip(doc[hit[first]].tolist(), start[hit[first]].tolist(), (start[hit[last]] + LENGTH).tolist()))
 
 
+#: Bytes before and after the anchor that a window has at least, by the anchor's place in the window.
+_AROUND = [(low, REACH - 1 - high) for low, high in ((0, 18), (19, 37), (38, 56), (57, 76))]
+
+
+def meeting(anchors: list[int], raws: list[bytes]) -> np.ndarray:
+    """Whether each segment may have a window of another one.
+
+    Two equal windows have the anchor at one place, and what ``_AROUND`` names
+    for this place is the same in both.
+    """
+    sizes = np.array([len(r) for r in raws], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    h = gram_hashes(np.frombuffer(b"".join(raws), dtype=np.uint8)).view(np.int64)
+    # The anchor is the first gram of its hash in the segment: an earlier one would be the anchor.
+    hit = np.flatnonzero(h == np.repeat(np.array(anchors, dtype=np.int64), sizes)[:len(h)])
+    of = np.searchsorted(starts, hit, side="right") - 1
+    inside = hit + GRAM <= starts[of] + sizes[of]
+    found, first = np.unique(of[inside], return_index=True)
+    place = (hit[inside][first] - starts[found]).tolist()
+    out = np.ones(len(raws), dtype=bool)
+    out[found] = False
+    for before, after in _AROUND:
+        whole = [(k, p) for k, p in zip(found.tolist(), place) if p >= before and sizes[k] - p - GRAM >= after]
+        keys = np.array([xxhash.xxh3_64_intdigest(raws[k][p - before:p + GRAM + after]) for k, p in whole], dtype=np.uint64)
+        _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+        out[[k for (k, _p), many in zip(whole, (n[at] > 1).tolist()) if many]] = True
+    return out
+
+
 _SPAN = "doc_id long, start long, end long"
 
 
 def merge_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Open segments with their bytes, sorted by anchor, to repeated spans: whole anchors per unit."""
-    rows, held, last = [], 0, None
+    rows, anchors, held, last = [], [], 0, None
 
     def settle():
-        found = repeated_windows(rows) if len(rows) > 1 else []
+        took = [r for r, may in zip(rows, meeting(anchors, [r[3] for r in rows])) if may]
+        found = repeated_windows(took) if len(took) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(3)], names=["doc_id", "start", "end"])
 
     for batch in batches:
         for anchor, doc_id, at, windows, raw in zip(*(c.to_pylist() for c in batch.columns)):
             if held >= UNIT_BYTES and anchor != last:
                 yield settle()
-                rows, held = [], 0
+                rows, anchors, held = [], [], 0
             rows.append((doc_id, at, windows, raw))
+            anchors.append(anchor)
             held += len(raw)
             last = anchor
     if rows:

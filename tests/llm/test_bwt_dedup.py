@@ -121,3 +121,48 @@ def test_segments_tile_all_windows_and_depend_on_bytes_alone():
             for w in range(s, s + k):
                 assert anchors.setdefault(raw[w:w + 100].tobytes(), x) == x
     assert (covered == 1).all()
+
+
+def test_segments_that_meet_no_other_are_not_merged(monkeypatch):
+    import pyarrow as pa
+    rng = random.Random(8)
+    gram = "the anchor of 24 bytes.."
+    rows, key = [], int(bwt_dedup.gram_hashes(np.frombuffer(gram.encode(), dtype=np.uint8)).view(np.int64)[0])
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    left, right = word(76), word(76)
+    for k in range(30):  # 77 windows: all bytes around the anchor differ
+        rows.append((key, k, 0, 77, (word(76) + gram + word(76)).encode()))
+    for k, (a, b) in enumerate([(left, word(76)), (left, word(76)), (word(76), right), (word(76), right),
+                                (word(36) + left[36:], right[:36] + word(40)), (word(36) + left[36:], right[:36] + word(40))]):
+        rows.append((key, 100 + k, 0, 77, (a + gram + b).encode()))
+    seen, merge = [], bwt_dedup.repeated_windows
+
+    def merged(taken):
+        seen.append(len(taken))
+        return merge(taken)
+    monkeypatch.setattr(bwt_dedup, "repeated_windows", merged)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(5)], names=["anchor", "doc_id", "at", "windows", "raw"])
+    got = [s for out in bwt_dedup.merge_units(iter([batch])) for s in zip(*(c.to_pylist() for c in out.columns))]
+    assert sorted(got) == sorted(merge([r[1:] for r in rows]))
+    assert {d for d, _s, _e in got} == {101, 103, 105}
+    assert len(seen) == 1 and seen[0] < 12
+
+
+def test_meeting_keeps_every_equal_window():
+    rng = random.Random(9)
+    base = prose(rng, 300)
+    found = {}
+    for k in range(40):
+        at = rng.randrange(len(base) - 10)
+        raw = (base[:at] + rng.choice(["x", "yy", "", "zzzz"]) + base[at + rng.randint(0, 3):]).encode() + b"ab" * 90
+        for anchors, starts, windows in bwt_dedup.segments(np.frombuffer(raw, dtype=np.uint8)):
+            for a, s, n in zip(anchors.tolist(), starts.tolist(), windows.tolist()):
+                found[raw[s:s + n + 99]] = (a, n)
+    raws = sorted(found, key=lambda r: found[r])
+    may = bwt_dedup.meeting([found[r][0] for r in raws], raws)
+    owners = {}
+    for k, r in enumerate(raws):
+        for w in range(found[r][1]):
+            owners.setdefault(r[w:w + 100], set()).add(k)
+    shared = {k for o in owners.values() if len(o) > 1 for k in o}
+    assert shared and all(may[k] for k in shared)
