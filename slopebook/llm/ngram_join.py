@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from slopebook.llm.arrays import SPACES, byte_set, combine, hashed_words, mix, text_bytes, text_slices
 from slopebook.llm.common import field, fresh, ship_package, with_text_columns
 from slopebook.llm.url_filter import bloom, bloom_bits, bloom_block
-from slopebook.plans.session import materialize
+from slopebook.plans.session import step
 
 WORDS, PERCENT = 5, 80
 #: Frequent n-grams that are moved to the end of the order, at most (16 bytes each in every task).
@@ -186,12 +186,13 @@ def incidence(nodes: DataFrame) -> DataFrame:
     """gram, node, hub: the entries of columns that two or more nodes meet in; the hub is the smallest.
 
     Smallest and largest node are combined before the shuffle; the join back
-    splits hot columns.  Sizes are joined later, to the few entries that are left.
+    splits hot columns.  The hubs are written first, so that only one of the two
+    shuffles is on disk at a time.  Sizes are joined later, to the few entries that are left.
     """
     cells = nodes.select("node", F.explode("prefix").alias("gram"))
-    stats = (cells.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-             .where("hub < last").select("gram", "hub"))
-    return cells.join(stats, "gram")
+    stats = step(cells.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+                 .where("hub < last").select("gram", "hub"), "ngram_hubs")
+    return step(cells.join(stats, "gram"), "ngram_columns", [stats])
 
 
 def group_nodes(cells: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -201,20 +202,19 @@ def group_nodes(cells: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     they are at least ``GROUP_PERCENT`` of its prefix; pointers lead to ever
     smaller nodes, so jumping along them ends after log2(longest path) rounds.
     """
-    met = materialize(cells.select("node").distinct().join(nodes.select("node", "n"), "node"), "ngram_met")
+    met = step(cells.select("node").distinct().join(nodes.select("node", "n"), "node"), "ngram_met")
     shared = cells.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
     best = (shared.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("b"))
             .select("node", F.col("b.hub").alias("up"), F.col("b.c").alias("c")).join(met, "node"))
     prefix = F.floor((100 - percent) * F.col("n") / 100) + 1
-    ups = materialize(best.where(100 * F.col("c") >= GROUP_PERCENT * prefix).select("node", "up"), "ngram_up")
+    ups = step(best.where(100 * F.col("c") >= GROUP_PERCENT * prefix).select("node", "up"), "ngram_up")
     while True:
-        nxt = materialize(ups.alias("a").join(ups.alias("b"), F.col("a.up") == F.col("b.node"), "left")
-                          .select(F.col("a.node").alias("node"), F.coalesce("b.up", "a.up").alias("up"),
-                                  F.col("b.up").isNotNull().alias("moved")), "ngram_up")
-        ups = nxt.select("node", "up")
-        if nxt.where("moved").limit(1).count() == 0:
+        ups = step(ups.alias("a").join(ups.alias("b"), F.col("a.up") == F.col("b.node"), "left")
+                   .select(F.col("a.node").alias("node"), F.coalesce("b.up", "a.up").alias("up"),
+                           F.col("b.up").isNotNull().alias("moved")), "ngram_up", [ups])
+        if ups.where("moved").limit(1).count() == 0:
             break
-    return met.join(ups, "node", "left").select("node", "n", F.coalesce("up", "node").alias("grp"))
+    return step(met.join(ups, "node", "left").select("node", "n", F.coalesce("up", "node").alias("grp")), "ngram_groups", [met, ups])
 
 
 def visitors(cells: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -226,7 +226,7 @@ def visitors(cells: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     shares with the group, plus the longer rest beyond the two prefixes; pairs
     of node and group below what the sizes ask for are discarded.
     """
-    own = materialize(cells.select("gram", "node").join(groups, "node"), "ngram_cells")
+    own = step(cells.select("gram", "node").join(groups, "node"), "ngram_cells")
     facts = groups.groupBy("grp").agg(
         F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
     met = own.select("gram", "grp").distinct()
@@ -246,7 +246,8 @@ def visitors(cells: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     least_size = F.greatest(low, F.ceil(percent * n / 100))
     most_size = F.least(high, F.floor(100 * n / percent))
     counted = rows.groupBy("node", "n", "host", "low", "high").agg(F.count(F.lit(1)).alias("c"))
-    return counted.where(F.col("c") >= F.least(needed(least_size), needed(most_size))).select("node", F.col("host").alias("grp"))
+    found = counted.where(F.col("c") >= F.least(needed(least_size), needed(most_size))).select("node", F.col("host").alias("grp"))
+    return step(found, "ngram_visitors", [own])
 
 
 class Columns:
@@ -394,12 +395,13 @@ def placed_sets(docs: DataFrame, places: DataFrame, words: int, id_col: str, tex
 
 def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: str, text: str) -> DataFrame:
     """a, b: links that span the components of ``nodes`` (node, n, doc_id, prefix, sketch)."""
-    cells = materialize(incidence(nodes), "ngram_columns")
-    groups = materialize(group_nodes(cells, nodes, percent), "ngram_groups")
-    taking_part = materialize(groups.select("node", "grp").union(visitors(cells, groups, percent)), "ngram_members")
-    left = materialize(sifted(taking_part, cells, nodes, percent), "ngram_sifted")
+    cells = incidence(nodes)
+    groups = group_nodes(cells, nodes, percent)
+    guests = visitors(cells, groups, percent)
+    taking_part = step(groups.select("node", "grp").union(guests), "ngram_members", [groups, guests])
+    left = step(sifted(taking_part, cells, nodes, percent), "ngram_sifted", [taking_part, cells])
     members = several(left, nodes, BLOCK_CELLS).join(nodes.select("node", "doc_id"), "node")
-    places = materialize(members.groupBy("doc_id").agg(F.collect_set(F.struct("node", "grp", "blocks")).alias("places")), "ngram_places")
+    places = step(members.groupBy("doc_id").agg(F.collect_set(F.struct("node", "grp", "blocks")).alias("places")), "ngram_places", [left])
     placed = placed_sets(docs, places, words, id_col, text)
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -416,7 +418,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating star contraction: every round hangs neighbours on smaller ones
     until each component is one star.  Minima are combined before the shuffle.
     """
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
+    edges = step(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
 
     def state(e):
         return e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -426,11 +428,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "star")
+        large = step(large, "star", [edges])
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        edges = materialize(small, "star")
+        edges = step(small, "star", [large])
         now = state(edges)
         if now == before:
             break
@@ -442,14 +444,16 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id per row of ``docs``."""
     order = ColumnOrder(frequent_ngrams(docs, text, words))
-    rows = materialize(document_rows(docs, order, words, percent, id_col, text), "ngram_rows")
-    known = rows.where("node is not null and doc_id is not null")
-    nodes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"),
-                                                  F.min("prefix").alias("prefix"), F.min("sketch").alias("sketch")), "ngram_nodes")
-    roots = materialize(components(links(docs, nodes, words, percent, id_col, text)), "ngram_roots")
+    whole = step(document_rows(docs, order, words, percent, id_col, text), "ngram_rows")
+    known = whole.where("node is not null and doc_id is not null")
+    nodes = step(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"),
+                                           F.min("prefix").alias("prefix"), F.min("sketch").alias("sketch")), "ngram_nodes")
+    # Prefixes and sketches make up most of both tables: they go as soon as they are no more read.
+    rows = step(whole.select("doc_id", "n_shingles", "node"), "ngram_sizes", [whole])
+    roots = step(components(links(docs, nodes, words, percent, id_col, text)), "ngram_roots")
     named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(smallest, "root").select("node", "component_id")
+    of_node = step(named.join(smallest, "root").select("node", "component_id"), "ngram_of_node", [nodes, roots])
     # A row whose id is null has no component of its own.
     return (rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
             .join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
@@ -460,14 +464,21 @@ def keep_representatives(docs: DataFrame, words: int = WORDS, percent: int = PER
     """The rows of ``docs`` whose id is the smallest of their component, with their columns unchanged.
 
     Rows with a null id stay; of rows that repeat an id that stays, one (of
-    smallest hash) stays.
+    smallest hash) stays.  Only rows whose id passes a Bloom filter of the ids
+    that go (bounded, broadcast) are shuffled; the others stay where they are.
     """
-    found = materialize(join(docs, words, percent, id_col, text), "ngram_components")
-    gone_id, nth = fresh(docs, "__gone", "__nth")
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == F.col(gone_id), "left_anti")
+    found = step(join(docs, words, percent, id_col, text), "ngram_components")
+    gone_id, nth, block, bits, word = fresh(docs, "__gone", "__nth", "__block", "__bits", "__word")
+    gone = step(found.where("component_id < doc_id").select(F.col("doc_id").alias(gone_id)).distinct(), "ngram_gone")
+    asked = docs[id_col].cast("long")
+    blocks = F.broadcast(bloom(gone, gone_id).select(F.col("block").alias(block), F.col("word").alias(word)))
+    marked = docs.withColumns({block: bloom_block(asked), bits: bloom_bits(asked)}).join(blocks, block, "left")
+    passes = F.coalesce(F.col(word).bitwiseAND(F.col(bits)) == F.col(bits), F.lit(False))
+    maybe = marked.where(passes).select(docs.columns)
+    kept = marked.where(~passes).select(docs.columns).union(
+        maybe.join(gone, maybe[id_col].cast("long") == F.col(gone_id), "left_anti"))
     repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(gone_id))
-    repeated = materialize(repeated, "ngram_repeated")
+    repeated = step(repeated, "ngram_repeated", [found])
     if repeated.limit(1).count() == 0:
         return kept
     same = F.col(id_col).cast("long") == F.col(gone_id)

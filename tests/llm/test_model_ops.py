@@ -371,3 +371,26 @@ def test_only_sets_that_may_link_are_moved(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(documents(spark, rows), 4, 85).collect()}
     assert got == {i: 0 if i < 2 else i for i in range(len(rows))}
     assert places == [2]  # half of its columns bring each of the others to the hub's group
+
+
+def test_join_leaves_no_wide_tables_and_moves_only_what_may_go(spark):
+    """Prefixes, sketches and columns are deleted once read; texts that stay are not shuffled when the ids that go are too many to broadcast."""
+    import os
+    from slopebook.plans import session
+    texts = [f"{prose(random.Random(i), 30)} stays{i}" for i in range(40)]
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts + texts[:3])] + [(None, texts[0], "en", "s", 0)])
+    written = spark.sparkContext.__dict__.setdefault("_slopebook_written", [])
+    start = len(written)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.keep_representatives(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=lambda v: (v is None, v)) == [*range(40), None]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.index("Union") < plan.index("LeftAnti")
+    left = {os.path.basename(p).rsplit("-", 1)[0] for p in written[start:]}
+    assert not left & {"ngram_rows", "ngram_nodes", "ngram_columns", "ngram_cells", "ngram_groups", "ngram_met"}
+    assert not [p for p in session.ensure_checkpoint_dir(spark).split("://")[-1:] for d in os.listdir(f"{p}/materialized") if d.startswith("ngram_nodes")]
+    assert spark.conf.get(session.SHUFFLE_CLEANUP) == "false"
