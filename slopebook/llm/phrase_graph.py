@@ -15,7 +15,9 @@ for each language on its own.  Only edges and the ends of pieces are counted::
   hot node gathers in a task.
 * Buckets add up equal runs and pass each node's partial flow on, dealt by the
   node; that is done for runs of four, three and two words.  What has
-  ``MIN_COUNT`` or more goes to the table of frequent runs.
+  ``MIN_COUNT`` or more goes to the table of frequent runs.  Blocks and buckets are
+  taken in ``SHARES`` shares, so that what is shuffled is never on disk as a whole
+  beside what it is read from.
 * Unary paths of the frequent graph (a node that one edge enters and one leaves,
   both with the node's own count) are compacted by pointer jumping.  Inner nodes
   of a path are never phrases of their own, and a phrase is told the length of
@@ -32,7 +34,8 @@ apart by 64-bit hashes of language and lower-cased bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 
 from slopebook.llm.arrays import byte_set, combine, hashed_words, mix, pack, text_bytes, text_slices, unpack
 from slopebook.llm.common import ship_package
-from slopebook.plans.session import materialize
+from slopebook.plans.session import discard, step
 
 LONGEST = 4
 MIN_COUNT = 30
@@ -55,6 +58,8 @@ FACTOR = 2_000_000
 BLOCK_WORDS = 2_000_000
 #: Words of the corpus for each bucket.
 BUCKET_WORDS = 500_000
+#: Shares in which runs are shuffled, one after another.
+SHARES = 4
 #: Words of a block whose runs are sorted at once.
 SORT_WORDS = 250_000
 
@@ -318,14 +323,24 @@ def flow_bucket(width: int, buckets: int, least: int):
     return flow
 
 
-def frequent_runs(edges: DataFrame, buckets: int, least: int) -> DataFrame:
-    """run (numbers of two to four words), f: all that occur at least ``least`` times."""
-    out, level = [], edges.select("bucket", "words", "n")
+def in_shares(make: Callable[[Column], DataFrame], by: str, name: str) -> list[DataFrame]:
+    """What ``make`` gives for each share of the values of ``by`` (a condition), written one after another."""
+    return [step(make(F.pmod(F.xxhash64(by), F.lit(SHARES)) == k), name) for k in range(SHARES)]
+
+
+def frequent_runs(edges: list[DataFrame], buckets: int, least: int) -> DataFrame:
+    """run (numbers of two to four words), f: all that occur at least ``least`` times.
+
+    Each level's flows are deleted when the next one is written (``edges`` too), so no more than two are on disk.
+    """
+    out, level = [], edges
     for width in range(LONGEST, 1, -1):
-        level = materialize(level.groupBy("bucket").applyInPandas(flow_bucket(width, buckets, least), FLOWS), f"phrase_flow{width}")
-        out.append(level.where("bucket < 0").select("run", "f"))
-        level = level.where("bucket >= 0").select("bucket", "words", "n")
-    return out[0].unionAll(out[1]).unionAll(out[2])
+        flows = reduce(DataFrame.unionAll, [part.where("bucket >= 0").select("bucket", "words", "n") for part in level])
+        add_up = flow_bucket(width, buckets, least)
+        done, level = level, in_shares(lambda share: flows.where(share).groupBy("bucket").applyInPandas(add_up, FLOWS), "bucket", f"phrase_flow{width}")
+        discard(*done)
+        out += [step(part.where("bucket < 0").select("run", "f"), "phrase_often") for part in level]
+    return step(reduce(DataFrame.unionAll, out), "phrase_frequent", [*level, *out])
 
 
 def at_least(f: Column, percent: int, of: Column) -> Column:
@@ -357,12 +372,12 @@ def compact(grams: DataFrame) -> DataFrame:
     # The edge that enters an inner node with the node's count is the only one.
     inner = inner.join(edges.select(F.slice("run", 2, LONGEST - 1).alias("run"), F.col("run").alias("back")), "run")
     links = edges.join(inner.select(F.col("run").alias("node"), "back"), F.slice("run", 1, LONGEST - 1) == F.col("node"), "left")
-    links = materialize(links.select("run", F.coalesce("back", "run").alias("head"), F.col("back").isNotNull().cast("long").alias("at")), "phrase_path")
+    links = step(links.select("run", F.coalesce("back", "run").alias("head"), F.col("back").isNotNull().cast("long").alias("at")), "phrase_path")
     while True:
         far = links.select(F.col("run").alias("head"), F.col("head").alias("further"), F.col("at").alias("more"))
         moved = links.join(far, "head").select("run", F.col("further").alias("head"), (F.col("at") + F.col("more")).alias("at"),
                                                (F.col("further") != F.col("head")).alias("moved"))
-        links = materialize(moved, "phrase_path")
+        links = step(moved, "phrase_path", [links])
         if links.where("moved").limit(1).count() == 0:
             return links.drop("moved")
 
@@ -390,19 +405,22 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = M
     """
     ship_package(docs.sparkSession)
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    blocks = materialize(slim.mapInArrow(block_maker(block_words), BLOCKS), "phrase_blocks")
+    blocks = step(slim.mapInArrow(block_maker(block_words), BLOCKS), "phrase_blocks")
     buckets = (blocks.agg(F.sum("n")).first()[0] or 0) // bucket_words + 1
     replies = word_requests(blocks, buckets).groupBy("bucket").applyInPandas(number_words(buckets, least), REPLIES)
-    counted = materialize(replies, "phrase_words")
-    found = materialize(runs(blocks, counted, buckets, least), "phrase_runs")
-    words = materialize(found.where("bucket = -1").select("id", "lang", "word", "f"), "phrase_names")
-    grams = materialize(frequent_runs(found.where("bucket >= 0"), buckets, least), "phrase_frequent")
+    counted = step(replies, "phrase_words")
+    edges = in_shares(lambda share: runs(blocks.where(share), counted.where(share), buckets, least), "block", "phrase_runs")
+    discard(blocks, counted)
+    found = reduce(DataFrame.unionAll, edges)
+    words = step(found.where("bucket = -1").select("id", "lang", "word", "f"), "phrase_names")
+    totals = step(found.where("bucket = -2").groupBy("lang").agg(F.sum("f").alias("n")), "phrase_totals")
+    grams = frequent_runs(edges, buckets, least)
     paths = compact(grams)
     lengths = paths.groupBy("head").agg((F.max("at") + LONGEST).alias("path_words"))
     paths = paths.join(lengths, "head").select("run", "path_words")
     wider = around(grams, 2).unionAll(around(grams, 3)).select("run", "best")
     kept = F.col("best").isNull() | ~at_least(F.col("best"), INSIDE_PERCENT, F.col("f"))
-    judged = materialize(grams.join(wider, "run", "left").select("run", "f", kept.alias("kept")), "phrase_judged")
+    judged = step(grams.join(wider, "run", "left").select("run", "f", kept.alias("kept")), "phrase_judged")
     named = scored(judged, words).join(words.select("id", "lang"), F.col("run")[0] == F.col("id")).drop("id")
     # First without the texts, ties included; then the texts of what is left decide ties.
     short = named.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("place") <= top)
@@ -412,7 +430,6 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = M
                .withColumn("phrase", F.array_join("parts.word", " ")).drop("parts"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = spelled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    totals = found.where("bucket = -2").groupBy("lang").agg(F.sum("f").alias("n"))
     return (best.join(totals, "lang").join(paths, "run", "left")
             .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score",
                     F.coalesce("path_words", F.size("run")).cast("long").alias("path_words")))

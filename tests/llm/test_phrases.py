@@ -132,3 +132,23 @@ def test_runs_of_a_block_in_little_memory():
     assert dict(zip(zip(*(c.tolist() for c in columns)), n.tolist())) == want
     order = list(zip(*(c.tolist() for c in columns)))
     assert order == sorted(order)
+
+
+def test_no_more_than_two_levels_are_kept(spark, monkeypatch):
+    """A step's input is deleted when its output is written, and runs are shuffled in shares."""
+    import os
+    kept, step = [], phrase_graph.step
+
+    def seen(df, name, done=()):
+        out = step(df, name, done)
+        written = spark.sparkContext._slopebook_written
+        kept.append((name, {os.path.basename(p).rsplit("-", 1)[0] for p in written[start:]}))
+        return out
+    start = len(spark.sparkContext.__dict__.setdefault("_slopebook_written", []))
+    monkeypatch.setattr(phrase_graph, "step", seen)
+    rows = corpus(seed=4, n=60)
+    check(documents(spark, rows), rows, least=4, block_words=300, bucket_words=500)
+    big = {"phrase_blocks", "phrase_runs", "phrase_flow4", "phrase_flow3", "phrase_flow2"}
+    assert all(len(there & big) <= 2 for _name, there in kept)
+    assert not kept[-1][1] & (big | {"phrase_words", "phrase_often"})
+    assert [name for name, _ in kept].count("phrase_runs") == phrase_graph.SHARES
