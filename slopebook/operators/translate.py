@@ -10,12 +10,14 @@ E22/E23 need HTML structure (which text nodes sit inside script/style/...,
 where an element ends): the offsets come from the one parse of
 :mod:`slopebook.operators.markup`.  E22 is split around E21: the translatable
 nodes become rows, Spark translates them (E21), and the translations are
-written back by source offset.
+written back by source offset.  A page travels with the first of its rows, and
+nothing between the parse and the writing moves a row, so no page is shuffled.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -89,11 +91,16 @@ TERMS = [
 
 LANG_COL = {"en": "en", "zh": "zh"}
 
+#: Any rule: the test whether one applies.
+ANY_RULE = "|".join(pat for pat, _en, _zh in RULES)
+#: White space that normalising changes: all but single spaces between others.
+LOOSE_SPACE = rf"[{JS_SPACE}]{{2}}|[{JS_SPACE}&&[^ ]]|^ | $"
+
 
 def normalise(c: Column) -> Column:
     """Collapse runs of (JavaScript) whitespace to one space and trim."""
     collapsed = F.regexp_replace(c, rf"[{JS_SPACE}]+", " ")
-    return F.regexp_replace(collapsed, rf"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
+    return F.when(c.rlike(LOOSE_SPACE), F.regexp_replace(collapsed, rf"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")).otherwise(c)
 
 
 def utf16_length(c: Column) -> Column:
@@ -112,9 +119,15 @@ def _rules(k: Column, lang: str) -> Column:
 
 
 def _terms(core: Column, lang: str) -> Column:
+    """All terms in order: those without a group are plain text; regular expressions in a row are tried only where one is found."""
     out = core
-    for pat, en, zh in TERMS:
-        out = F.regexp_replace(out, pat, en if lang == "en" else zh)
+    for is_pattern, terms in itertools.groupby(TERMS, lambda t: "(" in t[0]):
+        before, terms = out, list(terms)
+        for pat, en, zh in terms:
+            rep = en if lang == "en" else zh
+            out = F.regexp_replace(out, pat, rep) if is_pattern else F.replace(out, F.lit(pat), F.lit(rep))
+        if is_pattern:
+            out = F.when(before.rlike("|".join(pat for pat, _en, _zh in terms)), out).otherwise(before)
     return out
 
 
@@ -153,22 +166,27 @@ def translate(df: DataFrame, text_col: str, lang: str, dictionary: DataFrame) ->
     kk, cc, pp, ss = F.col("_k"), F.col("_core"), F.col("_pre"), F.col("_suf")
     # Each stage is its own projection: the terms chain is referenced three
     # times, and inlining it would overflow the 64 KB generated-method limit.
-    short = (utf16_length(cc) <= MAX_TERM_LEN) & ~cc.rlike(SENT)
-    j = (j.withColumn("_rule_k", F.when(jp, _rules(kk, lang)))
-         .withColumn("_rule_core", F.when(jp, _rules(cc, lang)))
-         .withColumn("_short", F.when(jp, short).otherwise(F.lit(False)))
+    # A stage runs only for texts that the ones before have left open.
+    stripped = (pp != "") | (ss != "")
+    j = (j.withColumn("_open", jp & (kk != "") & F.col("_d_k").isNull())
+         .withColumn("_rule_k", F.col("_open") & kk.rlike(ANY_RULE))
+         .withColumn("_open", F.col("_open") & ~F.col("_rule_k"))
+         .withColumn("_inner", F.when(F.col("_open"), stripped & (cc != "") & cc.rlike(JP)).otherwise(F.lit(False)))
+         .withColumn("_rule_core", F.col("_inner") & F.col("_d_core").isNull() & cc.rlike(ANY_RULE))
+         .withColumn("_ruled", F.when(F.col("_rule_k"), kk).when(F.col("_rule_core"), cc))
+         .withColumn("_ruled", F.when(F.col("_ruled").isNotNull(), _rules(F.col("_ruled"), lang)))
+         .withColumn("_open", F.col("_open") & ~(F.col("_inner") & (F.col("_d_core").isNotNull() | F.col("_rule_core"))))
+         .withColumn("_short", F.when(F.col("_open"), (utf16_length(cc) <= MAX_TERM_LEN) & ~cc.rlike(SENT)).otherwise(F.lit(False)))
          .withColumn("_terms", F.when(F.col("_short"), _terms(cc, lang))))
     terms_out = F.col("_terms")
     rest_chars = F.regexp_replace(terms_out, TERM_STRIP, "")
     dirty = rest_chars.rlike(JP) if lang == "en" else rest_chars.rlike(KANA)
     j = j.withColumn("_terms_ok", F.col("_short") & (terms_out != cc) & ~dirty)
-    stripped = (pp != "") | (ss != "")
-    inner_ok = stripped & (cc != "") & cc.rlike(JP)
     tr = (F.when(~jp | (kk == ""), F.lit(None))
           .when(F.col("_d_k").isNotNull(), F.col("_d_k"))
-          .when(F.col("_rule_k").isNotNull(), F.col("_rule_k"))
-          .when(inner_ok & F.col("_d_core").isNotNull(), F.concat(pp, F.col("_d_core"), ss))
-          .when(inner_ok & F.col("_rule_core").isNotNull(), F.concat(pp, F.col("_rule_core"), ss))
+          .when(F.col("_rule_k"), F.col("_ruled"))
+          .when(F.col("_inner") & F.col("_d_core").isNotNull(), F.concat(pp, F.col("_d_core"), ss))
+          .when(F.col("_rule_core"), F.concat(pp, F.col("_ruled"), ss))
           .when(F.col("_terms_ok"), F.concat(pp, terms_out, ss)))
     lead = F.regexp_extract(raw, rf"^([{JS_SPACE}]*)", 1)
     trail = F.regexp_extract(raw, rf"([{JS_SPACE}]*)$", 1)
@@ -176,42 +194,73 @@ def translate(df: DataFrame, text_col: str, lang: str, dictionary: DataFrame) ->
     return (out.withColumn("display", F.when(F.col("translated").isNotNull(),
                                              F.concat(lead, F.col("translated"), trail)).otherwise(raw))
             .drop("_k", "_jp", "_k_probe", "_pre", "_rest", "_suf", "_core", "_d_k", "_d_core", "_rule_k",
-                  "_rule_core", "_short", "_terms", "_terms_ok"))
+                  "_rule_core", "_short", "_terms", "_terms_ok", "_open", "_inner", "_ruled"))
 
 
 # ---------------------------------------------------------------------------
 # HTML structure
 # ---------------------------------------------------------------------------
 
-def _written(v: str | None, edits: list[dict] | None) -> str | None:
+def _written(v: str | None, edits: list[tuple[int, int, str, str]]) -> str | None:
     """The page ``v`` with its edits (start, end, kind, text) put in."""
     if v is None or not edits:
         return v
     pieces, pos = [], 0
-    for e in sorted(edits, key=lambda x: x["start"]):
-        if e["start"] < pos:
+    for start, end, kind, text in sorted(edits, key=lambda x: x[0]):
+        if start < pos:
             continue
-        pieces.append(v[pos:e["start"]])
-        quote = e["kind"] != "text"
-        text = html.escape(e["text"], quote=quote)
-        pieces.append(f'"{text}"' if e["kind"].startswith("bare:") else text)
-        pos = e["end"]
+        pieces.append(v[pos:start])
+        text = html.escape(text, quote=kind != "text")
+        pieces.append(f'"{text}"' if kind.startswith("bare:") else text)
+        pos = end
     pieces.append(v[pos:])
     return "".join(pieces)
 
 
-def _write_back(pages: DataFrame, html_col: str) -> DataFrame:
-    """``pages`` with the edits of each (column ``edits``, dropped) put into ``html_col``."""
-    at, edits_at = pages.columns.index(html_col), pages.columns.index("edits")
-    schema = pages.drop("edits").schema
+#: What a node's row says of its page (number, the node's place, nodes in all) and of the edit; no text, no edit.
+_EDIT = ["_page", "_pos", "_of", "_start", "_end", "_kind", "_text"]
+
+
+def _write_back(rows: DataFrame, pages: DataFrame, html_col: str) -> DataFrame:
+    """``pages`` with their edits put into ``html_col``.
+
+    ``rows``: the columns of ``pages``, filled in on the first row of each page, then ``_EDIT``.  The rows of a page
+    follow each other in their order; where they do not, this fails.
+    """
+    at, width, schema = pages.columns.index(html_col), len(pages.columns), pages.schema
+
+    def written(columns: list[pa.Array], edits: list[list[tuple]]) -> pa.RecordBatch:
+        new = pa.array([_written(v, e) for v, e in zip(columns[at].to_pylist(), edits)], type=columns[at].type)
+        return pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(columns)], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, (None, 0, 1)  # the page whose rows may go on, and its edits; the last row's page, place, rows in all
         for batch in (part for whole in batches for part in markup.slices(whole, at)):
-            new = [_written(v, e) for v, e in zip(batch.column(at).to_pylist(), batch.column(edits_at).to_pylist())]
-            columns = [pa.array(new, type=batch.column(i).type) if i == at else batch.column(i) for i in range(batch.num_columns) if i != edits_at]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return pages.mapInArrow(run, schema)
+            firsts, edits = [], [held[1]] if held else []
+            for i, (page, pos, of, *edit) in enumerate(zip(*(c.to_pylist() for c in batch.columns[width:]))):
+                if (pos != 0 or last[1] + 1 != last[2]) if page != last[0] else pos != last[1] + 1:
+                    raise RuntimeError("the rows of a page do not follow each other")
+                last = page, pos, of
+                if pos == 0:
+                    firsts.append(i)
+                    edits.append([])
+                if edit[3] is not None:
+                    edits[-1].append(tuple(edit))
+            if not firsts:
+                continue
+            columns = [c.take(pa.array(firsts)) for c in batch.columns[:width]]
+            if held:
+                yield written(held[0], edits[:1])
+                del edits[0]
+            if len(firsts) > 1:
+                yield written([c[:-1] for c in columns], edits[:-1])
+            held = [c[-1:] for c in columns], edits[-1]
+        if last[1] + 1 != last[2]:
+            raise RuntimeError("a page lacks rows")
+        if held:
+            yield written(held[0], [held[1]])
+
+    return rows.mapInArrow(run, schema)
 
 
 def page_nodes(pages: DataFrame, id_col: str = "id", html_col: str = "html") -> DataFrame:
@@ -227,15 +276,23 @@ def translate_pages(pages: DataFrame, lang: str, dictionary: DataFrame, id_col:
 
     Nodes are translated by E21 in Spark; only nodes with a translation are
     written back (the page keeps its original text otherwise), keeping the
-    node's surrounding whitespace.  The per-page edit list is bounded by the
-    page's own size.
+    node's surrounding whitespace.  Each page gets its own edits, also where ids
+    repeat.  The per-page edit list is bounded by the page's own size.
     """
-    nodes = page_nodes(pages, id_col, html_col)
-    tr = translate(nodes, "raw", lang, dictionary)
-    edits = (tr.where(F.col("translated").isNotNull())
-             .groupBy(id_col).agg(F.collect_list(F.struct("start", "end", "kind",
-                                                          F.col("display").alias("text"))).alias("edits")))
-    return _write_back(pages.join(edits, id_col, "left").select(*pages.columns, "edits"), html_col), tr
+    tr = translate(page_nodes(pages, id_col, html_col), "raw", lang, dictionary)
+    own = [f"_p{i}" for i in range(len(pages.columns))]
+    # Every node of a page by itself, the page's own columns with the first; a page without nodes has one row.
+    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
+    rows = (markup.scanned(pages, html_col).drop("blocks", "root").toDF(*own, "_nodes")
+            .withColumn("_page", F.monotonically_increasing_id()).withColumn("_of", F.greatest(F.size("_nodes"), F.lit(1)))
+            .select(*own, "_page", "_of", F.posexplode_outer("_nodes").alias("_pos", "_n"))
+            .select(*(F.when(first, F.col(c)).alias(c) for c in own), "_page", F.coalesce("_pos", F.lit(0)).alias("_pos"), "_of",
+                    F.col("_n.start").alias("_start"), F.col("_n.end").alias("_end"), F.col("_n.kind").alias("_kind"), F.col("_n.raw").alias("_raw"),
+                    F.col(own[pages.columns.index(id_col)]).isNotNull().alias("_known")))
+    # A page without an id keeps its text.
+    edits = (translate(rows, "_raw", lang, dictionary)
+             .withColumn("_text", F.when(F.col("translated").isNotNull() & F.col("_known"), F.col("display"))))
+    return _write_back(edits.select(*own, *_EDIT), pages, html_col), tr
 
 
 def select_language_blocks(pages: DataFrame, lang: str, html_col: str = "html") -> DataFrame:

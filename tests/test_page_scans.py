@@ -1,12 +1,14 @@
-"""Plain pages without the tolerant parser."""
+"""Plain pages without the tolerant parser (E22-E25), and page translation without a shuffle of pages."""
 
 from __future__ import annotations
 
 import random
 
 import pyarrow as pa
+import pytest
 
 from slopebook.operators import markup
+from slopebook.operators import translate as tr
 from slopebook.sources.fixtures import HOOK_PARTS, SITE_PARTS
 
 RULES = markup.repair_rules("012-345-678", "old_shop", "@new_shop", "<b>call</b>")
@@ -68,7 +70,60 @@ def test_unclosed_markup_takes_no_square_time():
             pass
 
 
+DICT = [("ホーム", "Home", "首頁"), ("予約", "Book", "預約")]
+
+
+@pytest.fixture(scope="module")
+def dictionary(spark):
+    return spark.createDataFrame(DICT, "ja string, en string, zh string")
+
+
+def test_no_page_is_shuffled(spark, dictionary, tmp_path):
+    spark.createDataFrame([(1, "<p>ホーム</p>", 3)], "id long, html string, x int").write.parquet(f"{tmp_path}/pages")
+    out, _nodes = tr.translate_pages(spark.read.parquet(f"{tmp_path}/pages"), "en", dictionary)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 2 and all("strategy=broadcast" in line for line in joins)
+    assert "collect_list" not in plan
+
+
+def test_pages_in_small_batches(spark, dictionary):
+    """Batches end within pages; pages without nodes, without text, without an id and with an id that repeats."""
+    html = lambda n: "<p>x</p>" + "".join(f"<p title='予約'>ホーム<b>{i}</b></p>" for i in range(n))
+    rows = [(i % 30, html(i % 9), f"v{i}") for i in range(60)] + [(100, None, "n"), (101, "", "e"), (None, html(2), "no id"), (102, "<p>予約", None)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = tr.translate_pages(spark.createDataFrame(rows, "id int, html string, v string").coalesce(2), "en", dictionary)[0].collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    put = lambda i, h: h if h is None or i is None else h.replace("予約", "Book").replace("ホーム", "Home")
+    assert sorted(map(tuple, got), key=str) == sorted([(i, put(i, h), v) for i, h, v in rows], key=str)
+
+
+def test_rows_out_of_order_fail(spark):
+    base = spark.createDataFrame([(1, "予約", 0, 1, 3, 0, 1, "text", None), (None, None, 0, 0, 3, 1, 2, "text", None)],
+                                 "p0 int, p1 string, _page long, _pos int, _of int, _start int, _end int, _kind string, _text string").coalesce(1)
+    with pytest.raises(Exception, match="do not follow each other|lacks rows"):
+        tr._write_back(base, base.selectExpr("p0 id", "p1 html").limit(0), "html").collect()
+
+
 def test_lists_are_made_by_column():
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.string())]))
     assert markup._lists([[(1, "x"), (2, None)], [], [(3, "z")]], kind).to_pylist() == [[{"a": 1, "b": "x"}, {"a": 2, "b": None}], [], [{"a": 3, "b": "z"}]]
     assert markup._lists([[], []], kind).to_pylist() == [[], []]
+
+
+TEXTS = ["ホーム", " a  b ", "大人 3人目 名", "5名", "5歳 フルセット", "x　予約", "予約 ", "お子様 2人目", "3日間の予約。", "レギュラー 様", "板のレンタルなし 2名", "人目", "追加: ソリ", "a b", "予\n約"]
+
+
+@pytest.mark.parametrize("lang", ["en", "zh"])
+def test_terms_equal_one_replacement_after_the_other(spark, lang):
+    from pyspark.sql import functions as F
+    out = F.col("t")
+    for pat, en, zh in tr.TERMS:
+        out = F.regexp_replace(out, pat, en if lang == "en" else zh)
+    space = F.regexp_replace(F.regexp_replace("t", rf"[{tr.JS_SPACE}]+", " "), rf"^[{tr.JS_SPACE}]+|[{tr.JS_SPACE}]+$", "")
+    df = spark.createDataFrame([(t,) for t in [*TEXTS, *(a + b for a in TEXTS for b in TEXTS), None, "", " "]], "t string")
+    for r in df.select("t", out.alias("a"), tr._terms(F.col("t"), lang).alias("b"), space.alias("c"), tr.normalise(F.col("t")).alias("d")).collect():
+        assert (r.a, r.c) == (r.b, r.d), r.t
